@@ -10,9 +10,10 @@ order of all shingles, linked sets share at least min(L) of each other's first 2
 2. Sets that are equal become one class; from here on only class representatives count.
 3. Similar sets are partitioned into groups: sets with a common min-hash are compared with that
    min-hash's smallest set, and linked ones form a group.
-4. The matrix holds the union of each group's leading shingles, ordered so that frequent ones (by a
-   counting sketch of fixed size) come last. A set meets another group only if their overlap in
-   the matrix can reach the threshold; only then is the group opened and its members compared.
+4. The matrix holds the union of each group's first L shingles, ordered so that frequent ones (by a
+   counting sketch of fixed size) come last. Linked sets share one of these at least, so the overlap of
+   a set with a group is bounded below the threshold unless it meets the group's union there; only
+   groups that it meets are opened, and their members of fitting size compared.
 5. Components of all links, each link verified on whole sets, give every row its component.
 
 No step emits all pairs of a group, and every pair in different groups that can be linked is compared.
@@ -70,7 +71,7 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(a + np.uint64(len(s)))).view(np.int64)) if len(s) else 0
 
 
-SCAN = "kind int, part long, no long, doc_id long, n long, h1 long, h2 long, shared long, toks binary, owners binary"
+SCAN = "kind int, part long, no long, doc_id long, sig long, n long, h1 long, h2 long, toks binary, owners binary"
 _NAMES = [c.split()[0] for c in SCAN.split(", ")]
 _TYPES = [pa.int32(), *[pa.int64()] * 7, pa.binary(), pa.binary()]
 
@@ -97,7 +98,7 @@ def _scan(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, ranges:
         again[:-1] |= ~first[1:]
         who, n = np.unique(o[again], return_counts=True)
         if len(who):
-            yield _rows(kind=np.ones(len(who), np.int32), part=np.full(len(who), part), no=who.astype(np.int64), shared=n.astype(np.int64))
+            yield _rows(kind=[1], part=[part], toks=[np.stack([who, n]).astype("<u4").tobytes()])
         t, o = t[first], np.where(again, _NONE, o)[first]
         r = (t >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
         cuts = np.searchsorted(r, np.arange(ranges + 1))
@@ -108,10 +109,10 @@ def _scan(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, ranges:
 
     for whole in batches:
         for b in pieces(whole, "text"):
-            facts, ids = [], b.column("doc_id").to_pylist()
+            facts, ids, sigs = [], b.column("doc_id").to_pylist(), b.column("sig").to_pylist()
             for i, s in enumerate(doc_sets(b.column("text"), k)):
                 n = len(s)
-                facts.append((no, ids[i], n, *set_hash(s)))
+                facts.append((no, ids[i], sigs[i], n, *set_hash(s)))
                 if n:
                     p = 2 * lead(n, num, den) - 1
                     toks.append(s[:p])
@@ -119,7 +120,7 @@ def _scan(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, ranges:
                     held += min(p, n)
                 no += 1
             c = list(zip(*facts, strict=True))
-            yield _rows(kind=[0] * len(facts), part=[part] * len(facts), no=c[0], doc_id=c[1], n=c[2], h1=c[3], h2=c[4])
+            yield _rows(kind=[0] * len(facts), part=[part] * len(facts), no=c[0], doc_id=c[1], sig=c[2], n=c[3], h1=c[4], h2=c[5])
             if held > HELD:
                 yield from deal()
                 toks, owners, held = [], [], 0
@@ -128,7 +129,7 @@ def _scan(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, ranges:
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many of each document's leading shingles, in these hash ranges, occur in another task as well."""
+    """How many of each document's leading shingles, in these hash ranges, occur in another task as well: a row for each task that asked."""
     toks, owners = [], []
     for b in batches:
         for part, t, o in zip(b.column("part").to_pylist(), b.column("toks").to_pylist(), b.column("owners").to_pylist(), strict=True):
@@ -145,7 +146,22 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     again[1:] |= same
     again[:-1] |= same
     who, n = np.unique(o[again & (o >= 0)], return_counts=True)
-    yield pa.RecordBatch.from_arrays([pa.array(who >> 32), pa.array(who & 0xFFFFFFFF), pa.array(n.astype(np.int64))], ["part", "no", "shared"])
+    cuts = np.flatnonzero(np.diff(who >> 32, prepend=-1, append=-1)) if len(who) else np.zeros(0, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield pa.RecordBatch.from_pydict({"part": [int(who[a] >> 32)], "counts": [np.stack([who[a:b] & 0xFFFFFFFF, n[a:b]]).astype("<u4").tobytes()]})
+
+
+def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of those counts for each document of a task."""
+    held: dict[int, list[np.ndarray]] = {}
+    for b in batches:
+        for part, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            held.setdefault(part, []).append(np.frombuffer(x, "<u4").reshape(2, -1).astype(np.int64))
+    for part, parts in held.items():
+        both = np.concatenate(parts, axis=1)
+        n = np.bincount(both[0], both[1]).astype(np.int64)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part)), pa.array(at), pa.array(n[at])], ["part", "no", "shared"])
 
 
 def _enough(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -205,18 +221,17 @@ def frequency_levels(sets: DataFrame) -> np.ndarray:
 
 
 def _leading(batches: Iterator[pa.RecordBatch], levels: np.ndarray, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """The leading shingles of each set, rare ones first, and how many of them a linked set shares."""
+    """The first L shingles of each set, rare ones first."""
     for b in batches:
         off, flat = b.column("toks").offsets.to_numpy(), b.column("toks").values.to_numpy()
-        keep, rows, need = [], [], []
+        keep, rows = [], []
         for i in range(b.num_rows):
             s = flat[off[i] : off[i + 1]]
-            s = s[np.lexsort((s, levels[places(s, SKETCH_BITS)]))][: 2 * lead(len(s), num, den) - 1]
+            s = s[np.lexsort((s, levels[places(s, SKETCH_BITS)]))][: lead(len(s), num, den)]
             keep.append(s)
             rows.append(np.full(len(s), i))
-            need.append(least_shared(off[i + 1] - off[i], num, den))
         r = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keep)), b.column("cid").take(r), b.column("grp").take(r), pa.array(need, pa.int64()).take(r)], ["tok", "cid", "grp", "need"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keep)), b.column("cid").take(r), b.column("grp").take(r)], ["tok", "cid", "grp"])
 
 
 def _min_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,14 +272,15 @@ def components(links: DataFrame, name: str = "stars") -> DataFrame:
 
 
 def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: doc_id, n_shingles, component_id, and row, first_row: its own number and that of the component's first row."""
+    """For each row: doc_id, n_shingles, component_id, sig (a hash of id and text), and row, first_row: its own number and that of the component's first row."""
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("sig", F.xxhash64("doc_id", "text"))
     parts = partitions_for(spark)
     scanned = cut(own.mapInArrow(partial(_scan, k=k, num=num, den=den, ranges=4 * parts), SCAN), "leading")
-    rows = scanned.where("kind = 0").select("doc_id", "n", "h1", "h2", "part", "no", (F.col("part") * F.lit(1 << 33) + F.col("no")).alias("row"))
-    elsewhere = scanned.where("kind = 2").select("part", F.col("no").alias("r"), "toks", "owners").repartition(parts, "r").drop("r").mapInArrow(_repeats, "part long, no long, shared long")
-    shared = scanned.where("kind = 1").select("part", "no", "shared").unionByName(elsewhere).groupBy("part", "no").agg(F.sum("shared").alias("shared"))
+    rows = scanned.where("kind = 0").select("doc_id", "sig", "n", "h1", "h2", "part", "no", (F.col("part") * F.lit(1 << 33) + F.col("no")).alias("row"))
+    elsewhere = scanned.where("kind = 2").select("part", F.col("no").alias("r"), "toks", "owners").repartition(parts, "r").drop("r").mapInArrow(_repeats, "part long, counts binary")
+    counts = scanned.where("kind = 1").select("part", F.col("toks").alias("counts")).unionByName(elsewhere)
+    shared = counts.repartition(parts, "part").mapInArrow(_add_counts, "part long, no long, shared long")
     kind = "doc_id long, n long, h1 long, h2 long, row long, shared long"
     alive = cut(rows.join(shared, ["part", "no"]).select("doc_id", "n", "h1", "h2", "row", "shared").mapInArrow(partial(_enough, num=num, den=den), kind), "alive")
 
@@ -282,10 +298,12 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, id_
     with_group = cut(sets.join(grouped, sets.cid == grouped.node, "left").select("cid", "n", F.coalesce("root", "cid").alias("grp"), "toks"), "grouped")
 
     levels = frequency_levels(with_group)
-    leading = cut(with_group.mapInArrow(partial(_leading, levels=levels, num=num, den=den), "tok long, cid long, grp long, need long"), "matrix")
+    leading = cut(with_group.mapInArrow(partial(_leading, levels=levels, num=num, den=den), "tok long, cid long, grp long"), "matrix")
     matrix = leading.select("tok", "grp").distinct().withColumnRenamed("grp", "other")
-    met = leading.join(matrix, "tok").where("grp > other").groupBy("cid", "other").agg(F.count("*").alias("overlap"), F.first("need").alias("need"))
-    open_ = met.where("overlap >= need").select(F.col("cid").alias("a"), F.col("other").alias("grp"))
+    # shingles that one group alone has meet nothing
+    common = matrix.groupBy("tok").agg(F.count("*").alias("groups")).where("groups > 1").select("tok")
+    met = leading.join(common, "tok", "left_semi").join(matrix.join(common, "tok", "left_semi"), "tok").where("grp > other")
+    open_ = met.select(F.col("cid").alias("a"), F.col("other").alias("grp")).distinct()
     members = with_group.select(F.col("cid").alias("b"), F.col("n").alias("m"), "grp")
     pairs = open_.join(members, "grp").join(with_group.select(F.col("cid").alias("a"), "n"), "a").where((F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)).select("a", "b").distinct()
     links = stars.unionByName(linked(cut(pairs, "pairs"), sets, num, den))
@@ -299,12 +317,13 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, id_
     n_rows = rows.count()
     out = attach(rows.withColumn("set", F.struct("h1", "h2")), named, "set", "copies", n_rows)
     mine = F.col("first_row").isNull() | (F.col("n") == 0)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(mine, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row", F.when(mine, F.col("row")).otherwise(F.col("first_row")).alias("first_row"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(mine, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "sig", "row", F.when(mine, F.col("row")).otherwise(F.col("first_row")).alias("first_row"))
 
 
 def one_of_each(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all columns, that come first in their component; rows that repeat id and text are one."""
-    keyed = docs.withColumn("_sig", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
-    with_row = near_groups(keyed, k, num, den, id_col, text_col)
-    gone = with_row.where("first_row <> row").select(F.col("doc_id").alias("_gone"))
-    return keyed.drop("_sig").join(gone.distinct(), F.col(id_col).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows, with all columns, that come first in their component. Rows that repeat id and text stay or go together."""
+    keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_sig", F.xxhash64("_id", F.col(text_col)))
+    found = near_groups(docs, k, num, den, id_col, text_col)
+    stays = F.max((F.col("first_row") == F.col("row")).cast("int"))
+    gone = found.groupBy("doc_id", "sig").agg(stays.alias("s")).where("s = 0").select(F.col("doc_id").alias("_gone"), F.col("sig").alias("_gone_sig"))
+    return keyed.join(gone, (F.col("_sig") == F.col("_gone_sig")) & F.col("_id").eqNullSafe(F.col("_gone")), "left_anti").drop("_id", "_sig")
