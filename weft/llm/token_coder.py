@@ -39,16 +39,16 @@ from weft.llm.common import open_fs, partitions_for, pieces, scratch, write_file
 MAGIC = b"WTOK\x01\x00\x00\x00"
 BLOCK = 4096
 #: Blocks coded side by side; bounds the predictors' memory.
-LANES = 2048
+LANES = 1024
 #: Ids in a file, at most, unless one document alone has more.
 FILE_IDS = LANES * BLOCK
-_SLOTS = 2048
+_SLOTS = 1024
 _SURE = 8
 _FREQ_BITS, _TOTAL_BITS, _P_BITS = 20, 30, 16
 #: Adapted probabilities stay below this, which leaves order 0 at least 2**_FREQ_BITS of 2**_TOTAL_BITS.
 _P_MOST = 63_000
 #: Confidence after a miss and after a hit; one of at most 2 gives the slot to the new id.
-_NEXT = np.array([[1 if c <= 2 else c >> 1 for c in range(_SURE)], [min(c + 1, _SURE - 1) for c in range(_SURE)]], np.uint8)
+_NEXT = np.array([*(1 if c <= 2 else c >> 1 for c in range(_SURE)), *(min(c + 1, _SURE - 1) for c in range(_SURE))], np.int32)
 _32, _LOW32 = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
@@ -64,89 +64,87 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Predictors of many blocks, a lane each, that all start anew."""
+    """Predictors of many blocks, a lane each, that all start anew. Arrays of both orders are stacked: row 0 is order 1."""
 
     def __init__(self, lanes: int, freq: np.ndarray) -> None:
-        self.n_symbols = len(freq)
         self.cum = np.zeros(len(freq) + 1, np.uint64)
         np.cumsum(freq, out=self.cum[1:])
-        self.lane = np.arange(lanes, dtype=np.int64) * _SLOTS
-        self.p_lane = np.arange(lanes, dtype=np.int64) * _SURE
-        self.guess = [np.zeros(lanes * _SLOTS, np.int32) for _ in range(2)]
-        self.sure = [np.zeros(lanes * _SLOTS, np.uint8) for _ in range(2)]
+        both = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes)
+        self.slot_of, self.sure_of = both * _SLOTS, both * _SURE
+        #: Guess and confidence of each slot, as guess << 3 | confidence.
+        self.slots = np.zeros(2 * lanes * _SLOTS, np.int32)
         start = (np.arange(_SURE) + 0.4) / (np.arange(_SURE) + 1.6) * _P_MOST
         start[0] = 0  # nothing seen yet
-        self.p = [np.tile(start.astype(np.int64), lanes) for _ in range(2)]
-        self.last = np.zeros(lanes, np.int64)
-        self.last2 = np.zeros(lanes, np.int64)
+        self.p = np.tile(start.astype(np.int64), 2 * lanes)
+        self.keys = np.zeros((2, lanes), np.int64)
 
     def predict(self, n: int) -> None:
-        """Set the mixture of the first n lanes' next ids: guesses a <= b with masses, and order 0's mass."""
-        lane = self.lane[:n]
-        self.at = [lane + (self.last[:n] * 0x9E35 >> 4 & _SLOTS - 1), lane + ((self.last[:n] * 0x9E35 + self.last2[:n] * 0x2C1B3) >> 5 & _SLOTS - 1)]
-        g1, g2 = self.guess[0][self.at[0]], self.guess[1][self.at[1]]
-        self.p_at = [self.p_lane[:n] + self.sure[0][self.at[0]], self.p_lane[:n] + self.sure[1][self.at[1]]]
-        w1, w2 = self.p[0][self.p_at[0]], self.p[1][self.p_at[1]]
-        m2 = w2 << (_TOTAL_BITS - _P_BITS)
-        m1 = ((1 << _P_BITS) - w2) * w1 >> (2 * _P_BITS - _TOTAL_BITS)
-        self.m0 = ((1 << _TOTAL_BITS) - m1 - m2).astype(np.uint64)
-        swap = g1 > g2
-        self.a, self.b = np.where(swap, g2, g1), np.where(swap, g1, g2)
-        self.ma, self.mb = np.where(swap, m2, m1).astype(np.uint64), np.where(swap, m1, m2).astype(np.uint64)
-        self.g = g1, g2
+        """Set the mixture of the first n lanes' next ids: both guesses with their masses, and order 0's mass."""
+        self.at = (self.keys[:, :n] >> 5 & _SLOTS - 1) + self.slot_of[:, :n]
+        self.held = self.slots[self.at]
+        self.g = self.held >> 3
+        self.sure = self.held & 7
+        self.p_at = self.sure_of[:, :n] + self.sure
+        self.w = self.p[self.p_at]
+        self.m = np.empty((2, n), np.int64)
+        np.left_shift(self.w[1], _TOTAL_BITS - _P_BITS, out=self.m[1])
+        np.right_shift(((1 << _P_BITS) - self.w[1]) * self.w[0], 2 * _P_BITS - _TOTAL_BITS, out=self.m[0])
+        self.m0 = ((1 << _TOTAL_BITS) - self.m[0] - self.m[1]).view(np.uint64)
 
     def span(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of symbols in the mixture's cumulative distribution."""
         f = np.uint64(_FREQ_BITS)
-        lo = (self.cum[s] * self.m0 >> f) + np.where(self.a < s, self.ma, 0).astype(np.uint64) + np.where(self.b < s, self.mb, 0).astype(np.uint64)
-        hi = (self.cum[s + 1] * self.m0 >> f) + np.where(self.a <= s, self.ma, 0).astype(np.uint64) + np.where(self.b <= s, self.mb, 0).astype(np.uint64)
-        return lo, hi - lo
+        lo = self.cum[s] * self.m0 >> f
+        width = (self.cum[s + 1] * self.m0 >> f) - lo
+        self.hit = self.g == s
+        lo += ((self.g < s) * self.m).sum(0).view(np.uint64)
+        width += (self.hit * self.m).sum(0).view(np.uint64)
+        return lo, width
 
     def find(self, v: np.ndarray, inverse: np.ndarray) -> np.ndarray:
         """The symbols whose spans hold v."""
         f, one = np.uint64(_FREQ_BITS), np.uint64(1)
-        end_a = (self.cum[self.a + 1] * self.m0 >> f) + self.ma
-        low_b = (self.cum[self.b] * self.m0 >> f) + self.ma
-        end_b = (self.cum[self.b + 1] * self.m0 >> f) + self.ma + self.mb
-        low_a = self.cum[self.a] * self.m0 >> f
-        is_a = (v >= low_a) & (v < end_a)
-        is_b = (v >= low_b) & (v < end_b) & ~is_a
-        u = v - np.where(v >= end_a, self.ma, 0).astype(np.uint64) - np.where(v >= end_b, self.mb, 0).astype(np.uint64)
+        swap = self.g[0] > self.g[1]
+        a, b = np.where(swap, self.g[::-1], self.g)
+        ma, mb = np.where(swap, self.m[::-1], self.m).view(np.uint64)
+        low_a = self.cum[a] * self.m0 >> f
+        end_a = (self.cum[a + 1] * self.m0 >> f) + ma
+        low_b = (self.cum[b] * self.m0 >> f) + ma
+        end_b = (self.cum[b + 1] * self.m0 >> f) + ma + mb
+        past_a, past_b = v >= end_a, v >= end_b
+        u = v - past_a * ma - past_b * mb
         c = (((u + one) << f) - one) // self.m0
-        s = inverse[np.minimum(c, np.uint64(len(inverse) - 1)).astype(np.int64)]
-        return np.where(is_a, self.a, np.where(is_b, self.b, s))
+        s = inverse[np.minimum(c, np.uint64(len(inverse) - 1)).view(np.int64)]
+        s = np.where((v >= low_b) & ~past_b, b, s)
+        return np.where((v >= low_a) & ~past_a, a, s).astype(np.int64)
 
     def learn(self, s: np.ndarray, n: int) -> None:
-        for k in range(2):
-            at, hit, p_at = self.at[k], self.g[k] == s, self.p_at[k]
-            p = self.p[k][p_at]
-            self.p[k][p_at] = p + ((hit * _P_MOST - p) >> 5)
-            sure = self.sure[k][at]
-            kept = hit | (sure > 2)
-            self.guess[k][at] = np.where(kept, self.g[k], s)
-            self.sure[k][at] = _NEXT[hit.view(np.uint8), sure]
-        self.last2[:n] = self.last[:n]
-        self.last[:n] = s
-
-
-def _narrow(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """After span() of the same symbols."""
+        self.p[self.p_at] = self.w + ((self.hit * _P_MOST - self.w) >> 5)
+        kept = self.hit | (self.sure > 2)
+        self.slots[self.at] = np.where(kept, self.held & -8, (s << 3).astype(np.int32)) | _NEXT[self.sure + (self.hit << 3)]
+        self.keys[1, :n] = self.keys[0, :n] * 0x5851 + s * 0x9E35
+        self.keys[0, :n] = s * 0x9E35
+
+
+def _narrow(low: np.ndarray, width: np.ndarray) -> np.ndarray:
     """Lanes whose top word is settled, after cutting lanes that straddle it with too little width left."""
-    high = low + (width - np.uint64(1))
-    apart = (low ^ high) >> _32 != 0
-    short = apart & (width >> _32 == 0)
-    if short.any():
-        width[short] = (np.uint64(1) << _32) - (low[short] & _LOW32)
-        apart &= ~short
-    return np.flatnonzero(~apart), width
+    settled = (low ^ (low + width - np.uint64(1))) <= _LOW32
+    short = width <= _LOW32
+    if (short > settled).any():
+        cut = np.flatnonzero(short > settled)
+        width[cut] = (np.uint64(1) << _32) - (low[cut] & _LOW32)
+        settled[cut] = True
+    return np.flatnonzero(settled)
 
 
 def encode_blocks(symbols: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
     """Words of each block of BLOCK symbols (positions in the frequency table)."""
     out: list[np.ndarray] = []
     for first in range(0, len(symbols), BLOCK * LANES):
-        part = symbols[first : first + BLOCK * LANES].astype(np.int64)
+        part = symbols[first : first + BLOCK * LANES]
         lanes = -(-len(part) // BLOCK)
-        grid = np.zeros(lanes * BLOCK, np.int64)
+        grid = np.zeros(lanes * BLOCK, np.int32)
         grid[: len(part)] = part
         grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
         model = Model(lanes, freq)
@@ -156,7 +154,7 @@ def encode_blocks(symbols: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
         short = len(part) - (lanes - 1) * BLOCK
         for t in range(BLOCK if lanes > 1 else short):
             n = lanes if t < short else lanes - 1
-            s = grid[t, :n]
+            s = grid[t, :n].astype(np.int64)
             model.predict(n)
             start, freq_ = model.span(s)
             lo, wd = low[:n], width[:n]
@@ -164,7 +162,7 @@ def encode_blocks(symbols: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
             lo += start * r
             np.multiply(freq_, r, out=wd)
             while True:
-                done, wd = _narrow(lo, wd)
+                done = _narrow(lo, wd)
                 if not len(done):
                     break
                 if (used[done] >= words.shape[1] - 2).any():
@@ -182,9 +180,9 @@ def encode_blocks(symbols: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
 
 def decode_blocks(data: np.ndarray, words: np.ndarray, total: int, freq: np.ndarray) -> np.ndarray:
     """All symbols of blocks laid end to end; words: how many each has."""
-    inverse = np.repeat(np.arange(len(freq)), freq)
-    out = np.zeros(total, np.int64)
-    data = np.concatenate([data, np.zeros(4, np.uint32)]).astype(np.uint64)
+    inverse = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
+    out = np.zeros(total, np.int32)
+    data = np.concatenate([data, np.zeros(4, np.uint32)])
     starts = np.cumsum(words) - words
     for first in range(0, len(words), LANES):
         part = min(total - first * BLOCK, BLOCK * LANES)
@@ -192,9 +190,9 @@ def decode_blocks(data: np.ndarray, words: np.ndarray, total: int, freq: np.ndar
         at, end = starts[first : first + lanes].copy(), (starts + words)[first : first + lanes]
         model = Model(lanes, freq)
         low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        code = (data[at] << _32) | data[at + 1]
+        code = (data[at].astype(np.uint64) << _32) | data[at + 1]
         at += 2
-        grid = np.zeros((BLOCK, lanes), np.int64)
+        grid = np.zeros((BLOCK, lanes), np.int32)
         short = part - (lanes - 1) * BLOCK
         for t in range(BLOCK if lanes > 1 else short):
             n = lanes if t < short else lanes - 1
@@ -207,11 +205,11 @@ def decode_blocks(data: np.ndarray, words: np.ndarray, total: int, freq: np.ndar
             lo += start * r
             np.multiply(freq_, r, out=wd)
             while True:
-                done, wd = _narrow(lo, wd)
+                done = _narrow(lo, wd)
                 if not len(done):
                     break
                 here = at[done]
-                cd[done] = (cd[done] << _32) | np.where(here < end[done], data[np.minimum(here, len(data) - 1)], 0)
+                cd[done] = (cd[done] << _32) | np.where(here < end[done], data[np.minimum(here, len(data) - 1)], 0).astype(np.uint64)
                 at[done] += 1
                 lo[done] <<= _32
                 wd[done] <<= _32
@@ -224,7 +222,7 @@ def decode_blocks(data: np.ndarray, words: np.ndarray, total: int, freq: np.ndar
 def pack_file(docs: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> Iterator[bytes]:
     """A file's bytes: documents' ids and lengths, and all their token ids."""
     symbols, freq = frequencies(ids)
-    blocks = encode_blocks(np.searchsorted(symbols, ids), freq)
+    blocks = encode_blocks(np.searchsorted(symbols, ids).astype(np.int32), freq)
     sums = [zlib.crc32(ids[i : i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK)]
     known = np.array([d is not None for d in docs], np.uint8)
     head = b"".join(
