@@ -237,9 +237,9 @@ def binary_metrics(df: DataFrame, label: str, logit: str, threshold: float = 0.5
 def multiclass_metrics(df: DataFrame, label: str, logits: str) -> tuple[DataFrame, DataFrame]:
     """(accuracy and cross-entropy in one row, precision and recall by class); the first largest logit is the prediction."""
     top = F.array_max(logits)
-    own = df.select(F.col(label).cast("long").alias("y"), (F.array_position(logits, top) - 1).alias("p"), (F.col(logits)[F.col(label).cast("int")].cast("double")).alias("z"), top.cast("double").alias("m"), F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top)).alias("e"))
-    head = own.agg(F.avg((F.col("y") == F.col("p")).cast("double")).alias("accuracy"), F.avg(F.log("e") + F.col("m") - F.col("z")).alias("cross_entropy"))
-    return head, per_class(own, "y", "p")
+    own = df.select(F.col(label).cast("long").alias("_y"), (F.array_position(logits, top) - 1).alias("_p"), (F.col(logits)[F.col(label).cast("int")].cast("double")).alias("_z"), top.cast("double").alias("_m"), F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top)).alias("_e"))
+    head = own.agg(F.avg((F.col("_y") == F.col("_p")).cast("double")).alias("accuracy"), F.avg(F.log("_e") + F.col("_m") - F.col("_z")).alias("cross_entropy"))
+    return head, per_class(own, "_y", "_p")
 
 
 def per_class(df: DataFrame, label: str, prediction: str) -> DataFrame:

@@ -196,7 +196,7 @@ def concat_graphs(graphs: list[PropertyGraph], components: str = "keep") -> Prop
     for n in dict.fromkeys(n for g in graphs for n in g.edges):
         first = next(g.edges[n] for g in graphs if n in g.edges)
         edges[n] = EdgeSet(union([own(g.edges[n].table, i) for i, g in enumerate(graphs) if n in g.edges]), first.source, first.target)
-    context = union([own(g.context(), i) for i, g in enumerate(graphs)]).distinct()
+    context = union([own(g.context(), i) for i, g in enumerate(graphs)]).dropDuplicates(["component_id"])
     return PropertyGraph(nodes, edges, context)
 
 

@@ -282,6 +282,7 @@ def encode_samples(graph: PropertyGraph) -> DataFrame:
         parts = parts.join(own.select("component_id", *cols), "component_id", "left")
     names = [n for n in parts.columns if n != "component_id"]
     kind_of = {f.name: f.dataType for f in parts.schema.fields}
+    parts = parts.toDF("component_id", *(f"c{i}" for i in range(len(names))))  # names with dots aren't columns' names
     nested = {n: isinstance(kind_of[n], T.ArrayType) and isinstance(kind_of[n].elementType, T.ArrayType) for n in names}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,10 +290,11 @@ def encode_samples(graph: PropertyGraph) -> DataFrame:
             out = []
             for row in b.to_pylist():
                 ex: dict[str, Value] = {}
-                for n in names:
-                    ex[n] = [row[n] or 0] if n.endswith("#size") else _stored(row[n], kinds[n])
+                for i, n in enumerate(names):
+                    x = row[f"c{i}"]
+                    ex[n] = [x or 0] if n.endswith("#size") else _stored(x, kinds[n])
                     if nested[n]:
-                        ex[f"{n}.d1"] = [len(v) for v in row[n] or ()]
+                        ex[f"{n}.d1"] = [len(v) for v in x or ()]
                 out.append(encode_example(ex))
             yield pa.RecordBatch.from_arrays([b.column("component_id"), pa.array(out, pa.binary())], ["component_id", "example"])
 
