@@ -92,16 +92,18 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def telling(cols: np.ndarray, at: np.ndarray, grade: np.ndarray, grades: int) -> np.ndarray:
     """Which columns are present more often in a lower grade, by LEAST_Z standard errors."""
-    by = np.repeat(grade, np.diff(at))
-    have = np.array([np.bincount(cols[by == g], minlength=1 << BITS) for g in range(grades)], float)
-    n = np.bincount(grade, minlength=grades).astype(float)
+    by = np.repeat(grade.astype(np.int8), np.diff(at))
+    have = [np.bincount(cols[by == g], minlength=1 << BITS).astype(np.float32) for g in range(grades)]
+    n = np.bincount(grade, minlength=grades)
     out = np.zeros(1 << BITS, bool)
     for a in range(grades):
         for b in range(a):
             if n[a] and n[b]:
-                p = (have[a] + have[b]) / (n[a] + n[b])
-                z = (have[b] / n[b] - have[a] / n[a]) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n[a] + 1 / n[b]))
-                out |= (z >= LEAST_Z) & (have[a] + have[b] >= LEAST_ROWS)
+                often = np.flatnonzero(have[a] + have[b] >= LEAST_ROWS)
+                x, y = have[a][often].astype(float), have[b][often].astype(float)
+                p = (x + y) / (n[a] + n[b])
+                z = (y / n[b] - x / n[a]) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n[a] + 1 / n[b]))
+                out[often[z >= LEAST_Z]] = True
     return out
 
 
@@ -198,10 +200,11 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, id_col: str
     if not rows:
         return None
     rows.sort(key=lambda r: (r.id, r.cols, r.shares))
-    cols = [np.frombuffer(r.cols, "<i4") for r in rows]
-    at = np.concatenate([[0], np.cumsum([len(c) for c in cols])])
-    shares = np.array([np.frombuffer(r.shares, "<f4") for r in rows])
-    return Ordinal().fit(np.concatenate(cols), at, shares, np.array([r.grade for r in rows]))
+    at = np.concatenate([[0], np.cumsum([len(r.cols) // 4 for r in rows])])
+    shares, grade = np.array([np.frombuffer(r.shares, "<f4") for r in rows]), np.array([r.grade for r in rows])
+    cols = np.frombuffer(b"".join(r.cols for r in rows), "<i4")
+    del rows
+    return Ordinal().fit(cols, at, shares, grade)
 
 
 def judged(texts: pa.Array, model: Ordinal | None, keep: float) -> tuple[np.ndarray, np.ndarray]:
