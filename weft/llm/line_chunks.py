@@ -92,7 +92,7 @@ class Chunks:
 
 def _scan(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in pieces(whole, text):
+        for b in pieces(whole, text, 2 << 20):
             c = Chunks(b.column(text))
             at = np.flatnonzero(c.open)
             rows = pa.array(c.doc[at])
@@ -101,7 +101,7 @@ def _scan(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBat
 
 def _texts(batches: Iterator[pa.RecordBatch], text: str, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in pieces(whole, text):
+        for b in pieces(whole, text, 2 << 20):
             c = Chunks(b.column(text))
             at = np.flatnonzero(c.open)
             at = at[has(marks, c.hash[at].view(np.int64))]
@@ -112,7 +112,7 @@ def _texts(batches: Iterator[pa.RecordBatch], text: str, marks: np.ndarray) -> I
 
 def _rebuild(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in pieces(whole, text):
+        for b in pieces(whole, text, 2 << 20):
             gone = b.column("_gone").to_pylist()
             if any(gone):
                 rows = [i for i, g in enumerate(gone) if g]
