@@ -108,7 +108,7 @@ def _scan(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, ranges:
                 yield _rows(kind=[2], part=[part], no=[i], toks=[t[a:b].tobytes()], owners=[o[a:b].tobytes()])
 
     for whole in batches:
-        for b in pieces(whole, "text"):
+        for b in pieces(whole, "text", 4 << 20):
             facts, ids, sigs = [], b.column("doc_id").to_pylist(), b.column("sig").to_pylist()
             for i, s in enumerate(doc_sets(b.column("text"), k)):
                 n = len(s)
@@ -179,7 +179,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, marks: np.ndarray) -> Itera
     """Sets whose hash may be a representative's, each once a task."""
     seen: set[tuple[int, int]] = set()
     for whole in batches:
-        for b in pieces(whole, "text"):
+        for b in pieces(whole, "text", 4 << 20):
             h1, h2, sets = [], [], []
             for s in doc_sets(b.column("text"), k):
                 x = set_hash(s)
