@@ -37,12 +37,12 @@ from weft.llm.bpe import default_path, loaded
 from weft.llm.common import open_fs, partitions_for, pieces, scratch, write_file
 
 MAGIC = b"WTOK\x01\x00\x00\x00"
-BLOCK = 4096
+BLOCK = 1024
 #: Blocks coded side by side; bounds the predictors' memory.
-LANES = 1024
+LANES = 4096
 #: Ids in a file, at most, unless one document alone has more.
 FILE_IDS = LANES * BLOCK
-_SLOTS = 1024
+_SLOTS = 512
 _SURE = 8
 _FREQ_BITS, _TOTAL_BITS, _P_BITS = 20, 30, 16
 #: Adapted probabilities stay below this, which leaves order 0 at least 2**_FREQ_BITS of 2**_TOTAL_BITS.
