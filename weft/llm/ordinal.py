@@ -19,6 +19,7 @@ Repeated rows get equal scores. Other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import partial
 
@@ -138,7 +139,7 @@ class Ordinal:
     def fit(self, cols: np.ndarray, at: np.ndarray, shares: np.ndarray, grade: np.ndarray, epochs: int = EPOCHS, batch: int = 256, rate: float = 0.15, ridge: float = 1e-6, seed: int = 0) -> Ordinal:
         self.active = telling(cols, at, grade, len(self.t) + 1)
         keep = self.active[cols]
-        at = np.concatenate([[0], np.cumsum(keep)])[at]
+        at = np.concatenate([[0], np.cumsum(keep, dtype=np.int32)])[at].astype(np.int64)
         cols = cols[keep]
         rng, g_w, g_t = np.random.default_rng(seed), np.full(len(self.w), 1e-2, np.float32), np.full(len(self.t), 1e-2)
         count = np.bincount(grade, minlength=len(self.t) + 1)
@@ -196,15 +197,22 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, id_col: str
     """Fit on the ``sample`` rated rows whose ids hash lowest."""
     drawn = ratings.orderBy(F.xxhash64("id"), "id").limit(sample)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = own.join(F.broadcast(drawn), "id").mapInArrow(_features_of, "id long, grade int, cols binary, shares binary").collect()
+    rows = own.join(F.broadcast(drawn), "id").mapInArrow(_features_of, "id long, grade int, cols binary, shares binary")
+    # the sample is bounded, so it fits in one task, whose memory is larger than the driver's
+    fitted = rows.repartition(1).mapInArrow(_fit, "model binary").collect()
+    return pickle.loads(fitted[0].model) if fitted else None
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("id", "cols", "shares", "grade")), strict=True)]
     if not rows:
-        return None
-    rows.sort(key=lambda r: (r.id, r.cols, r.shares))
-    at = np.concatenate([[0], np.cumsum([len(r.cols) // 4 for r in rows])])
-    shares, grade = np.array([np.frombuffer(r.shares, "<f4") for r in rows]), np.array([r.grade for r in rows])
-    cols = np.frombuffer(b"".join(r.cols for r in rows), "<i4")
+        return
+    rows.sort()
+    at = np.concatenate([[0], np.cumsum([len(c) // 4 for _, c, _, _ in rows])])
+    shares, grade = np.array([np.frombuffer(x, "<f4") for _, _, x, _ in rows]), np.array([g for *_, g in rows])
+    cols = np.frombuffer(b"".join(c for _, c, _, _ in rows), "<i4")
     del rows
-    return Ordinal().fit(cols, at, shares, grade)
+    yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(Ordinal().fit(cols, at, shares, grade))]})
 
 
 def judged(texts: pa.Array, model: Ordinal | None, keep: float) -> tuple[np.ndarray, np.ndarray]:
