@@ -12,8 +12,9 @@ order of all shingles, linked sets share at least min(L) of each other's first 2
    min-hash's smallest set, and linked ones form a group.
 4. The matrix holds the union of each group's first L shingles, ordered so that frequent ones (by a
    counting sketch of fixed size) come last. Linked sets share one of these at least, so the overlap of
-   a set with a group is bounded below the threshold unless it meets the group's union there; only
-   groups that it meets are opened, and their members of fitting size compared.
+   a set with a group is bounded below the threshold unless it meets the group's union there, in a
+   place and with sizes that can still reach it. Only groups that it meets are opened: a few members
+   first, the others only if those don't join set and group.
 5. Components of all links, each link verified on whole sets, give every row its component.
 
 No step emits all pairs of a group, and every pair in different groups that can be linked is compared.
@@ -44,6 +45,8 @@ K, NUM, DEN = 5, 8, 10
 HELD = 4_000_000
 SKETCH_BITS = 20
 SEEDS = 3
+#: Members of a group that are compared before the others.
+HEADS = 8
 _NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -221,7 +224,7 @@ def frequency_levels(sets: DataFrame) -> np.ndarray:
 
 
 def _leading(batches: Iterator[pa.RecordBatch], levels: np.ndarray, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """The first L shingles of each set, rare ones first."""
+    """The first L shingles of each set, rare ones first, with their places and the set's size."""
     for b in batches:
         off, flat = b.column("toks").offsets.to_numpy(), b.column("toks").values.to_numpy()
         keep, rows = [], []
@@ -230,8 +233,10 @@ def _leading(batches: Iterator[pa.RecordBatch], levels: np.ndarray, num: int, de
             s = s[np.lexsort((s, levels[places(s, SKETCH_BITS)]))][: lead(len(s), num, den)]
             keep.append(s)
             rows.append(np.full(len(s), i))
-        r = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keep)), b.column("cid").take(r), b.column("grp").take(r)], ["tok", "cid", "grp"])
+        if keep:
+            r = pa.array(np.concatenate(rows))
+            place = pa.array(np.concatenate([np.arange(len(s)) for s in keep]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keep)), b.column("cid").take(r), b.column("grp").take(r), b.column("n").take(r), place], ["tok", "cid", "grp", "n", "place"])
 
 
 def _min_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,16 +303,30 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, id_
     with_group = cut(sets.join(grouped, sets.cid == grouped.node, "left").select("cid", "n", F.coalesce("root", "cid").alias("grp"), "toks"), "grouped")
 
     levels = frequency_levels(with_group)
-    leading = cut(with_group.mapInArrow(partial(_leading, levels=levels, num=num, den=den), "tok long, cid long, grp long"), "matrix")
-    matrix = leading.select("tok", "grp").distinct().withColumnRenamed("grp", "other")
+    leading = cut(with_group.mapInArrow(partial(_leading, levels=levels, num=num, den=den), "tok long, cid long, grp long, n long, place long"), "matrix")
+    matrix = leading.groupBy("tok", F.col("grp").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("place")).alias("rest"))
     # shingles that one group alone has meet nothing
     common = matrix.groupBy("tok").agg(F.count("*").alias("groups")).where("groups > 1").select("tok")
-    met = leading.join(common, "tok", "left_semi").join(matrix.join(common, "tok", "left_semi"), "tok").where("grp > other")
-    open_ = met.select(F.col("cid").alias("a"), F.col("other").alias("grp")).distinct()
+    left, right = leading.join(common, "tok", "left_semi"), matrix.join(common, "tok", "left_semi")
+    # the overlap from this shingle on, with a member of at least ``lo`` shingles, must reach the threshold
+    fits = (F.col("grp") > F.col("other")) & (F.col("hi") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("lo") * num)
+    reach = F.least(F.col("n") - F.col("place"), F.col("rest")) * (num + den) >= (F.col("n") + F.greatest(F.col("lo"), F.ceil(F.col("n") * num / den))) * num
+    met = left.join(right, (left.tok == right.tok) & fits & reach).select(F.col("cid").alias("a"), F.col("n"), F.col("grp").alias("own"), F.col("other").alias("grp")).distinct()
+    open_ = cut(met, "open")
+
+    # a few members of each group first: what they link needn't be compared with the rest
     members = with_group.select(F.col("cid").alias("b"), F.col("n").alias("m"), "grp")
-    pairs = open_.join(members, "grp").join(with_group.select(F.col("cid").alias("a"), "n"), "a").where((F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)).select("a", "b").distinct()
-    links = stars.unionByName(linked(cut(pairs, "pairs"), sets, num, den))
-    roots = cut(components(links, "links"), "roots")
+    few = members.groupBy("grp", F.pmod(F.xxhash64("b"), F.lit(HEADS)).alias("h")).agg(F.min(F.struct("b", "m")).alias("x")).select("grp", "x.b", "x.m")
+    size = (F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)
+    first = open_.join(few, "grp").where(size).select("a", "b").distinct()
+    links = cut(stars.unionByName(linked(first, sets, num, den)), "links")
+    now = cut(components(links, "some"), "some")
+    root_of = lambda c, name: now.select(F.col("node").alias(c), F.col("root").alias(name))
+    still = open_.join(root_of("own", "ra"), "own", "left").join(root_of("grp", "rb"), "grp", "left")
+    still = still.where(F.coalesce("ra", "own") != F.coalesce("rb", "grp")).select("a", "n", "grp")
+    pairs = still.join(members, "grp").where(size).select("a", "b").join(first.withColumn("_done", F.lit(True)), ["a", "b"], "left").where("_done is null").select("a", "b").distinct()
+    links = links.unionByName(linked(cut(pairs, "pairs"), sets, num, den))
+    roots = cut(components(links, "all"), "roots")
 
     placed = classes.join(roots, classes.cid == roots.node, "left").withColumn("root", F.coalesce("root", "cid"))
     names = placed.groupBy("root").agg(F.min(F.struct(F.col("c_doc").isNull().alias("last"), F.col("c_doc"), F.col("cid"))).alias("first"), F.sum("copies").alias("size")).where("size > 1")
