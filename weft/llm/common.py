@@ -16,7 +16,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Python workers take this many bytes of text at a time, whatever the size of Spark's batches.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,9 +74,11 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     for i, x in enumerate(n.tolist()):
         if i > start and held + x > limit:
             yield batch.slice(start, i - start)
+            pa.default_memory_pool().release_unused()  # idle workers share the executor's memory
             start, held = i, 0
         held += x
     yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def partitions_for(spark: SparkSession, least: int = 1) -> int:
