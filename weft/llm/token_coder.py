@@ -41,7 +41,7 @@ BLOCK = 1024
 #: Blocks coded side by side; bounds the predictors' memory.
 LANES = 4096
 #: Ids in a file, at most, unless one document alone has more.
-FILE_IDS = LANES * BLOCK
+FILE_IDS = LANES * BLOCK // 2
 _SLOTS = 512
 _SURE = 8
 _FREQ_BITS, _TOTAL_BITS, _P_BITS = 20, 30, 16
@@ -54,7 +54,12 @@ _32, _LOW32 = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids that occur, in order, and their frequencies, at least 1 each, that sum to 2**_FREQ_BITS."""
-    symbols, n = np.unique(ids, return_counts=True)
+    if ids.max(initial=0) < 1 << 20:
+        n = np.bincount(ids)
+        symbols = np.flatnonzero(n)
+        n = n[symbols]
+    else:
+        symbols, n = np.unique(ids, return_counts=True)
     total = 1 << _FREQ_BITS
     if len(symbols) > total // 2:
         raise ValueError("too many distinct ids for a file")
@@ -222,7 +227,12 @@ def decode_blocks(data: np.ndarray, words: np.ndarray, total: int, freq: np.ndar
 def pack_file(docs: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> Iterator[bytes]:
     """A file's bytes: documents' ids and lengths, and all their token ids."""
     symbols, freq = frequencies(ids)
-    blocks = encode_blocks(np.searchsorted(symbols, ids).astype(np.int32), freq)
+    if symbols[-1] < 1 << 20:
+        number = np.zeros(int(symbols[-1]) + 1, np.int32)
+        number[symbols] = np.arange(len(symbols))
+        blocks = encode_blocks(number[ids], freq)
+    else:
+        blocks = encode_blocks(np.searchsorted(symbols, ids).astype(np.int32), freq)
     sums = [zlib.crc32(ids[i : i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK)]
     known = np.array([d is not None for d in docs], np.uint8)
     head = b"".join(
