@@ -15,7 +15,7 @@ import pyarrow as pa
 from weft.llm.textarrays import letter_spans, strings, text_bytes
 
 #: Distinct runs kept by a worker; beyond it the cache starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 
 _loaded: dict[str, Words] = {}
 
