@@ -76,6 +76,21 @@ def test_pivot_search(spark):
     assert pivot_search.top_k(q.where("vec_id < 0"), q).count() == 0
 
 
+def test_pivot_search_of_unequal_norms(spark):
+    """Tight clusters whose norms differ by 20 times: no true neighbour's annulus is skipped."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (40, 16))
+    centres *= (np.where(np.arange(40) % 2, 10, 0.5) / np.linalg.norm(centres, axis=1))[:, None]
+    m = np.floor(64 * (centres[np.arange(4000) % 40] * (1 + rng.normal(0, 0.02, (4000, 16))))).astype(int)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "vec_id long, v array<double>")
+    got = collections.defaultdict(list)
+    for r in pivot_search.top_k(df, df.where("vec_id < 400")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for i in range(400):
+        scores = m @ m[i]
+        assert got[i] == [(j, int(scores[j])) for j in np.lexsort((np.arange(4000), -scores)).tolist() if j != i][:20]
+
+
 def test_line_chunks(docs, rows, empty):
     got = line_chunks.line_dedup(docs).collect()
     assert len(got) == len(rows) and set(got[0].asDict()) == {*"doc_id text lang source n_chars row size digest key".split(), "_removed"}

@@ -1,8 +1,8 @@
 """Exact top-k inner products through a pivot-distance index.
 
 Vectors are quantised to integers x -> floor(64 x) and lifted by one coordinate so that all have the
-same length M: then |q' - x'|^2 = |q|^2 + M^2 - 2 <q, x>, and the largest inner products are the
-nearest lifted vectors. Each vector is keyed by its nearest pivot and its distance from it; a pivot's
+same length M; a query's added coordinate is 0: then |q' - x'|^2 = |q|^2 + M^2 - 2 <q, x>, and the
+largest inner products are the nearest lifted vectors. Each vector is keyed by its nearest pivot and its distance from it; a pivot's
 vectors, sorted by distance, are cut into annuli, which are the index's blocks in shared files. A
 block of queries visits annuli in order of the triangle inequality's lower bound
 max(0, d(q, p) - outer, inner - d(q, p)) and stops once that bound exceeds every query's k-th distance.
@@ -141,15 +141,16 @@ def _search(batches: Iterator[pa.RecordBatch], listing: str, pivots: np.ndarray,
         for first in range(0, b.num_rows, QUERY_BLOCK):
             q_ids = b.column("vec_id").to_numpy()[first : first + QUERY_BLOCK]
             q = _check(_matrix(b.column("v").slice(first, QUERY_BLOCK), dim))
-            d = _distances(_lift(q, most), pivots)
+            d = _distances(np.hstack([q, np.zeros((len(q), 1))]), pivots)
             bound = np.maximum(0.0, np.maximum(d[:, pivot] - outer, inner - d[:, pivot]))
             base = (q * q).sum(1) + most
+            slack = 1e-6 * (1 + np.sqrt(base))
             best = Best(q_ids, k)
             nearest = bound.min(0)
             for j in np.lexsort((np.arange(len(names)), nearest)).tolist():
                 # the k-th score as a squared distance; a margin covers rounding, ties must be visited
                 kth = base - 2 * best.score[:, -1]
-                reach = np.sqrt(np.maximum(kth, 0.0)) * (1 + 1e-9) + 1e-6
+                reach = np.sqrt(np.maximum(kth, 0.0)) * (1 + 1e-9) + slack
                 if nearest[j] > reach.max():
                     break
                 rows = np.flatnonzero(bound[:, j] <= reach)
