@@ -106,6 +106,26 @@ def test_line_chunks(docs, rows, empty):
     assert line_chunks.line_dedup(empty).count() == 0
 
 
+def test_line_chunks_find_runs_of_short_lines(spark):
+    """A run of two or more lines goes whole wherever it is repeated; single short lines stay."""
+    line = lambda i, j: " ".join(f"w{i}x{j}y{k}" for k in range(8))
+    other = lambda i, n=5: [line(i, j) for j in range(n)]
+    texts, want = [], []
+    for i, n in enumerate([2, 3, 4, 6, 8, 12, 40] * 3):
+        run = other(1000 + i, n)
+        run.insert(1, "")
+        texts += [[*other(10 * i), *run, *other(10 * i + 1)], [*other(10 * i + 2), *run, *other(10 * i + 3)]]
+        want += [texts[-2], [*other(10 * i + 2), *other(10 * i + 3)]]
+    single = line(5000, 0)
+    for i in (5001, 5002):
+        texts.append([*other(i), "", single, *other(i + 10)])
+        want.append(texts[-1])
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in line_chunks.line_dedup(df).collect()}
+    for i, t in enumerate(want):
+        assert got[i].text == "\n".join(t) and got[i]._removed == len(texts[i]) - len(t)
+
+
 def test_line_chunks_move_with_inserted_lines():
     import pyarrow as pa
 

@@ -1,13 +1,17 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by content-defined chunks of lines, cut as finely as lines allow.
 
-Each line is hashed; a rolling hash over the last WINDOW line hashes ends a chunk where it falls into
-one of AVERAGE classes, so an inserted line moves boundaries only near itself. A line of at least
-PASSAGE words is a chunk of its own. Chunks of several lines, and such long lines, that occur more
-than once anywhere are removed but for their first occurrence (smallest doc_id, then text, then place),
-after their bytes have been compared with the first occurrence's.
+Each line is hashed. Every line with a word makes a link with the next such line (lines without words
+between them belong to it), and a line of at least PASSAGE words is a passage of its own. Links and
+passages that occur more than once anywhere are removed but for their first occurrence (smallest
+doc_id, then text, then place), after their bytes have been compared with the first occurrence's.
+Links overlap, so a repeated run of two or more lines goes whole, up to its first and last line,
+whatever stands around it; the first occurrence of each line always stays.
 
-Defined cases: null and empty texts stay as they are. A text all of whose chunks are removed becomes
-empty. Rows that repeat both id and text are one occurrence and are treated alike; null ids come
+``Chunks`` also cuts texts into longer chunks, which end where a rolling hash over the last WINDOW line
+hashes falls into one of AVERAGE classes; such chunks are runs of links.
+
+Defined cases: null and empty texts stay as they are. A single line of fewer than PASSAGE words stays,
+as do lines without words outside of links. A text all of whose lines are removed becomes empty. Rows that repeat both id and text are one occurrence and are treated alike; null ids come
 first. Lines end at \\n; a last line without it is a line. Other columns are kept, n_chars is set anew.
 """
 
@@ -58,6 +62,7 @@ class Chunks:
             words = np.diff(np.searchsorted(word_spans(raw, off)[0], np.append(starts, len(raw))))
         else:
             h, words = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._links(doc, starts, stop, h, words)
         first = np.ones(len(starts), bool)
         first[1:] = doc[1:] != doc[:-1]
         since = np.arange(len(starts)) - np.maximum.accumulate(np.where(first, np.arange(len(starts)), 0)) if len(starts) else np.zeros(0, np.int64)
@@ -85,6 +90,37 @@ class Chunks:
         self.no = ordinal - np.searchsorted(self.doc, self.doc) if len(at) else ordinal
         self.before = np.searchsorted(self.doc, np.arange(n + 1))
 
+    def _links(self, doc: np.ndarray, starts: np.ndarray, stop: np.ndarray, h: np.ndarray, words: np.ndarray) -> None:
+        """Links and passages: text, hash, code (twice the line's place in its text, one more for a passage), first and last byte."""
+        self.line_doc, self.line_start, self.line_stop, self.ink = doc, starts, stop, words > 0
+        place = np.arange(len(starts)) - np.searchsorted(doc, doc)
+        inked = np.flatnonzero(self.ink)
+        a, b = inked[:-1], inked[1:]
+        same = doc[a] == doc[b]
+        a, b = a[same], b[same]
+        one = np.flatnonzero(words >= PASSAGE)
+        p = powers(4)
+        gap = (starts[b] - stop[a]).astype(np.uint64)
+        self.link_hash = np.concatenate([mix(h[a] * p[1] + h[b] * p[2] + gap * p[3] + np.uint64(2)), mix(h[one] * p[1] + np.uint64(1))])
+        self.link_doc = np.concatenate([doc[a], doc[one]])
+        self.link_code = np.concatenate([2 * place[a], 2 * place[one] + 1])
+        self.link_start, self.link_stop = np.concatenate([starts[a], starts[one]]), np.concatenate([stop[b], stop[one]])
+
+    def link(self, i: int) -> bytes:
+        """A link's or passage's bytes, without the last line's end."""
+        return self.raw[self.link_start[i] : self.link_stop[i]].tobytes().removesuffix(b"\n")
+
+    def without(self, k: int, codes: list[int]) -> tuple[bytes, int]:
+        """The k-th text without the lines of these links and passages, and how many lines went."""
+        lo, hi = np.searchsorted(self.line_doc, [k, k + 1]).tolist()
+        gone = np.zeros(hi - lo, bool)
+        inked = np.flatnonzero(self.ink[lo:hi])
+        for code in codes:
+            at = code >> 1
+            gone[at : at + 1 if code & 1 else inked[np.searchsorted(inked, at) + 1] + 1] = True
+        kept = [self.raw[self.line_start[lo + i] : self.line_stop[lo + i]].tobytes().removesuffix(b"\n") for i in np.flatnonzero(~gone).tolist()]
+        return b"\n".join(kept), int(gone.sum())
+
     def text(self, i: int) -> bytes:
         """A chunk's bytes, without the last line's end."""
         return self.raw[self.start[i] : self.stop[i]].tobytes().removesuffix(b"\n")
@@ -94,38 +130,34 @@ def _scan(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBat
     for whole in batches:
         for b in pieces(whole, text, 2 << 20):
             c = Chunks(b.column(text))
-            at = np.flatnonzero(c.open)
-            rows = pa.array(c.doc[at])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("sig").take(rows), pa.array(c.hash[at].view(np.int64)), pa.array(c.no[at].astype(np.int32))], ["doc_id", "sig", "hash", "no"])
+            yield pa.RecordBatch.from_arrays([pa.array(c.link_hash.view(np.int64))], ["hash"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch], text: str, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in pieces(whole, text, 2 << 20):
             c = Chunks(b.column(text))
-            at = np.flatnonzero(c.open)
-            at = at[has(marks, c.hash[at].view(np.int64))]
-            rows = pa.array(c.doc[at])
-            body = pa.array([c.text(i) for i in at.tolist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("sig").take(rows), pa.array(c.hash[at].view(np.int64)), pa.array(c.no[at].astype(np.int32)), body], ["doc_id", "sig", "hash", "no", "body"])
+            at = np.flatnonzero(has(marks, c.link_hash.view(np.int64)))
+            rows = pa.array(c.link_doc[at])
+            body = pa.array([c.link(i) for i in at.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("sig").take(rows), pa.array(c.link_hash[at].view(np.int64)), pa.array(c.link_code[at]), body], ["doc_id", "sig", "hash", "no", "body"])
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in pieces(whole, text, 2 << 20):
-            gone = b.column("_gone").to_pylist()
+            gone, lost = b.column("_gone").to_pylist(), [0] * b.num_rows
             if any(gone):
                 rows = [i for i, g in enumerate(gone) if g]
                 c = Chunks(b.column(text).take(pa.array(rows)))
                 new = b.column(text).to_pylist()
                 for k, i in enumerate(rows):
-                    lost = set(gone[i])
-                    kept = [c.text(j) for j in range(c.before[k], c.before[k + 1]) if int(c.no[j]) not in lost]
-                    new[i] = b"\n".join(kept).decode("utf-8", "replace")
+                    left, lost[i] = c.without(k, gone[i])
+                    new[i] = left.decode("utf-8", "replace")
                 made = pa.array(new, pa.string())
             else:
                 made = b.column(text)
-            removed = pa.array([len(g or ()) for g in gone], pa.int64())
+            removed = pa.array(lost, pa.int64())
             names = [n for n in b.schema.names if n != "_gone"]
             length = pc.utf8_length(made).cast(pa.int64())
             cols = [made if n == text else pc.if_else(pc.greater(removed, 0), length, b.column(n)) if n == "n_chars" and pa.types.is_int64(b.schema.field(n).type) else b.column(n) for n in names]
@@ -133,17 +165,17 @@ def _rebuild(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Record
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns with repeated chunks removed from the texts, and _removed: how many."""
+    """All rows and columns with repeated runs of lines removed from the texts, and _removed: how many lines."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("sig", F.xxhash64("doc_id", "text"))
-    found = own.mapInArrow(partial(_scan, text="text"), "doc_id long, sig long, hash long, no int")
-    first = F.struct("doc_id", "sig", "no")
-    repeated = cut(found.groupBy("hash").agg(F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
-    marks = bitmap(repeated.select("hash"))
-    rows = cut(own.mapInArrow(partial(_texts, text="text", marks=marks), "doc_id long, sig long, hash long, no int, body binary"), "chunks")
-    tagged = rows.join(repeated, "hash")
+    found = own.mapInArrow(partial(_scan, text="text"), "hash long")
+    repeated = cut(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    marks = bitmap(repeated)
+    rows = cut(own.mapInArrow(partial(_texts, text="text", marks=marks), "doc_id long, sig long, hash long, no long, body binary"), "links")
+    firsts = rows.groupBy("hash").agg(F.min(F.struct("doc_id", "sig", "no", "body")).alias("first"))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sig") == F.col("first.sig")) & (F.col("no") == F.col("first.no"))
-    firsts = tagged.where(is_first).groupBy("hash").agg(F.first("body").alias("first_body"))
-    lost = tagged.where(~is_first).join(firsts, "hash").where(F.col("body") == F.col("first_body"))
+    # equal bytes, written so that they don't become a join key and move once more
+    same = (F.col("body") >= F.col("first.body")) & (F.col("body") <= F.col("first.body"))
+    lost = rows.join(firsts, "hash").where(~is_first & same)
     lists = lost.groupBy("doc_id", "sig").agg(F.collect_set("no").alias("_gone")).select(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig"), "_gone")
     keyed = docs.withColumn("_own", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
     joined = keyed.join(lists, (F.col("_own") == F.col("_sig")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
