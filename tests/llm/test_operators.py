@@ -162,6 +162,21 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixing_meets_targets_of_small_sources(spark, monkeypatch):
+    """Sources that are small beside the whole meet their targets, however few slots there are."""
+    monkeypatch.setattr(mixing, "SLOTS", 128)
+    rows = [(i, " ".join(f"w{i}" for _ in range(100)), "big") for i in range(600)]
+    rows += [(1000 + i, " ".join(f"v{i}" for _ in range(25)), "few") for i in range(40)]
+    rows += [(2000, "x " * 530, "more"), (3000, "one two three", "tiny")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = collections.Counter()
+    for r in got:
+        by[r.source_size, r.target] += r.taken
+    assert len(by) == 4
+    for (n, t), taken in by.items():
+        assert abs(taken - t) <= max(8, n / 1000)
+
+
 def test_lm_scores(docs, rows, empty):
     got = {}
     for r in lm_score.lm_scores(docs).collect():

@@ -1,8 +1,10 @@
 """Mix sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
-Each source's documents are shuffled by a keyed hash and laid out along an axis of words, cut into
-blocks of ``block_words``. Slot i of the schedule takes the point frac(i / golden ratio); the point falls
-into one source's stretch of the cumulative target weights. The slot's rank among its source's slots
+Each source's documents are shuffled by a keyed hash and laid out along an axis of words, cut evenly
+into the source's own number of blocks (sizes differ by a word). Each source has the slots that come
+nearest to its target. Slot i of the schedule takes the point frac(i / golden ratio); the point falls
+into one source's stretch of the cumulative numbers of slots. What the points give a source beyond its
+number is dropped, what they leave out comes at the end. The slot's rank among its source's slots
 names the block it takes: rank modulo the source's blocks, in epoch rank div blocks. Golden-ratio
 points keep every source's share of any run of slots within a few blocks of its weight.
 
@@ -26,9 +28,11 @@ from weft.llm.textarrays import word_counts
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-#: Slots of a schedule, at most; a block holds at least LEAST_BLOCK words.
+#: Blocks of all sources together, but for those that small sources need to have LEAST_BLOCKS.
 SLOTS = 1 << 18
+#: Words of a block and blocks of a source, at least; where both can't be, the words count.
 LEAST_BLOCK = 16
+LEAST_BLOCKS = 1024
 #: frac(i / golden ratio) = (i * PHI mod 2**64) / 2**64
 PHI = 0x9E3779B97F4A7C15
 
@@ -57,6 +61,12 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WE
     return out
 
 
+def block_counts(sizes: dict[str | None, int]) -> dict[str | None, int]:
+    """Blocks of each source: about equal tokens, but enough of them that half a block is little beside any source."""
+    words = max(LEAST_BLOCK, -(-sum(sizes.values()) // SLOTS))
+    return {s: max(-(-n // words), min(LEAST_BLOCKS, -(-n // LEAST_BLOCK))) for s, n in sizes.items()}
+
+
 def _points(batches: Iterator[pa.RecordBatch], bounds: list[float]) -> Iterator[pa.RecordBatch]:
     """Source number of each slot."""
     edges = np.array(bounds)
@@ -99,34 +109,37 @@ class Mix:
         own = own.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "_text"))
         sized = cut(own.mapInArrow(partial(_sizes, text="_text"), "doc_id long, source string, key long, size long"), "sizes")
         per_source = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
-        total = sum(r.n for r in per_source)
         goal = targets([(r.source, r.n) for r in per_source], weights)
-        self.block_words = max(LEAST_BLOCK, -(-total // SLOTS))
         names = [r.source for r in per_source if r.n]
         names.sort(key=lambda s: (s is None, (s or "").encode("utf-8", "surrogatepass")))
         sizes = {r.source: r.n for r in per_source}
-        facts = [(r.source, names.index(r.source) if r.n else None, r.n, goal[r.source], -(-r.n // self.block_words)) for r in per_source]
+        n_blocks, number = block_counts(sizes), {s: i for i, s in enumerate(names)}
+        facts = [(r.source, number.get(r.source), r.n, goal[r.source], n_blocks[r.source]) for r in per_source]
         table = spark.createDataFrame(facts, "s string, source_no long, source_size long, target double, n_blocks long").coalesce(1)
-        n_slots = sum(min(round(goal[s] / self.block_words), MAX_EPOCHS * -(-sizes[s] // self.block_words)) for s in names)
-        whole = sum(goal[s] for s in names) or 1.0
-        bounds = np.cumsum([goal[s] / whole for s in names]).tolist()
+        quota = [round(goal[s] * n_blocks[s] / sizes[s]) for s in names]
+        n_slots = sum(quota)
+        bounds = (np.cumsum(quota) / max(1, n_slots)).tolist()
 
         drawn = spark.range(n_slots, numPartitions=min(64, n_slots // 65_536 + 1)).withColumnRenamed("id", "slot")
         drawn = drawn.mapInArrow(partial(_points, bounds=bounds), "slot long, source_no long").withColumn("bucket", F.expr("slot div 8192"))
         drawn = ranked(drawn, ["source_no"], "bucket", ["slot"], F.lit(1), "rank").drop("bucket")
-        blocks = table.where("source_no is not null").select("source_no", "n_blocks")
-        self.slots = cut(
-            drawn.join(blocks, "source_no").select("slot", "source_no", "rank", (F.col("rank") % F.col("n_blocks")).alias("block"), F.expr("rank div n_blocks").alias("epoch")).where(F.col("epoch") < MAX_EPOCHS), "slots"
-        )
+        numbers = spark.createDataFrame([(i, n_blocks[s], quota[i]) for i, s in enumerate(names)], "source_no long, n_blocks long, quota long").coalesce(1)
+        drawn = cut(drawn.join(numbers.select("source_no", "quota"), "source_no").where("rank < quota").select("slot", "source_no", "rank"), "drawn")
+        have = {r.source_no: r["count"] for r in drawn.groupBy("source_no").count().collect()}
+        late = [(i, k) for i, n in enumerate(quota) for k in range(have.get(i, 0), n)]
+        late = spark.createDataFrame([(n_slots + j, i, k) for j, (i, k) in enumerate(late)], drawn.schema)
+        slots = drawn.unionByName(late).join(numbers.select("source_no", "n_blocks"), "source_no")
+        self.slots = slots.select("slot", "source_no", "rank", (F.col("rank") % F.col("n_blocks")).alias("block"), F.expr("rank div n_blocks").alias("epoch"))
 
         n_rows = sum(r.rows for r in per_source)
         buckets = max(64, n_rows // 2000)
         laid = sized.withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 16), F.lit(buckets)))
         laid = ranked(laid, ["source"], "bucket", ["key", "doc_id"], F.col("size"), "start").withColumn("row", F.monotonically_increasing_id())
         laid = cut(laid.join(table, F.col("source").eqNullSafe(F.col("s"))).drop("s", "bucket"), "laid")
-        b = F.lit(self.block_words)
-        spread = laid.where("size > 0").select("doc_id", "source_no", "row", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))).alias("block"))
-        low, high = F.greatest(F.col("start"), F.col("block") * b), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b)
+        # block j holds the words from j * source_size div n_blocks on
+        first, last = F.expr("((start + 1) * n_blocks - 1) div source_size"), F.expr("((start + size) * n_blocks - 1) div source_size")
+        spread = laid.where("size > 0").select("doc_id", "source_no", "row", "size", "start", "source_size", "n_blocks", F.explode(F.sequence(first, last)).alias("block"))
+        low, high = F.greatest("start", F.expr("block * source_size div n_blocks")), F.least(F.expr("start + size"), F.expr("(block + 1) * source_size div n_blocks"))
         self.blocks = spread.select("doc_id", "source_no", "row", "block", (low - F.col("start")).alias("from"), (high - low).alias("length"))
         times = self.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
         taken = self.blocks.join(times, ["source_no", "block"]).groupBy("row").agg(F.sum(F.col("length") * F.col("times")).alias("taken"))
