@@ -9,9 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from weft.llm.common import tidy
+
 SEGMENTS = 16
 
 
+@tidy
 def _marks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     held = np.zeros(1 << bits, bool)
     for b in batches:
@@ -22,6 +25,7 @@ def _marks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_pydict({"segment": pa.array(some, pa.int64()), "data": [packed[i].tobytes() for i in some]})
 
 
+@tidy
 def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for b in batches:

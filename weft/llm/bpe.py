@@ -14,8 +14,8 @@ import pyarrow as pa
 
 from weft.llm.textarrays import letter_spans, strings, text_bytes
 
-#: Distinct runs kept by a worker; beyond it the cache starts anew.
-CACHE_WORDS = 250_000
+#: Distinct runs kept by a worker, of those that a batch has more than once; beyond it the cache starts anew.
+CACHE_WORDS = 120_000
 
 _loaded: dict[str, Words] = {}
 
@@ -29,22 +29,18 @@ class Words:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters: dict[str, str] = {}
+        # letters up to U+024F are single characters in either case, but for U+0130, and composed already
+        self.letters = {c: self.bytes.pre_tokenize_str(chr(c).lower())[0][0] for c in range(0x250) if chr(c).isalpha() and c != 0x130}
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def _encode(self, run: str) -> tuple[int, ...]:
-        # up to U+024F letters are single characters in either case, but for U+0130, and composed already
-        if run.isalpha() and max(run) < "\u0250" and "\u0130" not in run:
-            run = run.lower()
-            if not run.isascii():
-                run = "".join([self.letters.get(c) or self._letter(c) for c in run])
-            return tuple([x.id for x in self.model.tokenize(run)])
+        if run.isalpha():
+            if run.isascii():
+                return tuple([x.id for x in self.model.tokenize(run.lower())])
+            if max(run) < "\u0250" and "\u0130" not in run:
+                return tuple([x.id for x in self.model.tokenize(run.translate(self.letters))])
         return tuple(self.whole.encode(run, add_special_tokens=False).ids)
 
-    def _letter(self, c: str) -> str:
-        self.letters[c] = self.bytes.pre_tokenize_str(c)[0][0]
-        return self.letters[c]
-
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch with ``end`` after each text, and where each text's ids start (and the last's end)."""
         raw, off = text_bytes(texts)
@@ -54,13 +50,16 @@ class Words:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         distinct = coded.dictionary.to_pylist()
+        code = coded.indices.to_numpy()
         held = list(map(self.cache.get, distinct))
+        often = np.bincount(code, minlength=len(distinct)) > 1
         for i, ids in enumerate(held):
             if ids is None:
-                held[i] = self.cache[distinct[i]] = self._encode(distinct[i])
+                held[i] = ids = self._encode(distinct[i])
+                if often[i]:
+                    self.cache[distinct[i]] = ids
         size = np.fromiter(map(len, held), np.int32, len(held))
         pool = np.fromiter(chain.from_iterable(held), np.uint32, int(size.sum()))
-        code = coded.indices.to_numpy()
         n = size[code]
         ends = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=ends[1:])

@@ -6,9 +6,12 @@ share. Only where that setting is unset (tests, a single machine) a temporary fo
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache, wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -65,6 +68,32 @@ def write_file(path: str, chunks: Iterable[bytes]) -> int:
     return n
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: idle workers share the executor's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def tidy(task: Callable) -> Callable:
+    """A task's function that gives its memory back when it ends, since Spark reuses its worker."""
+
+    @wraps(task)
+    def run(*args, **how) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(*args, **how)
+        finally:
+            give_back()
+
+    return run
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with at most ``limit`` bytes in a text column (one row at least)."""
     if not batch.num_rows:
@@ -74,11 +103,10 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     for i, x in enumerate(n.tolist()):
         if i > start and held + x > limit:
             yield batch.slice(start, i - start)
-            pa.default_memory_pool().release_unused()  # idle workers share the executor's memory
+            pa.default_memory_pool().release_unused()
             start, held = i, 0
         held += x
     yield batch.slice(start)
-    pa.default_memory_pool().release_unused()
 
 
 def partitions_for(spark: SparkSession, least: int = 1) -> int:

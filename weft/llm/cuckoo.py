@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut, partitions_for
+from weft.llm.common import cut, partitions_for, tidy
 from weft.llm.groups import attach
 
 SLOTS = 4
@@ -130,6 +130,7 @@ GROUPS = pa.schema([("digest", pa.binary()), ("n_bytes", pa.int64()), ("keep_id"
 _LEAST = -(2**63)
 
 
+@tidy
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of one task's rows."""
     index = LiveIndex()

@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.bitmaps import bitmap, has, places
-from weft.llm.common import cut, partitions_for, pieces
+from weft.llm.common import cut, partitions_for, pieces, tidy
 from weft.llm.groups import attach
 from weft.llm.textarrays import mix, shingle_hashes, word_hashes
 
 K, NUM, DEN = 5, 8, 10
 #: Leading shingles that a task holds before it deals them out.
-HELD = 4_000_000
+HELD = 1_000_000
 SKETCH_BITS = 20
 SEEDS = 3
 #: Members of a group that are compared before the others.
@@ -84,6 +84,7 @@ def _rows(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in zip(_NAMES, _TYPES, strict=True)], _NAMES)
 
 
+@tidy
 def _scan(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, ranges: int) -> Iterator[pa.RecordBatch]:
     """kind 0: a row for each document; 1: its leading shingles known to repeat; 2: leading shingles of a hash range."""
     part, no = TaskContext.get().partitionId(), 0
@@ -131,6 +132,7 @@ def _scan(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, ranges:
         yield from deal()
 
 
+@tidy
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many of each document's leading shingles, in these hash ranges, occur in another task as well: a row for each task that asked."""
     toks, owners = [], []
@@ -154,6 +156,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"part": [int(who[a] >> 32)], "counts": [np.stack([who[a:b] & 0xFFFFFFFF, n[a:b]]).astype("<u4").tobytes()]})
 
 
+@tidy
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of those counts for each document of a task."""
     held: dict[int, list[np.ndarray]] = {}
@@ -167,6 +170,7 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part)), pa.array(at), pa.array(n[at])], ["part", "no", "shared"])
 
 
+@tidy
 def _enough(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     known: dict[int, int] = {}
     for b in batches:
@@ -178,6 +182,7 @@ def _enough(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch], k: int, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Sets whose hash may be a representative's, each once a task."""
     seen: set[tuple[int, int]] = set()
@@ -196,6 +201,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, marks: np.ndarray) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["h1", "h2", "toks"])
 
 
+@tidy
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = np.zeros(1 << SKETCH_BITS, np.int64)
     for b in batches:
@@ -205,6 +211,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"segment": pa.array(range(16), pa.int64()), "data": [s.tobytes() for s in segments]})
 
 
+@tidy
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for b in batches:
@@ -223,6 +230,7 @@ def frequency_levels(sets: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+@tidy
 def _leading(batches: Iterator[pa.RecordBatch], levels: np.ndarray, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """The first L shingles of each set, rare ones first, with their places and the set's size."""
     for b in batches:
@@ -239,6 +247,7 @@ def _leading(batches: Iterator[pa.RecordBatch], levels: np.ndarray, num: int, de
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keep)), b.column("cid").take(r), b.column("grp").take(r), b.column("n").take(r), place], ["tok", "cid", "grp", "n", "place"])
 
 
+@tidy
 def _min_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         off, flat = b.column("toks").offsets.to_numpy(), b.column("toks").values.to_numpy().view(np.uint64)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.bitmaps import bitmap, has
-from weft.llm.common import cut, pieces
+from weft.llm.common import cut, pieces, tidy
 from weft.llm.textarrays import BASE, mix, powers, text_bytes, word_spans
 
 WINDOW = 3
@@ -126,6 +126,7 @@ class Chunks:
         return self.raw[self.start[i] : self.stop[i]].tobytes().removesuffix(b"\n")
 
 
+@tidy
 def _scan(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in pieces(whole, text, 2 << 20):
@@ -133,6 +134,7 @@ def _scan(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(c.link_hash.view(np.int64))], ["hash"])
 
 
+@tidy
 def _texts(batches: Iterator[pa.RecordBatch], text: str, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in pieces(whole, text, 2 << 20):
@@ -143,6 +145,7 @@ def _texts(batches: Iterator[pa.RecordBatch], text: str, marks: np.ndarray) -> I
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("sig").take(rows), pa.array(c.link_hash[at].view(np.int64)), pa.array(c.link_code[at]), body], ["doc_id", "sig", "hash", "no", "body"])
 
 
+@tidy
 def _rebuild(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in pieces(whole, text, 2 << 20):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut, partitions_for, pieces
+from weft.llm.common import cut, partitions_for, pieces, tidy
 from weft.llm.textarrays import word_counts
 
 WEIGHTS = (5, 2, 1)
@@ -37,6 +37,7 @@ LEAST_BLOCKS = 1024
 PHI = 0x9E3779B97F4A7C15
 
 
+@tidy
 def _sizes(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in pieces(whole, text):
@@ -67,6 +68,7 @@ def block_counts(sizes: dict[str | None, int]) -> dict[str | None, int]:
     return {s: max(-(-n // words), min(LEAST_BLOCKS, -(-n // LEAST_BLOCK))) for s, n in sizes.items()}
 
 
+@tidy
 def _points(batches: Iterator[pa.RecordBatch], bounds: list[float]) -> Iterator[pa.RecordBatch]:
     """Source number of each slot."""
     edges = np.array(bounds)
@@ -151,6 +153,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     return Mix(docs, **how).documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@tidy
 def _cut_texts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """Repeat each text as often as taken whole, and once more the words of each part."""
     from weft.llm.textarrays import text_bytes, word_spans

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import pieces
+from weft.llm.common import pieces, tidy
 from weft.llm.textarrays import _LOWER, BASE, mix, text_bytes, word_spans
 
 BITS = 22
@@ -179,6 +179,7 @@ class Ordinal:
         return self
 
 
+@tidy
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in pieces(whole, "text"):
@@ -203,6 +204,7 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, id_col: str
     return pickle.loads(fitted[0].model) if fitted else None
 
 
+@tidy
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("id", "cols", "shares", "grade")), strict=True)]
     if not rows:
@@ -222,6 +224,7 @@ def judged(texts: pa.Array, model: Ordinal | None, keep: float) -> tuple[np.ndar
     return tails, tails[:, -1] >= keep * model.tails(np.zeros(1))[0, -1]
 
 
+@tidy
 def _score(batches: Iterator[pa.RecordBatch], model: Ordinal | None, keep: float) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in pieces(whole, "text"):
@@ -235,6 +238,7 @@ def score(docs: DataFrame, model: Ordinal | None, keep: float = KEEP, id_col: st
     return own.mapInArrow(partial(_score, model=model, keep=keep), "doc_id long, expected_grade double, tail_prob double, selected boolean")
 
 
+@tidy
 def _select(batches: Iterator[pa.RecordBatch], model: Ordinal | None, keep: float, text: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in pieces(whole, text):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.bpe import default_path, loaded
-from weft.llm.common import cut, open_fs, partitions_for, pieces, scratch, write_file
+from weft.llm.common import cut, open_fs, partitions_for, pieces, scratch, tidy, write_file
 
 WINDOW = 2048
 GRAIN = 16
@@ -86,6 +86,7 @@ def solve(histogram: np.ndarray, spare: float = SPARE) -> tuple[np.ndarray, np.n
     return ways[:, used].astype(np.int64), times[used]
 
 
+@tidy
 def _ids(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end: int, width: int) -> Iterator[pa.RecordBatch]:
     """Write a task's ids to its file; a row for each document with its place there."""
     part = TaskContext.get().partitionId()
@@ -138,6 +139,7 @@ class Slots:
         return np.where(fits, self.first[j] + k - (ends[s] - self.times[j]), -1), np.where(fits, b * 4 + copy[s], -1)
 
 
+@tidy
 def _assign(batches: Iterator[pa.RecordBatch], slots: Slots, before: dict[int, list[int]], window: int, grain: int) -> Iterator[pa.RecordBatch]:
     """Place each remainder: in a combination's slot, or among those left over."""
     seen: dict[int, np.ndarray] = {}
@@ -158,6 +160,7 @@ def _assign(batches: Iterator[pa.RecordBatch], slots: Slots, before: dict[int, l
         yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(rest[keep]), pa.array(seq[keep]), pa.array(place[keep])], ["part", "row", "n", "rest", "seq", "place"])
 
 
+@tidy
 def _counts(batches: Iterator[pa.RecordBatch], window: int, grain: int) -> Iterator[pa.RecordBatch]:
     """Each file's histogram of remainders and number of whole windows."""
     for b in batches:
@@ -169,6 +172,7 @@ def _counts(batches: Iterator[pa.RecordBatch], window: int, grain: int) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([hist.tolist()], pa.list_(pa.int64())), pa.array([int((m // window).sum())])], ["part", "hist", "whole"])
 
 
+@tidy
 def _cut_ids(batches: Iterator[pa.RecordBatch], folder: str, width: int) -> Iterator[pa.RecordBatch]:
     """Read pieces' ids and add their checksums. Rows come sorted by file."""
     name, data = None, np.zeros(0)

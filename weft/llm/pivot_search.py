@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut, open_fs, partitions_for, scratch, write_file
+from weft.llm.common import cut, open_fs, partitions_for, scratch, tidy, write_file
 
 SCALE = 64
 K = 20
@@ -77,6 +77,7 @@ def _lift(m: np.ndarray, most: float) -> np.ndarray:
     return np.hstack([m, np.sqrt(np.maximum(0.0, most - (m * m).sum(1)))[:, None]])
 
 
+@tidy
 def _key(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, most: float, dim: int) -> Iterator[pa.RecordBatch]:
     """Nearest pivot and distance of each vector."""
     for b in batches:
@@ -85,6 +86,7 @@ def _key(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, most: float, dim
         yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(near.astype(np.int64)), pa.array(d[np.arange(len(near)), near])], ["vec_id", "v", "pivot", "dist"])
 
 
+@tidy
 def _annuli(batches: Iterator[pa.RecordBatch], folder: str, dim: int) -> Iterator[pa.RecordBatch]:
     """Write a task's annuli; rows come sorted by pivot and distance."""
     from pyspark import TaskContext
@@ -129,6 +131,7 @@ class Best:
             self.score[r], self.id[r] = s[o], d[o]
 
 
+@tidy
 def _search(batches: Iterator[pa.RecordBatch], listing: str, pivots: np.ndarray, most: float, dim: int, k: int) -> Iterator[pa.RecordBatch]:
     names = None
     for b in batches:

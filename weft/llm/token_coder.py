@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.bpe import default_path, loaded
-from weft.llm.common import open_fs, partitions_for, pieces, scratch, write_file
+from weft.llm.common import open_fs, partitions_for, pieces, scratch, tidy, write_file
 
 MAGIC = b"WTOK\x01\x00\x00\x00"
 BLOCK = 1024
@@ -269,6 +269,7 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [d if k else None for d, k in zip(docs.tolist(), known.tolist(), strict=True)], lengths, ids
 
 
+@tidy
 def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end: int) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     docs: list[int | None] = []
@@ -309,6 +310,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     return out
 
 
+@tidy
 def _read(batches: Iterator[pa.RecordBatch], with_ids: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import open_fs, scratch, write_file
+from weft.llm.common import open_fs, scratch, tidy, write_file
 from weft.llm.groups import attach
 
 READ_BYTES = 1 << 20
@@ -118,6 +118,7 @@ def read_records(path: str) -> Iterator[tuple]:
             yield (int(page) if page else None, n, digest, kind, int(first) if first else None, fields["warc-target-uri"], payload if kind == "response" else None)
 
 
+@tidy
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     path, n = f"{folder}/pages-{TaskContext.get().partitionId():06d}.warc.gz", [0]
 
@@ -164,6 +165,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 COLUMNS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+@tidy
 def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["url", "payload"] if payloads else [])]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *([pa.string(), pa.binary()] if payloads else [])]
