@@ -49,15 +49,15 @@ class Words:
         coded = flat.dictionary_encode()
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         code = coded.indices.to_numpy()
         held = list(map(self.cache.get, distinct))
-        often = np.bincount(code, minlength=len(distinct)) > 1
-        for i, ids in enumerate(held):
-            if ids is None:
-                held[i] = ids = self._encode(distinct[i])
-                if often[i]:
-                    self.cache[distinct[i]] = ids
+        often = (np.bincount(code, minlength=len(distinct)) > 1).tolist()
+        encode = self._encode
+        for i in [i for i, ids in enumerate(held) if ids is None]:
+            held[i] = ids = encode(distinct[i])
+            if often[i]:
+                self.cache[distinct[i]] = ids
         size = np.fromiter(map(len, held), np.int32, len(held))
         pool = np.fromiter(chain.from_iterable(held), np.uint32, int(size.sum()))
         n = size[code]

@@ -41,7 +41,7 @@ BLOCK = 1024
 #: Blocks coded side by side; bounds the predictors' memory.
 LANES = 4096
 #: Ids in a file, at most, unless one document alone has more.
-FILE_IDS = LANES * BLOCK // 2
+FILE_IDS = LANES * BLOCK
 _SLOTS = 512
 _SURE = 8
 _FREQ_BITS, _TOTAL_BITS, _P_BITS = 20, 30, 16
@@ -143,6 +143,16 @@ def _narrow(low: np.ndarray, width: np.ndarray) -> np.ndarray:
     return np.flatnonzero(settled)
 
 
+def _shift(low: np.ndarray, width: np.ndarray, done: np.ndarray) -> np.ndarray:
+    """Drop the settled words of lanes; those of them that have another one."""
+    low[done] = lo = low[done] << _32
+    width[done] = wd = width[done] << _32
+    again = done[_narrow(lo, wd)]
+    if len(again):
+        width[done] = wd
+    return again
+
+
 def encode_blocks(symbols: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
     """Words of each block of BLOCK symbols (positions in the frequency table)."""
     out: list[np.ndarray] = []
@@ -166,16 +176,13 @@ def encode_blocks(symbols: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
             r = wd >> np.uint64(_TOTAL_BITS)
             lo += start * r
             np.multiply(freq_, r, out=wd)
-            while True:
-                done = _narrow(lo, wd)
-                if not len(done):
-                    break
+            done = _narrow(lo, wd)
+            while len(done):
                 if (used[done] >= words.shape[1] - 2).any():
                     words = np.concatenate([words, np.zeros((lanes, BLOCK), np.uint32)], axis=1)
                 words[done, used[done]] = (lo[done] >> _32).astype(np.uint32)
                 used[done] += 1
-                lo[done] <<= _32
-                wd[done] <<= _32
+                done = _shift(lo, wd, done)
             model.learn(s, n)
         for i in range(lanes):
             end = [int(low[i] >> _32), int(low[i] & _LOW32)]
@@ -209,15 +216,12 @@ def decode_blocks(data: np.ndarray, words: np.ndarray, total: int, freq: np.ndar
             start, freq_ = model.span(s)
             lo += start * r
             np.multiply(freq_, r, out=wd)
-            while True:
-                done = _narrow(lo, wd)
-                if not len(done):
-                    break
+            done = _narrow(lo, wd)
+            while len(done):
                 here = at[done]
                 cd[done] = (cd[done] << _32) | np.where(here < end[done], data[np.minimum(here, len(data) - 1)], 0).astype(np.uint64)
-                at[done] += 1
-                lo[done] <<= _32
-                wd[done] <<= _32
+                at[done] = here + 1
+                done = _shift(lo, wd, done)
             model.learn(s, n)
             grid[t, :n] = s
         out[first * BLOCK : first * BLOCK + part] = grid.T.reshape(-1)[: lanes * BLOCK][:part]
