@@ -39,7 +39,7 @@ from weft.llm.common import open_fs, partitions_for, pieces, scratch, tidy, writ
 MAGIC = b"WTOK\x01\x00\x00\x00"
 BLOCK = 1024
 #: Blocks coded side by side; bounds the predictors' memory.
-LANES = 4096
+LANES = 8192
 #: Ids in a file, at most, unless one document alone has more.
 FILE_IDS = LANES * BLOCK
 _SLOTS = 512
@@ -144,9 +144,9 @@ def _narrow(low: np.ndarray, width: np.ndarray) -> np.ndarray:
 
 
 def _shift(low: np.ndarray, width: np.ndarray, done: np.ndarray) -> np.ndarray:
-    """Drop the settled words of lanes; those of them that have another one."""
+    """Drop the settled words of lanes; those of them that have another one. A width of 2**32 would not fit after the shift, so all lose 1."""
     low[done] = lo = low[done] << _32
-    width[done] = wd = width[done] << _32
+    width[done] = wd = (width[done] - np.uint64(1)) << _32 | _LOW32
     again = done[_narrow(lo, wd)]
     if len(again):
         width[done] = wd
