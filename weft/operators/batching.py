@@ -38,11 +38,12 @@ def size_columns(graph: PropertyGraph) -> dict[tuple[str, str], str]:
 
 def sizes(graph: PropertyGraph, key: str = "component_id") -> DataFrame:
     """Nodes and edges of every set for each component (0 where it has none), in one row: columns by size_columns()."""
-    out = graph.context().select(key).distinct()
-    for (kind, name), c in size_columns(graph).items():
-        n = graph.table(kind, name).groupBy(key).agg(F.count("*").alias(c))
-        out = out.join(n, key, "left").withColumn(c, F.coalesce(c, F.lit(0)))
-    return out
+    cols = size_columns(graph)
+    rows = graph.context().select(key, F.lit(None).cast("string").alias("_set"))
+    for (kind, name), c in cols.items():
+        rows = rows.unionByName(graph.table(kind, name).select(key, F.lit(c).alias("_set")))
+    counts = rows.groupBy(key).agg(F.max(F.col("_set").isNull()).alias("_known"), *(F.count(F.when(F.col("_set") == c, 1)).alias(c) for c in cols.values()))
+    return counts.where("_known").drop("_known")
 
 
 def satisfies(graph: PropertyGraph, limits: SizeConstraints) -> DataFrame:

@@ -134,7 +134,6 @@ def gcn_conv(graph: PropertyGraph, edge_set: str, dense: Dense, receiver: str =
 
     if normalization not in ("none", "in", "out", "in_out", "in_in"):
         raise ValueError(f"no normalization {normalization}")
-    states = graph.nodes[e.end(sender)].select("component_id", F.col("node_id").alias("_s"), dense(F.col(node)).alias("sender"))
     plain = Dense(dense.weights)  # bias and activation come after pooling
     states = graph.nodes[e.end(sender)].select("component_id", F.col("node_id").alias("_s"), plain(F.col(node)).alias("sender"))
     m = edges.join(states, ["component_id", "_s"])
@@ -265,27 +264,41 @@ def _merged(out: DataFrame, a: Attention, d: int) -> DataFrame:
     return out.withColumn("value", F.transform(v, lambda x: activate(a.out_activation, x)))
 
 
-def multi_head_attention(graph: PropertyGraph, edge_set: str, a: Attention, receiver: str = TARGET, node: str = "state", receiver_feature: str = "state") -> DataFrame:
-    """Scaled dot-product attention; scaling is none, rsqrt_dim or a factor as text; values are mapped before pooling."""
+def multi_head_attention(graph: PropertyGraph, edge_set: str, a: Attention, receiver: str = TARGET, node: str = "state", receiver_feature: str = "state", edge: str | None = None, transform_keys: bool = True, map_after_pooling: bool = False) -> DataFrame:
+    """Scaled dot-product attention; scaling is none, rsqrt_dim or a factor as text.
+
+    With ``edge``, a feature of edges joins the keys through ``a.edge``. Without ``transform_keys`` the senders'
+    states are the keys as they are. Values are mapped before pooling, or once a receiver and head after it.
+    """
     d = a.key.width // a.heads
     factor = {"none": 1.0, "rsqrt_dim": d**-0.5}.get(a.scaling)
     factor = float(a.scaling) if factor is None else factor
     value = a.value or a.key
     dv = value.width // a.heads
+    keys = a.key if transform_keys else lambda x: F.concat(*[x] * a.heads)
+    n_in = len(value.weights)
+    # a value map after pooling sees each head's weighted mean of the states
+    pooled_width = n_in if map_after_pooling else dv
+    values = (lambda x: F.concat(*[x] * a.heads)) if map_after_pooling else value
 
     def per_edge(n: str) -> DataFrame:
-        m = messages(graph, n, receiver, node, None, receiver_feature, map_node=lambda x: F.struct(a.key(x).alias("k"), value(x).alias("v")))
-        m = m.withColumn("_q", a.query(F.col("receiver")))
-        logits = [sum((F.col("_q")[h * d + j] * F.col("sender.k")[h * d + j] for j in range(d)), F.lit(0.0)) * factor for h in range(a.heads)]
+        m = messages(graph, n, receiver, node, edge, receiver_feature, map_node=lambda x: F.struct(keys(x).alias("k"), values(x).alias("v")))
+        k = add(F.col("sender.k"), a.edge(F.col("edge"))) if edge and a.edge else F.col("sender.k")
+        m = m.withColumn("_q", a.query(F.col("receiver"))).withColumn("_k", k)
+        logits = [sum((F.col("_q")[h * d + j] * F.col("_k")[h * d + j] for j in range(d)), F.lit(0.0)) * factor for h in range(a.heads)]
         return m.withColumn("logits", F.array(*logits)).withColumn("values", F.col("sender.v"))
 
-    return _merged(attention(graph, [edge_set], per_edge, receiver, a.heads, dv), a, dv)
+    out = attention(graph, [edge_set], per_edge, receiver, a.heads, pooled_width)
+    if map_after_pooling:
+        mapped = [sum((F.col("value")[h * n_in + i] * float(value.weights[i][h * dv + j]) for i in range(n_in)), F.lit(float((value.bias or [0.0] * value.width)[h * dv + j]))) for h in range(a.heads) for j in range(dv)]
+        out = out.withColumn("value", F.array(*(activate(value.activation, x) for x in mapped)))
+    return _merged(out, a, dv)
 
 
-def hgt_update(graph: PropertyGraph, edge_sets: Sequence[str], receiver: str, layers: dict[str, Attention], priors: dict[str, Sequence[float]], out: Dense, gate: float, node: str = "state") -> DataFrame:
+def hgt_update(graph: PropertyGraph, edge_sets: Sequence[str], receiver: str, layers: dict[str, Attention], priors: dict[str, Sequence[float]], out: Dense, gate: float, node: str = "state", normalize: bool = False) -> DataFrame:
     """Attention jointly over all edge sets into a node set, keys and values by edge set, then a gated skip.
 
-    value = sigmoid(gate) * out(gelu(attention)) + (1 - sigmoid(gate)) * state.
+    value = sigmoid(gate) * out(gelu(attention)) + (1 - sigmoid(gate)) * state, layer-normalized if asked for.
     """
     import math
 
@@ -303,7 +316,9 @@ def hgt_update(graph: PropertyGraph, edge_sets: Sequence[str], receiver: str, la
     g = 1 / (1 + math.exp(-gate))
     own = graph.nodes[receivers(graph, receiver, list(edge_sets))].select(*KEY, F.col(node).alias("_own"))
     x = out(F.transform("value", lambda v: activate("gelu", v)))
-    return got.join(own, KEY).select(*KEY, add(scale(x, F.lit(g)), scale(F.col("_own"), F.lit(1 - g))).alias("value"))
+    new = add(scale(x, F.lit(g)), scale(F.col("_own"), F.lit(1 - g)))
+    # x is out(...) of one value, so its width is that of the state
+    return got.join(own, KEY).select(*KEY, (layer_norm(new, out.width) if normalize else new).alias("value"))
 
 
 # ---------------------------------------------------------------- updates
@@ -388,6 +403,16 @@ def vanilla_mpnn(graph: PropertyGraph, message: dict[str, Dense], nxt: dict[str,
     return GraphUpdate(nodes=out)(graph)
 
 
+def slice_feature(x: Column, start: int, stop: int) -> Column:
+    """Items start to stop of an array feature."""
+    return F.slice(x, start + 1, max(0, stop - start))
+
+
+def empty_feature(kind: str = "double") -> Column:
+    """A feature of width 0."""
+    return F.array().cast(f"array<{kind}>")
+
+
 def item_dropout(df: DataFrame, features: Sequence[str], rate: float, keys: Sequence[str], seed: int = 0) -> DataFrame:
     """Whole items to 0 at a rate, the others scaled by 1 / (1 - rate); drawn by key, so repeatable."""
     from weft.operators.structure import keyed_random

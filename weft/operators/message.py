@@ -214,8 +214,11 @@ def with_pooled_neighbors(graph: PropertyGraph, edge_sets, to_tag: str, *, featu
     return graph.with_table(NODES, to, nodes.drop(name).join(got, ["component_id", "node_id"], "left").withColumnRenamed("_pooled", name))
 
 
-def softmax(graph: PropertyGraph, tag: str, *, edge_sets=None, node_sets=None, feature: str | Sequence[str], name: str = "softmax") -> DataFrame:
-    """exp(v - max) / sum over what shares a receiver, jointly over all the sets; rows carry ``set`` and the item's id."""
+def softmax(graph: PropertyGraph, tag: str, *, edge_sets=None, node_sets=None, feature: str | Sequence[str], name: str = "softmax", few_components: bool = False) -> DataFrame:
+    """exp(v - max) / sum over what shares a receiver, jointly over all the sets; rows carry ``set`` and the item's id.
+
+    For a caller that knows of few components, ``few_components`` broadcasts their sums.
+    """
     edge_sets, node_sets = _names(edge_sets), _names(node_sets)
     names = edge_sets or node_sets
     features = [feature] * len(names) if isinstance(feature, str) else list(feature)
@@ -228,7 +231,12 @@ def softmax(graph: PropertyGraph, tag: str, *, edge_sets=None, node_sets=None, f
         out = own if out is None else out.unionByName(own)
     if tag != CONTEXT:
         receivers(graph, tag, edge_sets)
-    w = Window.partitionBy("component_id", *(["receiver_id"] if tag != CONTEXT else []))
+    if tag == CONTEXT:  # a component may be the whole graph: largest values and sums are aggregated, not windowed
+        top = out.groupBy("component_id").agg(F.max("value").alias("_top"))
+        shifted = out.join(F.broadcast(top) if few_components else top, "component_id").withColumn("_e", F.exp(F.col("value") - F.col("_top")))
+        total = shifted.groupBy("component_id").agg(F.sum("_e").alias("_sum"))
+        return shifted.join(F.broadcast(total) if few_components else total, "component_id").withColumn(name, F.col("_e") / F.col("_sum")).drop("_e", "_top", "_sum")
+    w = Window.partitionBy("component_id", "receiver_id")
     shifted = out.withColumn("_e", F.exp(F.col("value") - F.max("value").over(w)))
     return shifted.withColumn(name, F.col("_e") / F.sum("_e").over(w)).drop("_e")
 

@@ -120,8 +120,10 @@ def _most_leverage(batches: Iterator[pa.RecordBatch], width: int, basis: np.ndar
 
 
 def self_clustering(g: np.ndarray, n: int, eps: float = 1e-9) -> float:
-    """From the gram matrix of rows of unit length: 1 if they have collapsed to a point, about 0 if they're spread evenly."""
+    """From the gram matrix of rows of unit length: 1 if they have collapsed to a point (or all are zeros), about 0 if they're spread evenly."""
     d = g.shape[0]
+    if not g.any():
+        return 1.0
     expected = n + n * (n - 1) / d
     return (float((g * g).sum()) - expected) / max(n * n - expected, eps)
 
@@ -146,7 +148,7 @@ def svd_metrics(df: DataFrame, col: str, width: int) -> dict[str, float]:
         "pseudo_condition_number": top / low if low > 0 else 0.0,
         "numerical_rank": float((s * s).sum() / (top * top)) if top else 0.0,
         "rankme": float(math.exp(-(p * np.log(p)).sum())),
-        "coherence": float(most) * n / width,
+        "coherence": float(most) * n / min(n, width),
         "self_clustering": self_clustering(gu, n),
     }
 
@@ -206,6 +208,9 @@ def infomax_logits(df: DataFrame, col: str, weights: Sequence[Sequence[float]],
 
 # ---------------------------------------------------------------- predictions
 
+#: Pieces of a precision-recall curve that are summed apart.
+CELLS = 4096
+
 
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
@@ -220,8 +225,13 @@ def binary_metrics(df: DataFrame, label: str, logit: str, threshold: float = 0.5
     head = own.agg(F.avg((F.col("y") == yes).cast("double")).alias("accuracy"), F.coalesce(tp / (tp + fp), F.lit(0.0)).alias("precision"), F.coalesce(tp / (tp + fn), F.lit(0.0)).alias("recall"), F.avg(ce).alias("cross_entropy"))
     # distinct logits are aggregated before the only ordered scan
     steps = own.groupBy("z").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    w = Window.orderBy(F.col("z").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    curve = steps.select("p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
+    # running sums over cells of the sigmoid, after the sums of the cells before
+    steps = steps.withColumn("cell", F.floor(sigmoid(F.col("z")) * CELLS))
+    above = Window.orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = steps.groupBy("cell").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    sums = sums.select("cell", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n"))
+    w = Window.partitionBy("cell").orderBy(F.col("z").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    curve = steps.join(F.broadcast(sums), "cell").select("p", "n", (F.sum("p").over(w) + F.col("_p")).alias("tp"), (F.sum("n").over(w) + F.col("_n")).alias("fp"))
     total = own.agg(F.sum("y").alias("yes"), F.sum(1 - F.col("y")).alias("no"))
     area = (
         curve.crossJoin(F.broadcast(total))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.graph import EdgeSet, PropertyGraph, default_value, end_column, position
 from weft.schema import EDGES, NODES, SOURCE, TARGET, aux_prefix
+from weft.sources.scratch import new_path
 
 _E = ("component_id", "edge_id", "source_id", "target_id")
 
@@ -47,12 +48,31 @@ def first_node(graph: PropertyGraph, node_set: str, feature: str, name: str = "v
     return out.select("component_id", F.col("f.v").alias(name))
 
 
-def dense_index(df: DataFrame, id_col: str, name: str = "index") -> DataFrame:
-    """Number the rows of each component from 0, in order of position."""
+def dense_index(df: DataFrame, id_col: str, name: str = "index", few_components: bool = False) -> DataFrame:
+    """Number the rows of each component from 0, in order of position.
+
+    A component is one task's, which suits samples; with ``few_components`` rows are ranked over the whole
+    table by range, whatever a component's size.
+    """
+    if few_components:
+        return within_components(ordered_rank(df.withColumn("_pos", position(df, id_col)), ["component_id", "_pos", id_col], name), name).drop("_pos")
     w = Window.partitionBy("component_id").orderBy(position(df, id_col), id_col)
     return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
 
 
+def within_components(df: DataFrame, rank: str) -> DataFrame:
+    """Ranks over the whole table, in order of components, as ranks in each component."""
+    first = df.groupBy("component_id").agg(F.min(rank).alias("_first"))
+    return df.join(first, "component_id").withColumn(rank, F.col(rank) - F.col("_first")).drop("_first")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read again."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def reorder_nodes(graph: PropertyGraph, node_set: str, order: DataFrame) -> PropertyGraph:
     """Give nodes new positions: ``order`` has component_id, node_id, new_pos, a permutation of 0 .. n - 1 in each component."""
     nodes = graph.nodes[node_set]
@@ -72,8 +92,8 @@ def keyed_random(seed: int, *cols: str | Column) -> Column:
 def shuffle_nodes(graph: PropertyGraph, node_sets: list[str] | None = None, seed: int = 0) -> PropertyGraph:
     """A random order of each component's nodes; auxiliary sets keep theirs."""
     for n in node_sets or [n for n in graph.nodes if aux_prefix(n) is None]:
-        w = Window.partitionBy("component_id").orderBy(keyed_random(seed, F.lit(n), "component_id", "node_id"))
-        graph = graph.with_table(NODES, n, graph.nodes[n].withColumn("pos", (F.row_number().over(w) - 1).cast("long")))
+        keyed = graph.nodes[n].withColumn("_key", keyed_random(seed, F.lit(n), "component_id", "node_id"))
+        graph = graph.with_table(NODES, n, global_rank(keyed, "_key", "pos", ["component_id"]).drop("_key"))
     return graph
 
 
@@ -96,13 +116,29 @@ def shuffle_features(graph: PropertyGraph, kind: str, name: str, features: list[
     return graph.with_table(kind, name, df)
 
 
-def global_rank(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Rank of each row by a hexadecimal key, over the whole table: ranks within 4096 ranges of the key, after the sizes of the ranges before."""
+def global_rank(df: DataFrame, key: str, name: str, within: list[str] | None = None) -> DataFrame:
+    """Rank of each row by a hexadecimal key, over the whole table or within groups: ranks within 4096 ranges of the key, after the sizes of the ranges before."""
+    by = within or []
     df = df.withColumn("_cell", F.substring(key, 1, 3))
-    sizes = df.groupBy("_cell").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    own = F.row_number().over(Window.partitionBy("_cell").orderBy(key)) - 1
-    return df.withColumn("_own", own).join(F.broadcast(before), "_cell").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_cell", "_own", "_before")
+    sizes = df.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
+    w = (Window.partitionBy(*by) if by else Window).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(key)) - 1
+    return df.withColumn("_own", own).join(before if by else F.broadcast(before), [*by, "_cell"]).withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_cell", "_own", "_before")
+
+
+def ordered_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rank of each row from 0 along some columns, over the whole table: range partitions, numbered apart after the sizes of those before.
+
+    Rows that tie in all of the columns are ranked in any order.
+    """
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the id is the partition's number << 33 and the row's number in it; written, so that it's made once
+    placed = written(parts.withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    sizes = placed.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    out = placed.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(before), "_part")
+    return out.withColumn(name, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_part", "_at", "_before")
 
 
 def combine_values(way: str, *cols: Column, array: bool = False) -> Column:
@@ -200,26 +236,29 @@ def concat_graphs(graphs: list[PropertyGraph], components: str = "keep") -> Prop
     return PropertyGraph(nodes, edges, context)
 
 
-def latent_nodes(edges: list[tuple[DataFrame, str]]) -> DataFrame:
+def latent_nodes(edges: list[tuple[DataFrame, str]], few_components: bool = False) -> DataFrame:
     """The node set that edges' ends make: (component_id, node_id, pos), in order of first appearance.
 
-    ``edges`` lists (table, tag) in order; a table's rows are ordered by position.
+    ``edges`` lists (table, tag) in order; a table's rows are ordered by position. ``few_components`` as in dense_index().
     """
     out = None
     for i, (df, tag) in enumerate(edges):
         own = df.select("component_id", F.col(end_column(tag)).alias("node_id"), F.struct(F.lit(i).alias("i"), position(df, "edge_id").alias("p")).alias("_at"))
         out = own if out is None else out.unionByName(own)
     first = out.groupBy("component_id", "node_id").agg(F.min("_at").alias("_at"))
+    if few_components:
+        flat = first.select("component_id", "node_id", F.col("_at.i").alias("_i"), F.col("_at.p").alias("_p"))
+        return within_components(ordered_rank(flat, ["component_id", "_i", "_p", "node_id"], "pos"), "pos").select("component_id", "node_id", "pos")
     w = Window.partitionBy("component_id").orderBy("_at", "node_id")
     return first.select("component_id", "node_id", (F.row_number().over(w) - 1).cast("long").alias("pos"))
 
 
-def index_edges(graph: PropertyGraph, edge_set: str, strict: bool = True) -> DataFrame:
+def index_edges(graph: PropertyGraph, edge_set: str, strict: bool = True, few_components: bool = False) -> DataFrame:
     """Edges with their ends' dense indices. An end that isn't a node raises (as the row is read), or is null if not strict."""
     e = graph.edges[edge_set]
     out = e.table
     for tag in (SOURCE, TARGET):
-        ids = dense_index(graph.nodes[e.end(tag)], "node_id", f"{tag}_index").select("component_id", F.col("node_id").alias(end_column(tag)), f"{tag}_index")
+        ids = dense_index(graph.nodes[e.end(tag)], "node_id", f"{tag}_index", few_components).select("component_id", F.col("node_id").alias(end_column(tag)), f"{tag}_index")
         out = out.join(ids, ["component_id", end_column(tag)], "left")
         if strict:
             c = F.col(f"{tag}_index")

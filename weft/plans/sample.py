@@ -2,8 +2,10 @@
 
 Draws are keyed by md5 of seed, op, sample, source and edge, so they are the same under any plan,
 partitioning or retry. A frontier is the distinct nodes of its inputs by default; with
-``dedup_frontier=False`` a node that is reached twice is sampled twice, independently. Hubs are pruned
-before the shuffle: Spark plans rank limits as a group limit on both sides of the exchange.
+``dedup_frontier=False`` a node that is reached twice is sampled twice, independently. What ranks alike in
+every sample (TOP_K, and LATEST_K without a time) is cut to the op's size once a source, before the frontier
+is joined, and Spark plans that rank limit as a group limit on both sides of the exchange; so hubs are pruned
+before any shuffle. Random draws, and draws as of a time, rank after the join.
 """
 
 from __future__ import annotations
@@ -34,14 +36,18 @@ def draw_order(strategy: str, seed: int, op: str, edges: DataFrame, weight: str,
 def sample_hop(frontier: DataFrame, edges: DataFrame, op: SamplingOp, seed: int = 0, weight: str = "weight", time: str = "ts", occurrence: bool = False) -> DataFrame:
     """At most ``op.size`` edges of every (sample_id, node_id) of the frontier; edges with sample_id.
 
-    For LATEST_K the frontier may have ``as_of``: only edges no later than that count. Weighted draws leave
-    out weights that aren't positive.
+    Where the frontier has ``as_of``, only edges no later than that count, whatever the strategy. Weighted draws
+    leave out weights that aren't positive.
     """
-    e = edges.drop("component_id")
+    e, timed = edges.drop("component_id"), "as_of" in frontier.columns
+    if op.strategy in (TOP_K, LATEST) and not timed:
+        w = Window.partitionBy("source_id").orderBy(*draw_order(op.strategy, seed, op.op_name, e, weight, time, occurrence))
+        e = e.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= op.size).drop("_rank")
+        return frontier.withColumnRenamed("node_id", "source_id").join(e, "source_id").drop("_n")
     near = frontier.withColumnRenamed("node_id", "source_id").join(e, "source_id")
     if op.strategy == WEIGHTED:
         near = near.where(F.col(weight) > 0)
-    if op.strategy == LATEST and "as_of" in frontier.columns:
+    if timed:
         near = near.where(F.col(time) <= F.col("as_of"))
     by = ["sample_id", "source_id", *(["_n"] if occurrence else [])]
     w = Window.partitionBy(*by).orderBy(*draw_order(op.strategy, seed, op.op_name, e, weight, time, occurrence))

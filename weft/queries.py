@@ -192,11 +192,11 @@ def broadcast_context_to_edges(spark, sf_dir):
     return message.broadcast_context_to_edges(tpch.sales(spark, sf_dir), "placed", "customers").select("edge_id", "value")
 
 
-@query("""SELECT event_id, user_id AS key, coalesce(c_mktsegment, '') AS segment FROM events LEFT JOIN customer ON user_id = c_custkey AND c_custkey % 2 = 0""")
+@query("""SELECT event_id AS key, coalesce(c_mktsegment, '') AS segment FROM events LEFT JOIN customer ON event_id = c_custkey""")
 def lookup_join(spark, sf_dir):
     """Features by key; what isn't found gets the type's default."""
-    c = tpch.read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"))
-    return structure.lookup(tpch.read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key")), c, "key", defaults=True)
+    c = tpch.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"))
+    return structure.lookup(tpch.read(spark, sf_dir, "events").select(F.col("event_id").alias("key")), c, "key", defaults=True)
 
 
 @query("""WITH a AS (SELECT c_mktsegment AS sample_id, c_custkey FROM customer), b AS (SELECT DISTINCT c_mktsegment AS sample_id, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F')
@@ -269,17 +269,17 @@ def mask_edges_rest(spark, sf_dir):
 def _nation_pairs(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Nations joined by trade: suppliers' nation to customers' nation, with how often (a graph with parallel ways)."""
     li, s, o, c = (tpch.read(spark, sf_dir, n) for n in ("lineitem", "supplier", "orders", "customer"))
-    pairs = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).where("s_nationkey < 5 and c_nationkey < 5")
+    pairs = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
     e = pairs.groupBy(F.col("s_nationkey").cast("long").alias("source_id"), F.col("c_nationkey").cast("long").alias("target_id")).agg(F.count("*").alias("n")).withColumn("edge_id", F.col("source_id") * 100 + F.col("target_id"))
-    nodes = tpch.read(spark, sf_dir, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").cast("long").alias("node_id"), F.col("n_name").alias("name"))
+    nodes = tpch.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node_id"), F.col("n_name").alias("name"))
     return PropertyGraph.of({"nation": nodes}, {"trade": (e, "nation", "nation")})
 
 
 _TRADE = """WITH trade AS (SELECT CAST(s_nationkey AS BIGINT) AS s, CAST(c_nationkey AS BIGINT) AS t, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey
-    JOIN customer ON o_custkey = c_custkey WHERE s_nationkey < 5 AND c_nationkey < 5 GROUP BY 1, 2)"""
+    JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
 
 
-@query(_TRADE + """ SELECT s AS source_id, t AS target_id, n FROM trade UNION ALL SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS BIGINT), 0 FROM nation WHERE n_nationkey < 5""")
+@query(_TRADE + """ SELECT s AS source_id, t AS target_id, n FROM trade UNION ALL SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS BIGINT), 0 FROM nation""")
 def add_self_loops(spark, sf_dir):
     return structure.add_self_loops(_nation_pairs(spark, sf_dir), "trade").edges["trade"].table.select("source_id", "target_id", "n")
 
@@ -316,14 +316,14 @@ def first_node(spark, sf_dir):
 
 @query("""SELECT c_mktsegment AS component_id, c_custkey AS node_id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS index FROM customer""")
 def dense_index(spark, sf_dir):
-    return structure.dense_index(tpch.sales(spark, sf_dir).nodes["customer"], "node_id").select("component_id", "node_id", "index")
+    return structure.dense_index(tpch.sales(spark, sf_dir).nodes["customer"], "node_id", few_components=True).select("component_id", "node_id", "index")
 
 
 @query("""WITH c AS (SELECT c_mktsegment AS k, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS i FROM customer),
     o AS (SELECT c_mktsegment AS k, o_orderkey, o_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_orderkey) - 1 AS j FROM orders JOIN customer ON o_custkey = c_custkey)
     SELECT o.k AS component_id, o_orderkey AS edge_id, i AS source_index, j AS target_index FROM o JOIN c ON o.k = c.k AND o_custkey = c_custkey""")
 def index_edges(spark, sf_dir):
-    return structure.index_edges(tpch.sales(spark, sf_dir), "placed").select("component_id", "edge_id", "source_index", "target_index")
+    return structure.index_edges(tpch.sales(spark, sf_dir), "placed", few_components=True).select("component_id", "edge_id", "source_index", "target_index")
 
 
 @query("""SELECT c_mktsegment AS component_id, c_custkey AS node_id, count(*) OVER (PARTITION BY c_mktsegment) - row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS pos FROM customer""")
@@ -363,7 +363,7 @@ def unique_nodes(spark, sf_dir):
 @query("""WITH a AS (SELECT user_id AS node_id, min(event_id) AS f FROM events GROUP BY 1) SELECT node_id, row_number() OVER (ORDER BY f, node_id) - 1 AS pos FROM a""")
 def latent_nodes(spark, sf_dir):
     """Users in order of first appearance."""
-    return structure.latent_nodes([(tpch.events_graph(spark, sf_dir).edges["did"].table, SOURCE)]).select("node_id", "pos")
+    return structure.latent_nodes([(tpch.events_graph(spark, sf_dir).edges["did"].table, SOURCE)], few_components=True).select("node_id", "pos")
 
 
 @query("""SELECT c_mktsegment AS segment, count(*) AS n FROM (SELECT c_mktsegment FROM customer UNION ALL SELECT c_mktsegment FROM customer) GROUP BY 1""")
@@ -407,46 +407,48 @@ def _schema(spark: SparkSession, sf_dir: str):
     return g, g.schema()
 
 
-def _segment_seeds(g: PropertyGraph) -> DataFrame:
-    return g.nodes["customer"].where("segment = 'BUILDING'").select(F.col("node_id").alias("sample_id"), "node_id")
+def _seeds(g: PropertyGraph) -> DataFrame:
+    return g.nodes["customer"].select(F.col("node_id").alias("sample_id"), "node_id")
 
 
 @query("""SELECT sample_id, edge_id FROM (SELECT c_custkey AS sample_id, o_orderkey AS edge_id,
     row_number() OVER (PARTITION BY c_custkey ORDER BY md5('1|customer->orders|' || c_custkey || '|' || c_custkey || '|' || o_orderkey)) AS r
-    FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING') WHERE r <= 3""")
+    FROM customer JOIN orders ON o_custkey = c_custkey) WHERE r <= 3""")
 def sample_uniform(spark, sf_dir):
     g, schema = _schema(spark, sf_dir)
     spec = SpecBuilder(schema).seed("customer", "customer").sample("placed", 3, UNIFORM, "customer->orders").build()
-    return sampling.sample_edges(g, spec, _segment_seeds(g), 1)["placed"].select("sample_id", "edge_id")
+    return sampling.sample_edges(g, spec, _seeds(g), 1)["placed"].select("sample_id", "edge_id")
 
 
 @query("""SELECT sample_id, edge_id FROM (SELECT c_custkey AS sample_id, o_orderkey AS edge_id, row_number() OVER (PARTITION BY c_custkey ORDER BY CAST(o_totalprice AS DECIMAL(18,2)) DESC, o_orderkey) AS r
-    FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING') WHERE r <= 2""")
+    FROM customer JOIN orders ON o_custkey = c_custkey) WHERE r <= 2""")
 def sample_top_k(spark, sf_dir):
     g, schema = _schema(spark, sf_dir)
     spec = SpecBuilder(schema).seed("customer").sample("placed", 2, TOP_K).build()
-    return sampling.sample_edges(g, spec, _segment_seeds(g))["placed"].select("sample_id", "edge_id")
+    return sampling.sample_edges(g, spec, _seeds(g))["placed"].select("sample_id", "edge_id")
 
 
 @query("""SELECT sample_id, edge_id FROM (SELECT c_custkey AS sample_id, o_orderkey AS edge_id, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r
-    FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate <= TIMESTAMP '1996-06-01') WHERE r <= 2""")
+    FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderdate <= TIMESTAMP '1996-06-01') WHERE r <= 2""")
 def sample_latest(spark, sf_dir):
     """As of a time: later edges aren't seen."""
     g, schema = _schema(spark, sf_dir)
     spec = SpecBuilder(schema).seed("customer").sample("placed", 2, LATEST).build()
-    seeds = _segment_seeds(g).withColumn("as_of", F.lit("1996-06-01").cast("timestamp"))
+    seeds = _seeds(g).withColumn("as_of", F.lit("1996-06-01").cast("timestamp"))
     return sampling.sample_edges(g, spec, seeds)["placed"].select("sample_id", "edge_id")
 
 
-@query()
+@query("""SELECT sample_id, edge_id FROM (SELECT c_custkey AS sample_id, o_orderkey AS edge_id, row_number() OVER (PARTITION BY c_custkey ORDER BY
+        ln((CAST(CAST('0x' || substr(md5('0|customer->orders|' || c_custkey || '|' || c_custkey || '|' || o_orderkey), 1, 12) AS BIGINT) AS DOUBLE) + 1) / 281474976710657.0) / o_totalprice DESC, o_orderkey) AS r
+    FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 0) WHERE r <= 2""")
 def sample_weighted(spark, sf_dir):
     g, schema = _schema(spark, sf_dir)
-    spec = SpecBuilder(schema).seed("customer").sample("placed", 2, "RANDOM_WEIGHTED").build()
-    return sampling.sample_edges(g, spec, _segment_seeds(g))["placed"].select("sample_id", "edge_id")
+    spec = SpecBuilder(schema).seed("customer").sample("placed", 2, "RANDOM_WEIGHTED", "customer->orders").build()
+    return sampling.sample_edges(g, spec, _seeds(g))["placed"].select("sample_id", "edge_id")
 
 
 _HOPS = """WITH h1 AS (SELECT * FROM (SELECT c_custkey AS sample_id, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY CAST(o_totalprice AS DECIMAL(18,2)) DESC, o_orderkey) AS r
-        FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING') WHERE r <= 2),
+        FROM customer JOIN orders ON o_custkey = c_custkey) WHERE r <= 2),
     li AS (SELECT l_orderkey, l_partkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS w FROM lineitem GROUP BY 1, 2),
     h2 AS (SELECT * FROM (SELECT sample_id, l_orderkey, l_partkey, row_number() OVER (PARTITION BY sample_id, l_orderkey ORDER BY w DESC, l_partkey) AS r FROM h1 JOIN li ON l_orderkey = o_orderkey) WHERE r <= 2)"""
 
@@ -462,25 +464,25 @@ def _two_hops(spark: SparkSession, sf_dir: str):
 @query(_HOPS + """ SELECT sample_id, l_orderkey AS source_id, l_partkey AS target_id FROM h2""")
 def sample_two_hops(spark, sf_dir):
     g, spec = _two_hops(spark, sf_dir)
-    return sampling.sample_edges(g, spec, _segment_seeds(g))["contains"].select("sample_id", "source_id", "target_id")
+    return sampling.sample_edges(g, spec, _seeds(g))["contains"].select("sample_id", "source_id", "target_id")
 
 
-@query(_HOPS + """ SELECT sample_id AS component_id, CAST(1 AS BIGINT) AS customers, coalesce(n, 0) AS orders, coalesce(m, 0) AS parts FROM (SELECT c_custkey AS sample_id FROM customer WHERE c_mktsegment = 'BUILDING')
+@query(_HOPS + """ SELECT sample_id AS component_id, CAST(1 AS BIGINT) AS customers, coalesce(n, 0) AS orders, coalesce(m, 0) AS parts FROM (SELECT c_custkey AS sample_id FROM customer)
     LEFT JOIN (SELECT sample_id, count(DISTINCT o_orderkey) AS n FROM h1 GROUP BY 1) USING (sample_id) LEFT JOIN (SELECT sample_id, count(DISTINCT l_partkey) AS m FROM h2 GROUP BY 1) USING (sample_id)""")
 def sample_subgraphs(spark, sf_dir):
     """Whole samples as graphs: sizes of their node sets."""
     g, spec = _two_hops(spark, sf_dir)
-    out = sampling.sample(g, spec, _segment_seeds(g))
+    out = sampling.sample(g, spec, _seeds(g))
     cols = batching.size_columns(out)
     return batching.sizes(out).select("component_id", *(F.col(cols[NODES, n]).alias(a) for n, a in (("customer", "customers"), ("orders", "orders"), ("part", "parts"))))
 
 
-@query("""WITH l AS (SELECT c_custkey || '/' || o_orderkey AS sample_id, c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING')
+@query("""WITH l AS (SELECT c_custkey || '/' || o_orderkey AS sample_id, c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey)
     SELECT sample_id AS component_id, c_custkey AS node_id, CAST(c_acctbal AS DOUBLE) AS acctbal FROM l JOIN customer USING (c_custkey)""")
 def sample_links(spark, sf_dir):
     """Link samples: the source end by structured readout."""
     g, schema = _schema(spark, sf_dir)
-    links = g.edges["placed"].table.join(_segment_seeds(g).select(F.col("node_id").alias("source_id")), "source_id").select(F.concat_ws("/", "source_id", "target_id").alias("sample_id"), F.col("source_id").alias("source"), F.col("target_id").alias("target"))
+    links = g.edges["placed"].table.join(_seeds(g).select(F.col("node_id").alias("source_id")), "source_id").select(F.concat_ws("/", "source_id", "target_id").alias("sample_id"), F.col("source_id").alias("source"), F.col("target_id").alias("target"))
     source = SpecBuilder(schema).seed("customer").sample("customer_in", 1, TOP_K).build()
     target = SpecBuilder(schema).seed("orders").sample("contains", 2, UNIFORM).build()
     out = sampling.sample_links(g, source, links, target_spec=target)
@@ -489,13 +491,21 @@ def sample_links(spark, sf_dir):
     return _double(ends.join(got, ["component_id", "_r"]).select("component_id", "node_id", "acctbal"), "acctbal")
 
 
-@query()
+@query("""WITH n AS (SELECT c_custkey AS k, c_nationkey FROM customer),
+    o AS (SELECT k, e FROM (SELECT c_custkey AS k, o_orderkey AS e, row_number() OVER (PARTITION BY c_custkey ORDER BY md5('0|customer->orders|' || c_custkey || '|' || c_custkey || '|' || o_orderkey)) AS r
+        FROM customer JOIN orders ON o_custkey = c_custkey) WHERE r <= 2),
+    l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+    p AS (SELECT k, e FROM (SELECT k, l_orderkey * 1000000 + l_partkey AS e, row_number() OVER (PARTITION BY k, l_orderkey ORDER BY md5('0|placed->part|' || k || '|' || l_orderkey || '|' || (l_orderkey * 1000000 + l_partkey))) AS r
+        FROM o JOIN l ON l_orderkey = e) WHERE r <= 2)
+    SELECT k AS sample_id, 'customer_in' AS edge_set, k AS edge_id FROM n UNION ALL SELECT k, 'placed', e FROM o UNION ALL SELECT k, 'contains', e FROM p
+    UNION ALL SELECT k, 'nation_in', CAST(c_nationkey AS BIGINT) FROM n""")
 def sample_tree(spark, sf_dir):
     """All edge sets out of customers, two levels deep."""
     g, schema = _schema(spark, sf_dir)
-    g = g.with_table(EDGES, "contains", g.edges["contains"].table.withColumnRenamed("price", "weight"))
+    one = g.edges["contains"].table.select("component_id", "source_id", "target_id").distinct()
+    g = g.with_table(EDGES, "contains", one.withColumn("edge_id", F.col("source_id") * 1_000_000 + F.col("target_id")))
     spec = spec_tree(schema, "customer", [2, 2])
-    found = sampling.sample_edges(g, spec, _segment_seeds(g))
+    found = sampling.sample_edges(g, spec, _seeds(g))
     out = None
     for n, df in sorted(found.items()):
         own = df.select("sample_id", F.lit(n).alias("edge_set"), "edge_id")
@@ -585,7 +595,12 @@ def tight_constraints(spark, sf_dir):
     return spark.createDataFrame([("components", limits.components), *limits.nodes.items(), *limits.edges.items()], "item string, budget long")
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, count(l_orderkey) AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY o_orderkey) AS i FROM n),
+    b AS (SELECT o_orderkey, month, lines, i, lines AS used, CAST(0 AS BIGINT) AS batch FROM r WHERE i = 1
+        UNION ALL SELECT r.o_orderkey, r.month, r.lines, r.i, CASE WHEN b.used + r.lines > 100 THEN r.lines ELSE b.used + r.lines END, b.batch + CASE WHEN b.used + r.lines > 100 THEN 1 ELSE 0 END
+        FROM b JOIN r ON r.month = b.month AND r.i = b.i + 1)
+    SELECT o_orderkey, month, lines, batch FROM b""")
 def dynamic_batches(spark, sf_dir):
     """Orders with their lineitems, packed under a budget of 100 lineitems, a shard for each month of orders."""
     o, li = tpch.read(spark, sf_dir, "orders"), tpch.read(spark, sf_dir, "lineitem")
@@ -670,10 +685,32 @@ def svd_metrics(spark, sf_dir):
     return spark.createDataFrame(sorted(got.items()), "metric string, value double")
 
 
-@query()
+_VIEWS = """WITH x AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS a, CASE WHEN i % 2 = 0 THEN 0.5 ELSE 0.9 END * CAST(embedding[i] AS DOUBLE) + 0.25 * CAST(embedding[i % 64 + 1] AS DOUBLE) AS b FROM embeddings, range(1, 65) t(i)),
+    m AS (SELECT i, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, avg((a - b) * (a - b)) AS d, count(*) AS n FROM x GROUP BY i)"""
+
+
+@query(_VIEWS + """, k AS (SELECT p.i, q.i AS j, sum((p.a - mp.ma) * (q.a - mq.ma)) / (any_value(mp.n) - 1) AS ca, sum((p.b - mp.mb) * (q.b - mq.mb)) / (any_value(mp.n) - 1) AS cb,
+        sum((p.a - mp.ma) * (q.b - mq.mb)) / any_value(mp.n) / sqrt((any_value(mp.va) + 1e-12) * (any_value(mq.vb) + 1e-12)) AS c
+        FROM x p JOIN x q USING (vec_id) JOIN m mp ON mp.i = p.i JOIN m mq ON mq.i = q.i GROUP BY p.i, q.i),
+    v AS (SELECT 25 * avg(d) + 25 * avg(greatest(0, 1 - sqrt(va + 1e-4))) + 25 * avg(greatest(0, 1 - sqrt(vb + 1e-4))) AS v FROM m),
+    o AS (SELECT sum(CASE WHEN i <> j THEN ca * ca + cb * cb ELSE 0 END) / 64 AS o, sum(CASE WHEN i = j THEN (1 - c) * (1 - c) ELSE c * c / 64 END) AS b FROM k)
+    SELECT 'vicreg' AS loss, CAST(floor((v + o) * 1000 + 0.123) AS BIGINT) AS thousandths FROM v, o UNION ALL SELECT 'barlow_twins', CAST(floor(b * 1000 + 0.123) AS BIGINT) FROM o""")
 def contrastive_losses(spark, sf_dir):
-    e = tpch.read(spark, sf_dir, "embeddings").select("embedding", F.transform("embedding", lambda x: x * 0.9 + 0.01).alias("view"))
-    return spark.createDataFrame([("vicreg", metrics.vicreg_loss(e, "embedding", "view", 64)), ("barlow_twins", metrics.barlow_twins_loss(e, "embedding", "view", 64))], "loss string, value double")
+    """The second view mixes each component with the next."""
+    x = F.col("embedding")
+    view = F.transform(x, lambda v, i: F.when(i % 2 == 1, 0.5).otherwise(0.9) * v.cast("double") + 0.25 * x[(i + 1) % 64].cast("double"))
+    e = tpch.read(spark, sf_dir, "embeddings").select("embedding", view.alias("view"))
+    got = [("vicreg", metrics.vicreg_loss(e, "embedding", "view", 64)), ("barlow_twins", metrics.barlow_twins_loss(e, "embedding", "view", 64))]
+    return spark.createDataFrame(got, "loss string, value double").select("loss", F.floor(F.col("value") * 1000 + 0.123).alias("thousandths"))
+
+
+@query("""WITH x AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i)), u AS (SELECT vec_id, i, v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)) AS v FROM x),
+    g AS (SELECT p.i, q.i AS j, sum(p.v * q.v) AS g FROM u p JOIN u q USING (vec_id) GROUP BY 1, 2), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM embeddings)
+    SELECT CAST(floor(((SELECT sum(g * g) FROM g) - (n + n * (n - 1) / 64)) / (n * n - (n + n * (n - 1) / 64)) * 1000000 + 0.123) AS BIGINT) AS millionths FROM n""")
+def self_clustering(spark, sf_dir):
+    """How far vectors have collapsed, from the gram matrix of unit vectors."""
+    g, n = metrics.gram(tpch.read(spark, sf_dir, "embeddings"), "embedding", 64, unit=True)
+    return spark.createDataFrame([(metrics.self_clustering(g, n),)], "v double").select(F.floor(F.col("v") * 1_000_000 + 0.123).alias("millionths"))
 
 
 @query("""SELECT p_partkey AS node_id, CAST(p_size - 10 AS BIGINT) AS size FROM part""")
@@ -726,11 +763,15 @@ def gcn_conv(spark, sf_dir):
     return out.select("node_id", F.col("value")[0].alias("a"))
 
 
-@query()
+@query(_TRADE + """, i AS (SELECT t AS k, sum(n) + 1.0 AS d FROM trade GROUP BY 1), o AS (SELECT s AS k, sum(n) + 1.0 AS d FROM trade GROUP BY 1),
+    k AS (SELECT CAST(n_nationkey AS BIGINT) AS k, coalesce(i.d, 1.0) AS di, coalesce(o.d, 1.0) AS dr FROM nation LEFT JOIN i ON i.k = n_nationkey LEFT JOIN o ON o.k = n_nationkey),
+    m AS (SELECT t, s, n / sqrt(a.di) / sqrt(b.dr) AS f FROM trade JOIN k a ON a.k = t JOIN k b ON b.k = s UNION ALL SELECT k, k, 1 / sqrt(di) / sqrt(dr) FROM k)
+    SELECT t AS node_id, CAST(floor(sum(f * s) * 1000 + 0.123) AS BIGINT) AS a, CAST(floor(sum(f) * 1000 + 0.123) AS BIGINT) AS b FROM m GROUP BY 1""")
 def gcn_conv_normalized(spark, sf_dir):
     g = _nation_pairs(spark, sf_dir)
     g = g.with_table(NODES, "nation", g.nodes["nation"].withColumn("state", F.array(F.col("node_id").cast("double"), F.lit(1.0))))
-    return layers.gcn_conv(g, "trade", layers.Dense([[1, 0], [0, 1]]), TARGET, weight="n", self_loops=True, normalization="in_out")
+    out = layers.gcn_conv(g, "trade", layers.Dense([[1, 0], [0, 1]]), TARGET, weight="n", self_loops=True, normalization="in_out")
+    return out.select("node_id", *(F.floor(F.col("value")[i] * 1000 + 0.123).alias(c) for i, c in enumerate("ab")))
 
 
 @query("""WITH e AS (SELECT l_orderkey, p_size FROM lineitem JOIN part ON l_partkey = p_partkey)
@@ -765,11 +806,15 @@ def gat_v2(spark, sf_dir):
     return _units(layers.gat_v2(_states(spark, sf_dir), "contains", a, SOURCE))
 
 
-@query()
+@query("""WITH e AS (SELECT l_orderkey AS k, p_size / 10.0 AS v, 0.5 * p_size + 1 AS s FROM lineitem JOIN part ON l_partkey = p_partkey), m AS (SELECT k, v, s, max(v) OVER (PARTITION BY k) AS m FROM e),
+    a AS (SELECT o_orderkey AS k, CAST(floor(CAST(o_totalprice AS DECIMAL(18,2)) / 100000) AS DOUBLE) AS p, coalesce(sum(exp(v - m) * s) / sum(exp(v - m)), 0) AS x FROM orders LEFT JOIN m ON k = o_orderkey GROUP BY 1, 2),
+    g AS (SELECT k, p, x * 0.5 * (1 + tanh(0.7978845608028654 * (x + 0.044715 * x * x * x))) AS x FROM a)
+    SELECT k AS node_id, CAST(floor((0.5 * x + 0.5) * 1000 + 0.123) AS BIGINT) AS a, CAST(floor((0.5 * x + 0.5 * p) * 1000 + 0.123) AS BIGINT) AS b FROM g""")
 def hgt_update(spark, sf_dir):
     g = _states(spark, sf_dir)
     a = layers.Attention(layers.Dense([[1], [0]]), layers.Dense([[0.1], [0]]), layers.Dense([[0.5], [1]]))
-    return layers.hgt_update(g, ["contains"], SOURCE, {"contains": a}, {"contains": [1.0]}, layers.Dense([[1, 1]]), 0.0)
+    out = layers.hgt_update(g, ["contains"], SOURCE, {"contains": a}, {"contains": [1.0]}, layers.Dense([[1, 1]]), 0.0)
+    return out.select("node_id", *(F.floor(F.col("value")[i] * 1000 + 0.123).alias(c) for i, c in enumerate("ab")))
 
 
 @query("""WITH e AS (SELECT l_orderkey, p_size FROM lineitem JOIN part ON l_partkey = p_partkey)
@@ -794,3 +839,6 @@ def triples_to_graph(spark, sf_dir):
     SELECT o_orderkey AS edge_id, i AS source, j AS target FROM o JOIN c ON o_custkey = c_custkey""")
 def to_edge_list(spark, sf_dir):
     return tables.to_edge_list(tpch.sales(spark, sf_dir))[1].select("edge_id", "source", "target")
+
+
+from weft import queries_models, queries_sources  # noqa: E402, F401  (they add their own)

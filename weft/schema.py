@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 CONTEXT, NODES, EDGES = "context", "nodes", "edges"
@@ -162,8 +163,18 @@ def parse_text(text: str) -> dict[str, list]:
     return message(True)
 
 
+_ESCAPES = {"n": 10, "t": 9, "r": 13, "a": 7, "b": 8, "f": 12, "v": 11}
+
+
 def _unquote(x: str) -> str:
-    return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), x[1:-1])
+    """A quoted string's text; octal and hexadecimal escapes are bytes of its UTF-8."""
+
+    def byte(m: re.Match) -> bytes:
+        e = m[1].decode()
+        n = int(e[1:], 16) if e[0] in "xX" and len(e) > 1 else int(e, 8) if e[0] in "01234567" else _ESCAPES.get(e, ord(e))
+        return bytes([n & 255])
+
+    return re.sub(rb"\\([xX][0-9a-fA-F]{1,2}|[0-7]{1,3}|[\x00-\x7f])", byte, x[1:-1].encode()).decode("utf-8", "replace")
 
 
 def _one(m: dict, name: str, default: object = "") -> object:
@@ -225,12 +236,22 @@ def write_text(schema: GraphSchema) -> str:
     return "\n".join(out) + "\n"
 
 
-def read_schema(path: str) -> GraphSchema:
+def read_schema(path: str, spark: SparkSession | None = None) -> GraphSchema:
+    """The schema of a file; with a session, of any file system that Spark reads."""
+    if spark is not None:
+        return parse_schema("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
     with open(path) as f:
         return parse_schema(f.read())
 
 
-def write_schema(schema: GraphSchema, path: str) -> None:
+def write_schema(schema: GraphSchema, path: str, spark: SparkSession | None = None) -> None:
+    """Write a schema in text format; with a session, to any file system that Spark writes."""
+    if spark is not None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+        out.write(bytearray(write_text(schema).encode()))
+        out.close()
+        return
     with open(path, "w") as f:
         f.write(write_text(schema))
 

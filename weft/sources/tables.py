@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.graph import EdgeSet, PropertyGraph
-from weft.schema import CONTEXT, EDGES, NODES, GraphSchema, SchemaError, SetSchema, parse_schema, write_text
+from weft.schema import CONTEXT, EDGES, NODES, GraphSchema, SchemaError, SetSchema, parse_schema, write_schema
 
 _SHARD = re.compile(r"(?P<base>.*)@(?P<n>\d+)(?P<ext>\.\w+)?\Z")
 _SHARDS = re.compile(r"(?P<base>.*?)-\d{5}-of-\d{5}(?P<ext>\.\w+)?\Z")
@@ -149,10 +149,7 @@ def save_graph(graph: PropertyGraph, folder: str, kind: str = "parquet", shards:
             write_examples(out, f"{folder}/{file}")
         named[k, name] = SetSchema(s.features, s.source, s.target, s.context, {**s.metadata, "filename": file}, s.description)
     out = GraphSchema({n: named[NODES, n] for n in schema.node_sets}, {n: named[EDGES, n] for n in schema.edge_sets}, named.get((CONTEXT, "")))
-    fs, p = _hadoop(spark, f"{folder}/graph_schema.pbtxt")
-    stream = fs.create(p)
-    stream.write(bytearray(write_text(out).encode()))
-    stream.close()
+    write_schema(out, f"{folder}/graph_schema.pbtxt", spark)
     return out
 
 
@@ -214,6 +211,42 @@ def edge_lists_from_arrays(spark: SparkSession, edge_index: list[list[int]], n_n
     return PropertyGraph.of({name: nodes}, {edge_set: (edges, name, name)})
 
 
+def graph_from_arrays(spark: SparkSession, nodes: dict[str, int], edge_index: dict[tuple[str, str, str], list[list[int]]], features: dict[str, dict[str, list]] | None = None) -> PropertyGraph:
+    """A heterogeneous graph of index arrays, by (source set, edge set, target set): node ids are the set's name and number."""
+    tables = {}
+    for n, k in nodes.items():
+        cols = (features or {}).get(n, {})
+        rows = [(f"{n}{i}", *(cols[c][i] for c in cols)) for i in range(k)]
+        tables[n] = spark.createDataFrame(rows, ["node_id", *cols]) if rows else spark.createDataFrame([], "node_id string")
+    edges = {}
+    for (s, name, t), pairs in edge_index.items():
+        rows = [(i, f"{s}{a}", f"{t}{b}") for i, (a, b) in enumerate(zip(*pairs, strict=True))]
+        edges[name] = (spark.createDataFrame(rows, "edge_id long, source_id string, target_id string"), s, t)
+    return PropertyGraph.of(tables, edges)
+
+
+def write_table(df: DataFrame, filename: str) -> None:
+    """Write a CSV or Parquet table as the files ``base-00000-of-00003.csv`` and so on that ``base@3.csv`` stands for; without @ as one file."""
+    spark, n, kind = df.sparkSession, shard_count(filename), guess_format(filename)
+    folder = f"{filename}.parts"
+    out = df.repartition(n).write
+    out.csv(folder, header=True) if kind == "csv" else out.parquet(folder)
+    fs, p = _hadoop(spark, folder)
+    parts = sorted(str(s.getPath()) for s in fs.listStatus(p) if s.getPath().getName().startswith("part-"))
+    m = _SHARD.match(filename)
+    for i in range(n):
+        name = f"{m['base']}-{i:05d}-of-{n:05d}{m['ext'] or ''}" if m else filename
+        to = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if i < len(parts):
+            fs.rename(spark._jvm.org.apache.hadoop.fs.Path(parts[i]), to)
+        else:  # Spark writes no file for an empty partition
+            stream = fs.create(to)
+            if kind == "csv":
+                stream.write(bytearray((",".join(df.columns) + "\n").encode()))
+            stream.close()
+    fs.delete(p, True)
+
+
 def triples_to_graph(triples: DataFrame, subject: str = "s", predicate: str = "p", obj: str = "o", order: Column | None = None, predicates: list[str] | None = None) -> PropertyGraph:
     """One node set ``nodes`` of all subjects and objects, in order of first appearance, and an edge set for each predicate."""
     from weft.operators.structure import latent_nodes
@@ -229,12 +262,13 @@ def to_edge_list(graph: PropertyGraph) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window
 
     from weft.graph import position
+    from weft.operators.structure import ordered_rank
 
     nodes = None
     for i, n in enumerate(sorted(graph.nodes)):
         df = graph.nodes[n]
         own = df.select(F.lit(i).alias("_i"), F.lit(n).alias("node_set"), "component_id", "node_id", position(df, "node_id").cast("string").alias("_p"), position(df, "node_id").alias("_q"))
-        own = own.withColumn("local_id", F.row_number().over(Window.partitionBy("_i").orderBy("component_id", "_q")) - 1).drop("_q", "_p")
+        own = ordered_rank(own, ["component_id", "_q"], "local_id").drop("_q", "_p")
         nodes = own if nodes is None else nodes.unionByName(own)
     sizes = nodes.groupBy("_i").agg(F.count("*").alias("n"))
     first = sizes.select("_i", F.coalesce(F.sum("n").over(Window.orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
@@ -279,11 +313,3 @@ def random_graph(spark: SparkSession, schema: GraphSchema, nodes: dict[str, int]
     if schema.context is not None:
         context = features(spark.range(1), schema.context, "context").withColumnRenamed("id", "component_id")
     return PropertyGraph.of(node_tables, edge_tables, context)
-
-
-#: Executors of plan stages by name, for callers that add their own.
-STAGES: dict[str, Callable] = {}
-
-
-def register_stage(name: str, fn: Callable) -> None:
-    STAGES[name] = fn

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from weft.graph import PropertyGraph
 from weft.schema import EDGES, NODES
+from weft.sources.scratch import open_fs, qualified
 
 Value = list[bytes] | list[float] | list[int]
 
@@ -179,12 +180,11 @@ def write_examples(df: DataFrame, path: str) -> None:
     """A row as an Example: arrays flat, with the lengths of inner arrays as ``<name>.d1``. One file a partition."""
     from pyspark import TaskContext
 
+    path = qualified(df.sparkSession, path)
     kinds = {f.name: (io_type(f.dataType), isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.ArrayType)) for f in df.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs as pafs
-
-        fs, at = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+        fs, at = open_fs(path)
         fs.create_dir(at, recursive=True)
         name = f"{at}/part-{TaskContext.get().partitionId():05d}.tfrecord"
         with fs.open_output_stream(name + ".part", compression=None) as out:
@@ -299,3 +299,20 @@ def encode_samples(graph: PropertyGraph) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("component_id"), pa.array(out, pa.binary())], ["component_id", "example"])
 
     return parts.mapInArrow(run, T.StructType([parts.schema["component_id"], T.StructField("example", T.BinaryType())]))
+
+
+def decode_samples(df: DataFrame, columns: dict[str, T.DataType]) -> DataFrame:
+    """(component_id, columns) of encoded samples; ``columns`` maps names of an Example's values to types, and dots in names become underscores."""
+    names = {n: n.replace(".", "_").replace("/", "_").replace("#", "") for n in columns}
+    schema = T.StructType([df.schema["component_id"], *(T.StructField(names[n], t) for n, t in columns.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for b in batches:
+            rows = [parse(x.as_py(), columns) for x in b.column("example")]
+            cols = [pa.array([r[n] for r in rows], arrow.field(names[n]).type) for n in columns]
+            yield pa.RecordBatch.from_arrays([b.column("component_id"), *cols], [f.name for f in schema.fields])
+
+    return df.select("component_id", "example").mapInArrow(run, schema)
