@@ -8,13 +8,15 @@ order of all shingles, linked sets share at least min(L) of each other's first 2
    of them occur in another set too. What repeats inside a task is settled there, so that a shingle
    in every document is sent once a task.
 2. Sets that are equal become one class; from here on only class representatives count.
-3. Similar sets are partitioned into groups: sets with a common min-hash are compared with that
-   min-hash's smallest set, and linked ones form a group.
-4. The matrix holds the union of each group's first L shingles, ordered so that frequent ones (by a
-   counting sketch of fixed size) come last. Linked sets share one of these at least, so the overlap of
-   a set with a group is bounded below the threshold unless it meets the group's union there, in a
-   place and with sizes that can still reach it. Only groups that it meets are opened: a few members
-   first, the others only if those don't join set and group.
+3. Similar sets are partitioned into groups: each of a set's first L shingles, ordered so that frequent
+   ones (by a counting sketch of fixed size) come last, votes for the smallest set that has it among its
+   first; a set is compared with the two that get most votes, and linked ones form a group.
+4. Each group stores the union of its members' shingles, as a bitmap of their hashes, and the matrix holds
+   the union of their first L shingles. Linked sets share one of those at least, so a set's overlap with a group is below the
+   threshold unless it meets the group there, in a place and with sizes that can still reach it. For
+   groups that it meets, the set's shingles in the union are counted, which bounds the overlap with any
+   member; only groups whose bound reaches the threshold are opened: a few members first, the others only
+   if those don't join set and group.
 5. Components of all links, each link verified on whole sets, give every row its component.
 
 No step emits all pairs of a group, and every pair in different groups that can be linked is compared.
@@ -44,7 +46,8 @@ K, NUM, DEN = 5, 8, 10
 #: Leading shingles that a task holds before it deals them out.
 HELD = 1_000_000
 SKETCH_BITS = 20
-SEEDS = 3
+#: Bits of a group's union for each shingle of its largest member, at least.
+UNION_BITS = 8
 #: Members of a group that are compared before the others.
 HEADS = 8
 _NONE = np.uint32(0xFFFFFFFF)
@@ -244,17 +247,61 @@ def _leading(batches: Iterator[pa.RecordBatch], levels: np.ndarray, num: int, de
         if keep:
             r = pa.array(np.concatenate(rows))
             place = pa.array(np.concatenate([np.arange(len(s)) for s in keep]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keep)), b.column("cid").take(r), b.column("grp").take(r), b.column("n").take(r), place], ["tok", "cid", "grp", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keep)), b.column("cid").take(r), b.column("n").take(r), place], ["tok", "cid", "n", "place"])
+
+
+def _union_size(most: int) -> int:
+    """log2 of the bits of a group's union."""
+    return max(6, (UNION_BITS * most - 1).bit_length())
+
+
+@tidy
+def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps of the shingles of these members of each group; ``hi`` is the group's largest size. Rows of a group that come together share one."""
+    for b in batches:
+        off, flat = b.column("toks").offsets.to_numpy(), b.column("toks").values.to_numpy()
+        grp, hi = b.column("grp").to_pylist(), b.column("hi").to_pylist()
+        held: dict[int, np.ndarray] = {}
+        for i, g in enumerate(grp):
+            bits = _union_size(hi[i])
+            if g not in held:
+                held[g] = np.zeros(1 << bits, bool)
+            held[g][places(flat[off[i] : off[i + 1]], bits)] = True
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], ["grp", "bits"])
 
 
 @tidy
-def _min_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _join_unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bitmap a group. Rows come sorted by group."""
+    now, held = None, np.zeros(0, np.uint8)
     for b in batches:
-        off, flat = b.column("toks").offsets.to_numpy(), b.column("toks").values.to_numpy().view(np.uint64)
-        n = b.num_rows
-        if n:
-            low = [np.minimum.reduceat(mix(flat ^ np.uint64(0x1234567 * (s + 1))), off[:-1]).view(np.int64) for s in range(SEEDS)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([b.column("cid").to_numpy()] * SEEDS)), pa.array(np.concatenate([b.column("n").to_numpy()] * SEEDS)), pa.array(np.repeat(np.arange(SEEDS), n).astype(np.int32)), pa.array(np.concatenate(low))], ["cid", "n", "seed", "low"])
+        done: list[tuple[int, bytes]] = []
+        for g, x in zip(b.column("grp").to_pylist(), b.column("bits"), strict=True):
+            x = np.frombuffer(x.as_buffer(), np.uint8)
+            if g != now:
+                if now is not None:
+                    done.append((now, held.tobytes()))
+                now, held = g, x
+            else:
+                held = held | x
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in done], pa.int64()), pa.array([x for _, x in done], pa.binary())], ["grp", "bits"])
+    if now is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([held.tobytes()], pa.binary())], ["grp", "bits"])
+
+
+@tidy
+def _bounded(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Set and group pairs in which the set's shingles within the union suffice for a member of the least size that could link."""
+    for b in batches:
+        off, flat = b.column("toks").offsets.to_numpy(), b.column("toks").values.to_numpy()
+        keep = []
+        for i, (n, lo, x) in enumerate(zip(b.column("n").to_pylist(), b.column("lo").to_pylist(), b.column("bits"), strict=True)):
+            marks = np.frombuffer(x.as_buffer(), np.uint8)
+            overlap = int(has(marks, flat[off[i] : off[i + 1]]).sum())
+            keep.append(overlap * (num + den) >= (n + max(lo, -(-n * num // den))) * num)
+        yield b.select(["a", "n", "own", "grp"]).filter(pa.array(keep, pa.bool_()))
 
 
 def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -276,7 +323,6 @@ def components(links: DataFrame, name: str = "stars") -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large, name)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = cut(small, name)
@@ -304,15 +350,16 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, id_
     sets = own.mapInArrow(partial(_sets, k=k, marks=marks), "h1 long, h2 long, toks array<long>").groupBy("h1", "h2").agg(F.first("toks").alias("toks"))
     sets = cut(sets.join(classes.select("h1", "h2", "cid", "n"), ["h1", "h2"]).select("cid", "n", "toks"), "sets")
 
-    low = cut(sets.select("cid", "n", "toks").mapInArrow(_min_hashes, "cid long, n long, seed int, low long"), "minhash")
-    heads = low.groupBy("seed", "low").agg(F.min(F.struct("n", "cid")).alias("head"), F.count("*").alias("c")).where("c > 1")
-    stars = low.join(heads, ["seed", "low"]).select(F.col("head.cid").alias("a"), F.col("cid").alias("b"), F.col("n"), F.col("head.n").alias("m")).where("a <> b")
-    stars = cut(linked(stars.where(F.col("m") * den >= F.col("n") * num).select("a", "b").distinct(), sets, num, den), "stars")
+    levels = frequency_levels(sets)
+    leading = cut(sets.mapInArrow(partial(_leading, levels=levels, num=num, den=den), "tok long, cid long, n long, place long"), "leading")
+    heads = leading.groupBy("tok").agg(F.min(F.struct("n", "cid")).alias("head"), F.count("*").alias("c")).where("c > 1")
+    votes = attach(leading.select("tok", F.col("cid").alias("b"), "n"), heads, "tok", "c", leading.count()).where((F.col("head.cid") != F.col("b")) & (F.col("head.n") * den >= F.col("n") * num))
+    votes = votes.groupBy("b", F.col("head.cid").alias("a")).agg(F.count("*").alias("v")).groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("v", "a")), False), 1, 2).alias("best"))
+    stars = cut(linked(votes.select("b", F.explode("best.a").alias("a")), sets, num, den), "stars")
     grouped = components(stars, "groups")
     with_group = cut(sets.join(grouped, sets.cid == grouped.node, "left").select("cid", "n", F.coalesce("root", "cid").alias("grp"), "toks"), "grouped")
 
-    levels = frequency_levels(with_group)
-    leading = cut(with_group.mapInArrow(partial(_leading, levels=levels, num=num, den=den), "tok long, cid long, grp long, n long, place long"), "matrix")
+    leading = cut(leading.join(grouped, leading.cid == grouped.node, "left").select("tok", "cid", F.coalesce("root", "cid").alias("grp"), "n", "place"), "matrix")
     matrix = leading.groupBy("tok", F.col("grp").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("place")).alias("rest"))
     # shingles that one group alone has meet nothing
     common = matrix.groupBy("tok").agg(F.count("*").alias("groups")).where("groups > 1").select("tok")
@@ -321,7 +368,11 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, id_
     fits = (F.col("grp") > F.col("other")) & (F.col("hi") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("lo") * num)
     reach = F.least(F.col("n") - F.col("place"), F.col("rest")) * (num + den) >= (F.col("n") + F.greatest(F.col("lo"), F.ceil(F.col("n") * num / den))) * num
     met = left.join(right, (left.tok == right.tok) & fits & reach).select(F.col("cid").alias("a"), F.col("n"), F.col("grp").alias("own"), F.col("other").alias("grp")).distinct()
-    open_ = cut(met, "open")
+    most = with_group.groupBy("grp").agg(F.max("n").alias("hi"), F.min("n").alias("lo"))
+    kind = "grp long, bits binary"
+    unions = with_group.join(most, "grp").select("grp", "hi", "toks").mapInArrow(_unions, kind).repartition("grp").sortWithinPartitions("grp").mapInArrow(_join_unions, kind)
+    asked = cut(met, "met").join(most.select("grp", "lo"), "grp").join(unions, "grp").join(sets.select(F.col("cid").alias("a"), "toks"), "a")
+    open_ = cut(asked.select("a", "n", "own", "grp", "lo", "bits", "toks").mapInArrow(partial(_bounded, num=num, den=den), "a long, n long, own long, grp long"), "open")
 
     # a few members of each group first: what they link needn't be compared with the rest
     members = with_group.select(F.col("cid").alias("b"), F.col("n").alias("m"), "grp")
