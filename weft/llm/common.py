@@ -30,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="weft-")
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    # a path without a scheme is the default file system's, for Python tasks too
+    p = spark._jvm.org.apache.hadoop.fs.Path(base)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -48,11 +50,9 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI or plain path, and the path in it."""
-    if "://" in path or path.startswith("file:"):
-        if path.startswith("file:") and not path.startswith("file://"):
-            path = "file://" + path[len("file:") :]
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
 def write_file(path: str, chunks: Iterable[bytes]) -> int:
@@ -115,3 +115,11 @@ def partitions_for(spark: SparkSession, least: int = 1) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that none of a table's columns has, or begins with, in any case."""
+    mark = "_w"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]

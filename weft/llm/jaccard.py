@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.bitmaps import bitmap, has, places
-from weft.llm.common import cut, partitions_for, pieces, tidy
+from weft.llm.common import cut, partitions_for, pieces, tidy, unused
 from weft.llm.groups import attach
 from weft.llm.textarrays import mix, shingle_hashes, word_hashes
 
@@ -401,8 +401,9 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, id_
 
 def one_of_each(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all columns, that come first in their component. Rows that repeat id and text stay or go together."""
-    keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_sig", F.xxhash64("_id", F.col(text_col)))
+    own, sig, gone, gone_sig = unused(docs, "id", "sig", "gone", "gone_sig")
+    keyed = docs.withColumns({own: F.col(id_col).cast("long")}).withColumn(sig, F.xxhash64(own, F.col(text_col)))
     found = near_groups(docs, k, num, den, id_col, text_col)
     stays = F.max((F.col("first_row") == F.col("row")).cast("int"))
-    gone = found.groupBy("doc_id", "sig").agg(stays.alias("s")).where("s = 0").select(F.col("doc_id").alias("_gone"), F.col("sig").alias("_gone_sig"))
-    return keyed.join(gone, (F.col("_sig") == F.col("_gone_sig")) & F.col("_id").eqNullSafe(F.col("_gone")), "left_anti").drop("_id", "_sig")
+    lost = found.groupBy("doc_id", "sig").agg(stays.alias("s")).where("s = 0").select(F.col("doc_id").alias(gone), F.col("sig").alias(gone_sig))
+    return keyed.join(lost, (F.col(sig) == F.col(gone_sig)) & F.col(own).eqNullSafe(F.col(gone)), "left_anti").drop(own, sig)

@@ -12,7 +12,7 @@ hashes falls into one of AVERAGE classes; such chunks are runs of links.
 
 Defined cases: null and empty texts stay as they are. A single line of fewer than PASSAGE words stays,
 as do lines without words outside of links. A text all of whose lines are removed becomes empty. Rows that repeat both id and text are one occurrence and are treated alike; null ids come
-first. Lines end at \\n; a last line without it is a line. Other columns are kept, n_chars is set anew.
+first. Lines end at \\n; a last line without it is a line; a text that ends in \\n still does. Other columns are kept, n_chars is set anew.
 """
 
 from __future__ import annotations
@@ -25,9 +25,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.llm.bitmaps import bitmap, has
-from weft.llm.common import cut, pieces, tidy
+from weft.llm.common import cut, pieces, tidy, unused
+from weft.llm.groups import attach
 from weft.llm.textarrays import BASE, mix, powers, text_bytes, word_spans
 
 WINDOW = 3
@@ -50,10 +52,9 @@ class Chunks:
         if len(starts):
             size = stop - starts
             place = np.arange(len(raw)) - np.repeat(starts, size)
-            body = (raw.astype(np.uint64) + np.uint64(1)) * (place < 1 << 62)
+            body = raw.astype(np.uint64) + np.uint64(1)
             # powers of the base by place, without a table as long as the longest line
             step = powers(1024)
-            far = np.zeros(len(raw), np.uint64)
             hi = place >> 10
             top = powers(int(hi.max()) + 1) if hi.max() else np.ones(1, np.uint64)
             far = step[place & 1023] * (mix(top)[hi] | np.uint64(1))
@@ -119,7 +120,8 @@ class Chunks:
             at = code >> 1
             gone[at : at + 1 if code & 1 else inked[np.searchsorted(inked, at) + 1] + 1] = True
         kept = [self.raw[self.line_start[lo + i] : self.line_stop[lo + i]].tobytes().removesuffix(b"\n") for i in np.flatnonzero(~gone).tolist()]
-        return b"\n".join(kept), int(gone.sum())
+        ended = kept and self.raw[self.line_stop[hi - 1] - 1] == 10
+        return b"\n".join(kept) + (b"\n" if ended else b""), int(gone.sum())
 
     def text(self, i: int) -> bytes:
         """A chunk's bytes, without the last line's end."""
@@ -146,10 +148,10 @@ def _texts(batches: Iterator[pa.RecordBatch], text: str, marks: np.ndarray) -> I
 
 
 @tidy
-def _rebuild(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+def _rebuild(batches: Iterator[pa.RecordBatch], text: str, gone_col: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in pieces(whole, text, 2 << 20):
-            gone, lost = b.column("_gone").to_pylist(), [0] * b.num_rows
+            gone, lost = b.column(gone_col).to_pylist(), [0] * b.num_rows
             if any(gone):
                 rows = [i for i, g in enumerate(gone) if g]
                 c = Chunks(b.column(text).take(pa.array(rows)))
@@ -161,7 +163,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Record
             else:
                 made = b.column(text)
             removed = pa.array(lost, pa.int64())
-            names = [n for n in b.schema.names if n != "_gone"]
+            names = [n for n in b.schema.names if n != gone_col]
             length = pc.utf8_length(made).cast(pa.int64())
             cols = [made if n == text else pc.if_else(pc.greater(removed, 0), length, b.column(n)) if n == "n_chars" and pa.types.is_int64(b.schema.field(n).type) else b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*cols, removed], [*names, "_removed"])
@@ -174,14 +176,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated = cut(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
     marks = bitmap(repeated)
     rows = cut(own.mapInArrow(partial(_texts, text="text", marks=marks), "doc_id long, sig long, hash long, no long, body binary"), "links")
-    firsts = rows.groupBy("hash").agg(F.min(F.struct("doc_id", "sig", "no", "body")).alias("first"))
+    # links are told apart by their bytes' hash too, so that of two that share a line hash both go
+    rows = rows.withColumn("link", F.struct("hash", F.xxhash64("body").alias("body64")))
+    firsts = rows.groupBy("link").agg(F.min(F.struct("doc_id", "sig", "no", "body")).alias("first"), F.count("*").alias("n")).where("n > 1")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sig") == F.col("first.sig")) & (F.col("no") == F.col("first.no"))
-    # equal bytes, written so that they don't become a join key and move once more
-    same = (F.col("body") >= F.col("first.body")) & (F.col("body") <= F.col("first.body"))
-    lost = rows.join(firsts, "hash").where(~is_first & same)
-    lists = lost.groupBy("doc_id", "sig").agg(F.collect_set("no").alias("_gone")).select(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig"), "_gone")
-    keyed = docs.withColumn("_own", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
-    joined = keyed.join(lists, (F.col("_own") == F.col("_sig")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
-    schema = docs.schema.simpleString()[7:-1]
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _removed long" if schema else ""
-    return joined.select(*docs.columns, "_gone").mapInArrow(partial(_rebuild, text=text_col), kind)
+    # a line in a large share of all texts is broadcast, not one task's
+    lost = attach(rows, firsts, "link", "n", rows.count()).where(F.col("first").isNotNull() & ~is_first & (F.col("body") == F.col("first.body")))
+    own, gone, lost_id, lost_sig = unused(docs, "own", "gone", "id", "sig")
+    lists = lost.groupBy("doc_id", "sig").agg(F.collect_set("no").alias(gone)).select(F.col("doc_id").alias(lost_id), F.col("sig").alias(lost_sig), gone)
+    keyed = docs.withColumn(own, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
+    joined = keyed.join(lists, (F.col(own) == F.col(lost_sig)) & F.col(id_col).cast("long").eqNullSafe(F.col(lost_id)), "left")
+    kind = T.StructType([*docs.schema.fields, T.StructField("_removed", T.LongType())])
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), gone).mapInArrow(partial(_rebuild, text=text_col, gone_col=gone), kind)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut, partitions_for, pieces, tidy
+from weft.llm.common import cut, partitions_for, pieces, tidy, unused
 from weft.llm.textarrays import word_counts
 
 WEIGHTS = (5, 2, 1)
@@ -118,7 +118,8 @@ class Mix:
         n_blocks, number = block_counts(sizes), {s: i for i, s in enumerate(names)}
         facts = [(r.source, number.get(r.source), r.n, goal[r.source], n_blocks[r.source]) for r in per_source]
         table = spark.createDataFrame(facts, "s string, source_no long, source_size long, target double, n_blocks long").coalesce(1)
-        quota = [round(goal[s] * n_blocks[s] / sizes[s]) for s in names]
+        # a target of less than half a block still takes one
+        quota = [max(round(goal[s] * n_blocks[s] / sizes[s]), int(goal[s] > 0)) for s in names]
         n_slots = sum(quota)
         bounds = (np.cumsum(quota) / max(1, n_slots)).tolist()
 
@@ -154,7 +155,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 
 @tidy
-def _cut_texts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+def _cut_texts(batches: Iterator[pa.RecordBatch], text: str, size_col: str, taken_col: str) -> Iterator[pa.RecordBatch]:
     """Repeat each text as often as taken whole, and once more the words of each part."""
     from weft.llm.textarrays import text_bytes, word_spans
 
@@ -164,7 +165,7 @@ def _cut_texts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Reco
             starts, ends, before = word_spans(raw, off)
             rows: list[int] = []
             texts: list[str | None] = []
-            for i, (size, taken, own) in enumerate(zip(b.column("_size").to_pylist(), b.column("_taken").to_pylist(), b.column(text).to_pylist(), strict=True)):
+            for i, (size, taken, own) in enumerate(zip(b.column(size_col).to_pylist(), b.column(taken_col).to_pylist(), b.column(text).to_pylist(), strict=True)):
                 times, rest = divmod(taken, size) if size else (0, 0)
                 rows += [i] * (times + (rest > 0))
                 texts += [own] * times
@@ -172,18 +173,18 @@ def _cut_texts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Reco
                     texts.append(raw[off[i] : ends[before[i] + rest - 1]].tobytes().decode("utf-8", "replace"))
             if rows:
                 taken_rows = b.take(pa.array(rows))
-                keep = [c for c in b.schema.names if not c.startswith("_")]
+                keep = [c for c in b.schema.names if c not in (size_col, taken_col)]
                 made = pa.array(texts, pa.string())
                 length = pa.compute.utf8_length(made).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([made if c == text else length if c == "n_chars" else taken_rows.column(c) for c in keep], keep)
+                yield pa.RecordBatch.from_arrays([made if c == text else length if c == "n_chars" and pa.types.is_int64(b.schema.field(c).type) else taken_rows.column(c) for c in keep], keep)
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The mix as documents with their columns: each text as often as it is taken whole, and its first words where a part is taken."""
-    taken = Mix(docs, **how).documents.where("taken > 0").groupBy("doc_id", "key").agg(F.max("size").alias("_size"), F.sum("taken").alias("_sum"), F.count("*").alias("_n"))
-    seed = how.get("seed", 0)
-    rows = docs.withColumn("_key", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "_size", F.expr("_sum div _n").alias("_taken"))
-    joined = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
-    names = [*docs.columns, "_size", "_taken"]
-    return joined.select(*names).mapInArrow(partial(_cut_texts, text="text"), docs.schema)
+    taken = Mix(docs, seed=seed, id_col=id_col, text_col=text_col, **how).documents.where("taken > 0").groupBy("doc_id", "key").agg(F.max("size").alias("size"), F.sum("taken").alias("sum"), F.count("*").alias("n"))
+    own, key, size, part = unused(docs, "id", "key", "size", "taken")
+    rows = docs.withColumns({own: F.col(id_col).cast("long"), key: F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col))})
+    taken = taken.select(F.col("doc_id").alias("t_id"), F.col("key").alias("t_key"), F.col("size").alias(size), F.expr("sum div n").alias(part)).withColumnsRenamed({"t_id": f"{own}t", "t_key": f"{key}t"})
+    joined = rows.join(taken, F.col(own).eqNullSafe(F.col(f"{own}t")) & (F.col(key) == F.col(f"{key}t")))
+    names = [*(F.col(f"`{c}`") for c in docs.columns), size, part]
+    return joined.select(*names).mapInArrow(partial(_cut_texts, text=text_col, size_col=size, taken_col=part), docs.schema)

@@ -11,9 +11,9 @@ of at most SAMPLE labelled rows, those with the smallest hashes of their ids; al
 A row's expected grade is the sum of P(grade >= j), its tail probability P(grade >= the top grade);
 rows are kept while that is at least KEEP times the tail probability of a text that nothing counts against.
 
-Defined cases: null and empty texts have no words, only the shares, all 0, and are scored like any
-other. Labels with a null id or quality, and ids without a document, are not used; a null toxic counts
-as 0. Without any labelled row nothing counts against any text, and all are kept.
+Defined cases: null and empty texts, and those without a word, have nothing to keep: their grades are 0 and
+they are never selected. Labels with a null id or quality, and ids without a document, are not used; a null toxic counts
+as 0. Without any labelled row nothing counts against any text, and all with a word are kept.
 Repeated rows get equal scores. Other columns are ignored.
 """
 
@@ -74,8 +74,8 @@ def shares_of(last: np.ndarray, before: np.ndarray, raw: np.ndarray, off: np.nda
     return np.where(words == 0, 0.0, np.array(out)).T.astype(np.float32)
 
 
-def features(texts: pa.Array, active: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed prefixes of each text, each once, as (columns, text starts), and the texts' shares; only active columns if given."""
+def features(texts: pa.Array, active: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed prefixes of each text, each once, as (columns, text starts), the texts' shares and numbers of words; only active columns if given."""
     cols, before, raw, off = columns(texts)
     doc = np.repeat(np.arange(len(before) - 1), np.diff(before))
     pairs = []
@@ -84,7 +84,7 @@ def features(texts: pa.Array, active: np.ndarray | None = None) -> tuple[np.ndar
         pairs.append(doc[keep].astype(np.int64) << BITS | c[keep])
     pair = np.unique(np.concatenate(pairs))
     at = np.searchsorted(pair >> BITS, np.arange(len(before)))
-    return (pair & (1 << BITS) - 1).astype(np.int32), at, shares_of(cols[-1], before, raw, off)
+    return (pair & (1 << BITS) - 1).astype(np.int32), at, shares_of(cols[-1], before, raw, off), np.diff(before)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -183,7 +183,7 @@ class Ordinal:
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in pieces(whole, "text"):
-            cols, at, shares = features(b.column("text"))
+            cols, at, shares, _ = features(b.column("text"))
             kept = [cols[at[i] : at[i + 1]].astype("<i4").tobytes() for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("grade"), pa.array(kept, pa.binary()), pa.array([x.astype("<f4").tobytes() for x in shares], pa.binary())], ["id", "grade", "cols", "shares"])
 
@@ -220,8 +220,9 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def judged(texts: pa.Array, model: Ordinal | None, keep: float) -> tuple[np.ndarray, np.ndarray]:
     """P(grade >= j) of each text, and whether it is kept."""
     model = model or Ordinal()
-    tails = model.tails(model.raw(*features(texts, model.active)))
-    return tails, tails[:, -1] >= keep * model.tails(np.zeros(1))[0, -1]
+    cols, at, shares, words = features(texts, model.active)
+    tails = np.where(words[:, None] > 0, model.tails(model.raw(cols, at, shares)), 0.0)
+    return tails, (words > 0) & (tails[:, -1] >= keep * model.tails(np.zeros(1))[0, -1])
 
 
 @tidy

@@ -38,29 +38,30 @@ def digest32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _record_id(row: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(int=row)}>"
+def _record_id(row: str, run: str = "") -> str:
+    """The same for a row whenever its task is repeated, another in any other run."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{run}/{row}')}>"
 
 
 def _safe_url(url: str | None) -> str:
     return re.sub(r"[\s\x00-\x20\x7f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url) if url else "about:blank"
 
 
-def record(page_id: int | None, row: int, url: str | None, payload: bytes, first: tuple[int | None, int] | None) -> bytes:
-    """One compressed record; first: id and row of the page that holds the payload, if that's another."""
+def record(page_id: int | None, row: str, url: str | None, payload: bytes, first: tuple[int | None, str] | None, run: str = "") -> bytes:
+    """One compressed record; first: id and name of the page that holds the payload, if that's another; run: what record ids are unique to."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if first else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if first else 'response'}",
-        f"WARC-Record-ID: {_record_id(row)}",
+        f"WARC-Record-ID: {_record_id(row, run)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {_safe_url(url)}",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest32(payload)}",
         f"WARC-Block-Digest: sha1:{digest32(block)}",
         *([] if page_id is None else [f"X-Page-Id: {page_id}"]),
-        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(first[1])}"] if first else []),
+        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(first[1], run)}"] if first else []),
         *([f"X-Refers-To-Page: {first[0]}"] if first and first[0] is not None else []),
         f"Content-Length: {len(block)}",
     ]
@@ -127,7 +128,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
             for page, row, url, html, first, first_row in zip(*(b.column(c) for c in ("page_id", "row", "url", "html", "first_id", "first_row")), strict=True):
                 n[0] += 1
                 other = None if first_row.as_py() in (None, row.as_py()) else (first.as_py(), first_row.as_py())
-                yield record(page.as_py(), row.as_py(), url.as_py(), (html.as_py() or "").encode("utf-8", "surrogatepass"), other)
+                yield record(page.as_py(), row.as_py(), url.as_py(), (html.as_py() or "").encode("utf-8", "surrogatepass"), other, folder)
 
     rest = records()
     head = next(rest, None)
@@ -146,18 +147,18 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write a record for each page below a folder that executors share; the archives' paths."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
-    # rows that repeat an id and a payload are told apart by a number made once, before the joins
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    n = pages.count()
-    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "row")
-    groups = (
-        rows.where(F.octet_length("html") >= least_bytes)
-        .groupBy("digest")
-        .agg(F.min(order).alias("first"), F.count("*").alias("copies"))
-        .where("copies > 1")
-        .select("digest", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row"), "copies")
-    )
-    linked = attach(rows, groups, "digest", "copies", n).select("page_id", "row", "url", "html", "first_id", "first_row")
+    # a row is named by its content; only rows that repeat another wholly are told apart by a number
+    rows = rows.withColumn("own", F.xxhash64("page_id", "url", "digest").cast("string")).withColumn("number", F.monotonically_increasing_id())
+    same = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest", "page_id", "own").agg(F.count("*").alias("n"), F.min("number").alias("number"))
+    first = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "own", "n", "number"))
+    groups = same.groupBy("digest").agg(first.alias("f"), F.sum("n").alias("copies")).where("copies > 1")
+    numbered = lambda own, number: F.concat_ws("/", own, number)
+    groups = groups.select(
+        "digest", F.col("f.page_id").alias("first_id"), F.col("f.own").alias("first_own"), F.when(F.col("f.n") == 1, F.col("f.own")).otherwise(numbered(F.col("f.own"), F.col("f.number"))).alias("first_row"), "copies"
+    )
+    linked = attach(rows, groups, "digest", "copies", pages.count())
+    alone = (F.col("own") == F.col("first_own")) & (F.col("first_own") == F.col("first_row"))
+    linked = linked.select("page_id", F.when(alone, F.col("own")).otherwise(numbered(F.col("own"), F.col("number"))).alias("row"), "url", "html", "first_id", "first_row")
     files = linked.mapInArrow(partial(_write, folder=folder), "path string, records long, bytes long").collect()
     return sorted(f.path for f in files)
 
