@@ -17,8 +17,10 @@ def connect():
 
 
 def rows(df):
+    import pandas as pd
+
     df = df[sorted(df.columns)]
-    clean = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else v
+    clean = lambda v: None if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else v
     return sorted((tuple(map(clean, r)) for r in df.itertuples(index=False, name=None)), key=str)
 
 
