@@ -252,8 +252,8 @@ def pack_file(docs: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> I
 HEAD = len(MAGIC) + struct.calcsize("<QQQQQI")
 
 
-def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Documents' ids, their lengths and all token ids; every checksum is verified."""
+def _index(data: bytes) -> tuple[list[np.ndarray], int, int]:
+    """What a file's index holds, how many ids the file has, and where its blocks start."""
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a token-id file")
     n_docs, n_ids, n_blocks, n_symbols, n_packed, crc = struct.unpack_from("<QQQQQI", data, len(MAGIC))
@@ -264,8 +264,26 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     for kind, n in (("u1", n_docs), ("<i8", n_docs), ("<i8", n_docs), ("<u4", n_blocks), ("<u4", n_blocks), ("<u4", n_symbols), ("<u4", n_symbols)):
         parts.append(np.frombuffer(head, kind, n, at))
         at += n * parts[-1].itemsize
-    known, docs, lengths, words, sums, symbols, freq = parts
-    body = np.frombuffer(data, "<u4", int(words.sum()), HEAD + n_packed)
+    return parts, n_ids, HEAD + n_packed
+
+
+def read_block(data: bytes, i: int) -> np.ndarray:
+    """The token ids of one block, decoded from the file's index and that block's words alone; its checksum is verified."""
+    (_, _, _, words, sums, symbols, freq), n_ids, at = _index(data)
+    first = int(words[:i].sum())
+    body = np.frombuffer(data, "<u4", int(words[i]), at + 4 * first)
+    n = min(BLOCK, n_ids - i * BLOCK)
+    ids = symbols[decode_blocks(body, words[i : i + 1].astype(np.int64), n, freq.astype(np.int64))]
+    if zlib.crc32(ids.astype("<u4").tobytes()) != sums[i]:
+        raise ValueError(f"block {i} doesn't match its checksum")
+    return ids
+
+
+def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """Documents' ids, their lengths and all token ids; every checksum is verified."""
+    (known, docs, lengths, words, sums, symbols, freq), n_ids, at = _index(data)
+    n_blocks = len(words)
+    body = np.frombuffer(data, "<u4", int(words.sum()), at)
     ids = symbols[decode_blocks(body, words.astype(np.int64), n_ids, freq.astype(np.int64))] if n_ids else np.zeros(0, np.uint32)
     for i in range(n_blocks):
         if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) != sums[i]:
