@@ -20,6 +20,24 @@ from weft.schema import CONTEXT, EDGES, NODES, SOURCE, TARGET, Feature, GraphSch
 KEYS = {CONTEXT: ("component_id",), NODES: ("component_id", "node_id", "pos"), EDGES: ("component_id", "edge_id", "source_id", "target_id", "pos")}
 
 
+_checked = False
+
+
+def enable_validation() -> None:
+    """From now on graphs check as they are made that tables have their key columns and edges join known node sets. No jobs run."""
+    global _checked
+    _checked = True
+
+
+def disable_validation() -> None:
+    global _checked
+    _checked = False
+
+
+def is_graph(x: object) -> bool:
+    return isinstance(x, PropertyGraph)
+
+
 @dataclass(frozen=True)
 class EdgeSet:
     table: DataFrame
@@ -45,6 +63,16 @@ class PropertyGraph:
     edges: dict[str, EdgeSet] = field(default_factory=dict)
     context_table: DataFrame | None = None
 
+    def __post_init__(self) -> None:
+        if not _checked:
+            return
+        for kind, name, df in [*((NODES, n, x) for n, x in self.nodes.items()), *((EDGES, n, e.table) for n, e in self.edges.items())]:
+            if missing := [c for c in KEYS[kind] if c != "pos" and c not in df.columns]:
+                raise SchemaError(f"{kind}/{name} has no {missing}")
+        for name, e in self.edges.items():
+            if aux_prefix(name) is None and (missing := {e.source, e.target} - set(self.nodes)):
+                raise SchemaError(f"edges/{name} joins unknown node sets {sorted(missing)}")
+
     @staticmethod
     def of(nodes: dict[str, DataFrame], edges: dict[str, tuple[DataFrame, str, str]], context: DataFrame | None = None) -> PropertyGraph:
         """A graph of tables; component 0, and edge ids from a hash-free running id, are added where missing."""

@@ -7,7 +7,7 @@ node's projection is computed once, before it's joined to its edges.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -420,3 +420,89 @@ def item_dropout(df: DataFrame, features: Sequence[str], rate: float, keys: Sequ
     u = F.conv(F.substring(keyed_random(seed, *keys), 1, 12), 16, 10).cast("double") / 2.0**48
     f = F.when(u < rate, F.lit(0.0)).otherwise(1 / (1 - rate))
     return df.withColumns({c: scale(F.col(c), f) if df.schema[c].dataType.simpleString().startswith("array") else F.col(c) * f for c in features})
+
+
+# ---------------------------------------------------------------- whole updates
+
+
+def hom_update(graph: PropertyGraph, conv: Callable[[PropertyGraph, str, str], DataFrame], receiver: str = TARGET) -> PropertyGraph:
+    """A graph of one node set and one edge set whose new states are a convolution of the old."""
+    nodes, edges = graph.homogeneous_names()
+    return GraphUpdate(nodes={nodes: lambda g: conv(g, edges, receiver)})(graph)
+
+
+def gcn_update(graph: PropertyGraph, dense: Dense, receiver: str = TARGET, **how) -> PropertyGraph:
+    """gcn_conv() over a homogeneous graph, with self loops unless told otherwise."""
+    return hom_update(graph, lambda g, n, tag: gcn_conv(g, n, dense, tag, **{"self_loops": True, **how}), receiver)
+
+
+def gat_v2_update(graph: PropertyGraph, a: Attention, receiver: str = TARGET, **how) -> PropertyGraph:
+    return hom_update(graph, lambda g, n, tag: gat_v2(g, n, a, tag, **how), receiver)
+
+
+def attention_update(graph: PropertyGraph, a: Attention, receiver: str = TARGET, **how) -> PropertyGraph:
+    return hom_update(graph, lambda g, n, tag: multi_head_attention(g, n, a, tag, **how), receiver)
+
+
+def mpnn_update(graph: PropertyGraph, convs: dict[str, Callable[[PropertyGraph, str, str], DataFrame]], nxt: dict[str, Callable[[DataFrame, list[DataFrame]], DataFrame]], receiver: str = TARGET) -> PropertyGraph:
+    """Convolutions by edge set, and for each receiving node set that is named a next state of its own state and all that arrive there."""
+    out: dict[str, Callable] = {}
+    for to, state in nxt.items():
+        names = [n for n in convs if graph.edges[n].end(receiver) == to]
+        out[to] = lambda g, to=to, names=names, state=state: state(g.nodes[to], [convs[n](g, n, receiver) for n in names])
+    return GraphUpdate(nodes=out)(graph)
+
+
+def gat_v2_mpnn(graph: PropertyGraph, attentions: dict[str, Attention], nxt: dict[str, Dense], receiver: str = TARGET) -> PropertyGraph:
+    """gat_v2() messages and dense(state ++ messages)."""
+    return mpnn_update(graph, {n: (lambda g, e, tag, a=a: gat_v2(g, e, a, tag)) for n, a in attentions.items()}, {n: (lambda own, x, d=d: next_state_concat(own, x, d)) for n, d in nxt.items()}, receiver)
+
+
+def attention_mpnn(graph: PropertyGraph, attentions: dict[str, Attention], nxt: dict[str, Dense], receiver: str = TARGET) -> PropertyGraph:
+    """multi_head_attention() messages and dense(state ++ messages)."""
+    return mpnn_update(graph, {n: (lambda g, e, tag, a=a: multi_head_attention(g, e, a, tag)) for n, a in attentions.items()}, {n: (lambda own, x, d=d: next_state_concat(own, x, d)) for n, d in nxt.items()}, receiver)
+
+
+def sage_update(graph: PropertyGraph, neighbors: dict[str, Dense], own: dict[str, Dense], receiver: str = TARGET, **how) -> PropertyGraph:
+    """sage_mean() by edge set and sage_next_state() by node set."""
+    return mpnn_update(graph, {n: (lambda g, e, tag, d=d: sage_mean(g, e, d, tag)) for n, d in neighbors.items()}, {n: (lambda x, got, d=d: sage_next_state(x, got, d, **how)) for n, d in own.items()}, receiver)
+
+
+def mt_albis_update(graph: PropertyGraph, messages_: dict[str, Dense], nxt: dict[str, Dense], receiver: str = TARGET, reduce: str = "mean", **how) -> PropertyGraph:
+    """simple_conv() of sender and receiver states by edge set and mt_albis_next_state() by node set."""
+    convs = {n: (lambda g, e, tag, d=d: simple_conv(g, e, d, tag, reduce, "state", None, "state")) for n, d in messages_.items()}
+    return mpnn_update(graph, convs, {n: (lambda own, x, d=d: mt_albis_next_state(own, x, d, **how)) for n, d in nxt.items()}, receiver)
+
+
+def attention_edge_pool(graph: PropertyGraph, edge_set: str, a: Attention, receiver: str = TARGET, edge: str = "state", receiver_feature: str = "state", kind: str = "gat_v2") -> DataFrame:
+    """Attention of a receiver (a node or the context) over its edges' own states, as gat_v2 or scaled dot products."""
+    d = a.key.width // a.heads
+    value = a.key if kind == "gat_v2" else a.value or a.key
+    factor = {"none": 1.0, "rsqrt_dim": d**-0.5}.get(a.scaling, 1.0)
+
+    def per_edge(n: str) -> DataFrame:
+        m = messages(graph, n, receiver, None, edge, receiver_feature)
+        m = m.withColumn("_k", a.key(F.col("edge"))).withColumn("_q", a.query(F.col("receiver"))).withColumn("values", value(F.col("edge")))
+        if kind == "gat_v2":
+            x = F.transform(add(F.col("_q"), F.col("_k")), lambda v: activate(a.activation, v))
+            m = m.withColumn("_x", x)
+            logits = [sum((F.col("_x")[h * d + j] * float(a.vector[h][j]) for j in range(d)), F.lit(0.0)) for h in range(a.heads)]
+        else:
+            logits = [sum((F.col("_q")[h * d + j] * F.col("_k")[h * d + j] for j in range(d)), F.lit(0.0)) * factor for h in range(a.heads)]
+        return m.withColumn("logits", F.array(*logits))
+
+    dv = value.width // a.heads
+    return _merged(attention(graph, [edge_set], per_edge, receiver, a.heads, dv), a, dv)
+
+
+def config(layer: Dense | Attention) -> dict:
+    """A layer as plain values, for files of settings."""
+    return asdict(layer)
+
+
+def from_config(kind: type, values: dict) -> Dense | Attention:
+    """The layer that config() gave these values for; unknown names raise."""
+    known = {f.name for f in fields(kind)}
+    if unknown := set(values) - known:
+        raise ValueError(f"{kind.__name__} has no {sorted(unknown)}")
+    return kind(**{k: Dense(**v) if isinstance(v, dict) else v for k, v in values.items()})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
@@ -332,3 +333,40 @@ def integrated_gradients_linear(df: DataFrame, baseline: DataFrame, keys: Sequen
     """Attributions of a linear model, for which the path integral is weight * (value - baseline)."""
     diff = combine_features(df, baseline, keys, list(weights))
     return diff.select(*keys, *((F.col(f) * w).alias(f) for f, w in weights.items()))
+
+
+# ---------------------------------------------------------------- contrastive tasks
+
+
+@dataclass(frozen=True)
+class Corruption:
+    """Shares of items whose features are shuffled, by set: (kind, set) -> rate; ``default`` for the others."""
+
+    rates: dict[tuple[str, str], float] = field(default_factory=dict)
+    default: float = 1.0
+
+
+def corrupt(graph: PropertyGraph, spec: Corruption, seed: int = 0) -> PropertyGraph:
+    """Every feature of every set that isn't auxiliary shuffled over the set's items at the set's rate."""
+    from weft.operators.structure import shuffle_features
+    from weft.schema import NODES
+
+    out = graph
+    for kind, name, _ in graph.iter_sets(aux=False):
+        rate = spec.rates.get((kind, name), spec.default)
+        if rate > 0 and kind == NODES and (own := graph.features(kind, name)):
+            out = shuffle_features(out, kind, name, own, seed, rate)
+    return out
+
+
+def infomax_loss(clean: DataFrame, corrupted: DataFrame, col: str, weights: Sequence[Sequence[float]], width: int) -> DataFrame:
+    """One row: the cross-entropy of telling clean rows from corrupted ones, both against the clean mean."""
+    both = clean.select(col, F.lit(1.0).alias("y")).unionByName(corrupted.select(col, F.lit(0.0).alias("y")))
+    mean = clean.agg(*(F.avg(F.col(col)[i].cast("double")).alias(str(i)) for i in range(width))).first()
+    v = np.asarray(weights) @ (1 / (1 + np.exp(-np.array([mean[str(i)] for i in range(width)]))))
+    z = sum((F.col(col)[i].cast("double") * float(v[i]) for i in range(width)), F.lit(0.0))
+    return both.select(z.alias("z"), "y").agg(F.avg(F.greatest(F.col("z"), F.lit(0.0)) - F.col("z") * F.col("y") + F.log1p(F.exp(-F.abs("z")))).alias("loss"))
+
+
+#: Losses of pairs of views, by name: fn(table, first view, second view, width) -> value.
+CONTRASTIVE = {"vicreg": vicreg_loss, "barlow_twins": barlow_twins_loss}

@@ -413,3 +413,137 @@ def mpnn_update(spark, sf_dir):
     nxt = lambda own, inputs: layers.next_state_concat(own, inputs, layers.Dense([[1], [0], [1]]))
     out = layers.conv_updates(g, conv, nxt, SOURCE, ["orders"])(g)
     return out.nodes["orders"].select("node_id", F.col("state")[0].alias("a"))
+
+
+# ---------------------------------------------------------------- whole updates, tasks, settings
+
+
+def _pairs(spark, sf_dir) -> PropertyGraph:
+    """Nations by trade, with the state (nation's number / 10, 1)."""
+    from weft.queries import _nation_pairs
+
+    g = _nation_pairs(spark, sf_dir)
+    return g.with_table(NODES, "nation", g.nodes["nation"].select("component_id", "node_id", F.array(F.col("node_id") / 10.0, F.lit(1.0)).alias("state")))
+
+
+_PAIRS = """WITH trade AS (SELECT CAST(s_nationkey AS BIGINT) AS s, CAST(c_nationkey AS BIGINT) AS t, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey
+    JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), k AS (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation)"""
+
+
+@query(_PAIRS + """, d AS (SELECT k, (SELECT count(*) FROM trade WHERE t = k) + 1.0 AS di, (SELECT count(*) FROM trade WHERE s = k) + 1.0 AS dr FROM k),
+    m AS (SELECT t, s / 10.0 AS x, 1 / sqrt(a.di) / sqrt(b.dr) AS f FROM trade JOIN d a ON a.k = t JOIN d b ON b.k = s UNION ALL SELECT k, k / 10.0, 1 / sqrt(di) / sqrt(dr) FROM d)
+    SELECT t AS node_id, CAST(floor(sum(f * x) * 1000 + 0.123) AS BIGINT) AS a FROM m GROUP BY 1""")
+def gcn_update(spark, sf_dir):
+    out = layers.gcn_update(_pairs(spark, sf_dir), layers.Dense([[1], [0]]))
+    return out.nodes["nation"].select("node_id", _thousandths(F.col("state")[0]))
+
+
+_SOFT = """, e AS (SELECT t, s / 10.0 AS x, {logit} AS v FROM trade), m AS (SELECT *, max(v) OVER (PARTITION BY t) AS m FROM e)
+    SELECT k AS node_id, CAST(floor(coalesce(sum(exp(v - m) * {value}) / sum(exp(v - m)), 0) * 1000 + 0.123) AS BIGINT) AS a FROM k LEFT JOIN m ON t = k GROUP BY 1"""
+
+
+@query(_PAIRS + _SOFT.format(logit="CASE WHEN t / 10.0 - s / 10.0 > 0 THEN t / 10.0 - s / 10.0 ELSE 0.2 * (t / 10.0 - s / 10.0) END", value="-x"))
+def gat_v2_update(spark, sf_dir):
+    a = layers.Attention(layers.Dense([[1], [0]]), layers.Dense([[-1], [0]]), vector=[[1]])
+    out = layers.gat_v2_update(_pairs(spark, sf_dir), a)
+    return out.nodes["nation"].select("node_id", _thousandths(F.col("state")[0]))
+
+
+@query(_PAIRS + _SOFT.format(logit="t / 10.0 * s / 10.0", value="x"))
+def attention_update(spark, sf_dir):
+    a = layers.Attention(layers.Dense([[1], [0]]), layers.Dense([[1], [0]]))
+    out = layers.attention_update(_pairs(spark, sf_dir), a)
+    return out.nodes["nation"].select("node_id", _thousandths(F.col("state")[0]))
+
+
+_ORDER_PARTS = """WITH e AS (SELECT l_orderkey AS k, {v} AS v, p_size AS s FROM lineitem JOIN part ON l_partkey = p_partkey), m AS (SELECT k, v, s, max(v) OVER (PARTITION BY k) AS m FROM e)
+    SELECT o_orderkey AS node_id, CAST(floor((1 + {c} * coalesce(sum(exp(v - m) * s) / sum(exp(v - m)), 0)) * 1000 + 0.123) AS BIGINT) AS a FROM orders LEFT JOIN m ON k = o_orderkey GROUP BY 1"""
+
+
+@query(_ORDER_PARTS.format(v="1 + p_size / 10.0", c="0.1"))
+def gat_v2_mpnn(spark, sf_dir):
+    a = layers.Attention(layers.Dense([[1], [0]]), layers.Dense([[0.1], [0]]), vector=[[1]])
+    out = layers.gat_v2_mpnn(_states(spark, sf_dir), {"contains": a}, {"orders": layers.Dense([[1], [0], [1]])}, SOURCE)
+    return out.nodes["orders"].select("node_id", _thousandths(F.col("state")[0]))
+
+
+@query(_ORDER_PARTS.format(v="p_size / 10.0", c="2"))
+def attention_mpnn(spark, sf_dir):
+    a = layers.Attention(layers.Dense([[1], [0]]), layers.Dense([[0.1], [0]]), layers.Dense([[1], [0]]), scaling="none")
+    out = layers.attention_mpnn(_states(spark, sf_dir), {"contains": a}, {"orders": layers.Dense([[1], [0], [2]])}, SOURCE)
+    return out.nodes["orders"].select("node_id", _thousandths(F.col("state")[0]))
+
+
+@query("""SELECT o_orderkey AS node_id, CAST(floor((1 + coalesce(CAST(sum(p_size) AS DOUBLE) / count(p_size), 0)) * 1000 + 0.123) AS BIGINT) AS a FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+def sage_update(spark, sf_dir):
+    out = layers.sage_update(_states(spark, sf_dir), {"contains": layers.Dense([[1], [0]])}, {"orders": layers.Dense([[1], [0]])}, SOURCE, normalize=False)
+    return out.nodes["orders"].select("node_id", _thousandths(F.col("state")[0]))
+
+
+@query("""SELECT o_orderkey AS node_id, CAST(floor((1 + greatest(coalesce(avg(p_size + 1.0), 0), 0)) * 1000 + 0.123) AS BIGINT) AS a FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+def mt_albis_update(spark, sf_dir):
+    """Messages of both ends' states, their mean, dense with relu and residual."""
+    out = layers.mt_albis_update(_states(spark, sf_dir), {"contains": layers.Dense([[1], [0], [1], [0]])}, {"orders": layers.Dense([[0, 0], [0, 0], [1, 0]])}, SOURCE, normalization="none")
+    return out.nodes["orders"].select("node_id", _thousandths(F.col("state")[0]))
+
+
+_EDGE_POOL = """WITH e AS (SELECT l_orderkey AS k, {v} AS v, CAST(l_quantity AS BIGINT) AS q FROM lineitem), m AS (SELECT k, v, q, max(v) OVER (PARTITION BY k) AS m FROM e)
+    SELECT o_orderkey AS node_id, CAST(floor(coalesce(sum(exp(v - m) * q{f}) / sum(exp(v - m)), 0) * 1000 + 0.123) AS BIGINT) AS a FROM orders LEFT JOIN m ON k = o_orderkey GROUP BY 1"""
+
+
+@query(_EDGE_POOL.format(v="1 + CAST(l_quantity AS BIGINT) / 10.0", f=" / 10.0"))
+def gat_v2_edge_pool(spark, sf_dir):
+    """Orders attend to their lineitems' own states."""
+    a = layers.Attention(layers.Dense([[1], [0]]), layers.Dense([[0.1]]), vector=[[1]])
+    out = layers.attention_edge_pool(_states(spark, sf_dir), "contains", a, SOURCE)
+    return out.select("node_id", _thousandths(F.col("value")[0]))
+
+
+@query(_EDGE_POOL.format(v="CAST(l_quantity AS BIGINT) / 10.0", f=""))
+def attention_edge_pool(spark, sf_dir):
+    a = layers.Attention(layers.Dense([[1], [0]]), layers.Dense([[0.1]]), layers.Dense([[1]]), scaling="none")
+    out = layers.attention_edge_pool(_states(spark, sf_dir), "contains", a, SOURCE, kind="dot")
+    return out.select("node_id", _thousandths(F.col("value")[0]))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS k, p_size / 10.0 AS v, 0.5 * p_size + 1 AS s FROM lineitem JOIN part ON l_partkey = p_partkey), m AS (SELECT k, v, s, max(v) OVER (PARTITION BY k) AS m FROM e),
+    a AS (SELECT o_orderkey AS k, CAST(floor(CAST(o_totalprice AS DECIMAL(18,2)) / 100000) AS DOUBLE) AS p, coalesce(sum(exp(v - m) * s) / sum(exp(v - m)), 0) AS x FROM orders LEFT JOIN m ON k = o_orderkey GROUP BY 1, 2),
+    g AS (SELECT k, 0.5 * (x * 0.5 * (1 + tanh(0.7978845608028654 * (x + 0.044715 * x * x * x)))) + 0.5 AS a, 0.5 * (x * 0.5 * (1 + tanh(0.7978845608028654 * (x + 0.044715 * x * x * x)))) + 0.5 * p AS b FROM a)
+    SELECT k AS node_id, CAST(floor((a - (a + b) / 2) / sqrt(((a - b) / 2) ** 2 + 0.001) * 1000 + 0.123) AS BIGINT) AS a FROM g""")
+def hgt_update_normalized(spark, sf_dir):
+    a = layers.Attention(layers.Dense([[1], [0]]), layers.Dense([[0.1], [0]]), layers.Dense([[0.5], [1]]))
+    out = layers.hgt_update(_states(spark, sf_dir), ["contains"], SOURCE, {"contains": a}, {"contains": [1.0]}, layers.Dense([[1, 1]]), 0.0, normalize=True)
+    return out.select("node_id", _thousandths(F.col("value")[0]))
+
+
+@query("""SELECT * FROM (VALUES ('dense', true), ('attention', true), ('unknown name', false)) t(name, ok)""")
+def layer_settings(spark, sf_dir):
+    """Layers as plain values and back."""
+    dense, a = layers.Dense([[1.0], [2.0]], [0.5], "relu"), layers.Attention(layers.Dense([[1.0]]), layers.Dense([[2.0]]), heads=1)
+    rows = [("dense", layers.from_config(layers.Dense, layers.config(dense)) == dense), ("attention", layers.from_config(layers.Attention, layers.config(a)) == a)]
+    try:
+        layers.from_config(layers.Dense, {"weight": [[1.0]]})
+        rows.append(("unknown name", True))
+    except ValueError:
+        rows.append(("unknown name", False))
+    return spark.createDataFrame(rows, "name string, ok boolean")
+
+
+@query("""SELECT CAST((SELECT sum(p_size) FROM part) AS BIGINT) AS total, true AS moved, CAST((SELECT sum(CAST(floor(o_totalprice) AS BIGINT)) FROM orders) AS BIGINT) AS untouched""")
+def corrupted_features(spark, sf_dir):
+    """Features of parts shuffled, those of orders left alone."""
+    g = tpch.catalog(spark, sf_dir)
+    g = PropertyGraph({"part": g.nodes["part"].select("component_id", "node_id", "size"), "orders": g.nodes["orders"].select("component_id", "node_id", "totalprice")}, {})
+    out = metrics.corrupt(g, metrics.Corruption({(NODES, "part"): 1.0, (NODES, "orders"): 0.0}), 5)
+    both = out.nodes["part"].join(g.nodes["part"].select("node_id", F.col("size").alias("was")), "node_id").agg(F.sum("size").alias("total"), (F.count(F.when(F.col("size") != F.col("was"), 1)) > F.count("*") / 2).alias("moved"))
+    return both.crossJoin(out.nodes["orders"].agg(F.sum(F.floor("totalprice").cast("long")).alias("untouched")))
+
+
+@query("""WITH m AS (SELECT avg(CAST(embedding[1] AS DOUBLE)) AS a, avg(CAST(embedding[2] AS DOUBLE)) AS b FROM embeddings), s AS (SELECT 1 / (1 + exp(-a)) AS a, 1 / (1 + exp(-b)) AS b FROM m),
+    z AS (SELECT embedding[1] * (2 * s.a + s.b) - embedding[2] * s.b AS z, 1 AS y FROM embeddings, s UNION ALL SELECT embedding[2] * (2 * s.a + s.b) - embedding[1] * s.b, 0 FROM embeddings, s)
+    SELECT CAST(floor(avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))) * 1000000 + 0.123) AS BIGINT) AS loss FROM z""")
+def infomax_loss(spark, sf_dir):
+    """Clean rows against rows with their components exchanged."""
+    e = tpch.read(spark, sf_dir, "embeddings")
+    clean, other = e.select(F.slice("embedding", 1, 2).alias("x")), e.select(F.reverse(F.slice("embedding", 1, 2)).alias("x"))
+    return metrics.infomax_loss(clean, other, "x", [[2.0, 1.0], [0.0, -1.0]], 2).select(F.floor(F.col("loss") * 1_000_000 + 0.123).alias("loss"))

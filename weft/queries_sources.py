@@ -294,3 +294,56 @@ def shown_values(spark, sf_dir):
     g = PropertyGraph({"region": tpch.catalog(spark, sf_dir).nodes["region"]}, {})
     rows = tools.graph_to_values(g, 20)["nodes"]["region"]
     return _rows(spark, [(int(r["node_id"]), r["name"]) for r in rows], "node_id int, name string")
+
+
+# ---------------------------------------------------------------- datasets and checks
+
+
+@query("""SELECT CAST(p * 100 + i AS BIGINT) AS id, CAST(i * i AS BIGINT) AS square FROM range(4) a(p), range(5) b(i)""")
+def generated_rows(spark, sf_dir):
+    """A generator's rows, a part in each task."""
+    return tables.generated(spark, lambda p: ((p * 100 + i, i * i) for i in range(5)), 4, "id long, square long")
+
+
+@query("""SELECT r_regionkey AS key, CAST(3 AS BIGINT) AS times FROM region""")
+def repeated_dataset(spark, sf_dir):
+    """A dataset repeated, and shared out between two workers."""
+    d = tables.Dataset(lambda s: tpch.read(s, sf_dir, "region").select(F.col("r_regionkey").alias("key")), seed=4, times=3)
+    both = d.read(spark, 0, 2).unionByName(d.read(spark, 1, 2))
+    return both.groupBy("key").agg(F.count("*").alias("times"))
+
+
+@query("""SELECT * FROM (VALUES ('complete', false), ('no node ids', true), ('unknown node set', true), ('a graph', true), ('a table', false)) t(name, yes)""")
+def checked_graphs(spark, sf_dir):
+    """Checks of graphs as they are made."""
+    from weft import graph as graphs
+
+    g = tpch.catalog(spark, sf_dir)
+    placed = g.edges["placed"]
+    graphs.enable_validation()
+    try:
+        rows = [
+            ("complete", _fails(lambda: PropertyGraph(g.nodes, {"placed": placed}))),
+            ("no node ids", _fails(lambda: PropertyGraph({"x": g.nodes["part"].drop("node_id")}))),
+            ("unknown node set", _fails(lambda: PropertyGraph({"customer": g.nodes["customer"]}, {"placed": placed}))),
+        ]
+    finally:
+        graphs.disable_validation()
+    return _rows(spark, [*rows, ("a graph", graphs.is_graph(g)), ("a table", graphs.is_graph(g.nodes["part"]))], "name string, yes boolean")
+
+
+@query("""SELECT CAST(i AS BIGINT) AS component_id, CAST(10 AS BIGINT) AS items, CAST(30 AS BIGINT) AS edges, true AS inside FROM range(6) t(i)""")
+def training_examples(spark, sf_dir):
+    """Random samples of a schema, written as Examples and decoded."""
+    s = GraphSchema({"item": SetSchema({"price": Feature("DT_FLOAT")})}, {"near": SetSchema({}, "item", "item")})
+    written = tools.training_data(spark, s, new_path(spark, "training"), 6)
+    longs = T.ArrayType(T.LongType())
+    got = tfrecord.decode_samples(written, {"nodes/item.#size": longs, "edges/near.#source": longs})
+    return got.select("component_id", F.col("nodes_item_size")[0].alias("items"), F.size("edges_near_source").cast("long").alias("edges"), F.forall("edges_near_source", lambda x: (x >= 0) & (x < 10)).alias("inside"))
+
+
+@query("""SELECT * FROM (VALUES ('all columns', false), ('one is missing', true)) t(name, fails)""")
+def hyper_edge_columns(spark, sf_dir):
+    spec = tools.HyperAdjacencySpec({0: "customer", 1: "orders"})
+    o = tpch.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("node_0"), F.col("o_orderkey").alias("node_1"))
+    return _rows(spark, [("all columns", _fails(lambda: spec.check(o))), ("one is missing", _fails(lambda: spec.check(o.drop("node_1"))))], "name string, fails boolean")

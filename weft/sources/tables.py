@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -313,3 +314,41 @@ def random_graph(spark: SparkSession, schema: GraphSchema, nodes: dict[str, int]
     if schema.context is not None:
         context = features(spark.range(1), schema.context, "context").withColumnRenamed("id", "component_id")
     return PropertyGraph.of(node_tables, edge_tables, context)
+
+
+def generated(spark: SparkSession, make: Callable[[int], Iterator[tuple]], parts: int, schema: str) -> DataFrame:
+    """Rows that a generator makes for each of some parts, each part in a task of its own."""
+    import pandas as pd
+
+    names = [f.name for f in T._parse_datatype_string(schema).fields] if not isinstance(schema, T.StructType) else schema.names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in b["id"].tolist():
+                rows: list[tuple] = []
+                for row in make(int(i)):
+                    rows.append(row)
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+    return spark.range(parts, numPartitions=parts).mapInPandas(run, schema)
+
+
+@dataclass(frozen=True)
+class Dataset:
+    """Where rows come from, and how they are given out: shuffled by a seed, repeated, as a share of this worker's."""
+
+    load: Callable[[SparkSession], DataFrame]
+    seed: int | None = None
+    times: int = 1
+
+    def read(self, spark: SparkSession, worker: int = 0, workers: int = 1) -> DataFrame:
+        df = self.load(spark)
+        if workers > 1:
+            df = df.where(F.pmod(F.xxhash64(*df.columns), F.lit(workers)) == worker)
+        if self.times > 1:
+            df = df.withColumn("_time", F.explode(F.sequence(F.lit(1), F.lit(self.times)))).drop("_time")
+        return df if self.seed is None else shuffled(df, self.seed)

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from weft.graph import PropertyGraph
 from weft.plans.sample import sample
 from weft.plans.spec import UNIFORM, SamplingOp, SamplingSpec, SeedOp
-from weft.schema import CONTEXT, parse_text, read_schema, validate_schema
-from weft.sources import tables
+from weft.schema import CONTEXT, GraphSchema, parse_text, read_schema, validate_schema
+from weft.sources import tables, tfrecord
 
 
 def parse_plan(text: str) -> SamplingSpec:
@@ -71,6 +71,44 @@ class HyperAdjacency:
         return out
 
 
+def to_networkx(graph: PropertyGraph):
+    """A small graph as a networkx multigraph on the driver: nodes are (set, id), edges carry their set and features."""
+    import networkx as nx
+
+    out = nx.MultiDiGraph()
+    for name, df in graph.nodes.items():
+        for r in tables.local_rows(df):
+            out.add_node((name, r.pop("node_id")), **r)
+    for name, e in graph.edges.items():
+        for r in tables.local_rows(e.table):
+            out.add_edge((e.source, r.pop("source_id")), (e.target, r.pop("target_id")), edge_set=name, **r)
+    return out
+
+
+def training_data(spark: SparkSession, schema: GraphSchema, path: str, samples: int, nodes: int = 10, edges: int = 30, seed: int = 0) -> DataFrame:
+    """Random samples of a schema as Examples in files: (component_id, example), as written."""
+    g = tables.random_graph(spark, schema, dict.fromkeys(schema.node_sets, nodes * samples), dict.fromkeys(schema.edge_sets, 0), seed)
+    part = F.expr(f"node_id div {nodes}")
+    own = {n: x.withColumn("component_id", part) for n, x in g.nodes.items()}
+    ends = lambda c: (F.pmod(F.xxhash64(F.lit(seed), F.lit(c), "edge_id"), F.lit(nodes)) + F.col("component_id") * nodes).alias(c)
+    ids = spark.range(edges * samples).select(F.col("id").alias("edge_id"), F.expr(f"id div {edges}").alias("component_id"))
+    sets = {n: (ids.select("component_id", "edge_id", ends("source_id"), ends("target_id")), e.source, e.target) for n, e in schema.edge_sets.items()}
+    encoded = tfrecord.encode_samples(PropertyGraph.of(own, sets))
+    encoded.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@dataclass(frozen=True)
+class HyperAdjacencySpec:
+    """Which node set each tag of a hyperedge names."""
+
+    ends: dict[int, str]
+
+    def check(self, table: DataFrame) -> None:
+        if missing := [f"node_{t}" for t in self.ends if f"node_{t}" not in table.columns]:
+            raise ValueError(f"no columns {missing}")
+
+
 def main(args: list[str]) -> int:
     if len(args) == 2 and args[0] == "validate":
         for w in validate_schema(read_schema(args[1])):
