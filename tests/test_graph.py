@@ -279,3 +279,29 @@ def test_types(spark):
 
     assert Feature("DT_FLOAT", (2, -1)).spark_type() == T.ArrayType(T.ArrayType(T.FloatType()))
     assert Feature.of(T.ArrayType(T.LongType())) == Feature("DT_INT64", (-1,))
+
+
+def test_schema_text_escapes():
+    from weft.schema import parse_text
+
+    assert parse_text(r'a: "\303\274 \x41\n\"q\" \\"')["a"] == ['ü A\n"q" \\']
+
+
+def test_self_clustering_of_zeros():
+    import numpy as np
+
+    from weft.operators.metrics import self_clustering
+
+    assert self_clustering(np.zeros((3, 3)), 5) == 1.0
+
+
+def test_ordered_rank_over_partitions(spark):
+    from weft.operators.structure import dense_index, ordered_rank
+
+    df = spark.range(3000).selectExpr("id % 3 AS component_id", "id * 7919 % 3000 AS node_id").repartition(5)
+    assert [r.r for r in ordered_rank(df, ["node_id"], "r").orderBy("node_id").collect()] == list(range(3000))
+    a = {(r.component_id, r.node_id): r["index"] for r in dense_index(df, "node_id").collect()}
+    b = {(r.component_id, r.node_id): r["index"] for r in dense_index(df, "node_id", few_components=True).collect()}
+    assert a == b
+    plan = dense_index(df, "node_id", few_components=True)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("BroadcastExchange")[0]

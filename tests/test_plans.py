@@ -104,3 +104,29 @@ def test_ragged(spark):
     assert ragged.choice(rows, 2, key="pos").count() == 3
     assert spark.range(1).select(ragged.row_ids(F.array(*map(F.lit, [2, 1, 0, 2])))).first()[0] == [0, 0, 1, 3, 3]
     assert sorted(r.pos for r in ragged.shuffle_within(rows).where("row_id = 0").collect()) == [0, 1, 2]
+
+
+def test_hubs_are_cut_before_the_join(spark):
+    """TOP_K keeps a source's edges before the frontier is joined, whatever the number of samples that hold it."""
+    from weft.plans.sample import sample_hop
+    from weft.plans.spec import SamplingOp
+
+    edges = spark.range(5000).selectExpr("0L AS component_id", "id AS edge_id", "IF(id < 4000, 1L, id) AS source_id", "id AS target_id", "CAST(id % 1000 AS DOUBLE) AS weight")
+    frontier = spark.range(50).selectExpr("id AS sample_id", "1L AS node_id")
+    got = sample_hop(frontier, edges, SamplingOp("op", ("seed",), "e", 3, "TOP_K"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("row_number")
+    assert sorted({r.edge_id for r in got.collect()}) == [999, 1999, 2999] and got.count() == 150
+
+
+def test_no_strategy_sees_the_future(spark):
+    from pyspark.sql import functions as F
+
+    from weft.plans.sample import sample_hop
+    from weft.plans.spec import SamplingOp
+
+    edges = spark.createDataFrame([(0, 1, 7, 1, 5, 1.0), (0, 2, 7, 2, 99, 1.0)], "component_id long, edge_id long, source_id long, target_id long, ts long, weight double")
+    frontier = spark.createDataFrame([(0, 7, 50)], "sample_id long, node_id long, as_of long")
+    for strategy in ("RANDOM_UNIFORM", "RANDOM_WEIGHTED", "TOP_K", "LATEST_K"):
+        assert [r.edge_id for r in sample_hop(frontier, edges, SamplingOp("op", ("seed",), "e", 3, strategy)).collect()] == [1], strategy
+    assert edges.where(F.col("ts") > 50).count() == 1
