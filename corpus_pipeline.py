@@ -3,6 +3,15 @@
 quality: rows that the ordinal classifier rejects go. lines: repeated chunks of lines go. near: of each
 group of near duplicates (five words, similarity 0.8) the row with the smallest doc_id stays. mix:
 texts are repeated or cut so that sources meet their target weights. pack: windows of 2048 tokens.
+
+Defined cases: null and empty texts, and those without a word, are rejected by quality, with or without
+labels; texts that lines empties pass near (they link with nothing) and are never taken by mix. Without
+labels quality keeps all rows with a word. Null ids are rows like any other, and come first in lines and
+last in near; a null source is a source. Rows that repeat id and text stay or go together, and near keeps
+all of them if one stays. Ties go to the smaller doc_id. Very long texts pass whole; a task holds one text
+at a time with a few dozen bytes of working memory for each of its bytes. An empty table gives an empty
+result. Other columns of documents are kept up to mix, whatever their names; n_chars is set anew where a
+text changes.
 """
 
 from __future__ import annotations
