@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import resource
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -21,6 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Python workers take this many bytes of text at a time, whatever the size of Spark's batches.
 SLICE_BYTES = 4 << 20
 
+#: A worker that holds no more than this between tasks has nothing to give back.
+IDLE_BYTES = 150 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as a URI or path without a final slash."""
@@ -73,12 +77,22 @@ def _trim() -> Callable[[int], int] | None:
     return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+def _resident() -> int:
+    """Bytes of memory that this process holds."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize()
+    except OSError:
+        return 1 << 62
+
+
 def give_back() -> None:
-    """Return freed memory to the system: idle workers share the executor's."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    if trim := _trim():
-        trim(0)
+    """Return freed memory to the system if there is much of it: idle workers share the executor's."""
+    if _resident() > IDLE_BYTES:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := _trim():
+            trim(0)
 
 
 def tidy(task: Callable) -> Callable:
