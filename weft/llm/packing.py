@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.bpe import default_path, loaded
 from weft.llm.common import cut, open_fs, partitions_for, pieces, scratch, tidy, write_file
+from weft.llm.mixing import ranked
 
 WINDOW = 2048
 GRAIN = 16
@@ -140,16 +141,24 @@ class Slots:
 
 
 @tidy
-def _assign(batches: Iterator[pa.RecordBatch], slots: Slots, before: dict[int, list[int]], window: int, grain: int) -> Iterator[pa.RecordBatch]:
-    """Place each remainder: in a combination's slot, or among those left over."""
+def _assign(batches: Iterator[pa.RecordBatch], slots: Slots, window: int, grain: int) -> Iterator[pa.RecordBatch]:
+    """Place each remainder: in a combination's slot, or among those left over.
+
+    Rows come sorted by file, and a file's first (row -1) holds how many remainders of each bin the files before have.
+    """
     seen: dict[int, np.ndarray] = {}
-    for b in batches:
+    for whole in batches:
+        for p, pairs in zip(*(whole.filter(pa.compute.less(whole.column("row"), 0)).column(c).to_pylist() for c in ("part", "before")), strict=True):
+            seen[p] = np.zeros(window // grain, np.int64)
+            for x in pairs:
+                seen[p][x["bin"]] = x["before"]
+        b = whole.filter(pa.compute.greater_equal(whole.column("row"), 0))
         part, n = b.column("part").to_numpy(), b.column("n").to_numpy()
         rest = n % window
         kind = np.where(rest > 0, -(-rest // grain) - 1, -1)
         seq, place = np.full(len(n), -1), np.full(len(n), -1)
         for p in np.unique(part).tolist():
-            base = seen.setdefault(p, np.array(before[p]))
+            base = seen.get(p, np.zeros(window // grain, np.int64))
             for x in np.unique(kind[part == p]).tolist():
                 if x >= 0:
                     at = np.flatnonzero((part == p) & (kind == x))
@@ -162,14 +171,14 @@ def _assign(batches: Iterator[pa.RecordBatch], slots: Slots, before: dict[int, l
 
 @tidy
 def _counts(batches: Iterator[pa.RecordBatch], window: int, grain: int) -> Iterator[pa.RecordBatch]:
-    """Each file's histogram of remainders and number of whole windows."""
+    """Each file's histogram of remainders."""
     for b in batches:
         part, n = b.column("part").to_numpy(), b.column("n").to_numpy()
         for p in np.unique(part).tolist():
             m = n[part == p]
             rest = m % window
             hist = np.bincount(-(-rest[rest > 0] // grain) - 1, minlength=window // grain)
-            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([hist.tolist()], pa.list_(pa.int64())), pa.array([int((m // window).sum())])], ["part", "hist", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([hist.tolist()], pa.list_(pa.int64()))], ["part", "hist"])
 
 
 @tidy
@@ -202,18 +211,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = 1, window: in
     rows = rows.repartition(partitions_for(spark), "part").sortWithinPartitions("part", "row")
 
     # a histogram of window / grain counts for each file of ids
-    counts = rows.mapInArrow(partial(_counts, window=window, grain=grain), "part long, hist array<long>, whole long").collect()
-    bins = window // grain
-    hist: dict[int, np.ndarray] = {}
-    for r in counts:
-        hist[r.part] = hist.get(r.part, np.zeros(bins, np.int64)) + np.array(r.hist)
-    total = sum(hist.values(), np.zeros(bins, np.int64))
+    counts = cut(rows.mapInArrow(partial(_counts, window=window, grain=grain), "part long, hist array<long>"), "histograms")
+    counts = counts.select("part", F.posexplode("hist").alias("bin", "n")).groupBy("part", "bin").agg(F.sum("n").alias("n")).where("n > 0")
+    total = np.zeros(window // grain, np.int64)
+    for r in counts.groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        total[r.bin] = r.n
     slots = Slots(*solve(total), grain)
-    before, run = {}, np.zeros(bins, np.int64)
-    for p in sorted(hist):
-        before[p], run = run.tolist(), run + hist[p]
+    before = ranked(counts.withColumn("_many", F.expr("part div 1024")), ["bin"], "_many", ["part"], F.col("n"), "before").groupBy("part").agg(F.collect_list(F.struct("bin", "before")).alias("before"))
+    none = F.lit(None).cast(before.schema["before"].dataType)
+    headed = rows.select("part", "row", "n", none.alias("before")).unionByName(before.select("part", F.lit(-1).cast("long").alias("row"), F.lit(0).cast("long").alias("n"), "before"))
+    headed = headed.repartition(partitions_for(spark), "part").sortWithinPartitions("part", "row")
 
-    placed = cut(rows.mapInArrow(partial(_assign, slots=slots, before=before, window=window, grain=grain), "part long, row long, n long, rest long, seq long, place long"), "placed")
+    placed = cut(headed.mapInArrow(partial(_assign, slots=slots, window=window, grain=grain), "part long, row long, n long, rest long, seq long, place long"), "placed")
     start = (F.col("n") - F.col("rest")).alias("start")
     fixed = placed.where("seq >= 0")
     # pieces of one sequence are at most three, so their offsets are sums over a list of three
@@ -261,7 +270,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = 1, window: in
 
 def _laid_out(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """Lay rows end to end in order: the sum of ``value`` before each. Buckets of 4096 consecutive keys are summed first."""
-    from weft.llm.mixing import ranked
-
     bucket = F.col(order[0]) if len(order) > 1 else F.expr(f"{order[0]} div 4096")
     return ranked(rows.withColumn("_b", bucket).withColumn("_all", F.lit(0)), ["_all"], "_b", order, F.col(value), name).drop("_b", "_all")

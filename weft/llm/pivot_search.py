@@ -3,11 +3,13 @@
 Vectors are quantised to integers x -> floor(64 x) and lifted by one coordinate so that all have the
 same length M; a query's added coordinate is 0: then |q' - x'|^2 = |q|^2 + M^2 - 2 <q, x>, and the
 largest inner products are the nearest lifted vectors. Each vector is keyed by its nearest pivot and its distance from it; a pivot's
-vectors, sorted by distance, are cut into annuli, which are the index's blocks in shared files. A
-block of queries visits annuli in order of the triangle inequality's lower bound
-max(0, d(q, p) - outer, inner - d(q, p)) and stops once that bound exceeds every query's k-th distance.
+vectors, sorted by distance, are cut into annuli, which are the index's blocks in shared files. Queries are
+dealt by their own nearest pivot and distance, so that a block of them needs the same annuli; it visits them
+in order of the triangle inequality's lower bound max(0, d(q, p) - outer, inner - d(q, p)) and stops once
+that bound exceeds every query's k-th distance.
 
-Pivots are fitted on a sample of at most SAMPLE vectors; every vector is indexed.
+Pivots are fitted on a sample of at most SAMPLE vectors; they grow as the square root of the vectors, up to
+an eighth of the sample. Every vector is indexed.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do rows
 with a null id. A vector shorter than the longest counts as padded with zeros. Rows that share an id
@@ -33,9 +35,9 @@ K = 20
 PIVOTS = 64
 SAMPLE = 4096
 #: Vectors in an annulus, at most.
-ANNULUS = 2048
-#: Queries that visit annuli together.
-QUERY_BLOCK = 1024
+ANNULUS = 1024
+#: Queries that visit annuli together, at most, and bounds (queries times annuli) that a task holds.
+QUERY_BLOCK, BOUNDS = 1024, 4_000_000
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -78,10 +80,11 @@ def _lift(m: np.ndarray, most: float) -> np.ndarray:
 
 
 @tidy
-def _key(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, most: float, dim: int) -> Iterator[pa.RecordBatch]:
-    """Nearest pivot and distance of each vector."""
+def _key(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, most: float | None, dim: int) -> Iterator[pa.RecordBatch]:
+    """Nearest pivot and distance of each vector, or of each query if ``most`` is None."""
     for b in batches:
-        d = _distances(_lift(_check(_matrix(b.column("v"), dim)), most), pivots)
+        m = _check(_matrix(b.column("v"), dim))
+        d = _distances(np.hstack([m, np.zeros((len(m), 1))]) if most is None else _lift(m, most), pivots)
         near = d.argmin(1)
         yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(near.astype(np.int64)), pa.array(d[np.arange(len(near)), near])], ["vec_id", "v", "pivot", "dist"])
 
@@ -141,9 +144,10 @@ def _search(batches: Iterator[pa.RecordBatch], listing: str, pivots: np.ndarray,
                 table = pa.ipc.open_stream(f.read()).read_all()
             names, pivot = table["path"].to_pylist(), table["pivot"].to_numpy()
             inner, outer = table["inner"].to_numpy(), table["outer"].to_numpy()
-        for first in range(0, b.num_rows, QUERY_BLOCK):
-            q_ids = b.column("vec_id").to_numpy()[first : first + QUERY_BLOCK]
-            q = _check(_matrix(b.column("v").slice(first, QUERY_BLOCK), dim))
+        block = max(1, min(QUERY_BLOCK, BOUNDS // max(1, len(names))))
+        for first in range(0, b.num_rows, block):
+            q_ids = b.column("vec_id").to_numpy()[first : first + block]
+            q = _check(_matrix(b.column("v").slice(first, block), dim))
             d = _distances(np.hstack([q, np.zeros((len(q), 1))]), pivots)
             bound = np.maximum(0.0, np.maximum(d[:, pivot] - outer, inner - d[:, pivot]))
             base = (q * q).sum(1) + most
@@ -179,7 +183,7 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return raw.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & fine).select("vec_id", F.transform("x", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("v"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS, sample: int = SAMPLE) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k largest inner products; both tables are (vec_id, v)."""
     spark = vectors.sparkSession
     facts = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("most")).first()
@@ -191,6 +195,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVO
     points = np.zeros((len(drawn), dim))
     for i, r in enumerate(drawn):
         points[i, : len(r.v)] = r.v
+    pivots = pivots or max(PIVOTS, min(sample // 8, int(facts.n**0.5)))
     centres = fit_pivots(_lift(_check(points), most), min(pivots, len(drawn)))
     folder = scratch(spark, "annuli")
     keyed = cut(vectors.mapInArrow(partial(_key, pivots=centres, most=most, dim=dim), "vec_id long, v array<double>, pivot long, dist double"), "keyed")
@@ -203,5 +208,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVO
     listing = f"{folder}/listing"
     write_file(listing, [sink.getvalue().to_pybytes()])
     n_q = queries.count()
-    dealt = queries.repartition(max(1, min(partitions_for(spark), n_q // 256 + 1)))
+    placed = queries.select("vec_id", "v").mapInArrow(partial(_key, pivots=centres, most=None, dim=dim), "vec_id long, v array<double>, pivot long, dist double")
+    dealt = placed.repartitionByRange(max(1, min(partitions_for(spark), n_q // 256 + 1)), "pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id")
     return dealt.mapInArrow(partial(_search, listing=listing, pivots=centres, most=most, dim=dim, k=k), "query_id long, rank int, vec_id long, score long")
