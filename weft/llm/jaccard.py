@@ -8,9 +8,10 @@ order of all shingles, linked sets share at least min(L) of each other's first 2
    of them occur in another set too. What repeats inside a task is settled there, so that a shingle
    in every document is sent once a task.
 2. Sets that are equal become one class; from here on only class representatives count.
-3. Similar sets are partitioned into groups: each of a set's first L shingles, ordered so that frequent
-   ones (by a counting sketch of fixed size) come last, votes for the smallest set that has it among its
-   first; a set is compared with the two that get most votes, and linked ones form a group.
+3. Similar sets are partitioned into groups, in ROUNDS rounds. Each of a set's first L shingles, ordered so
+   that frequent ones (by a counting sketch of fixed size) come last, votes for one set of another group that
+   has it among its first, drawn anew each round; a set is compared with the two that get most votes, at
+   least two, and linked ones form a group. What a round misses costs time later, never a link.
 4. Each group stores the union of its members' shingles, as a bitmap of their hashes, and the matrix holds
    the union of their first L shingles. Linked sets share one of those at least, so a set's overlap with a group is below the
    threshold unless it meets the group there, in a place and with sizes that can still reach it. For
@@ -46,6 +47,7 @@ K, NUM, DEN = 5, 8, 10
 #: Leading shingles that a task holds before it deals them out.
 HELD = 1_000_000
 SKETCH_BITS = 20
+ROUNDS = 4
 #: Bits of a group's union for each shingle of its largest member, at least.
 UNION_BITS = 8
 #: Members of a group that are compared before the others.
@@ -352,18 +354,29 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, id_
 
     levels = frequency_levels(sets)
     leading = cut(sets.mapInArrow(partial(_leading, levels=levels, num=num, den=den), "tok long, cid long, n long, place long"), "leading")
-    heads = leading.groupBy("tok").agg(F.min(F.struct("n", "cid")).alias("head"), F.count("*").alias("c")).where("c > 1")
-    votes = attach(leading.select("tok", F.col("cid").alias("b"), "n"), heads, "tok", "c", leading.count()).where((F.col("head.cid") != F.col("b")) & (F.col("head.n") * den >= F.col("n") * num))
-    votes = votes.groupBy("b", F.col("head.cid").alias("a")).agg(F.count("*").alias("v")).groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("v", "a")), False), 1, 2).alias("best"))
-    stars = cut(linked(votes.select("b", F.explode("best.a").alias("a")), sets, num, den), "stars")
-    grouped = components(stars, "groups")
+    leading = leading.withColumn("grp", F.col("cid"))
+    stars = grouped = None
+    for i in range(ROUNDS):
+        drawn = F.struct(F.xxhash64(F.lit(i), "grp"), "grp", F.xxhash64(F.lit(i), "cid"), "cid", "n")
+        heads = leading.groupBy("tok").agg(F.min(drawn).alias("x"), F.max(drawn).alias("y"), F.count("*").alias("c")).where("x.grp <> y.grp")
+        given = attach(leading.select("tok", F.col("cid").alias("b"), F.col("n").alias("m"), "grp"), heads, "tok", "c", leading.count()).where("x is not null")
+        given = given.select("b", "m", F.when(F.col("x.grp") != F.col("grp"), F.col("x")).otherwise(F.col("y")).alias("x"))
+        given = given.where((F.col("x.n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("x.n") * num))
+        votes = given.groupBy("b", F.col("x.cid").alias("a")).agg(F.count("*").alias("v")).where("v > 1")
+        votes = votes.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("v", "a")), False), 1, 2).alias("best"))
+        found = cut(linked(votes.select("b", F.explode("best.a").alias("a")), sets, num, den), "stars")
+        stars = found if stars is None else stars.unionByName(found)
+        if i and not found.limit(1).count():
+            break
+        grouped = components(stars, "groups")
+        leading = leading.drop("grp").join(grouped, leading.cid == grouped.node, "left").select("tok", "cid", "n", "place", F.coalesce("root", "cid").alias("grp"))
+        # shingles that one group alone has meet nothing
+        common = leading.groupBy("tok").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("tok")
+        leading = cut(leading.join(common, "tok", "left_semi"), "matrix")
     with_group = cut(sets.join(grouped, sets.cid == grouped.node, "left").select("cid", "n", F.coalesce("root", "cid").alias("grp"), "toks"), "grouped")
 
-    leading = cut(leading.join(grouped, leading.cid == grouped.node, "left").select("tok", "cid", F.coalesce("root", "cid").alias("grp"), "n", "place"), "matrix")
     matrix = leading.groupBy("tok", F.col("grp").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("place")).alias("rest"))
-    # shingles that one group alone has meet nothing
-    common = matrix.groupBy("tok").agg(F.count("*").alias("groups")).where("groups > 1").select("tok")
-    left, right = leading.join(common, "tok", "left_semi"), matrix.join(common, "tok", "left_semi")
+    left, right = leading, matrix
     # the overlap from this shingle on, with a member of at least ``lo`` shingles, must reach the threshold
     fits = (F.col("grp") > F.col("other")) & (F.col("hi") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("lo") * num)
     reach = F.least(F.col("n") - F.col("place"), F.col("rest")) * (num + den) >= (F.col("n") + F.greatest(F.col("lo"), F.ceil(F.col("n") * num / den))) * num
