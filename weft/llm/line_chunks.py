@@ -179,6 +179,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # links are told apart by their bytes' hash too, so that of two that share a line hash both go
     rows = rows.withColumn("link", F.struct("hash", F.xxhash64("body").alias("body64")))
     firsts = rows.groupBy("link").agg(F.min(F.struct("doc_id", "sig", "no", "body")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = cut(firsts, "firsts")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sig") == F.col("first.sig")) & (F.col("no") == F.col("first.no"))
     # a line in a large share of all texts is broadcast, not one task's
     lost = attach(rows, firsts, "link", "n", rows.count()).where(F.col("first").isNotNull() & ~is_first & (F.col("body") == F.col("first.body")))
