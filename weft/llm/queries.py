@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import cuckoo, jaccard, line_chunks, lm_score, mixing, ordinal, packing, pivot_search, token_coder, warc
+from weft.llm import bwt_merge, cuckoo, jaccard, line_chunks, lm_score, mixing, ordinal, packing, pivot_search, token_coder, warc
 from weft.llm.common import table
 
 
@@ -56,6 +56,11 @@ def op10_cuckoo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bwt_merge.repeats_removed(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_pivot_search, op3_line_chunks, op4_mixing, op5_lm_score, op6_packing, op7_warc, op8_jaccard, op9_ordinal, op10_cuckoo, pipeline)
+    f.__name__: f for f in (op1_token_files, op2_pivot_search, op3_line_chunks, op4_mixing, op5_lm_score, op6_packing, op7_warc, op8_jaccard, op9_ordinal, op10_cuckoo, op11_bwt_merge, pipeline)
 }
 
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -98,4 +103,15 @@ SQL = {
         k AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
         SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256
         FROM d JOIN k USING (text_sha256)""",
+    "op11_bwt_merge": """
+        WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        w AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS m FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS s FROM b)),
+        r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY m ORDER BY doc_id, s) AS r FROM w),
+        g AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM r WHERE r > 1),
+        i AS (SELECT doc_id, s, sum(CASE WHEN p IS NULL OR s > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS i FROM g),
+        x AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS z FROM i GROUP BY doc_id, i),
+        y AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS q FROM x),
+        k AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(h, 2 * q + 1, 2 * (a - q)), '' ORDER BY a) AS before, max(z) AS z FROM y JOIN b USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+        sha256(unhex(coalesce(before, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256 FROM b LEFT JOIN k USING (doc_id)""",
 }
