@@ -32,6 +32,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +44,8 @@ from weft.llm.textarrays import mix, text_bytes
 LENGTH = 100
 KEY, CORE = 32, 64
 STRETCH = 1 << 18
+#: Bytes of contexts that a task packs at once.
+PACKED = 16 << 20
 SHARD, SHARDS = 1 << 16, 8
 HOT = 10_000
 #: No byte of UTF-8 text.
@@ -172,10 +175,6 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _all(n: np.ndarray) -> np.ndarray:
-    return (np.int64(1) << n.astype(np.int64)) - 1
-
-
 def _sorted_by(place: tuple[np.ndarray, np.ndarray, np.ndarray], code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows by code and place; of those, which is its code's first, and which holds its code's first place (repeated rows)."""
     order = np.lexsort((place[2], place[1], place[0], code))
@@ -189,29 +188,65 @@ def _sorted_by(place: tuple[np.ndarray, np.ndarray, np.ndarray], code: np.ndarra
     return order, first, same
 
 
+_RUNS = ["doc", "sig", "start", "n"]
+
+
+def _packed(t: pa.Table, part: np.ndarray, known: bool) -> Iterator[pa.RecordBatch]:
+    """A table's rows by part, compressed."""
+    if not len(part):
+        return
+    order = np.argsort(part, kind="stable")
+    t, part = t.take(pa.array(order)).combine_chunks(), part[order]
+    lead = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    data = []
+    for x, y in zip(lead.tolist(), np.append(lead[1:], len(part)).tolist(), strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(t.slice(x, y - x))
+        data.append(sink.getvalue().to_pybytes())
+    yield pa.RecordBatch.from_arrays([pa.array(part[lead]), pa.array([known] * len(data), pa.bool_()), pa.array(data, pa.binary())], ["part", "known", "data"])
+
+
+def _joined(doc: np.ndarray, sig: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.Table:
+    """Runs of windows, those that touch joined into one."""
+    order = np.lexsort((start, sig, doc))
+    doc, sig, start, n = doc[order], sig[order], start[order], n[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (sig[1:] != sig[:-1]) | (start[1:] != start[:-1] + n[:-1])
+    first = np.flatnonzero(new)
+    total = np.add.reduceat(n, first) if len(first) else n
+    return pa.table(dict(zip(_RUNS, (doc[first], sig[first], start[first], total), strict=True)))
+
+
 @tidy
-def _suspects(batches: Iterator[pa.RecordBatch], length: int, marks: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _suspects(batches: Iterator[pa.RecordBatch], length: int, marks: np.ndarray, hot: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """Contexts whose core may repeat: one of each content with its bytes; of the others only that all their windows go."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        code = t.column("body").combine_chunks().dictionary_encode().indices.to_numpy()
+        key, doc, sig, start, n = (t.column(c).to_numpy() for c in ("key", *_RUNS))
+        order, first, same = _sorted_by((doc, sig, start), code)
+        kept, known = order[first], order[~first & ~same]
+        yield from _packed(t.take(pa.array(kept)), (key[kept] % np.uint64(parts)).astype(np.int64), False)
+        runs = _joined(doc[known], sig[known], start[known], n[known])
+        yield from _packed(runs, (mix(runs.column("sig").to_numpy().view(np.uint64)) % np.uint64(parts)).astype(np.int64), True)
+
     for b, c, a, off in _contexts(batches, length):
         c.take(np.flatnonzero(has(marks, c.key.view(np.int64))))
         if not len(c.key):
             continue
         c.split(has(hot, c.key.view(np.int64)))
-        body = c.bodies()
-        code = body.dictionary_encode().indices.to_numpy()
         doc, sig = b.column("doc").to_numpy()[c.doc], b.column("sig").to_numpy()[c.doc]
-        start = c.start + a - off[c.doc]
-        order, first, same = _sorted_by((doc, sig, start), code)
-        keep = order[first | ~same]
-        known = ~first[first | ~same]
-        key = np.where(known, mix(c.key[keep] + start[keep].astype(np.uint64)), c.key[keep])
-        bodies = body.take(pa.array(keep))
-        import pyarrow.compute as pc
-
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(doc[keep]), pa.array(sig[keep]), pa.array(start[keep]), pa.array(c.n[keep]), pc.if_else(pa.array(known), pa.scalar(None, pa.binary()), bodies)],
-            ["key", "doc", "sig", "start", "n", "body"],
-        )
+        held.append(pa.RecordBatch.from_arrays([pa.array(c.key), pa.array(doc), pa.array(sig), pa.array(c.start + a - off[c.doc]), pa.array(c.n), c.bodies()], ["key", *_RUNS, "body"]))
+        size += held[-1].nbytes
+        if size > PACKED:
+            yield from out()
+            held, size = [], 0
+    if held:
+        yield from out()
 
 
 def transform(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -284,8 +319,8 @@ def intervals(raw: np.ndarray, start: np.ndarray, size: np.ndarray, length: int)
     return out
 
 
-def _later(body: pa.BinaryArray, place: tuple[np.ndarray, np.ndarray, np.ndarray], n: np.ndarray, key: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts of some cores: the rows to report, and a mask of the windows that go of each."""
+def _later(body: pa.BinaryArray, place: tuple[np.ndarray, np.ndarray, np.ndarray], n: np.ndarray, key: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of some cores: which rows go whole, and the row and place of each window that goes of others."""
     code = body.dictionary_encode().indices.to_numpy().astype(np.int64)
     order, first, same = _sorted_by(place, code)
     known = order[~first & ~same]
@@ -295,7 +330,7 @@ def _later(body: pa.BinaryArray, place: tuple[np.ndarray, np.ndarray, np.ndarray
     _, inverse, count = np.unique(k, return_inverse=True, return_counts=True)
     head = head[count[inverse] > 1]
     if not len(head):
-        return known, _all(n[known])
+        return known, known[:0], known[:0]
     bounds = np.frombuffer(body.buffers()[1], np.int32, len(body) + 1 + body.offset)[body.offset :].astype(np.int64)
     raw = np.frombuffer(body.buffers()[2], np.uint8)
     # windows whose hash occurs once can't repeat; strings are cut to what is left
@@ -313,7 +348,7 @@ def _later(body: pa.BinaryArray, place: tuple[np.ndarray, np.ndarray, np.ndarray
     may = count[inverse] > 1
     row, nth, at = row[may], nth[may], at[may]
     if not len(row):
-        return known, _all(n[known])
+        return known, known[:0], known[:0]
     some, lead = np.unique(row, return_index=True)
     from_ = nth[lead]
     to = nth[np.append(lead[1:], len(row)) - 1]
@@ -328,59 +363,50 @@ def _later(body: pa.BinaryArray, place: tuple[np.ndarray, np.ndarray, np.ndarray
     h_row = head[row]
     order, first, same = _sorted_by((place[0][h_row], place[1][h_row], place[2][h_row] + nth), interval)
     gone = order[~first & ~same]
-    mask = np.zeros(len(n), np.int64)
-    np.bitwise_or.at(mask, h_row[gone], np.int64(1) << nth[gone])
-    hit = np.flatnonzero(mask)
-    return np.concatenate([known, hit]), np.concatenate([_all(n[known]), mask[hit]])
+    return known, h_row[gone], nth[gone]
 
 
 @tidy
 def _groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Windows that start later than an equal one: rows come sorted by key and are taken in runs of whole keys."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def report(doc: pa.Array, sig: pa.Array, start: pa.Array, mask: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([doc, sig, start, pa.array(mask)], ["doc", "sig", "start", "mask"])
-
-    def done(t: pa.Table) -> pa.RecordBatch:
-        body = t.column("body").combine_chunks()
-        place = tuple(t.column(c).to_numpy() for c in ("doc", "sig", "start"))
-        rows, mask = _later(body, place, t.column("n").to_numpy(), t.column("key").to_numpy(), length)
-        return report(*(pa.array(p[rows]) for p in place), mask)
+    """Runs of windows that start later than an equal one: rows come sorted by part; cores are taken some at a time."""
+    held: list[pa.Table] = []
+    part = None
+
+    def out() -> Iterator[pa.RecordBatch]:
+        t = pa.concat_tables(held).sort_by("key").combine_chunks()
+        key = t.column("key").to_numpy()
+        ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+        before = np.append(0, np.cumsum(pc.binary_length(t.column("body")).to_numpy()))
+        at = 0
+        while at < len(key):
+            to = int(ends[np.searchsorted(before[ends], before[at] + SHARD * SHARDS).clip(0, len(ends) - 1)])
+            own = t.slice(at, to - at)
+            at = to
+            doc, sig, start, n = (own.column(c).to_numpy() for c in _RUNS)
+            known, row, nth = _later(own.column("body").combine_chunks(), (doc, sig, start), n, own.column("key").to_numpy(), length)
+            rows = np.concatenate([known, row])
+            yield from _joined(doc[rows], sig[rows], np.concatenate([start[known], start[row] + nth]), np.concatenate([n[known], np.ones(len(row), np.int64)])).to_batches()
 
-    import pyarrow.compute as pc
-
-    for whole in batches:
-        known = whole.filter(pc.is_null(whole.column("body")))
-        if known.num_rows:
-            yield report(known.column("doc"), known.column("sig"), known.column("start"), _all(known.column("n").to_numpy()))
-        for b in pieces(whole.filter(pc.is_valid(whole.column("body"))), "body", SHARD):
-            if not b.num_rows:
+    for b in batches:
+        for p, known, data in zip(b.column("part").to_pylist(), b.column("known").to_pylist(), b.column("data").to_pylist(), strict=True):
+            t = pa.ipc.open_stream(data).read_all()
+            if known:
+                yield from t.to_batches()
                 continue
-            held.append(b)
-            size += b.column("body").nbytes
-            if size >= SHARD * SHARDS:
-                t = pa.Table.from_batches(held)
-                key = t.column("key").to_numpy()
-                last = int(np.searchsorted(key, key[-1]))
-                if last:
-                    yield done(t.slice(0, last))
-                    held = t.slice(last).combine_chunks().to_batches()
-                    size = sum(x.column("body").nbytes for x in held)
+            if held and p != part:
+                yield from out()
+                held = []
+            part = p
+            held.append(t)
     if held:
-        yield done(pa.Table.from_batches(held))
+        yield from out()
 
 
 def spans(windows: list, n_bytes: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of bytes that windows (first, mask) cover: where they start and stop."""
-    first = np.array([w["start"] for w in windows], np.int64)
-    mask = np.array([w["mask"] for w in windows], np.int64)
-    on = (mask[:, None] >> np.arange(63)) & 1 == 1
-    at = np.sort((first[:, None] + np.arange(63))[on])
+    """Maximal runs of bytes that runs of windows (start, n) cover: where they start and stop."""
     edge = np.zeros(n_bytes + 1, np.int32)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + length, -1)
+    np.add.at(edge, np.array([w["start"] for w in windows], np.int64), 1)
+    np.add.at(edge, np.array([w["start"] + w["n"] - 1 + length for w in windows], np.int64), -1)
     cover = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
     turn = np.flatnonzero(cover[1:] != cover[:-1])
     return turn[::2], turn[1::2]
@@ -408,7 +434,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch], text: str, found: str, length: i
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, sig, start, mask): windows of ``docs`` (doc, sig, text) that start later than an equal one, 63 at most a row."""
+    """(doc, sig, start, n): runs of windows of ``docs`` (doc, sig, text) that start later than an equal one."""
     spark = docs.sparkSession
     parts = 4 * partitions_for(spark)
     packed = docs.mapInArrow(partial(_cores, length=length, parts=parts), "part long, data binary").repartition(parts // 4, "part").sortWithinPartitions("part")
@@ -417,9 +443,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     bits = lambda n: min(26, max(16, (8 * n).bit_length()))
     marks = bitmap(repeated.select("key"), bits(counts.n))
     hot = bitmap(repeated.where(F.col("n") > HOT).select("key"), bits(counts.hot))
-    kind = "key long, doc long, sig long, start long, n long, body binary"
-    met = docs.mapInArrow(partial(_suspects, length=length, marks=marks, hot=hot), kind).repartition(parts // 4, "key").sortWithinPartitions("key")
-    return met.mapInArrow(partial(_groups, length=length), "doc long, sig long, start long, mask long")
+    kind = "part long, known boolean, data binary"
+    met = docs.mapInArrow(partial(_suspects, length=length, marks=marks, hot=hot, parts=parts), kind).repartition(parts // 4, "part").sortWithinPartitions("part")
+    return met.mapInArrow(partial(_groups, length=length), "doc long, sig long, start long, n long")
 
 
 def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -433,7 +459,7 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("doc"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("sig"), F.col(text_col).alias("text"))
     windows = repeated_windows(keyed, length)
     doc, sig, found = unused(docs, "doc", "sig", "found")
-    lists = windows.groupBy("doc", "sig").agg(F.collect_list(F.struct("start", "mask")).alias(found)).select(F.col("doc").alias(doc), F.col("sig").alias(sig), found)
+    lists = windows.groupBy("doc", "sig").agg(F.collect_list(F.struct("start", "n")).alias(found)).select(F.col("doc").alias(doc), F.col("sig").alias(sig), found)
     rows = docs.select(*(F.col(f"`{c}`") for c in own))
     joined = rows.join(lists, (F.coalesce(F.col(id_col).cast("long"), least) == F.col(doc)) & (F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)) == F.col(sig)), "left")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
