@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.graph import EdgeSet, PropertyGraph, default_value
+from weft.operators.greedy import greedy_batches
 from weft.schema import aux_prefix
 
 
@@ -167,11 +168,11 @@ def dynamic_batches(sized: DataFrame, limits: dict[str, int], order: list[str],
     """Greedy packing of consecutive graphs: ``batch`` numbers added to rows of sizes.
 
     Rows go in order into the open batch; one that would break a budget starts the next; one that breaks a
-    budget alone raises. The scan is sequential within a shard, so shard large inputs by a column of
-    bounded groups; batches never span shards.
+    budget alone raises. Over the whole table batches are found in parallel (weft.operators.greedy). With a
+    ``shard`` column, whose groups must be bounded, each group is packed by one task and batches never span groups.
     """
-    by = shard or "_shard"
-    df = sized if shard else sized.withColumn("_shard", F.lit(0))
+    if not shard:
+        return greedy_batches(sized, limits, order)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
@@ -186,9 +187,8 @@ def dynamic_batches(sized: DataFrame, limits: dict[str, int], order: list[str],
             out.append(batch)
         return pdf.assign(batch=out)
 
-    kind = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
-    out = df.groupBy(by).applyInPandas(pack, kind)
-    return out if shard else out.drop("_shard")
+    kind = T.StructType([*sized.schema.fields, T.StructField("batch", T.LongType())])
+    return sized.groupBy(shard).applyInPandas(pack, kind)
 
 
 def filter_observed(df: DataFrame, keep: Column, name: str = "filter") -> tuple[DataFrame, object]:

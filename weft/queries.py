@@ -609,6 +609,19 @@ def dynamic_batches(spark, sf_dir):
     return batching.dynamic_batches(sized, {"lines": 100}, ["o_orderkey"], "month")
 
 
+@query("""WITH RECURSIVE n AS (SELECT o_orderkey, count(l_orderkey) AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+    r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS i, sum(lines) OVER (ORDER BY o_orderkey) AS s FROM n),
+    b AS (SELECT i, s - lines + 100 AS t, CAST(0 AS BIGINT) AS batch FROM r WHERE i = 1
+        UNION ALL SELECT r.i, r.s - r.lines + 100, y.batch + 1 FROM (SELECT b.batch, min(r.i) AS i FROM b JOIN r ON r.i > b.i AND (r.s > b.t OR r.i >= b.i + 30) GROUP BY b.batch) AS y JOIN r USING (i))
+    SELECT r.o_orderkey, r.lines, b.batch FROM r ASOF JOIN b ON r.i >= b.i""")
+def dynamic_batches_whole(spark, sf_dir):
+    """All orders in one sequence, under budgets of 100 lineitems and of 30 orders a batch."""
+    o, li = tpch.read(spark, sf_dir, "orders"), tpch.read(spark, sf_dir, "lineitem")
+    n = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"))
+    sized = o.select("o_orderkey").join(n, "o_orderkey", "left").fillna(0, ["lines"]).withColumn("orders", F.lit(1).cast("long"))
+    return batching.dynamic_batches(sized, {"lines": 100, "orders": 30}, ["o_orderkey"]).select("o_orderkey", "lines", "batch")
+
+
 @query("""WITH m AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM customer GROUP BY c_mktsegment)) SELECT CAST((SELECT count(*) FROM customer) + 10 AS BIGINT) AS nodes, (SELECT count(DISTINCT c_mktsegment) FROM customer) + 1 AS components,
     (SELECT count(DISTINCT c_mktsegment) FROM customer) AS real_ones FROM m""")
 def pad_to_totals(spark, sf_dir):
