@@ -37,9 +37,9 @@ WORDS = 3
 LEAST = 10
 SHARE = 50
 TOP = 2000
-SLICE = 6 << 20
+SLICE = 2 << 20
 #: Strings that a part holds before it adds up equal ones.
-HELD = 2_000_000
+HELD = 500_000
 
 _CUT = np.zeros(256, bool)
 _CUT[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
