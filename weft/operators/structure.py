@@ -60,6 +60,16 @@ def dense_index(df: DataFrame, id_col: str, name: str = "index", few_components:
     return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
 
 
+def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+    """Join rows with one row for each of their groups. Groups of over n_rows / 1000 rows are fewer than 1000, whatever the
+    data, and are broadcast; the others are joined by shuffle, where no key has more rows than that (10,000 at least)."""
+    limit = max(10_000, n_rows // 1000)
+    values = [c for c in groups.columns if c != key]
+    near = rows.join(F.broadcast(groups.where(F.col(size) > limit)), key, "left")
+    rest = near.where(F.col(size).isNull()).drop(*values).join(groups.where(F.col(size) <= limit), key)
+    return near.where(F.col(size).isNotNull()).unionByName(rest)
+
+
 def within_components(df: DataFrame, rank: str) -> DataFrame:
     """Ranks over the whole table, in order of components, as ranks in each component."""
     first = df.groupBy("component_id").agg(F.min(rank).alias("_first"))
@@ -279,8 +289,8 @@ def lookup(queries: DataFrame, values: DataFrame, key: str, check: bool = True,
     With ``defaults``, what isn't found gets 0, false or the empty string instead of null.
     """
     if check:
-        values = values.groupBy(key).agg(F.collect_list(F.struct(*(c for c in values.columns if c != key))).alias("_v"))
-        unique = F.when(F.size("_v") > 1, F.raise_error(F.concat(F.lit(f"{key} repeats: "), F.col(key).cast("string"))).cast(values.schema["_v"].dataType.elementType)).otherwise(F.col("_v")[0])
+        values = values.groupBy(key).agg(F.count("*").alias("_n"), F.first(F.struct(*(c for c in values.columns if c != key))).alias("_v"))
+        unique = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"{key} repeats: "), F.col(key).cast("string"))).cast(values.schema["_v"].dataType)).otherwise(F.col("_v"))
         values = values.select(key, unique.alias("_u")).select(key, "_u.*")
     out = queries.join(values, key, "left")
     if defaults:

@@ -5,7 +5,11 @@ partitioning or retry. A frontier is the distinct nodes of its inputs by default
 ``dedup_frontier=False`` a node that is reached twice is sampled twice, independently. What ranks alike in
 every sample (TOP_K, and LATEST_K without a time) is cut to the op's size once a source, before the frontier
 is joined, and Spark plans that rank limit as a group limit on both sides of the exchange; so hubs are pruned
-before any shuffle. Random draws, and draws as of a time, rank after the join.
+before any shuffle. Random draws, and draws as of a time, rank after the join, but uniform draws from edge sets
+that have a position index (weft.plans.positions): those draw positions first and join only the edges drawn.
+
+As of a time, edges later than it don't count; for edge sets named in ``state`` the version of each edge in
+force then does (weft.plans.asof).
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from pyspark.sql import functions as F
 
 from weft.graph import EdgeSet, PropertyGraph, default_value, position
 from weft.operators.structure import keyed_random
+from weft.plans.asof import live_edges
+from weft.plans.positions import PositionIndex, draw
 from weft.plans.spec import LATEST, TOP_K, UNIFORM, WEIGHTED, SamplingOp, SamplingSpec
 
 
@@ -33,32 +39,39 @@ def draw_order(strategy: str, seed: int, op: str, edges: DataFrame, weight: str,
     raise ValueError(f"no strategy {strategy}")
 
 
-def sample_hop(frontier: DataFrame, edges: DataFrame, op: SamplingOp, seed: int = 0, weight: str = "weight", time: str = "ts", occurrence: bool = False) -> DataFrame:
+def sample_hop(frontier: DataFrame, edges: DataFrame, op: SamplingOp, seed: int = 0, weight: str = "weight", time: str = "ts", occurrence: bool = False, index: PositionIndex | None = None, state: dict | None = None) -> DataFrame:
     """At most ``op.size`` edges of every (sample_id, node_id) of the frontier; edges with sample_id.
 
     Where the frontier has ``as_of``, only edges no later than that count, whatever the strategy. Weighted draws
-    leave out weights that aren't positive.
+    leave out weights that aren't positive. ``index`` serves uniform draws without a time; ``state`` holds the
+    arguments of live_edges for frontiers with one.
     """
     e, timed = edges.drop("component_id"), "as_of" in frontier.columns
+    if op.strategy == UNIFORM and index and not timed:
+        return draw(frontier, index, op.size, seed, op.op_name, occurrence)
     if op.strategy in (TOP_K, LATEST) and not timed:
         w = Window.partitionBy("source_id").orderBy(*draw_order(op.strategy, seed, op.op_name, e, weight, time, occurrence))
         e = e.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= op.size).drop("_rank")
         return frontier.withColumnRenamed("node_id", "source_id").join(e, "source_id").drop("_n")
-    near = frontier.withColumnRenamed("node_id", "source_id").join(e, "source_id")
+    near = frontier.withColumnRenamed("node_id", "source_id")
+    if timed and state is not None:
+        near = near.join(live_edges(e, near, time=time, **state), ["source_id", "as_of"])
+    else:
+        near = near.join(e, "source_id")
     if op.strategy == WEIGHTED:
         near = near.where(F.col(weight) > 0)
-    if timed:
+    if timed and state is None:
         near = near.where(F.col(time) <= F.col("as_of"))
     by = ["sample_id", "source_id", *(["_n"] if occurrence else [])]
     w = Window.partitionBy(*by).orderBy(*draw_order(op.strategy, seed, op.op_name, e, weight, time, occurrence))
     return near.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= op.size).drop("_rank", "_n")
 
 
-def sample_edges(graph: PropertyGraph, spec: SamplingSpec, seeds: DataFrame, seed: int = 0, dedup_frontier: bool = True, weight: str = "weight", time: str = "ts", checkpoint: bool = False) -> dict[str, DataFrame]:
+def sample_edges(graph: PropertyGraph, spec: SamplingSpec, seeds: DataFrame, seed: int = 0, dedup_frontier: bool = True, weight: str = "weight", time: str = "ts", checkpoint: bool = False, index: dict[str, PositionIndex] | None = None, state: dict[str, dict] | None = None) -> dict[str, DataFrame]:
     """Sampled edges of each edge set: (sample_id, edge columns), one row for each distinct edge of a sample.
 
     ``seeds`` is (sample_id, node_id), with ``as_of`` for temporal plans. ``checkpoint`` writes each hop to
-    the session's checkpoint folder, for plans of many hops.
+    the session's checkpoint folder, for plans of many hops. ``index`` and ``state`` are by edge set, as in sample_hop.
     """
     spec.check_order()
     extra = ["as_of"] if "as_of" in seeds.columns else []
@@ -72,7 +85,7 @@ def sample_edges(graph: PropertyGraph, spec: SamplingSpec, seeds: DataFrame, see
             front = front.distinct()
         else:
             front = front.withColumn("_n", F.row_number().over(Window.partitionBy("sample_id", "node_id").orderBy("node_id")))
-        hop = sample_hop(front, graph.edges[op.edge_set].table, op, seed, weight, time, not dedup_frontier)
+        hop = sample_hop(front, graph.edges[op.edge_set].table, op, seed, weight, time, not dedup_frontier, (index or {}).get(op.edge_set), (state or {}).get(op.edge_set))
         if checkpoint:
             hop = hop.checkpoint()
         found.setdefault(op.edge_set, []).append(hop.drop("as_of"))

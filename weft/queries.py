@@ -14,6 +14,8 @@ from weft import tpch
 from weft.graph import PropertyGraph
 from weft.operators import batching, layers, message, metrics, readout, structure
 from weft.plans import sample as sampling
+from weft.plans.asof import live_edges
+from weft.plans.positions import position_index
 from weft.plans.spec import LATEST, TOP_K, UNIFORM, SpecBuilder, spec_tree
 from weft.schema import CONTEXT, EDGES, NODES, SOURCE, TARGET
 from weft.sources import tables
@@ -420,6 +422,47 @@ def sample_uniform(spark, sf_dir):
     return sampling.sample_edges(g, spec, _seeds(g), 1)["placed"].select("sample_id", "edge_id")
 
 
+@query("""WITH e AS (SELECT o_orderkey AS edge_id, o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS p, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+    d AS (SELECT DISTINCT k, n FROM e JOIN customer ON c_custkey = k),
+    h AS (SELECT k, n, CAST('0x' || substr(md5('5|draw|' || k || '|' || k || '|' || (n - 3)), 1, 15) AS BIGINT) % (n - 2) AS a,
+        CAST('0x' || substr(md5('5|draw|' || k || '|' || k || '|' || (n - 2)), 1, 15) AS BIGINT) % (n - 1) AS b, CAST('0x' || substr(md5('5|draw|' || k || '|' || k || '|' || (n - 1)), 1, 15) AS BIGINT) % n AS c FROM d WHERE n > 3),
+    s AS (SELECT k, n, a, CASE WHEN b = a THEN n - 2 ELSE b END AS b, c FROM h), t AS (SELECT k, unnest([a, b, CASE WHEN c IN (a, b) THEN n - 1 ELSE c END]) AS p FROM s)
+    SELECT k AS sample_id, edge_id FROM e JOIN t USING (k, p) UNION ALL SELECT k, edge_id FROM e JOIN d USING (k, n) WHERE n <= 3""")
+def sample_uniform_by_position(spark, sf_dir):
+    """Three orders of each customer by drawn positions."""
+    g, schema = _schema(spark, sf_dir)
+    spec = SpecBuilder(schema).seed("customer").sample("placed", 3, UNIFORM, "draw").build()
+    return sampling.sample_edges(g, spec, _seeds(g), 5, index={"placed": position_index(g.edges["placed"].table)})["placed"].select("sample_id", "edge_id")
+
+
+@query("""WITH q AS (SELECT event_id AS sample_id, user_id, ts AS as_of FROM events), k AS (SELECT DISTINCT user_id, event_type FROM events),
+    v AS (SELECT user_id, event_type, ts, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL)
+    SELECT q.sample_id, k.event_type AS target_id, v.event_id AS version, v.value AS weight FROM q JOIN k USING (user_id) ASOF JOIN v ON v.user_id = k.user_id AND v.event_type = k.event_type AND q.as_of >= v.ts
+    WHERE v.ts + INTERVAL 2 DAY > q.as_of AND v.event_type <> 'error'""")
+def edges_as_of(spark, sf_dir):
+    """For every event, its user's edges to types of events as they stood then: the last event of each type, for two days; errors end their edge."""
+    e = tpch.read(spark, sf_dir, "events")
+    did = e.select(F.col("user_id").alias("source_id"), F.col("event_type").alias("target_id"), F.col("event_id").alias("version"), "ts", F.col("value").alias("weight"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("until"), (F.col("event_type") == "error").alias("gone"))
+    asked = e.select(F.col("event_id").alias("sample_id"), F.col("user_id").alias("source_id"), F.col("ts").alias("as_of"))
+    live = live_edges(did, asked, key="target_id", tie="version", expires="until", removed="gone")
+    return asked.join(live, ["source_id", "as_of"]).select("sample_id", "target_id", "version", "weight")
+
+
+@query("""WITH e AS (SELECT o_custkey AS k, l_partkey AS p, max(o_orderdate) AS ts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey, o_orderdate),
+    q AS (SELECT o_orderkey AS sample_id, o_custkey AS k, o_orderdate AS as_of FROM orders), d AS (SELECT DISTINCT k, p FROM e),
+    s AS (SELECT q.sample_id, d.p, v.ts FROM q JOIN d USING (k) ASOF JOIN e AS v ON v.k = d.k AND v.p = d.p AND q.as_of >= v.ts WHERE v.ts + INTERVAL 365 DAY > q.as_of)
+    SELECT sample_id, p AS target_id FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ts DESC, p) AS r FROM s) WHERE r <= 3""")
+def sample_live_edges(spark, sf_dir):
+    """For every order, the three parts that its customer ordered last up to then, an order holding for a year."""
+    o, li = tpch.read(spark, sf_dir, "orders"), tpch.read(spark, sf_dir, "lineitem")
+    bought = o.join(li.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("target_id")), "o_orderkey").select(F.lit(0).cast("long").alias("component_id"), F.col("o_custkey").alias("source_id"), "target_id", F.col("o_orderdate").alias("ts")).distinct()
+    bought = bought.withColumns({"edge_id": F.col("target_id"), "until": F.col("ts") + F.expr("INTERVAL 365 DAYS")})
+    g = PropertyGraph.of({"customer": o.select(F.col("o_custkey").alias("node_id")).distinct(), "part": li.select(F.col("l_partkey").alias("node_id")).distinct()}, {"bought": (bought, "customer", "part")})
+    seeds = o.select(F.col("o_orderkey").alias("sample_id"), F.col("o_custkey").alias("node_id"), F.col("o_orderdate").alias("as_of"))
+    spec = SpecBuilder(g.schema()).seed("customer").sample("bought", 3, LATEST).build()
+    return sampling.sample_edges(g, spec, seeds, state={"bought": {"expires": "until"}})["bought"].select("sample_id", "target_id")
+
+
 @query("""SELECT sample_id, edge_id FROM (SELECT c_custkey AS sample_id, o_orderkey AS edge_id, row_number() OVER (PARTITION BY c_custkey ORDER BY CAST(o_totalprice AS DECIMAL(18,2)) DESC, o_orderkey) AS r
     FROM customer JOIN orders ON o_custkey = c_custkey) WHERE r <= 2""")
 def sample_top_k(spark, sf_dir):
