@@ -215,7 +215,18 @@ def test_metrics(spark):
     p = s / s.sum() + 1e-12
     assert got["pseudo_condition_number"] == pytest.approx(s[0] / s[-1]) and got["numerical_rank"] == pytest.approx((s**2).sum() / s[0] ** 2)
     assert got["rankme"] == pytest.approx(np.exp(-(p * np.log(p)).sum())) and got["coherence"] == pytest.approx((u**2).sum(1).max() * 50 / 4)
+    # fewer rows than columns, a condition of 1e9, and more tasks than meet at once
+    few = rng.normal(size=(20, 64))
+    s = np.linalg.svd(few, compute_uv=False)
+    got = metrics.svd_metrics(spark.createDataFrame([(r.tolist(),) for r in few], "x array<double>").repartition(40), "x", 64)
+    assert got["pseudo_condition_number"] == pytest.approx(s[0] / s[-1]) and got["coherence"] == pytest.approx(20 / 20)
+    q, _ = np.linalg.qr(rng.normal(size=(200, 5)))
+    bad = q * np.array([1e9, 1e5, 10, 2, 1]) @ np.linalg.qr(rng.normal(size=(5, 5)))[0]
+    got = metrics.svd_metrics(spark.createDataFrame([(r.tolist(),) for r in bad], "x array<double>").repartition(20), "x", 5)
+    assert got["pseudo_condition_number"] == pytest.approx(1e9, rel=1e-4)
+    assert metrics.svd_metrics(spark.createDataFrame([([0.0, 0.0],)], "x array<double>"), "x", 2)["pseudo_condition_number"] == 0
     same = spark.createDataFrame([([1.0, 0.0],)] * 9, "x array<double>")
+    assert metrics.svd_metrics(same, "x", 2)["pseudo_condition_number"] == np.inf
     assert metrics.svd_metrics(same, "x", 2)["self_clustering"] == pytest.approx(1)
     c = np.corrcoef(x.T)
     assert metrics.barlow_twins_loss(df, "x", "y", 4) == pytest.approx((np.diag(c) - 1).sum() ** 2 + ((c**2).sum() - 4) / 4, rel=1e-6)
@@ -305,3 +316,19 @@ def test_ordered_rank_over_partitions(spark):
     assert a == b
     plan = dense_index(df, "node_id", few_components=True)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
+
+
+def test_corrupt_edges_and_context(spark):
+    """Features of edges and of the context are shuffled too; wildcards and rates by feature."""
+    v = spark.createDataFrame([(c, 10 * c + i, i, 100 * c + i, 7 * i) for c in range(20) for i in range(3)], "component_id long, node_id long, x long, y long, z long")
+    e = spark.createDataFrame([(c, 10 * c, 10 * c, 10 * c + 1, 1000 + c) for c in range(20)], "component_id long, edge_id long, source_id long, target_id long, w long")
+    context = spark.createDataFrame([(c, 50 + c) for c in range(20)], "component_id long, label long")
+    g = PropertyGraph.of({"v": v}, {"e": (e, "v", "v")}, context)
+    spec = metrics.Corruption({("nodes", "*"): {"y": 1.0, "*": 0.0}}, 1.0)
+    out = metrics.corrupt(g, spec, 3)
+    pairs = lambda df, *c: sorted(tuple(r[x] for x in c) for r in df.collect())
+    assert pairs(out.nodes["v"], "node_id", "x", "z") == pairs(v, "node_id", "x", "z")
+    for got, was, key, f in ((out.nodes["v"], v, "node_id", "y"), (out.edges["e"].table, e, "edge_id", "w"), (out.context(), context, "component_id", "label")):
+        assert pairs(got, f) == pairs(was, f) and sum(a != b for a, b in zip(pairs(got, key, f), pairs(was, key, f), strict=True)) > 10
+    still = metrics.corrupt(g, metrics.Corruption({("edges", "e"): 0.0, ("context", ""): 0.0}, 1.0), 3)
+    assert pairs(still.edges["e"].table, "edge_id", "w") == pairs(e, "edge_id", "w") and pairs(still.context(), "component_id", "label") == pairs(context, "component_id", "label")

@@ -129,28 +129,58 @@ def self_clustering(g: np.ndarray, n: int, eps: float = 1e-9) -> float:
     return (float((g * g).sum()) - expected) / max(n * n - expected, eps)
 
 
-def singular_values(g: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(np.linalg.eigvalsh(g)[::-1], 0.0))
+def _stacked(rows: Iterator[np.ndarray], width: int) -> np.ndarray:
+    """The R factor of all rows."""
+    r = np.zeros((0, width))
+    for x in rows:
+        r = np.linalg.qr(np.vstack([r, x]), mode="r")
+    return r
+
+
+def _factor(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """A task's R factor, of rows or of other tasks' factors."""
+    r = _stacked((np.asarray(b.column(0).slice(i, ROWS).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, width) for b in batches for i in range(0, b.num_rows, ROWS)), width)
+    yield pa.RecordBatch.from_arrays([pa.array(list(r), pa.list_(pa.float64()))], ["x"])
+
+
+#: Rows that are factored together, and factors that meet in a task.
+ROWS, FAN = 4096, 16
+
+
+def triangle(df: DataFrame, col: str, width: int) -> np.ndarray:
+    """R of X = Q R by a tree of QR factors over tasks: of at most ``width`` rows, with X's singular values and right vectors."""
+    rows = df.select(F.col(col).cast("array<double>").alias("x")).where("x is not null")
+    parts = rows.rdd.getNumPartitions()
+    r = rows.mapInArrow(partial(_factor, width=width), "x array<double>")
+    while parts > FAN:
+        parts = -(-parts // FAN)
+        r = r.repartition(parts).mapInArrow(partial(_factor, width=width), "x array<double>")
+    # FAN factors of width rows at most
+    return _stacked((np.array([list(x.x)]) for x in r.collect()), width)
 
 
 def svd_metrics(df: DataFrame, col: str, width: int) -> dict[str, float]:
-    """pseudo_condition_number, numerical_rank, rankme, coherence and self_clustering from one gram pass."""
-    g, n = gram(df, col, width)
-    s = singular_values(g)
-    top, low = float(s[0]), float(s[-1])
+    """pseudo_condition_number, numerical_rank, rankme, coherence and self_clustering of the matrix of all rows.
+
+    Singular values are those of the R factor, min(rows, width) of them; squaring the matrix would lose the small ones.
+    The condition number of a matrix that lacks rank is infinite, of one without rows or of zeros 0.
+    """
+    g, n = gram(df, col, width, unit=True)
+    r = triangle(df, col, width)
+    _, s, v = np.linalg.svd(r, full_matrices=False)
+    s, v = s[: min(n, width)], v[: min(n, width)]
+    top, low = (float(s[0]), float(s[-1])) if len(s) else (0.0, 0.0)
     p = s / max(s.sum(), 1e-300) + 1e-12
-    values, vectors = np.linalg.eigh(g)
-    keep = values > values.max() * 1e-12
-    basis = vectors[:, keep] / np.sqrt(values[keep])
+    keep = s > top * np.finfo(float).eps * max(n, width)
+    basis = v[keep].T / s[keep]
     rows = df.select(F.col(col).cast("array<double>").alias("x")).where("x is not null")
     most = rows.mapInArrow(partial(_most_leverage, width=width, basis=basis), "top double").agg(F.max("top").alias("m")).first().m or 0.0
-    gu, _ = gram(df, col, width, unit=True)
     return {
-        "pseudo_condition_number": top / low if low > 0 else 0.0,
+        "pseudo_condition_number": top / low if low > 0 else math.inf if top else 0.0,
         "numerical_rank": float((s * s).sum() / (top * top)) if top else 0.0,
         "rankme": float(math.exp(-(p * np.log(p)).sum())),
-        "coherence": float(most) * n / min(n, width),
-        "self_clustering": self_clustering(gu, n),
+        "coherence": float(most) * n / max(1, min(n, width)),
+        "self_clustering": self_clustering(g, n),
     }
 
 
@@ -340,22 +370,31 @@ def integrated_gradients_linear(df: DataFrame, baseline: DataFrame, keys: Sequen
 
 @dataclass(frozen=True)
 class Corruption:
-    """Shares of items whose features are shuffled, by set: (kind, set) -> rate; ``default`` for the others."""
+    """Shares of items whose features are shuffled: (kind, set) -> rate, or -> {feature: rate}; ``default`` for the others.
+
+    "*" stands for any set of a kind, and among features for those that aren't named. The context's set is "".
+    """
 
-    rates: dict[tuple[str, str], float] = field(default_factory=dict)
+    rates: dict[tuple[str, str], float | dict[str, float]] = field(default_factory=dict)
     default: float = 1.0
 
+    def rate(self, kind: str, name: str, feature: str) -> float:
+        found = self.rates.get((kind, name), self.rates.get((kind, "*"), self.default))
+        return found.get(feature, found.get("*", self.default)) if isinstance(found, dict) else found
+
 
 def corrupt(graph: PropertyGraph, spec: Corruption, seed: int = 0) -> PropertyGraph:
-    """Every feature of every set that isn't auxiliary shuffled over the set's items at the set's rate."""
+    """Every feature of every set that isn't auxiliary, of edges and the context too, shuffled over the set's items at its rate."""
     from weft.operators.structure import shuffle_features
-    from weft.schema import NODES
 
     out = graph
     for kind, name, _ in graph.iter_sets(aux=False):
-        rate = spec.rates.get((kind, name), spec.default)
-        if rate > 0 and kind == NODES and (own := graph.features(kind, name)):
-            out = shuffle_features(out, kind, name, own, seed, rate)
+        by: dict[float, list[str]] = {}
+        for f in graph.features(kind, name):
+            by.setdefault(spec.rate(kind, name, f), []).append(f)
+        for rate, own in by.items():
+            if rate > 0:
+                out = shuffle_features(out, kind, name, own, seed, rate)
     return out
 
 

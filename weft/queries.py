@@ -5,6 +5,7 @@ Money is pooled as decimals and cast at the end; exponentials are compared as wh
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -741,6 +742,29 @@ def svd_metrics(spark, sf_dir):
     return spark.createDataFrame(sorted(got.items()), "metric string, value double")
 
 
+def _spectrum() -> str:
+    """The largest eigenvalue of the gram matrix by squaring it, over its trace at each step; and the gram matrix of unit rows."""
+    squares = "".join(
+        f"""
+        p{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM n{k - 1} AS a JOIN n{k - 1} AS b ON a.j = b.i GROUP BY a.i, b.j), t{k} AS MATERIALIZED (SELECT sum(v) AS t FROM p{k} WHERE i = j), n{k} AS MATERIALIZED (SELECT i, j, v / t AS v FROM p{k}, t{k}),"""
+        for k in range(1, 23)
+    )
+    logs = " + ".join(f"(SELECT ln(t) FROM t{k}) / {2**k}" for k in range(1, 23))
+    return f"""WITH x AS MATERIALIZED (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i)), u AS MATERIALIZED (SELECT vec_id, i, v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)) AS v FROM x),
+        g AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM x AS a JOIN x AS b USING (vec_id) GROUP BY a.i, b.i), h AS (SELECT sum(a.v * b.v) AS v FROM u AS a JOIN u AS b USING (vec_id) GROUP BY a.i, b.i),
+        t0 AS MATERIALIZED (SELECT sum(v) AS t FROM g WHERE i = j), n0 AS MATERIALIZED (SELECT i, j, v / t AS v FROM g, t0),{squares}
+        n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM embeddings), e AS (SELECT n, n + n * (n - 1) / 64 AS e FROM n)
+        SELECT 'numerical_rank' AS metric, CAST(floor(1000 / exp({logs}) + 0.123) AS BIGINT) AS thousandths
+        UNION ALL SELECT 'self_clustering', CAST(floor(1000 * (any_value(s.s) - any_value(e)) / (any_value(n * n) - any_value(e)) + 0.123) AS BIGINT) FROM e, (SELECT sum(v * v) AS s FROM h) AS s"""
+
+
+@query(_spectrum())
+def spectrum(spark, sf_dir):
+    got = metrics.svd_metrics(tpch.read(spark, sf_dir, "embeddings"), "embedding", 64)
+    rows = [(m, math.floor(1000 * got[m] + 0.123)) for m in ("numerical_rank", "self_clustering")]
+    return spark.createDataFrame(rows, "metric string, thousandths long")
+
+
 _VIEWS = """WITH x AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS a, CASE WHEN i % 2 = 0 THEN 0.5 ELSE 0.9 END * CAST(embedding[i] AS DOUBLE) + 0.25 * CAST(embedding[i % 64 + 1] AS DOUBLE) AS b FROM embeddings, range(1, 65) t(i)),
     m AS (SELECT i, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, avg((a - b) * (a - b)) AS d, count(*) AS n FROM x GROUP BY i)"""
 

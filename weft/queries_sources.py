@@ -56,6 +56,23 @@ def graph_in_tfrecords(spark, sf_dir):
     return _ordered(_stored(spark, sf_dir, "tfrecord"))
 
 
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS order_pos FROM orders),
+    l AS (SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS line_pos FROM lineitem)
+    SELECT o_custkey AS custkey, order_pos, line_pos, l_partkey AS partkey, l_suppkey AS suppkey FROM o JOIN l ON l_orderkey = o_orderkey""")
+def ragged_examples(spark, sf_dir):
+    """A customer as an Example: of each order, of each lineitem, part and supplier; an array of three levels, written and read back."""
+    o, li = tpch.read(spark, sf_dir, "orders"), tpch.read(spark, sf_dir, "lineitem")
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    lines = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.array(x["l_partkey"], x["l_suppkey"])).alias("lines"))
+    order = F.struct("o_orderkey", "lines")
+    rows = o.join(lines, "o_orderkey", "left").groupBy(F.col("o_custkey").alias("custkey")).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["lines"]).alias("orders"))
+    folder = new_path(spark, "ragged")
+    tfrecord.write_examples(rows, folder)
+    back = tfrecord.read_examples(spark, folder, {f.name: f.dataType for f in rows.schema.fields}, split_bytes=1 << 20)
+    flat = back.select("custkey", F.posexplode("orders").alias("order_pos", "lines")).select("custkey", "order_pos", F.posexplode("lines").alias("line_pos", "ends"))
+    return flat.select("custkey", F.col("order_pos").cast("long").alias("order_pos"), F.col("line_pos").cast("long").alias("line_pos"), F.col("ends")[0].alias("partkey"), F.col("ends")[1].alias("suppkey"))
+
+
 @query("""SELECT event_id, user_id, event_type FROM events""")
 def sharded_csv(spark, sf_dir):
     """A table as events-00000-of-00003.csv and so on, read back by events@3.csv."""

@@ -7,19 +7,31 @@ Example maps names to lists of bytes, floats or integers, in protocol-buffer wir
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from weft.graph import PropertyGraph
 from weft.schema import EDGES, NODES
+from weft.sources.examples import BATCH, HEAD, base, decode_columns, encode_columns, framed, frames, io_type
 from weft.sources.scratch import open_fs, qualified
 
 Value = list[bytes] | list[float] | list[int]
 
+#: Files above this are read by several tasks.
+SPLIT = 64 << 20
+#: Rows that are encoded or decoded together.
+ROWS = 2000
+
 
 def _table() -> list[int]:
     """CRC-32C by byte, from its reflected polynomial."""
@@ -157,92 +169,197 @@ def decode_example(data: bytes) -> dict[str, Value]:
     return out
 
 
-def io_type(kind: T.DataType) -> str:
-    """bytes, float or int: how a column is stored."""
-    while isinstance(kind, T.ArrayType):
-        kind = kind.elementType
-    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return "float"
-    return "bytes" if isinstance(kind, (T.StringType, T.BinaryType)) else "int"
+def _kinds(df: DataFrame) -> dict[str, tuple[str, int]]:
+    return {f.name: (io_type(f.dataType), base(f.dataType)[1]) for f in df.schema.fields}
 
 
-def _stored(x: object, kind: str) -> Value:
-    items = x if isinstance(x, (list, tuple)) else [] if x is None else [x]
-    flat: list = []
-    for v in items:
-        flat += v if isinstance(v, (list, tuple)) else [v]
-    if kind == "bytes":
-        return [v.encode() if isinstance(v, str) else bytes(v) for v in flat]
-    return [float(v) for v in flat] if kind == "float" else [int(v) for v in flat]
+def _write(batches: Iterator[pa.RecordBatch], kinds: dict[str, tuple[str, int]], name: str) -> str:
+    """Write rows as a file of Examples under a name of its own, and move it into place."""
+    fs, at = open_fs(name)
+    fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    part = f"{at}.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(part, compression=None) as out:
+        for b in batches:
+            for i in range(0, b.num_rows, ROWS):
+                own = b.slice(i, ROWS)
+                out.write(framed(encode_columns({c: (own.column(c), *k) for c, k in kinds.items()})))
+    fs.move(part, at)
+    return name
 
 
 def write_examples(df: DataFrame, path: str) -> None:
-    """A row as an Example: arrays flat, with the lengths of inner arrays as ``<name>.d1``. One file a partition."""
+    """A row as an Example: arrays flat, with the lengths of inner arrays as ``<name>.d1``, ``<name>.d2`` and so on. One file a partition."""
     from pyspark import TaskContext
 
-    path = qualified(df.sparkSession, path)
-    kinds = {f.name: (io_type(f.dataType), isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.ArrayType)) for f in df.schema.fields}
+    path, kinds = qualified(df.sparkSession, path), _kinds(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = open_fs(path)
-        fs.create_dir(at, recursive=True)
-        name = f"{at}/part-{TaskContext.get().partitionId():05d}.tfrecord"
-        with fs.open_output_stream(name + ".part", compression=None) as out:
-            for b in batches:
-                for row in b.to_pylist():
-                    ex: dict[str, Value] = {}
-                    for c, (kind, nested) in kinds.items():
-                        ex[c] = _stored(row[c], kind)
-                        if nested:
-                            ex[f"{c}.d1"] = [len(v) for v in row[c] or ()]
-                    out.write(frame(encode_example(ex)))
-        fs.move(name + ".part", name)
-        yield pa.RecordBatch.from_pydict({"file": [name]})
+        yield pa.RecordBatch.from_pydict({"file": [_write(batches, kinds, f"{path}/part-{TaskContext.get().partitionId():05d}.tfrecord")]})
 
     df.mapInArrow(run, "file string").collect()
 
 
-def parse(raw: bytes, columns: dict[str, T.DataType]) -> dict[str, object]:
-    """An Example as a row; what it lacks is 0, empty or an empty list."""
-    ex, out = decode_example(raw), {}
-    for c, kind in columns.items():
-        v = ex.get(c, [])
-        base = kind
-        while isinstance(base, T.ArrayType):
-            base = base.elementType
-        if isinstance(base, T.StringType):
-            v = [x.decode() if isinstance(x, bytes) else x for x in v]
-        elif isinstance(base, T.BooleanType):
-            v = [bool(x) for x in v]
-        if isinstance(kind, T.ArrayType):
-            if isinstance(kind.elementType, T.ArrayType):
-                lengths, at, rows = ex.get(f"{c}.d1", []), 0, []
-                for n in lengths:
-                    rows.append(v[at : at + n])
-                    at += n
-                v = rows
-            out[c] = v
-        else:
-            out[c] = v[0] if v else {"string": "", "boolean": False}.get(base.simpleString(), 0)
-    return out
-
-
-def read_examples(spark: SparkSession, path: str, columns: dict[str, T.DataType]) -> DataFrame:
-    """Examples of all files as rows with the given columns."""
+def _read(path: str, start: int, stop: int) -> Iterator[list[bytes]]:
+    """Records of a range of a file, which begins and ends between records, some megabytes at a time."""
+    fs, at = open_fs(path)
+    with fs.open_input_file(at) as f:
+        f.seek(start)
+        held = b""
+        while start + len(held) < stop:
+            more = f.read(min(max(BATCH, len(held)), stop - start - len(held)))
+            if not more:
+                raise ValueError(f"{path}: ends before byte {stop}")
+            held += more
+            records, used = frames(held, start, path, start + len(held) >= stop)
+            yield records
+            held, start = held[used:], start + used
+
+
+def splits(path: str, length: int, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of a file, of about ``size`` bytes or one record, that begin and end between records: only the records' lengths are read."""
+    fs, at = open_fs(path)
+    with fs.open_input_file(at) as f:
+        begin = here = from_ = 0
+        near = b""
+        while here < length:
+            if here + HEAD > from_ + len(near) or here < from_:
+                f.seek(here)
+                from_, near = here, f.read(min(1 << 16, length - here))
+            if len(near) - (here - from_) < HEAD:
+                raise ValueError(f"{path}: the record at byte {here} is cut short")
+            n = struct.unpack_from("<Q", near, here - from_)[0]
+            if here + HEAD + n + 4 > length:
+                raise ValueError(f"{path}: the record at byte {here} is cut short")
+            here += HEAD + n + 4
+            if here - begin >= size or here == length:
+                yield begin, here
+                begin = here
+
+
+def _batches(records: list[bytes], columns: dict[str, T.DataType], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(records), ROWS):
+        yield pa.RecordBatch.from_arrays(decode_columns(records[i : i + ROWS], columns, arrow), schema=arrow)
+
+
+def read_examples(spark: SparkSession, path: str, columns: dict[str, T.DataType], split_bytes: int = SPLIT) -> DataFrame:
+    """Examples of all files as rows with the given columns.
+
+    Files above ``split_bytes`` are cut between records and read by several tasks; to find the cuts, a task a
+    file reads the records' lengths. Smaller files are read whole, through Spark. A damaged record raises, named
+    by its file and place.
+    """
     schema = T.StructType([T.StructField(c, t) for c, t in columns.items()])
 
-    def run(batches: Iterator) -> Iterator:
-        from pyspark.sql.pandas.types import to_arrow_schema
+    def small(batches: Iterator) -> Iterator:
+        arrow = to_arrow_schema(schema)
+        for b in batches:
+            for where, raw in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                data, at = raw.as_py(), 0
+                while at < len(data):
+                    part = data[at : at + BATCH]
+                    records, used = frames(part, at, where, at + len(part) == len(data))
+                    if not used:  # a record longer than a batch
+                        n = struct.unpack_from("<Q", part)[0] + HEAD + 4
+                        records, used = frames(data[at : at + n], at, where, True)
+                    at += used
+                    yield from _batches(records, columns, arrow)
+
+    def cuts(batches: Iterator) -> Iterator:
+        for b in batches:
+            for where, n in zip(b.column("path").to_pylist(), b.column("length").to_pylist(), strict=True):
+                some = list(splits(where, n, split_bytes))
+                yield pa.RecordBatch.from_arrays([pa.array([where] * len(some)), pa.array([x for x, _ in some], pa.int64()), pa.array([y for _, y in some], pa.int64())], ["path", "start", "stop"])
 
+    def large(batches: Iterator) -> Iterator:
         arrow = to_arrow_schema(schema)
         for b in batches:
-            for raw in b.column("content"):
-                rows = [parse(r, columns) for r in unframe(raw.as_py())]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            for where, start, stop in zip(*(b.column(c).to_pylist() for c in ("path", "start", "stop")), strict=True):
+                for records in _read(where, start, stop):
+                    yield from _batches(records, columns, arrow)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tfrecord*").load(path)
-    return files.select("content").mapInArrow(run, schema)
+    whole = files.where(F.col("length") <= split_bytes).select("path", "content").mapInArrow(small, schema)
+    sized = files.where(F.col("length") > split_bytes).select("path", "length")
+    if not sized.limit(1).count():
+        return whole
+    ranges = sized.repartition("path").mapInArrow(cuts, "path string, start long, stop long")
+    # a range a task, as far as there are partitions
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return whole.unionByName(ranges.repartition(parts, "path", "start").mapInArrow(large, schema))
+
+
+class _Range(InputPartition):
+    def __init__(self, path: str, start: int, stop: int) -> None:
+        self.path, self.start, self.stop = path, start, stop
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, schema: T.StructType, options: dict[str, str]) -> None:
+        self.schema, self.path, self.size = schema, options["path"], int(options.get("split_bytes", SPLIT))
+
+    def partitions(self) -> list[InputPartition]:
+        fs, at = open_fs(self.path)
+        info = fs.get_file_info(at)
+        found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(at, recursive=True))
+        files = sorted((f.path, f.size) for f in found if f.is_file and ".tfrecord" in f.base_name and not f.base_name.endswith(".part") and f.size)
+        root = self.path[: self.path.index("://") + 3] if "://" in self.path and not self.path.startswith("file:") else ""
+        return [_Range(root + p, a, b) for p, n in files for a, b in (splits(root + p, n, self.size) if n > self.size else [(0, n)])]
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(self.schema)
+        if [f.name for f in self.schema.fields] == ["record"] and isinstance(self.schema[0].dataType, T.BinaryType):
+            for records in _read(partition.path, partition.start, partition.stop):
+                yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], schema=arrow)
+            return
+        columns = {f.name: f.dataType for f in self.schema.fields}
+        for records in _read(partition.path, partition.start, partition.stop):
+            yield from _batches(records, columns, arrow)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    file: str
+
+
+class _Writer(DataSourceArrowWriter):
+    def __init__(self, schema: T.StructType, options: dict[str, str]) -> None:
+        self.kinds, self.path = {f.name: (io_type(f.dataType), base(f.dataType)[1]) for f in schema.fields}, options["path"]
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        return _Written(_write(iterator, self.kinds, f"{self.path}/part-{uuid.uuid4().hex}.tfrecord"))
+
+    def commit(self, messages: list) -> None:
+        pass
+
+    def abort(self, messages: list) -> None:
+        for m in messages:
+            if m is not None:
+                fs, at = open_fs(m.file)
+                fs.delete_file(at)
+
+
+class TFRecordSource(DataSource):
+    """``spark.read.format("tfrecord").schema(...).load(path)`` and ``df.write.format("tfrecord").mode("append").save(path)``.
+
+    Columns are an Example's features; without a schema rows are (record binary), the raw records. Files above the
+    option ``split_bytes`` are cut between records; the driver reads their records' lengths for that. Paths are
+    opened through pyarrow; ``spark.dataSource.register(TFRecordSource)`` makes the format known.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "tfrecord"
+
+    def schema(self) -> str:
+        return "record binary"
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _Reader(schema, dict(self.options))
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
+        if overwrite:
+            raise ValueError("files are added; use mode append")
+        return _Writer(schema, dict(self.options))
 
 
 def flat_names(graph: PropertyGraph) -> dict[str, str]:
@@ -283,20 +400,15 @@ def encode_samples(graph: PropertyGraph) -> DataFrame:
     names = [n for n in parts.columns if n != "component_id"]
     kind_of = {f.name: f.dataType for f in parts.schema.fields}
     parts = parts.toDF("component_id", *(f"c{i}" for i in range(len(names))))  # names with dots aren't columns' names
-    nested = {n: isinstance(kind_of[n], T.ArrayType) and isinstance(kind_of[n].elementType, T.ArrayType) for n in names}
+    depths = [base(kind_of[n])[1] for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for row in b.to_pylist():
-                ex: dict[str, Value] = {}
-                for i, n in enumerate(names):
-                    x = row[f"c{i}"]
-                    ex[n] = [x or 0] if n.endswith("#size") else _stored(x, kinds[n])
-                    if nested[n]:
-                        ex[f"{n}.d1"] = [len(v) for v in x or ()]
-                out.append(encode_example(ex))
-            yield pa.RecordBatch.from_arrays([b.column("component_id"), pa.array(out, pa.binary())], ["component_id", "example"])
+            for at in range(0, b.num_rows, ROWS):
+                own = b.slice(at, ROWS)
+                cols = {n: (pc.fill_null(own.column(f"c{i}"), 0) if n.endswith("#size") else own.column(f"c{i}"), kinds[n], depths[i]) for i, n in enumerate(names)}
+                out = encode_columns(cols) if cols else [encode_example({})] * own.num_rows
+                yield pa.RecordBatch.from_arrays([own.column("component_id"), pa.array(out, pa.binary())], ["component_id", "example"])
 
     return parts.mapInArrow(run, T.StructType([parts.schema["component_id"], T.StructField("example", T.BinaryType())]))
 
@@ -307,12 +419,12 @@ def decode_samples(df: DataFrame, columns: dict[str, T.DataType]) -> DataFrame:
     schema = T.StructType([df.schema["component_id"], *(T.StructField(names[n], t) for n, t in columns.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
         arrow = to_arrow_schema(schema)
+        inner = pa.schema(list(arrow)[1:])
         for b in batches:
-            rows = [parse(x.as_py(), columns) for x in b.column("example")]
-            cols = [pa.array([r[n] for r in rows], arrow.field(names[n]).type) for n in columns]
-            yield pa.RecordBatch.from_arrays([b.column("component_id"), *cols], [f.name for f in schema.fields])
+            for i in range(0, b.num_rows, ROWS):
+                own = b.slice(i, ROWS)
+                cols = decode_columns(own.column("example").to_pylist(), columns, inner)
+                yield pa.RecordBatch.from_arrays([own.column("component_id"), *cols], [f.name for f in schema.fields])
 
     return df.select("component_id", "example").mapInArrow(run, schema)
