@@ -132,7 +132,7 @@ def test_phrases_against_all_counts(spark, monkeypatch, empty):
     monkeypatch.setattr(setm, "HELD", 20)
     want = {}
     code, pos = np.array([0, 1, 0, 1, 0, 2, 0, 1], np.int32), np.array([0, 1, 2, 3, 0, 1, 0, 1], np.int32)
-    relation = pa.RecordBatch.from_pydict({"lang": ["en", "fr"] * 40, "words": [["a", "b", "c"]] * 80, "code": [code] * 80, "pos": [pos] * 80})
+    relation = setm._relation([(x, pa.array(["a", "b", "c"]), code, pos) for x in ["en", "fr"] * 40])
     made = pa.Table.from_batches(setm._counted.__wrapped__(iter([relation]), [np.full(1 << 13, 255, np.uint8)], 3)).sort_by([("part", "ascending"), ("lang", "ascending")])
     for b in setm._added.__wrapped__(iter(made.to_batches(max_chunksize=5)), 1):
         for r in b.to_pylist():

@@ -55,6 +55,23 @@ def _language_rows(b: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
         yield name, b.filter(pa.array(codes == i))
 
 
+def _blob(**columns: pa.Array) -> bytes:
+    """Columns of one length, compressed: rows of the relation stay small outside the task that reads them."""
+    sink = pa.BufferOutputStream()
+    b = pa.RecordBatch.from_pydict(columns)
+    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
+def _relation(rows: list[tuple[str, pa.Array, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of the relation of (language, dictionary, words, positions)."""
+    return pa.RecordBatch.from_pydict(
+        {"lang": [r[0] for r in rows], "n": [len(r[2]) for r in rows], "words": [_blob(word=r[1]) for r in rows], "occurrences": [_blob(code=pa.array(r[2].astype(np.int32)), pos=pa.array(r[3].astype(np.int32))) for r in rows]},
+        schema=pa.schema([("lang", pa.string()), ("n", pa.int64()), ("words", pa.binary()), ("occurrences", pa.binary())]),
+    )
+
+
 @tidy
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the relation of single words: language, dictionary, and for each occurrence its word and position;
@@ -83,10 +100,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pos = at - np.maximum.accumulate(np.where(new, at, 0))
                 bounds = np.append(0, np.cumsum(stop - start))
                 words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw[ink]))).dictionary_encode()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name]), pa.array([words.dictionary.cast(pa.string()).to_pylist()], pa.list_(pa.string())), pa.array([words.indices.to_numpy()], pa.list_(pa.int32())), pa.array([pos.astype(np.int32)], pa.list_(pa.int32()))],
-                    ["lang", "words", "code", "pos"],
-                )
+                yield _relation([(name, words.dictionary.cast(pa.string()), words.indices.to_numpy(), pos)])
 
 
 def phrase_hash(lang: int, words: list[np.ndarray]) -> np.ndarray:
@@ -128,8 +142,9 @@ def _counted(batches: Iterator[pa.RecordBatch], marks: list[np.ndarray], parts:
     for b in batches:
         for i in range(b.num_rows):
             name = b.column("lang")[i].as_py()
-            words = b.column("words")[i].values
-            code, pos = (b.column(c)[i].values.to_numpy() for c in ("code", "pos"))
+            words = pa.ipc.open_stream(b.column("words")[i].as_buffer()).read_all().column(0).combine_chunks()
+            own = pa.ipc.open_stream(b.column("occurrences")[i].as_buffer()).read_all()
+            code, pos = (own.column(c).to_numpy() for c in ("code", "pos"))
             hashes, lang = string_hashes(words), int(string_hashes(pa.array([name]))[0])
             at, n = _grouped(code, _frequent(code, pos, hashes, lang, marks), k, len(words))
             if not len(at):
@@ -203,8 +218,8 @@ def frequent_phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, la
     """(lang, n): all word occurrences; and for each length up to ``words`` the phrases (lang, phrase, f) that occur at least so often."""
     spark = docs.sparkSession
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    relation = cut(own.mapInArrow(_occurrences, "lang string, words array<string>, code array<int>, pos array<int>"), "occurrences")
-    totals = relation.groupBy("lang").agg(F.sum(F.size("code").cast("long")).alias("n"))
+    relation = cut(own.mapInArrow(_occurrences, "lang string, n long, words binary, occurrences binary"), "occurrences")
+    totals = relation.groupBy("lang").agg(F.sum("n").alias("n"))
     parts = 4 * partitions_for(spark)
     marks: list[np.ndarray] = []
     found: list[DataFrame] = []
