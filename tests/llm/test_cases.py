@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,25 +71,50 @@ def test_lm_scores_depend_on_the_order_of_words(spark):
     assert ordered < 0.95 * shuffled
 
 
-def test_line_chunks_against_a_plain_version(spark):
-    """Links of two neighbouring lines go unless they are the first of their kind."""
+@pytest.mark.parametrize("passages", [False, True])
+def test_line_chunks_against_a_plain_version(spark, passages):
+    """Chunks that aren't the first of their kind go, and with them the lines beside them that equal those beside the first."""
     rng = random.Random(4)
     pool = ["aa bb", "cc", "dd ee ff", "", "gg", " ".join(["long"] * 50), "hh ii"]
-    texts = {i: "\n".join(rng.choice(pool) + (f" {rng.randint(0, 3)}" if rng.random() < 0.6 else "") for _ in range(rng.randint(1, 9))) + ("\n" if i % 3 == 0 else "") for i in range(60)}
-    seen, gone = set(), collections.defaultdict(set)
+    runs = [[f"run {i} line {j}" if j % 3 else "" for j in range(1, 12)] for i in range(5)]
+    texts = {}
+    for i in range(80):
+        lines = [rng.choice(pool) + (f" {rng.randint(0, 3)}" if rng.random() < 0.6 else "") for _ in range(rng.randint(1, 9))]
+        if i % 2:
+            lines[len(lines) // 2 : len(lines) // 2] = rng.choice(runs)[rng.randint(0, 3) :]
+        texts[i] = "\n".join(lines) + ("\n" if i % 3 == 0 else "")
+    split = lambda t: t.split("\n")[:-1] if t.endswith("\n") else t.split("\n")
+    seen, gone = {}, collections.defaultdict(set)
     for i, t in sorted(texts.items()):
-        lines = t.split("\n")[:-1] if t.endswith("\n") else t.split("\n")
-        inked = [k for k, x in enumerate(lines) if WORD.search(x)]
-        kinds = [(2 * a, list(range(a, b + 1))) for a, b in zip(inked, inked[1:], strict=False)] + [(2 * k + 1, [k]) for k in inked if len(WORD.findall(lines[k])) >= 50]
-        for code, rows in sorted(kinds):
-            body = (code & 1, "\n".join(lines[k] for k in rows))
-            if body in seen:
-                gone[i] |= set(rows)
-            seen.add(body)
-    got = {r.doc_id: r for r in line_chunks.line_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()}
+        lines = split(t)
+        for family, c in enumerate(line_chunks.Chunks(pa.array([t]), passages).families()):
+            bounds = np.flatnonzero((c.lines > 1) | (c.alone[np.searchsorted(c.inked, c.first)])).tolist()
+            whole = [(int(a), int(b)) for a, b in zip(c.first, c.last, strict=True)]
+            for at in c.looked_up().tolist():
+                a, b = whole[at]
+                body = (family, "\n".join(lines[a : b + 1]))
+                inked = [k for k, x in enumerate(lines) if WORD.search(x)]
+                low = max([whole[k][0] for k in bounds if k < at], default=whole[0][0])
+                low = inked[max(0, inked.index(low) - line_chunks.WINDOW)]
+                high = min([whole[k][1] for k in bounds if k > at], default=whole[-1][1])
+                if body not in seen:
+                    seen[body] = (i, a, b, low, high)
+                    continue
+                j, a0, b0, low0, high0 = seen[body]
+                other = split(texts[j])
+                x, y = 1, 1
+                first, last = a, b
+                while a - x >= low and a0 - x >= low0 and lines[a - x] == other[a0 - x]:
+                    first = a - x if WORD.search(lines[a - x]) else first
+                    x += 1
+                while b + y <= high and b0 + y <= high0 and lines[b + y] == other[b0 + y]:
+                    last = b + y if WORD.search(lines[b + y]) else last
+                    y += 1
+                gone[i] |= set(range(first, last + 1))
+    got = {r.doc_id: r for r in line_chunks.line_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), passages=passages).collect()}
+    assert sum(map(len, gone.values())) > 100
     for i, t in texts.items():
-        lines = t.split("\n")[:-1] if t.endswith("\n") else t.split("\n")
-        kept = [x for k, x in enumerate(lines) if k not in gone[i]]
+        kept = [x for k, x in enumerate(split(t)) if k not in gone[i]]
         want = "\n".join(kept) + ("\n" if kept and t.endswith("\n") else "") if gone[i] else t
         assert (got[i].text, got[i]._removed) == (want, len(gone[i])), i
 

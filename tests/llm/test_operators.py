@@ -92,7 +92,7 @@ def test_pivot_search_of_unequal_norms(spark):
 
 
 def test_line_chunks(docs, rows, empty):
-    got = line_chunks.line_dedup(docs).collect()
+    got = line_chunks.line_dedup(docs, passages=True).collect()
     assert len(got) == len(rows) and set(got[0].asDict()) == {*"doc_id text lang source n_chars row size digest key".split(), "_removed"}
     before = collections.Counter((r[0], r[1]) for r in rows)
     assert all(r.text is None for r in got if r.n_chars is None and r.doc_id is not None)
@@ -107,23 +107,29 @@ def test_line_chunks(docs, rows, empty):
 
 
 def test_line_chunks_find_runs_of_short_lines(spark):
-    """A run of two or more lines goes whole wherever it is repeated; single short lines stay."""
+    """Repeated runs of 2 to 40 lines: at least nine in ten go whole, with nothing else; single lines stay."""
     line = lambda i, j: " ".join(f"w{i}x{j}y{k}" for k in range(8))
     other = lambda i, n=5: [line(i, j) for j in range(n)]
     texts, want = [], []
-    for i, n in enumerate([2, 3, 4, 6, 8, 12, 40] * 3):
+    for i, n in enumerate([*range(2, 41)] * 4):
         run = other(1000 + i, n)
         run.insert(1, "")
-        texts += [[*other(10 * i), *run, *other(10 * i + 1)], [*other(10 * i + 2), *run, *other(10 * i + 3)]]
-        want += [texts[-2], [*other(10 * i + 2), *other(10 * i + 3)]]
+        texts += [[*other(10_000 + 10 * i), *run, *other(10_001 + 10 * i)], [*other(10_002 + 10 * i), *run, *other(10_003 + 10 * i)]]
+        want += [texts[-2], [*other(10_002 + 10 * i), *other(10_003 + 10 * i)]]
     single = line(5000, 0)
     for i in (5001, 5002):
         texts.append([*other(i), "", single, *other(i + 10)])
         want.append(texts[-1])
     df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     got = {r.doc_id: r for r in line_chunks.line_dedup(df).collect()}
+    whole = 0
     for i, t in enumerate(want):
-        assert got[i].text == "\n".join(t) and got[i]._removed == len(texts[i]) - len(t)
+        if len(t) == len(texts[i]):
+            assert got[i].text == "\n".join(t) and got[i]._removed == 0
+        else:
+            whole += got[i].text == "\n".join(t)
+            assert got[i].text in ("\n".join(t), "\n".join(texts[i]))
+    assert whole >= 0.9 * 39 * 4
 
 
 def test_line_chunks_move_with_inserted_lines():
@@ -133,7 +139,7 @@ def test_line_chunks_move_with_inserted_lines():
     a = line_chunks.Chunks(pa.array(["\n".join(lines)]))
     b = line_chunks.Chunks(pa.array(["\n".join([*lines[:50], "new", *lines[50:]])]))
     assert len(set(a.hash.tolist()) & set(b.hash.tolist())) >= 0.9 * len(a.hash)
-    assert b"\n".join(a.text(i) for i in range(len(a.hash))) == "\n".join(lines).encode()
+    assert b"\n".join(a.text(i) for i in range(len(a.hash))) == "\n".join(lines).encode() and 1.5 < len(lines) / len(a.hash) < 3
 
 
 def test_targets():

@@ -1,18 +1,21 @@
-"""Line dedup by content-defined chunks of lines, cut as finely as lines allow.
-
-Each line is hashed. Every line with a word makes a link with the next such line (lines without words
-between them belong to it), and a line of at least PASSAGE words is a passage of its own. Links and
-passages that occur more than once anywhere are removed but for their first occurrence (smallest
-doc_id, then text, then place), after their bytes have been compared with the first occurrence's.
-Links overlap, so a repeated run of two or more lines goes whole, up to its first and last line,
-whatever stands around it; the first occurrence of each line always stays.
-
-``Chunks`` also cuts texts into longer chunks, which end where a rolling hash over the last WINDOW line
-hashes falls into one of AVERAGE classes; such chunks are runs of links.
-
-Defined cases: null and empty texts stay as they are. A single line of fewer than PASSAGE words stays,
-as do lines without words outside of links. A text all of whose lines are removed becomes empty. Rows that repeat both id and text are one occurrence and are treated alike; null ids come
-first. Lines end at \\n; a last line without it is a line; a text that ends in \\n still does. Other columns are kept, n_chars is set anew.
+"""Line dedup by content-defined chunks of lines.
+
+Each line with a word is hashed; a chunk ends where a rolling hash over the last WINDOW such lines falls into one
+of AVERAGE classes, or after LONGEST lines, so chunks are the same wherever a run of lines stands; FAMILIES such
+hashes cut the same lines apart. Chunks of two
+lines or more whose hash occurs more than once anywhere are looked up: all but the first occurrence (smallest
+doc_id, then text, then place) are removed after their bytes have been compared with the first occurrence's.
+A removed chunk is extended line by line to both sides for as long as the lines equal those beside the first
+occurrence, up to the next chunk on either side that is looked up itself, so a repeated run goes whole once a chunk lies inside it, whatever
+stands around it. Every line that goes has an equal one earlier, so the first of each line always stays.
+
+With ``passages``, single lines of at least PASSAGE words are chunks too, each of its own.
+
+Defined cases: null and empty texts stay as they are. Lines without words belong to a chunk only between its
+lines. Short runs may hold no whole chunk and stay (of random runs of 2 to 40 lines less than a tenth do). A text
+all of whose lines are removed becomes empty. Rows that repeat both id and text are one occurrence and are
+treated alike; null ids come first. Lines end at \\n; a last line without it is a line; a text that ends in \\n
+still does. Other columns are kept, n_chars is set anew.
 """
 
 from __future__ import annotations
@@ -30,121 +33,157 @@ from pyspark.sql import types as T
 from weft.llm.bitmaps import bitmap, has
 from weft.llm.common import cut, pieces, tidy, unused
 from weft.llm.groups import attach
-from weft.llm.textarrays import BASE, mix, powers, text_bytes, word_spans
+from weft.llm.textarrays import BASE, mix, powers, span_hashes, text_bytes, word_spans
 
-WINDOW = 3
-AVERAGE = 4
+WINDOW = 2
+AVERAGE = 2
 LONGEST = 32
+#: Families of ends that cut the same lines: with three, few short runs hold no whole chunk of any.
+FAMILIES = 3
 PASSAGE = 50
 
 
 class Chunks:
-    """Chunks of a batch of texts, as arrays: text, first and last byte, lines, hash, and whether it may be removed."""
+    """Chunks of a batch of texts, as arrays: text, hash, first and last line (places among the text's lines)."""
 
-    def __init__(self, texts: pa.Array) -> None:
+    def __init__(self, texts: pa.Array, passages: bool = False) -> None:
         raw, off = text_bytes(texts)
         self.raw = raw
-        n = len(off) - 1
         ends = np.flatnonzero(raw == 10)
         starts = np.sort(np.concatenate([off[:-1][np.diff(off) > 0], ends[~np.isin(ends + 1, off)] + 1]))
         doc = np.searchsorted(off, starts, "right") - 1
         stop = np.append(starts[1:], len(raw)) if len(starts) else starts
-        if len(starts):
-            size = stop - starts
-            place = np.arange(len(raw)) - np.repeat(starts, size)
-            body = raw.astype(np.uint64) + np.uint64(1)
-            # powers of the base by place, without a table as long as the longest line
-            step = powers(1024)
-            hi = place >> 10
-            top = powers(int(hi.max()) + 1) if hi.max() else np.ones(1, np.uint64)
-            far = step[place & 1023] * (mix(top)[hi] | np.uint64(1))
-            newline = raw == 10
-            h = mix(np.add.reduceat(np.where(newline, np.uint64(0), body * far), starts))
-            words = np.diff(np.searchsorted(word_spans(raw, off)[0], np.append(starts, len(raw))))
-        else:
-            h, words = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self._links(doc, starts, stop, h, words)
-        first = np.ones(len(starts), bool)
-        first[1:] = doc[1:] != doc[:-1]
-        since = np.arange(len(starts)) - np.maximum.accumulate(np.where(first, np.arange(len(starts)), 0)) if len(starts) else np.zeros(0, np.int64)
+        words = np.diff(np.searchsorted(word_spans(raw, off)[0], np.append(starts, len(raw)))) if len(starts) else starts
+        self.line_doc, self.line_start, self.line_stop, self.ink = doc, starts, stop, words > 0
+        self.place = np.arange(len(starts)) - np.searchsorted(doc, doc)
+        inked = np.flatnonzero(self.ink)
+        self.inked, self.alone = inked, words[inked] >= PASSAGE if passages else np.zeros(len(inked), bool)
+        self.line_hash = span_hashes(raw, starts[inked], stop[inked] - (raw[stop[inked] - 1] == 10))
+        self.cut(0)
+
+    def families(self) -> Iterator[Chunks]:
+        """The same texts cut by each family of ends in turn."""
+        for family in range(FAMILIES):
+            self.cut(family)
+            yield self
+
+    def cut(self, family: int) -> None:
+        inked, h, alone = self.inked, self.line_hash, self.alone
+        n = len(inked)
+        doc = self.line_doc[inked]
+        new = np.ones(n, bool)
+        new[1:] = doc[1:] != doc[:-1]
+        new[1:] |= alone[1:] | alone[:-1]
+        since = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
         roll = h * BASE
         for k in range(1, WINDOW):
             past = np.zeros_like(h)
-            past[k:] = h[:-k] if k < len(h) else past[k:]
+            past[k:] = h[:-k] if k < n else past[k:]
             roll += np.where(since >= k, past * powers(WINDOW + 1)[k + 1], np.uint64(0))
-        end = mix(roll) % np.uint64(AVERAGE) == 0
-        long = words >= PASSAGE
-        new = first.copy()
-        new[1:] |= end[:-1] | long[1:] | long[:-1]
+        end = mix(roll + np.uint64(family)) % np.uint64(AVERAGE) == 0
+        new[1:] |= end[:-1]
         at = np.flatnonzero(new)
-        if len(at):  # forced ends
-            run = np.arange(len(starts)) - np.repeat(at, np.diff(np.append(at, len(starts))))
-            at = np.flatnonzero(new | (run % LONGEST == 0))
-        lines = np.diff(np.append(at, len(starts)))
-        weight = np.arange(len(starts)) - np.repeat(at, lines)
-        self.hash = mix(np.add.reduceat(h * powers(LONGEST + 1)[weight + 1], at) + lines.astype(np.uint64)) if len(at) else h
-        self.doc, self.start, self.lines = doc[at], starts[at], lines
-        last = np.append(at[1:], len(starts)) - 1 if len(at) else at
-        self.stop = stop[last] if len(at) else starts
-        self.open = (lines > 1) | long[at] if len(at) else np.zeros(0, bool)
-        ordinal = np.arange(len(at))
-        self.no = ordinal - np.searchsorted(self.doc, self.doc) if len(at) else ordinal
-        self.before = np.searchsorted(self.doc, np.arange(n + 1))
-
-    def _links(self, doc: np.ndarray, starts: np.ndarray, stop: np.ndarray, h: np.ndarray, words: np.ndarray) -> None:
-        """Links and passages: text, hash, code (twice the line's place in its text, one more for a passage), first and last byte."""
-        self.line_doc, self.line_start, self.line_stop, self.ink = doc, starts, stop, words > 0
-        place = np.arange(len(starts)) - np.searchsorted(doc, doc)
-        inked = np.flatnonzero(self.ink)
-        a, b = inked[:-1], inked[1:]
-        same = doc[a] == doc[b]
-        a, b = a[same], b[same]
-        one = np.flatnonzero(words >= PASSAGE)
-        p = powers(4)
-        gap = (starts[b] - stop[a]).astype(np.uint64)
-        self.link_hash = np.concatenate([mix(h[a] * p[1] + h[b] * p[2] + gap * p[3] + np.uint64(2)), mix(h[one] * p[1] + np.uint64(1))])
-        self.link_doc = np.concatenate([doc[a], doc[one]])
-        self.link_code = np.concatenate([2 * place[a], 2 * place[one] + 1])
-        self.link_start, self.link_stop = np.concatenate([starts[a], starts[one]]), np.concatenate([stop[b], stop[one]])
-
-    def link(self, i: int) -> bytes:
-        """A link's or passage's bytes, without the last line's end."""
-        return self.raw[self.link_start[i] : self.link_stop[i]].tobytes().removesuffix(b"\n")
-
-    def without(self, k: int, codes: list[int]) -> tuple[bytes, int]:
-        """The k-th text without the lines of these links and passages, and how many lines went."""
+        run = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
+        at = np.flatnonzero(new | (run % LONGEST == 0))
+        lines = np.diff(np.append(at, n))
+        weight = np.arange(n) - np.repeat(at, lines)
+        # what stands between two lines of a chunk counts by its length
+        gap = np.zeros(n, np.int64)
+        gap[1:] = self.line_start[inked][1:] - self.line_stop[inked][:-1]
+        own = h + np.where(weight > 0, mix(gap.astype(np.uint64)), np.uint64(0))
+        self.hash = mix(np.add.reduceat(mix(own) * powers(LONGEST + 1)[weight + 1], at) + (lines + LONGEST * family).astype(np.uint64)) if n else h
+        self.first, self.last = inked[at], inked[at + lines - 1] if n else inked
+        self.doc, self.lines, self.single = doc[at], lines, alone[at] & (family == 0)
+        # the chunks before and after that bound an extension: looked up themselves, or their text's first or last
+        own, some = np.arange(len(at)), (lines > 1) | alone[at]
+        lead = np.searchsorted(self.doc, self.doc)
+        tail = np.searchsorted(self.doc, self.doc, "right") - 1
+        seen = np.maximum.accumulate(np.where(some, own, -1))
+        self.back = np.minimum(np.maximum(np.append(-1, seen[:-1]), lead), own) if len(at) else own
+        # ends near a run's start depend on what stands before it, so its first lines may be cut otherwise elsewhere
+        self.reach = inked[np.maximum(at[self.back] - WINDOW, at[lead])] if len(at) else inked
+        seen = np.minimum.accumulate(np.where(some, own, len(at))[::-1])[::-1]
+        self.ahead = np.maximum(np.minimum(np.append(seen[1:], len(at)), tail), own) if len(at) else own
+
+    def looked_up(self) -> np.ndarray:
+        return np.flatnonzero((self.lines > 1) | self.single)
+
+    def _bytes(self, a: int, b: int) -> bytes:
+        """From the start of line a to the end of line b, without the last line's end; of lines among the batch's."""
+        return self.raw[self.line_start[a] : self.line_stop[b]].tobytes().removesuffix(b"\n")
+
+    def text(self, i: int) -> bytes:
+        """A chunk's bytes, without the last line's end."""
+        return self._bytes(self.first[i], self.last[i])
+
+    def before(self, i: int) -> bytes:
+        """What stands before the chunk in its text, from WINDOW lines before the last chunk before that is looked up."""
+        return self.raw[self.line_start[self.reach[i]] : self.line_start[self.first[i]]].tobytes()
+
+    def after(self, i: int) -> bytes:
+        """What stands after the chunk's last line, up to the end of the next chunk that is looked up."""
+        return self._bytes(self.last[i] + 1, self.last[self.ahead[i]]) if self.ahead[i] > i else b""
+
+    def without(self, k: int, ranges: list) -> tuple[bytes, int]:
+        """The k-th text without these lines (first, last), and how many lines went."""
         lo, hi = np.searchsorted(self.line_doc, [k, k + 1]).tolist()
         gone = np.zeros(hi - lo, bool)
-        inked = np.flatnonzero(self.ink[lo:hi])
-        for code in codes:
-            at = code >> 1
-            gone[at : at + 1 if code & 1 else inked[np.searchsorted(inked, at) + 1] + 1] = True
+        for r in ranges:
+            gone[r["first"] : r["last"] + 1] = True
         kept = [self.raw[self.line_start[lo + i] : self.line_stop[lo + i]].tobytes().removesuffix(b"\n") for i in np.flatnonzero(~gone).tolist()]
         ended = kept and self.raw[self.line_stop[hi - 1] - 1] == 10
         return b"\n".join(kept) + (b"\n" if ended else b""), int(gone.sum())
 
-    def text(self, i: int) -> bytes:
-        """A chunk's bytes, without the last line's end."""
-        return self.raw[self.start[i] : self.stop[i]].tobytes().removesuffix(b"\n")
+
+def same_before(a: bytes, b: bytes) -> int:
+    """How many lines at the end of a and b are equal, up to the first of them with a word."""
+    x, y, n = a.split(b"\n")[:-1], b.split(b"\n")[:-1], 0
+    for i, (p, q) in enumerate(zip(reversed(x), reversed(y), strict=False), 1):
+        if p != q:
+            break
+        n = i if p.split() else n
+    return n
+
+
+def same_after(a: bytes, b: bytes) -> int:
+    """How many lines at the start of a and b are equal, up to the last of them with a word."""
+    n = 0
+    for i, (p, q) in enumerate(zip(a.split(b"\n") if a else [], b.split(b"\n") if b else [], strict=False), 1):
+        if p != q:
+            break
+        n = i if p.split() else n
+    return n
 
 
 @tidy
-def _scan(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], text: str, passages: bool) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in pieces(whole, text, 2 << 20):
-            c = Chunks(b.column(text))
-            yield pa.RecordBatch.from_arrays([pa.array(c.link_hash.view(np.int64))], ["hash"])
+            for c in Chunks(b.column(text), passages).families():
+                yield pa.RecordBatch.from_arrays([pa.array(c.hash[c.looked_up()].view(np.int64))], ["hash"])
 
 
 @tidy
-def _texts(batches: Iterator[pa.RecordBatch], text: str, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch], text: str, passages: bool, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in pieces(whole, text, 2 << 20):
-            c = Chunks(b.column(text))
-            at = np.flatnonzero(has(marks, c.link_hash.view(np.int64)))
-            rows = pa.array(c.link_doc[at])
-            body = pa.array([c.link(i) for i in at.tolist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("sig").take(rows), pa.array(c.link_hash[at].view(np.int64)), pa.array(c.link_code[at]), body], ["doc_id", "sig", "hash", "no", "body"])
+            for c in Chunks(b.column(text), passages).families():
+                at = c.looked_up()
+                at = at[has(marks, c.hash[at].view(np.int64))]
+                rows, some = pa.array(c.doc[at]), at.tolist()
+                cols = [b.column("doc_id").take(rows), b.column("sig").take(rows), pa.array(c.hash[at].view(np.int64)), pa.array(c.place[c.first[at]]), pa.array(c.place[c.last[at]])]
+                cols += [pa.array([f(i) for i in some], pa.binary()) for f in (c.text, c.before, c.after)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sig", "hash", "no", "end", "body", "before", "after"])
+
+
+@tidy
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, sig, first, last): lines that go of each verified hit."""
+    for b in batches:
+        x = {c: b.column(c).to_pylist() for c in ("no", "end", "before", "after", "before0", "after0")}
+        first = [n - same_before(p, q) for n, p, q in zip(x["no"], x["before"], x["before0"], strict=True)]
+        last = [n + same_after(p, q) for n, p, q in zip(x["end"], x["after"], x["after0"], strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sig"), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["doc_id", "sig", "first", "last"])
 
 
 @tidy
@@ -169,23 +208,26 @@ def _rebuild(batches: Iterator[pa.RecordBatch], text: str, gone_col: str) -> Ite
             yield pa.RecordBatch.from_arrays([*cols, removed], [*names, "_removed"])
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns with repeated runs of lines removed from the texts, and _removed: how many lines."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
+    """All rows and columns with repeated chunks of lines removed from the texts, and _removed: how many lines."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("sig", F.xxhash64("doc_id", "text"))
-    found = own.mapInArrow(partial(_scan, text="text"), "hash long")
+    found = own.mapInArrow(partial(_scan, text="text", passages=passages), "hash long")
     repeated = cut(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
-    marks = bitmap(repeated)
-    rows = cut(own.mapInArrow(partial(_texts, text="text", marks=marks), "doc_id long, sig long, hash long, no long, body binary"), "links")
-    # links are told apart by their bytes' hash too, so that of two that share a line hash both go
-    rows = rows.withColumn("link", F.struct("hash", F.xxhash64("body").alias("body64")))
-    firsts = rows.groupBy("link").agg(F.min(F.struct("doc_id", "sig", "no", "body")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    marks = bitmap(repeated, min(26, max(16, (16 * repeated.count()).bit_length())))
+    kind = "doc_id long, sig long, hash long, no long, end long, body binary, before binary, after binary"
+    rows = cut(own.mapInArrow(partial(_texts, text="text", passages=passages, marks=marks), kind), "chunks")
+    # chunks are told apart by their bytes' hash too, so that of two that share a hash both go
+    rows = rows.withColumn("chunk", F.struct("hash", F.xxhash64("body").alias("body64")))
+    firsts = rows.groupBy("chunk").agg(F.min(F.struct("doc_id", "sig", "no", "body", "before", "after")).alias("at"), F.count("*").alias("n")).where("n > 1")
     firsts = cut(firsts, "firsts")
-    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sig") == F.col("first.sig")) & (F.col("no") == F.col("first.no"))
-    # a line in a large share of all texts is broadcast, not one task's
-    lost = attach(rows, firsts, "link", "n", rows.count()).where(F.col("first").isNotNull() & ~is_first & (F.col("body") == F.col("first.body")))
-    own, gone, lost_id, lost_sig = unused(docs, "own", "gone", "id", "sig")
-    lists = lost.groupBy("doc_id", "sig").agg(F.collect_set("no").alias(gone)).select(F.col("doc_id").alias(lost_id), F.col("sig").alias(lost_sig), gone)
-    keyed = docs.withColumn(own, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
-    joined = keyed.join(lists, (F.col(own) == F.col(lost_sig)) & F.col(id_col).cast("long").eqNullSafe(F.col(lost_id)), "left")
+    is_first = F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("sig") == F.col("at.sig")) & (F.col("no") == F.col("at.no"))
+    # a chunk in a large share of all texts is broadcast, not one task's
+    hits = attach(rows, firsts, "chunk", "n", rows.count()).where(F.col("at").isNotNull() & ~is_first & (F.col("body") == F.col("at.body")))
+    hits = hits.select("doc_id", "sig", "no", "end", "before", "after", F.col("at.before").alias("before0"), F.col("at.after").alias("after0"))
+    lost = hits.mapInArrow(_extended, "doc_id long, sig long, first long, last long")
+    mine, gone, lost_id, lost_sig = unused(docs, "own", "gone", "id", "sig")
+    lists = lost.groupBy("doc_id", "sig").agg(F.collect_set(F.struct("first", "last")).alias(gone)).select(F.col("doc_id").alias(lost_id), F.col("sig").alias(lost_sig), gone)
+    keyed = docs.withColumn(mine, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
+    joined = keyed.join(lists, (F.col(mine) == F.col(lost_sig)) & F.col(id_col).cast("long").eqNullSafe(F.col(lost_id)), "left")
     kind = T.StructType([*docs.schema.fields, T.StructField("_removed", T.LongType())])
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), gone).mapInArrow(partial(_rebuild, text=text_col, gone_col=gone), kind)

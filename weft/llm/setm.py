@@ -220,12 +220,12 @@ def frequent_phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, la
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     relation = cut(own.mapInArrow(_occurrences, "lang string, n long, words binary, occurrences binary"), "occurrences")
     totals = relation.groupBy("lang").agg(F.sum("n").alias("n"))
-    parts = 4 * partitions_for(spark)
+    parts = partitions_for(spark)
     marks: list[np.ndarray] = []
     found: list[DataFrame] = []
     for _ in range(words):
         packed = relation.mapInArrow(partial(_counted, marks=list(marks), parts=parts), "part long, lang string, data binary, counts binary")
-        dealt = packed.repartition(parts // 4, "part").sortWithinPartitions("part", "lang")
+        dealt = packed.repartition(parts, "part").sortWithinPartitions("part", "lang")
         groups = cut(dealt.mapInArrow(partial(_added, least=least), "lang string, phrase string, f long"), "phrases")
         found.append(groups)
         if len(found) < words:
