@@ -1,6 +1,6 @@
 """A training-data pipeline over ``documents``: each stage works on all rows that its predecessor kept.
 
-quality: rows that the ordinal classifier rejects go. lines: repeated chunks of lines go. near: of each
+quality: rows that the ordinal classifier rejects go. lines: repeated chunks of lines, and repeated lines of 50 words or more, go. near: of each
 group of near duplicates (five words, similarity 0.8) the row with the smallest doc_id stays. mix:
 texts are repeated or cut so that sources meet their target weights. pack: windows of 2048 tokens.
 
@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_chunks.line_dedup(docs).drop("_removed")
+    return line_chunks.line_dedup(docs, passages=True).drop("_removed")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
