@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -354,11 +355,45 @@ def test_cuckoo_index():
     keys = [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
     assert all(index.add(k, 1, (i,)) for i, k in enumerate(keys)) and index.resized > 5
     assert not any(index.add(k, 1, (-1,)) for k in keys)
-    assert all(index.find(k) == [1, (i,), 2] for i, k in enumerate(keys))
+    assert all(index.find(k) == [k, 1, (i,), 2] for i, k in enumerate(keys))
     for k in keys[::2]:
         assert index.remove(k) and index.remove(k) and not index.remove(k)
     assert all((index.find(k) is None) == (i % 2 == 0) for i, k in enumerate(keys))
     assert index.find(hashlib.sha256(b"other").digest()) is None
+    with pytest.raises(ValueError):
+        index.add(keys[1], 2, (0,))
+
+
+def test_cuckoo_index_of_a_stream():
+    """Inserts and deletes in any order, against a counter; the filter turns most unknown digests away unseen."""
+    rng, index, live = random.Random(9), cuckoo.LiveIndex(2), collections.Counter()
+    keys = [hashlib.sha256(str(i).encode()).digest() for i in range(300)]
+    for _ in range(20_000):
+        k = rng.choice(keys)
+        if rng.random() < 0.55:
+            assert index.add(k, 7, (0,)) == (not live[k])
+            live[k] += 1
+        else:
+            assert index.remove(k) == (live[k] > 0)
+            live[k] = max(0, live[k] - 1)
+        assert index.live == sum(n > 0 for n in live.values())
+    assert {e[0]: e[3] for e in index.entries()} == {k: n for k, n in live.items() if n}
+    others = [hashlib.sha256(f"x{i}".encode()).digest() for i in range(2000)]
+    assert sum(k in index.filter for k in others) < 20 and all(index.find(k) is None for k in others)
+
+
+def test_cuckoo_of_many_digests_a_task(docs, rows, monkeypatch):
+    monkeypatch.setattr(cuckoo, "HELD", 3)
+    held = sum((list(b.to_pylist()) for b in cuckoo._merge.__wrapped__(iter([pa_batch(rows)]))), [])
+    assert len(held) > len({r["digest"] for r in held}) > 30 and sum(r["group_size"] for r in held) == len(rows)
+
+
+def pa_batch(rows):
+    import pyarrow as pa
+
+    text = [(r[1] or "").encode() for r in rows]
+    cols = [[hashlib.sha256(t).digest() for t in text], [len(t) for t in text], [r[0] for r in rows], list(range(len(rows))), [1] * len(rows)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, cuckoo.GROUPS.types, strict=True)], schema=cuckoo.GROUPS)
 
 
 def test_tokens_equal_the_library(rows, ids):

@@ -1,9 +1,10 @@
 """Exact dedup over a cuckoo-filter index of live digests.
 
 Each worker holds a LiveIndex: a cuckoo filter (four 16-bit fingerprints a bucket, two buckets a
-digest) before a store of whole digests. A digest that the filter doesn't know is new; a hit is
-verified against the stored content's digest and length, and only then counts as a copy. When no
-bucket takes a fingerprint the filter doubles and is filled again from the stored keys.
+digest) before buckets of whole digests. A digest that the filter doesn't know is new; a hit is
+verified against the bucket of content that it points to, by digest and length, and only then counts as a copy.
+When no bucket takes a fingerprint the filter doubles and is filled again from the stored keys. An index holds HELD
+digests at most; a task of more passes those on and begins anew, and what was passed on twice is added up.
 
 Defined cases: a null text is the empty text. Null ids are smaller than any other. Of rows that
 repeat both id and text, one stays. An empty table gives an empty result. Other columns are ignored.
@@ -79,28 +80,43 @@ class CuckooFilter:
 
 
 class LiveIndex:
-    """Live digests with their newest row and number of copies."""
+    """Live digests with their newest row and number of copies, in buckets of content behind the filter.
+
+    A digest's entry lies in the bucket of its first place in the filter; only a hit in the filter opens that bucket,
+    and only an equal digest of equal length in it is a copy.
+    """
 
     def __init__(self, buckets: int = 1024) -> None:
         self.filter = CuckooFilter(buckets)
-        self.stored: dict[bytes, list] = {}
-        self.resized = 0
+        self.content: dict[int, list[list]] = {}
+        self.live = self.resized = 0
+
+    def _bucket(self, digest: bytes) -> int:
+        return int.from_bytes(digest[2:10], "big") & self.filter.mask
+
+    def entries(self) -> Iterator[list]:
+        """[digest, n_bytes, newest row, copies] of all live digests."""
+        for bucket in self.content.values():
+            yield from bucket
 
     def find(self, digest: bytes) -> list | None:
-        """The entry of a digest: [n_bytes, newest row, copies]. A hit in the filter is verified in the store."""
-        return self.stored.get(digest) if digest in self.filter else None
+        """The entry of a digest, if it's live."""
+        if digest not in self.filter:
+            return None
+        return next((e for e in self.content.get(self._bucket(digest), ()) if e[0] == digest), None)
 
     def add(self, digest: bytes, n_bytes: int, row: tuple, copies: int = 1) -> bool:
         """Add copies of a text; whether it was new."""
         entry = self.find(digest)
         if entry is not None:
-            if entry[0] != n_bytes:
+            if entry[1] != n_bytes:
                 raise ValueError("two texts of different lengths have one SHA-256 digest")
-            entry[2] += copies
-            if row > entry[1]:
-                entry[1] = row
+            entry[3] += copies
+            if row > entry[2]:
+                entry[2] = row
             return False
-        self.stored[digest] = [n_bytes, row, copies]
+        self.content.setdefault(self._bucket(digest), []).append([digest, n_bytes, row, copies])
+        self.live += 1
         if not self.filter.add(digest):
             self._grow()
         return True
@@ -110,46 +126,55 @@ class LiveIndex:
         entry = self.find(digest)
         if entry is None:
             return False
-        entry[2] -= copies
-        if entry[2] <= 0:
-            del self.stored[digest]
+        entry[3] -= copies
+        if entry[3] <= 0:
+            at = self._bucket(digest)
+            self.content[at].remove(entry)
+            if not self.content[at]:
+                del self.content[at]
             self.filter.discard(digest)
+            self.live -= 1
         return True
 
     def _grow(self) -> None:
-        size = self.filter.mask + 1
+        """A filter of twice the buckets, filled from the stored keys, which are dealt to its buckets."""
+        size, held = self.filter.mask + 1, list(self.entries())
         while True:
             size *= 2
             self.resized += 1
             self.filter = CuckooFilter(size)
-            if all(map(self.filter.add, self.stored)):
-                return
+            if all(self.filter.add(e[0]) for e in held):
+                break
+        self.content = {}
+        for e in held:
+            self.content.setdefault(self._bucket(e[0]), []).append(e)
 
 
+#: Digests that a task's index holds before it passes them on.
+HELD = 500_000
 GROUPS = pa.schema([("digest", pa.binary()), ("n_bytes", pa.int64()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64())])
 _LEAST = -(2**63)
 
 
 @tidy
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of one task's rows."""
+    """Groups of one task's rows, HELD digests at a time."""
     index = LiveIndex()
+
+    def out() -> Iterator[pa.RecordBatch]:
+        held = list(index.entries())
+        for i in range(0, len(held), 50_000):
+            digest, n, row, copies = zip(*held[i : i + 50_000], strict=True)
+            cols = [digest, n, [r[1] if r[0] else None for r in row], [r[2] for r in row], copies]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, GROUPS.types, strict=True)], schema=GROUPS)
+
     for b in batches:
         for digest, n, doc, row, copies in zip(*(b.column(c).to_pylist() for c in GROUPS.names), strict=True):
             index.add(digest, n, (doc is not None, _LEAST if doc is None else doc, row), copies)
-    held = list(index.stored.items())
-    for i in range(0, len(held), 50_000):
-        part = held[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([d for d, _ in part], pa.binary()),
-                pa.array([e[0] for _, e in part], pa.int64()),
-                pa.array([e[1][1] if e[1][0] else None for _, e in part], pa.int64()),
-                pa.array([e[1][2] for _, e in part], pa.int64()),
-                pa.array([e[2] for _, e in part], pa.int64()),
-            ],
-            schema=GROUPS,
-        )
+            if index.live > HELD:
+                yield from out()
+                index = LiveIndex()
+    yield from out()
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,8 +195,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n = rows.count()
     kind = "digest binary, n_bytes long, keep_id long, keep_row long, group_size long"
     own = rows.select("digest", "n_bytes", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
-    parts = partitions_for(docs.sparkSession, n // 500_000 + 1)
-    groups = own.mapInArrow(_merge, kind).repartition(parts, "digest").mapInArrow(_merge, kind)
+    parts = partitions_for(docs.sparkSession, n // HELD + 1)
+    merged = own.mapInArrow(_merge, kind).repartition(parts, "digest").mapInArrow(_merge, kind)
+    # a task of more digests than HELD passes some on twice
+    newest = F.max(F.struct(F.col("keep_id").isNotNull().alias("there"), "keep_id", "keep_row")).alias("newest")
+    groups = merged.groupBy("digest").agg(newest, F.sum("group_size").alias("group_size"), F.max("n_bytes").alias("n_bytes"))
+    groups = groups.select("digest", "n_bytes", F.col("newest.keep_id").alias("keep_id"), F.col("newest.keep_row").alias("keep_row"), "group_size")
     several = cut(groups.where("group_size > 1").drop("n_bytes"), "groups")
     out = attach(rows.drop("n_bytes"), several, "digest", "group_size", n)
     return out.select(
