@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from weft.llm import bwt_merge, curve_clusters, jaccard, lm_score, setm
+from weft.llm import bwt_merge, curve_clusters, jaccard, lm_score, pivot_search, setm
 from weft.llm.textarrays import string_hashes, word_hashes
 
 from .conftest import SCHEMA
@@ -210,3 +210,18 @@ def test_words_of_like_polynomial_hashes(spark):
     train = [i for i in range(8) if not scored[i].held_out]
     for i in range(8):
         assert scored[i].n_known == 1 + (i in train)
+
+
+def test_search_of_large_components(spark):
+    """Scores beyond 2**53 are exact integers; beyond 64 bits the search raises."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-(2**20), 2**20, (60, 64)) * 16 + rng.integers(0, 2, (60, 64))
+    df = spark.createDataFrame([(i, (v / 64).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    q = pivot_search.quantised(df)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in pivot_search.top_k(q, q.where("vec_id % 20 = 0"), 5, pivots=4).collect()}
+    for i in (0, 20, 40):
+        scores = sorted((-sum(a * b for a, b in zip(x[i].tolist(), x[j].tolist(), strict=True)), j) for j in range(60) if j != i)
+        assert [got[i, k + 1] for k in range(5)] == [(j, -s) for s, j in scores[:5]]
+    with pytest.raises(ArithmeticError):
+        large = pivot_search.quantised(spark.createDataFrame([(1, [1e8]), (2, [1e8])], "vec_id long, embedding array<double>"))
+        pivot_search.top_k(large, large)

@@ -14,8 +14,8 @@ an eighth of the sample. Every vector is indexed.
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do rows
 with a null id. A vector shorter than the longest counts as padded with zeros. Rows that share an id
 with the query aren't its candidates; other repeated rows are ranked each. Ties go to smaller ids.
-Components must stay below 2**23 / sqrt(dimension) in size after quantising, so that all sums are
-exact in double; a larger one raises ArithmeticError. An empty table gives an empty result.
+Scores are exact integers; where the largest squared length reaches 2**62 they needn't fit 64 bits, and
+ArithmeticError is raised. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ K = 20
 PIVOTS = 64
 SAMPLE = 4096
 #: Vectors in an annulus, at most.
-ANNULUS = 1024
+ANNULUS = 256
 #: Queries that visit annuli together, at most, and bounds (queries times annuli) that a task holds.
 QUERY_BLOCK, BOUNDS = 1024, 4_000_000
 
@@ -52,12 +52,6 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def _check(m: np.ndarray) -> np.ndarray:
-    if m.size and np.abs(m).max() ** 2 * m.shape[1] >= 2.0**52:
-        raise ArithmeticError("vectors are too large for exact integer scores")
-    return m
-
-
 def fit_pivots(vectors: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """Centres of a few rounds of k-means."""
     rng = np.random.default_rng(seed)
@@ -83,7 +77,7 @@ def _lift(m: np.ndarray, most: float) -> np.ndarray:
 def _key(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, most: float | None, dim: int) -> Iterator[pa.RecordBatch]:
     """Nearest pivot and distance of each vector, or of each query if ``most`` is None."""
     for b in batches:
-        m = _check(_matrix(b.column("v"), dim))
+        m = _matrix(b.column("v"), dim)
         d = _distances(np.hstack([m, np.zeros((len(m), 1))]) if most is None else _lift(m, most), pivots)
         near = d.argmin(1)
         yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(near.astype(np.int64)), pa.array(d[np.arange(len(near)), near])], ["vec_id", "v", "pivot", "dist"])
@@ -114,23 +108,27 @@ def _annuli(batches: Iterator[pa.RecordBatch], folder: str, dim: int) -> Iterato
         yield flush()
 
 
+#: No score yet.
+NONE = np.iinfo(np.int64).min
+
+
 class Best:
     """Each query's k best (score, id) so far; ties to smaller ids."""
 
     def __init__(self, ids: np.ndarray, k: int) -> None:
         self.own, self.k = ids, k
-        self.score = np.full((len(ids), k), -np.inf)
+        self.score = np.full((len(ids), k), NONE)
         self.id = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def offer(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Merge candidates' scores (queries x candidates) into the best of the given queries."""
-        scores = np.where(ids[None] == self.own[rows][:, None], -np.inf, scores)
+        scores = np.where(ids[None] == self.own[rows][:, None], NONE, scores)
         some = np.flatnonzero((scores >= self.score[rows, -1:]).any(1))
         for i in some.tolist():
             r = rows[i]
-            at = np.flatnonzero((scores[i] >= self.score[r, -1]) & (scores[i] > -np.inf))
+            at = np.flatnonzero((scores[i] >= self.score[r, -1]) & (scores[i] > NONE))
             s, d = np.concatenate([self.score[r], scores[i, at]]), np.concatenate([self.id[r], ids[at]])
-            o = np.lexsort((d, -s))[: self.k]
+            o = np.lexsort((d, ~s))[: self.k]
             self.score[r], self.id[r] = s[o], d[o]
 
 
@@ -147,7 +145,7 @@ def _search(batches: Iterator[pa.RecordBatch], listing: str, pivots: np.ndarray,
         block = max(1, min(QUERY_BLOCK, BOUNDS // max(1, len(names))))
         for first in range(0, b.num_rows, block):
             q_ids = b.column("vec_id").to_numpy()[first : first + block]
-            q = _check(_matrix(b.column("v").slice(first, block), dim))
+            q = _matrix(b.column("v").slice(first, block), dim)
             d = _distances(np.hstack([q, np.zeros((len(q), 1))]), pivots)
             bound = np.maximum(0.0, np.maximum(d[:, pivot] - outer, inner - d[:, pivot]))
             base = (q * q).sum(1) + most
@@ -156,7 +154,7 @@ def _search(batches: Iterator[pa.RecordBatch], listing: str, pivots: np.ndarray,
             nearest = bound.min(0)
             for j in np.lexsort((np.arange(len(names)), nearest)).tolist():
                 # the k-th score as a squared distance; a margin covers rounding, ties must be visited
-                kth = base - 2 * best.score[:, -1]
+                kth = np.where(best.score[:, -1] == NONE, np.inf, base - 2.0 * best.score[:, -1])
                 reach = np.sqrt(np.maximum(kth, 0.0)) * (1 + 1e-9) + slack
                 if nearest[j] > reach.max():
                     break
@@ -168,11 +166,13 @@ def _search(batches: Iterator[pa.RecordBatch], listing: str, pivots: np.ndarray,
                     raw = f.read()
                 n = len(raw) // (8 + 8 * dim)
                 ids = np.frombuffer(raw, "<i8", n)
-                best.offer(rows, ids, q[rows] @ np.frombuffer(raw, "<f8", n * dim, 8 * n).reshape(n, dim).T)
-            have = best.score > -np.inf
+                x = np.frombuffer(raw, "<f8", n * dim, 8 * n).reshape(n, dim)
+                # no partial sum passes the largest squared length: up to 2**52 doubles are exact
+                best.offer(rows, ids, (q[rows] @ x.T).astype(np.int64) if most < 2.0**52 else q[rows].astype(np.int64) @ x.astype(np.int64).T)
+            have = best.score > NONE
             rank = np.broadcast_to(np.arange(1, k + 1, dtype=np.int32), have.shape)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.broadcast_to(q_ids[:, None], have.shape)[have]), pa.array(rank[have]), pa.array(best.id[have]), pa.array(best.score[have].astype(np.int64))], ["query_id", "rank", "vec_id", "score"]
+                [pa.array(np.broadcast_to(q_ids[:, None], have.shape)[have]), pa.array(rank[have]), pa.array(best.id[have]), pa.array(best.score[have])], ["query_id", "rank", "vec_id", "score"]
             )
 
 
@@ -191,12 +191,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int | None
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     q_facts = queries.agg(F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("most")).first()
     dim, most = max(1, facts.dim, q_facts.dim or 0), max(facts.most, q_facts.most or 0.0)
+    if most >= 2.0**62:
+        raise ArithmeticError("scores of these vectors needn't fit 64 bits")
     drawn = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     points = np.zeros((len(drawn), dim))
     for i, r in enumerate(drawn):
         points[i, : len(r.v)] = r.v
     pivots = pivots or max(PIVOTS, min(sample // 8, int(facts.n**0.5)))
-    centres = fit_pivots(_lift(_check(points), most), min(pivots, len(drawn)))
+    centres = fit_pivots(_lift(points, most), min(pivots, len(drawn)))
     folder = scratch(spark, "annuli")
     keyed = cut(vectors.mapInArrow(partial(_key, pivots=centres, most=most, dim=dim), "vec_id long, v array<double>, pivot long, dist double"), "keyed")
     # range partitions split a pivot with many vectors by distance
