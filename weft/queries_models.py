@@ -55,13 +55,6 @@ def sample_merged_frontiers(spark, sf_dir):
     return sampling.sample_edges(g, spec, _seeds(g))["nation_in"].select("sample_id", "edge_id")
 
 
-@query("""SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'seed'), (1, 'a'), (2, 'b'), (3, 'both')) t(place, op)""")
-def plan_order(spark, sf_dir):
-    """Operations so that each comes after its inputs."""
-    order = topological_order({"both": ["a", "b"], "seed": [], "a": ["seed"], "b": ["seed"]})
-    return spark.createDataFrame(list(enumerate(order)), "place long, op string")
-
-
 @query("""SELECT c_custkey AS sample_id, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def sample_whole_neighborhoods(spark, sf_dir):
     """More asked for than there are: all edges."""
@@ -107,11 +100,6 @@ def pool_multi_prod(spark, sf_dir):
     return message.pool(g, TARGET, edge_sets=["customer_in", "supplier_in"], reduce="prod", feature="f").select("node_id", "value")
 
 
-@query("""SELECT * FROM (VALUES ('max'), ('max_no_inf'), ('mean'), ('min'), ('min_no_inf'), ('prod'), ('sum')) t(name)""")
-def reducer_names(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in message.reduce_names()], "name string")
-
-
 @query("""SELECT CAST(0 AS BIGINT) AS component_id, n_nationkey AS node_id, CAST(count(c_custkey) AS BIGINT) AS hits FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey HAVING count(c_custkey) <> 1""")
 def readout_checks(spark, sf_dir):
     """Readout nodes that a key doesn't hit exactly once."""
@@ -153,11 +141,6 @@ def tight_padding(spark, sf_dir):
     return spark.createDataFrame([(limits.components, limits.nodes["customer"], limits.nodes["orders"])], "components long, customer long, orders long")
 
 
-@query("""SELECT 'customer' AS node_set, CAST(1 AS BIGINT) AS least UNION ALL SELECT 'orders', 1""")
-def one_node_each(spark, sf_dir):
-    return spark.createDataFrame(sorted(batching.one_node_per_component(tpch.sales(spark, sf_dir)).items()), "node_set string, least long")
-
-
 @query(f"""WITH s AS ({_SIZES}) SELECT true AS fits_largest, true AS below_all, CAST(3 AS BIGINT) AS components FROM s LIMIT 1""")
 def learned_constraints(spark, sf_dir):
     """A learned budget of batches of two: not more than twice the largest component, and not less than the smallest."""
@@ -516,19 +499,6 @@ def hgt_update_normalized(spark, sf_dir):
     return out.select("node_id", _thousandths(F.col("value")[0]))
 
 
-@query("""SELECT * FROM (VALUES ('dense', true), ('attention', true), ('unknown name', false)) t(name, ok)""")
-def layer_settings(spark, sf_dir):
-    """Layers as plain values and back."""
-    dense, a = layers.Dense([[1.0], [2.0]], [0.5], "relu"), layers.Attention(layers.Dense([[1.0]]), layers.Dense([[2.0]]), heads=1)
-    rows = [("dense", layers.from_config(layers.Dense, layers.config(dense)) == dense), ("attention", layers.from_config(layers.Attention, layers.config(a)) == a)]
-    try:
-        layers.from_config(layers.Dense, {"weight": [[1.0]]})
-        rows.append(("unknown name", True))
-    except ValueError:
-        rows.append(("unknown name", False))
-    return spark.createDataFrame(rows, "name string, ok boolean")
-
-
 @query("""SELECT CAST((SELECT sum(p_size) FROM part) AS BIGINT) AS total, true AS moved, CAST((SELECT sum(CAST(floor(o_totalprice) AS BIGINT)) FROM orders) AS BIGINT) AS untouched""")
 def corrupted_features(spark, sf_dir):
     """Features of parts shuffled, those of orders left alone."""
