@@ -403,7 +403,8 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, id_
     still = open_.join(root_of("own", "ra"), "own", "left").join(root_of("grp", "rb"), "grp", "left")
     still = still.where(F.coalesce("ra", "own") != F.coalesce("rb", "grp")).select("a", "n", "grp")
     pairs = still.join(members, "grp").where(size).select("a", "b").join(first.withColumn("_done", F.lit(True)), ["a", "b"], "left").where("_done is null").select("a", "b").distinct()
-    links = links.unionByName(linked(cut(pairs, "pairs"), sets, num, den))
+    # verified once: the component steps read their links several times
+    links = links.unionByName(cut(linked(pairs, sets, num, den), "more"))
     roots = cut(components(links, "all"), "roots")
 
     placed = classes.join(roots, classes.cid == roots.node, "left").withColumn("root", F.coalesce("root", "cid"))
