@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from weft import tpch
+from weft import sql, tpch
 from weft.graph import PropertyGraph
 from weft.operators import averages, checks, hyper, message
 from weft.operators.structure import written
-from weft.queries import query
+from weft.queries import _HOPS, _two_hops, query
 from weft.tools import HyperAdjacency
 
 
@@ -78,3 +80,40 @@ def watched_values(spark, sf_dir):
     return spark.createDataFrame([*rows, ("rows", "pooled", pooled)], "edge_set string, violation string, n long")
 
 
+
+
+# ---------------------------------------------------------------- sampling in SQL
+
+
+@query(_HOPS + """ SELECT sample_id, l_orderkey AS source_id, l_partkey AS target_id FROM h2""")
+def sql_two_hops(spark, sf_dir):
+    """sample_two_hops, written in SQL over the graph's views."""
+    g, _ = _two_hops(spark, sf_dir)
+    sql.register(spark)
+    g.register_views("two_hops_")
+    first = "SELECT c.node_id AS sample_id, e.source_id, e.target_id, e.edge_id, e.weight FROM two_hops_nodes_customer c JOIN two_hops_edges_placed e ON e.source_id = c.node_id"
+    hop = "SELECT h.sample_id, e.source_id, e.target_id, e.pos, e.weight FROM (SELECT DISTINCT sample_id, target_id FROM one) h JOIN two_hops_edges_contains e ON e.source_id = h.target_id"
+    return spark.sql(f"""WITH one AS (SELECT * FROM top_k(TABLE({first}) PARTITION BY (sample_id, source_id) ORDER BY (weight DESC, edge_id), 2))
+        SELECT sample_id, source_id, target_id FROM top_k(TABLE({hop}) PARTITION BY (sample_id, source_id) ORDER BY (weight DESC, pos), 2)""")
+
+
+@query("""SELECT c_custkey AS sample_id, o_orderkey AS edge_id FROM (SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY md5('7|' || c_custkey || '|' || o_orderkey)) AS r FROM customer JOIN orders ON o_custkey = c_custkey) WHERE r <= 3""")
+def sql_draw(spark, sf_dir):
+    """Three orders of each customer drawn in SQL."""
+    g = tpch.catalog(spark, sf_dir)
+    sql.register(spark)
+    g.register_views("draw_")
+    table = "SELECT c.node_id AS sample_id, e.edge_id FROM draw_nodes_customer c JOIN draw_edges_placed e ON e.source_id = c.node_id"
+    return spark.sql(f"SELECT sample_id, edge_id FROM draw(TABLE({table}) PARTITION BY (sample_id), 3, 7, 'sample_id,edge_id')")
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderkey, exp(o_totalprice / 1e5 - max(o_totalprice / 1e5) OVER (PARTITION BY o_custkey)) AS e FROM orders)
+    SELECT o_orderkey AS edge_id, CAST(floor(1e6 * e / sum(e) OVER (PARTITION BY o_custkey) + 0.123) AS BIGINT) AS millionths FROM s""")
+def sql_softmax(spark, sf_dir):
+    """Softmax of prices over each customer's orders in SQL, in millionths."""
+    g = tpch.catalog(spark, sf_dir)
+    g = PropertyGraph({}, {"placed": replace(g.edges["placed"], table=g.edges["placed"].table.withColumn("v", F.col("weight").cast("double") / 1e5))})
+    sql.register(spark)
+    g.register_views("softmax_")
+    return spark.sql("""SELECT e.edge_id, floor(1e6D * exp(e.v - s.top) / s.total + 0.123D) AS millionths FROM softmax_edges_placed e
+        JOIN softmax_sums(TABLE(SELECT source_id, v FROM softmax_edges_placed) PARTITION BY (source_id), 'v', 'source_id') s ON s.source_id = e.source_id""")
