@@ -921,4 +921,4 @@ def to_edge_list(spark, sf_dir):
     return tables.to_edge_list(tpch.sales(spark, sf_dir))[1].select("edge_id", "source", "target")
 
 
-from weft import queries_models, queries_more, queries_sources, queries_tables  # noqa: E402, F401  (they add their own)
+from weft import queries_models, queries_more, queries_sources, queries_tables, queries_tasks  # noqa: E402, F401  (they add their own)
