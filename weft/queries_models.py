@@ -259,12 +259,17 @@ def triplet_distances(spark, sf_dir):
     return out.select("vec_id", F.floor(F.col("d_positive") * 1_000_000 + 0.123).alias("positive"), F.floor(F.col("d_negative") * 1_000_000 + 0.123).alias("negative"))
 
 
-@query("""WITH m AS (SELECT avg(CAST(embedding[1] AS DOUBLE)) AS a, avg(CAST(embedding[2] AS DOUBLE)) AS b FROM embeddings), s AS (SELECT 1 / (1 + exp(-a)) AS a, 1 / (1 + exp(-b)) AS b FROM m)
-    SELECT vec_id, CAST(floor((embedding[1] * (2 * s.a + s.b) - embedding[2] * s.b) * 1000000 + 0.123) AS BIGINT) AS logit FROM embeddings, s""")
+#: A given matrix: 2 on the diagonal and 0.5 right of it.
+_INFOMAX = [[2.0 if i == j else 0.5 if j == i + 1 else 0.0 for j in range(64)] for i in range(64)]
+_INFOMAX_SQL = """WITH m AS (SELECT i, 1 / (1 + exp(-avg(CAST(embedding[i] AS DOUBLE)))) AS s FROM embeddings, range(1, 65) t(i) GROUP BY i), v AS (SELECT a.i, 2 * a.s + 0.5 * coalesce(b.s, 0) AS v FROM m AS a LEFT JOIN m AS b ON b.i = a.i + 1),
+    z AS (SELECT vec_id, sum(CAST(embedding[i] AS DOUBLE) * v) AS z, sum(CAST(embedding[65 - i] AS DOUBLE) * v) AS r FROM embeddings, v GROUP BY vec_id)"""
+
+
+@query(_INFOMAX_SQL + """ SELECT vec_id, CAST(floor(z * 1000000 + 0.123) AS BIGINT) AS logit FROM z""")
 def infomax_logits(spark, sf_dir):
     """Each row against the sigmoid of the mean row, through a given matrix."""
-    e = tpch.read(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 2).alias("x"))
-    return metrics.infomax_logits(e, "x", [[2.0, 1.0], [0.0, -1.0]], 2).select("vec_id", F.floor(F.col("logit") * 1_000_000 + 0.123).alias("logit"))
+    e = tpch.read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"))
+    return metrics.infomax_logits(e, "x", _INFOMAX, 64).select("vec_id", F.floor(F.col("logit") * 1_000_000 + 0.123).alias("logit"))
 
 
 @query("""SELECT p_partkey AS node_id, CAST(2 * (p_size - 10) AS DOUBLE) AS size FROM part""")
@@ -509,11 +514,9 @@ def corrupted_features(spark, sf_dir):
     return both.crossJoin(out.nodes["orders"].agg(F.sum(F.floor("totalprice").cast("long")).alias("untouched")))
 
 
-@query("""WITH m AS (SELECT avg(CAST(embedding[1] AS DOUBLE)) AS a, avg(CAST(embedding[2] AS DOUBLE)) AS b FROM embeddings), s AS (SELECT 1 / (1 + exp(-a)) AS a, 1 / (1 + exp(-b)) AS b FROM m),
-    z AS (SELECT embedding[1] * (2 * s.a + s.b) - embedding[2] * s.b AS z, 1 AS y FROM embeddings, s UNION ALL SELECT embedding[2] * (2 * s.a + s.b) - embedding[1] * s.b, 0 FROM embeddings, s)
-    SELECT CAST(floor(avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))) * 1000000 + 0.123) AS BIGINT) AS loss FROM z""")
+@query(_INFOMAX_SQL + """, b AS (SELECT z, 1 AS y FROM z UNION ALL SELECT r, 0 FROM z) SELECT CAST(floor(avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))) * 1000000 + 0.123) AS BIGINT) AS loss FROM b""")
 def infomax_loss(spark, sf_dir):
-    """Clean rows against rows with their components exchanged."""
+    """Clean rows against rows with their components in reverse."""
     e = tpch.read(spark, sf_dir, "embeddings")
-    clean, other = e.select(F.slice("embedding", 1, 2).alias("x")), e.select(F.reverse(F.slice("embedding", 1, 2)).alias("x"))
-    return metrics.infomax_loss(clean, other, "x", [[2.0, 1.0], [0.0, -1.0]], 2).select(F.floor(F.col("loss") * 1_000_000 + 0.123).alias("loss"))
+    clean, other = e.select(F.col("embedding").alias("x")), e.select(F.reverse("embedding").alias("x"))
+    return metrics.infomax_loss(clean, other, "x", _INFOMAX, 64).select(F.floor(F.col("loss") * 1_000_000 + 0.123).alias("loss"))

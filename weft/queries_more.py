@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weft import sql, tpch
 from weft.graph import PropertyGraph
-from weft.operators import averages, checks, hyper, message
+from weft.operators import averages, checks, hyper, message, metrics
 from weft.operators.structure import written
 from weft.queries import _HOPS, _two_hops, query
 from weft.tools import HyperAdjacency
@@ -117,3 +117,22 @@ def sql_softmax(spark, sf_dir):
     g.register_views("softmax_")
     return spark.sql("""SELECT e.edge_id, floor(1e6D * exp(e.v - s.top) / s.total + 0.123D) AS millionths FROM softmax_edges_placed e
         JOIN softmax_sums(TABLE(SELECT source_id, v FROM softmax_edges_placed) PARTITION BY (source_id), 'v', 'source_id') s ON s.source_id = e.source_id""")
+
+
+# ---------------------------------------------------------------- statistics of a whole graph
+
+_VALUES = {
+    "nodes/customer/acctbal": ("customer", "c_acctbal"), "nodes/orders/totalprice": ("orders", "o_totalprice"), "nodes/part/retailprice": ("part", "p_retailprice"), "nodes/part/size": ("part", "p_size"), "nodes/supplier/acctbal": ("supplier", "s_acctbal"),
+    "edges/placed/weight": ("orders", "o_totalprice"), "edges/contains/quantity": ("lineitem", "l_quantity"), "edges/contains/price": ("lineitem", "l_extendedprice"), "edges/contains/discount": ("lineitem", "l_discount"),
+    "edges/customer_in/weight": ("customer", "c_acctbal"), "edges/supplier_in/weight": ("supplier", "s_acctbal"),
+}
+_SIZES = {"nodes/customer": "customer", "nodes/orders": "orders", "nodes/part": "part", "nodes/supplier": "supplier", "nodes/nation": "nation", "nodes/region": "region", "edges/placed": "orders", "edges/contains": "lineitem", "edges/customer_in": "customer", "edges/supplier_in": "supplier", "edges/nation_in": "nation"}
+_STATS = [f"SELECT '{k}' AS key, CAST(CAST({c} AS DECIMAL(18,2)) AS DOUBLE) AS v FROM {t}" for k, (t, c) in _VALUES.items()] + [f"SELECT '{k}/#size', CAST(count(*) AS DOUBLE) FROM {t}" for k, t in _SIZES.items()]
+
+
+@query(f"""WITH v AS ({" UNION ALL ".join(_STATS)} UNION ALL SELECT 'edges/supplies/#size', CAST(count(*) AS DOUBLE) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem))
+    SELECT key, min(v) AS min, CAST(floor(quantile_cont(v, 0.5) * 1000 + 0.123) AS BIGINT) AS median, max(v) AS max FROM v GROUP BY key""")
+def graph_statistics(spark, sf_dir):
+    """Least, median and largest value of every numeric feature of the whole catalog, and its sets' sizes."""
+    got = metrics.quantile_stats(tpch.catalog(spark, sf_dir), 3, exact=True)
+    return got.select("key", "min", F.floor(F.col("median") * 1000 + 0.123).alias("median"), "max")
