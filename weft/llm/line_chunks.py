@@ -6,7 +6,7 @@ hashes cut the same lines apart. Chunks of two
 lines or more whose hash occurs more than once anywhere are looked up: all but the first occurrence (smallest
 doc_id, then text, then place) are removed after their bytes have been compared with the first occurrence's.
 A removed chunk is extended line by line to both sides for as long as the lines equal those beside the first
-occurrence, up to the next chunk on either side that is looked up itself, so a repeated run goes whole once a chunk lies inside it, whatever
+occurrence (by 64-bit hashes of them), up to the next chunk on either side that is looked up itself, so a repeated run goes whole once a chunk lies inside it, whatever
 stands around it. Every line that goes has an equal one earlier, so the first of each line always stays.
 
 With ``passages``, single lines of at least PASSAGE words are chunks too, each of its own.
@@ -58,7 +58,10 @@ class Chunks:
         self.place = np.arange(len(starts)) - np.searchsorted(doc, doc)
         inked = np.flatnonzero(self.ink)
         self.inked, self.alone = inked, words[inked] >= PASSAGE if passages else np.zeros(len(inked), bool)
-        self.line_hash = span_hashes(raw, starts[inked], stop[inked] - (raw[stop[inked] - 1] == 10))
+        every = span_hashes(raw, starts, stop - (raw[stop - 1] == 10) if len(starts) else stop)
+        self.line_hash = every[inked]
+        # of lines beside chunks their hashes are passed on, odd where the line has a word
+        self.marks = (every & ~np.uint64(1) | self.ink.astype(np.uint64)).view(np.int64)
         self.cut(0)
 
     def families(self) -> Iterator[Chunks]:
@@ -117,12 +120,12 @@ class Chunks:
         return self._bytes(self.first[i], self.last[i])
 
     def before(self, i: int) -> bytes:
-        """What stands before the chunk in its text, from WINDOW lines before the last chunk before that is looked up."""
-        return self.raw[self.line_start[self.reach[i]] : self.line_start[self.first[i]]].tobytes()
+        """Hashes of the lines before the chunk in its text, from WINDOW lines before the last chunk before that is looked up."""
+        return self.marks[self.reach[i] : self.first[i]].tobytes()
 
     def after(self, i: int) -> bytes:
-        """What stands after the chunk's last line, up to the end of the next chunk that is looked up."""
-        return self._bytes(self.last[i] + 1, self.last[self.ahead[i]]) if self.ahead[i] > i else b""
+        """Hashes of the lines after the chunk, up to the end of the next chunk that is looked up."""
+        return self.marks[self.last[i] + 1 : self.last[self.ahead[i]] + 1].tobytes()
 
     def without(self, k: int, ranges: list) -> tuple[bytes, int]:
         """The k-th text without these lines (first, last), and how many lines went."""
@@ -135,24 +138,22 @@ class Chunks:
         return b"\n".join(kept) + (b"\n" if ended else b""), int(gone.sum())
 
 
+def _alike(x: np.ndarray, y: np.ndarray) -> int:
+    """How many of the first lines are equal, up to the last of them with a word."""
+    n = min(len(x), len(y))
+    other = np.flatnonzero(x[:n] != y[:n])
+    inked = np.flatnonzero(x[: other[0] if len(other) else n] & 1)
+    return int(inked[-1]) + 1 if len(inked) else 0
+
+
 def same_before(a: bytes, b: bytes) -> int:
     """How many lines at the end of a and b are equal, up to the first of them with a word."""
-    x, y, n = a.split(b"\n")[:-1], b.split(b"\n")[:-1], 0
-    for i, (p, q) in enumerate(zip(reversed(x), reversed(y), strict=False), 1):
-        if p != q:
-            break
-        n = i if p.split() else n
-    return n
+    return _alike(np.frombuffer(a, np.int64)[::-1], np.frombuffer(b, np.int64)[::-1])
 
 
 def same_after(a: bytes, b: bytes) -> int:
     """How many lines at the start of a and b are equal, up to the last of them with a word."""
-    n = 0
-    for i, (p, q) in enumerate(zip(a.split(b"\n") if a else [], b.split(b"\n") if b else [], strict=False), 1):
-        if p != q:
-            break
-        n = i if p.split() else n
-    return n
+    return _alike(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64))
 
 
 @tidy
@@ -215,11 +216,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = cut(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
     marks = bitmap(repeated, min(26, max(16, (16 * repeated.count()).bit_length())))
     kind = "doc_id long, sig long, hash long, no long, end long, body binary, before binary, after binary"
-    rows = cut(own.mapInArrow(partial(_texts, text="text", passages=passages, marks=marks), kind), "chunks")
+    rows = cut(own.mapInArrow(partial(_texts, text="text", passages=passages, marks=marks), kind), "chunks", "zstd")
     # chunks are told apart by their bytes' hash too, so that of two that share a hash both go
     rows = rows.withColumn("chunk", F.struct("hash", F.xxhash64("body").alias("body64")))
     firsts = rows.groupBy("chunk").agg(F.min(F.struct("doc_id", "sig", "no", "body", "before", "after")).alias("at"), F.count("*").alias("n")).where("n > 1")
-    firsts = cut(firsts, "firsts")
+    firsts = cut(firsts, "firsts", "zstd")
     is_first = F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("sig") == F.col("at.sig")) & (F.col("no") == F.col("at.no"))
     # a chunk in a large share of all texts is broadcast, not one task's
     hits = attach(rows, firsts, "chunk", "n", rows.count()).where(F.col("at").isNotNull() & ~is_first & (F.col("body") == F.col("at.body")))
