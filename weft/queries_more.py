@@ -12,6 +12,8 @@ from weft.graph import PropertyGraph
 from weft.operators import averages, checks, hyper, message, metrics
 from weft.operators.structure import written
 from weft.queries import _HOPS, _two_hops, query
+from weft.sources import tables
+from weft.sources.scratch import new_path
 from weft.tools import HyperAdjacency
 
 
@@ -136,3 +138,19 @@ def graph_statistics(spark, sf_dir):
     """Least, median and largest value of every numeric feature of the whole catalog, and its sets' sizes."""
     got = metrics.quantile_stats(tpch.catalog(spark, sf_dir), 3, exact=True)
     return got.select("key", "min", F.floor(F.col("median") * 1000 + 0.123).alias("median"), "max")
+
+
+@query("""SELECT kind, c_mktsegment AS component_id, customers, balance FROM (VALUES ('csv'), ('parquet'), ('tfrecord')) k(kind), (SELECT c_mktsegment, count(*) AS customers, CAST(floor(sum(c_acctbal / 1000)) AS BIGINT) AS balance FROM customer GROUP BY 1)""")
+def context_from_files(spark, sf_dir):
+    """A context set with a file of its own, in each format: segments with their customers and balance, read back with a graph."""
+    g = tpch.sales(spark, sf_dir)
+    context = tpch.read(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("component_id")).agg(F.count("*").alias("customers"), F.floor(F.sum(F.col("c_acctbal") / 1000)).alias("balance"))
+    own = PropertyGraph({"customer": g.nodes["customer"]}, {}, context)
+    out = None
+    for kind in ("csv", "parquet", "tfrecord"):
+        folder = new_path(spark, "context")
+        tables.save_graph(own, folder, kind)
+        back, _ = tables.load_graph(spark, folder)
+        rows = back.context().select(F.lit(kind).alias("kind"), F.col("component_id").cast("string").alias("component_id"), F.col("customers").cast("long").alias("customers"), F.col("balance").cast("long").alias("balance"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -105,6 +105,8 @@ def edge_table(df: DataFrame, swap: bool = False) -> DataFrame:
 def read_set(spark: SparkSession, s: SetSchema, folder: str) -> DataFrame | None:
     """A set's rows: from its file, else from its table or SQL query; None if the schema names no source."""
     features = {f: x.spark_type() for f, x in s.features.items()}
+    if kind := s.metadata.get("component_type"):
+        features["component_id"] = T.StringType() if kind == "string" else T.LongType()
     if name := s.metadata.get("filename"):
         return read_table(spark, name if name.startswith("/") or "://" in name else f"{folder}/{name}", features)
     for key, read in (("table", spark.table), ("sql", spark.sql)):
@@ -136,6 +138,8 @@ def save_graph(graph: PropertyGraph, folder: str, kind: str = "parquet", shards:
     for k, name, s in schema.iter_sets():
         file = f"{k}{'-' + name.replace('/', '_') if name else ''}.{kind}"
         df = graph.table(k, name)
+        # Examples don't name their columns, so the schema says that there are components
+        component = {"component_type": df.schema["component_id"].dataType.simpleString()} if kind == "tfrecord" and "component_id" in df.columns else {}
         keys = {NODES: {"node_id": "#id"}, EDGES: {"source_id": "#source", "target_id": "#target"}, CONTEXT: {}}[k]
         out = df.withColumnsRenamed(keys)
         if shards:
@@ -148,7 +152,7 @@ def save_graph(graph: PropertyGraph, folder: str, kind: str = "parquet", shards:
             from weft.sources.tfrecord import write_examples
 
             write_examples(out, f"{folder}/{file}")
-        named[k, name] = SetSchema(s.features, s.source, s.target, s.context, {**s.metadata, "filename": file}, s.description)
+        named[k, name] = SetSchema(s.features, s.source, s.target, s.context, {**s.metadata, "filename": file, **component}, s.description)
     out = GraphSchema({n: named[NODES, n] for n in schema.node_sets}, {n: named[EDGES, n] for n in schema.edge_sets}, named.get((CONTEXT, "")))
     write_schema(out, f"{folder}/graph_schema.pbtxt", spark)
     return out
