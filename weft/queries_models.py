@@ -158,12 +158,13 @@ def filtered_with_summary(spark, sf_dir):
     return kept.agg(F.count("*").alias("kept"))
 
 
-@query("""SELECT true AS with_room, false AS without""")
+@query("""SELECT n + d AS customers, k + e AS components, n <= n + d AND k <= k + e AS fits FROM (SELECT count(*) AS n, count(DISTINCT c_mktsegment) AS k FROM customer), (VALUES (-1), (0), (7)) a(d), (VALUES (-1), (0), (1)) b(e)""")
 def fits_in_total(spark, sf_dir):
+    """Budgets of customers and components around what there are, and whether the whole graph fits."""
     g = tpch.sales(spark, sf_dir)
     n, k = g.nodes["customer"].count(), g.context().count()
-    ok = [batching.satisfies_total(g, batching.SizeConstraints(c, {"customer": m})) for c, m in ((k + 1, n + 1), (k, n - 1))]
-    return spark.createDataFrame([tuple(ok)], "with_room boolean, without boolean")
+    rows = [(n + d, k + e, batching.satisfies_total(g, batching.SizeConstraints(k + e, {"customer": n + d}))) for d in (-1, 0, 7) for e in (-1, 0, 1)]
+    return spark.createDataFrame(rows, "customers long, components long, fits boolean")
 
 
 # ---------------------------------------------------------------- metrics and losses
@@ -279,13 +280,12 @@ def integrated_gradients(spark, sf_dir):
     return metrics.integrated_gradients_linear(p, p.withColumn("size", F.lit(10.0)), ["node_id"], {"size": 2.0})
 
 
-@query("""SELECT count(*) AS n, CAST(0 AS BIGINT) AS outside, true AS drawn FROM part""")
+@query("""WITH e AS (SELECT CAST(min(p_size) AS DOUBLE) AS lo, CAST(max(p_size) AS DOUBLE) AS hi FROM part)
+    SELECT p_partkey AS node_id, CAST(floor((lo + (hi - lo) * (CAST(CAST('0x' || substr(md5('3|size|0|' || p_partkey), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0)) * 1000 + 0.123) AS BIGINT) AS size FROM part, e""")
 def counterfactual_draws(spark, sf_dir):
-    """Uniform draws stay between the feature's least and largest value and depend on the key alone."""
+    """Sizes of parts drawn between the least and the largest, by the parts' keys alone; in thousandths."""
     p = tpch.catalog(spark, sf_dir).nodes["part"].select("component_id", "node_id", F.col("size").cast("double").alias("size"))
-    got = metrics.counterfactual(p, ["size"], random=True, seed=3)
-    ends = p.agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    return got.crossJoin(F.broadcast(ends)).agg(F.count("*").alias("n"), F.count(F.when((F.col("size") < F.col("lo")) | (F.col("size") > F.col("hi")), 1)).alias("outside"), (F.count_distinct("size") > 20).alias("drawn"))
+    return metrics.counterfactual(p, ["size"], random=True, seed=3).select("node_id", F.floor(F.col("size") * 1000 + 0.123).alias("size"))
 
 
 _U = "CAST(CAST('0x' || substr(md5('9|0|' || p_partkey), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0"
