@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from weft.operators import batching, greedy
 
@@ -28,6 +29,13 @@ def test_whole_batches_against_a_scan(spark, monkeypatch, block, kind):
     assert [got[i] for i in range(len(rows))] == plain(rows, limits)
 
 
+def test_whole_batches_are_not_broadcast(spark):
+    """Sizes that a file packs well look like a small table: the numbers of all rows must not go through the driver."""
+    df = spark.range(1000).select("id", (F.col("id") % 3).alias("nodes"))
+    out = batching.dynamic_batches(df, {"nodes": 10}, ["id"])
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 1000
+
+
 def test_batches_raise_and_stay_empty(spark):
     df = spark.createDataFrame([(1, 5), (2, 50)], "id long, nodes long")
     with pytest.raises(ValueError, match="nodes"):

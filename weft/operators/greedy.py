@@ -12,6 +12,8 @@ tasks as it takes to keep each at BLOCK_ROWS of them. In each block the rows tha
 may enter it; each is followed to where it leaves, and pointer doubling over these (entry, next entry) pairs marks
 the entries that the first row reaches, in as many joins as the number of blocks has binary digits. A last
 pass numbers the batches of each block from its entry. No task holds more than a block and BLOCK_ROWS questions.
+Packed blocks take little of a file, so Spark would take them and their numbers for small tables: joins with them are
+merge joins by hint, lest all rows be broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -149,10 +151,10 @@ def greedy_batches(sized: DataFrame, limits: dict[str, int], order: list[str]) -
         ways = asked.groupBy("block").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("long").alias("ways"))
         way = asked.join(F.broadcast(ways), "block").withColumn("way", F.pmod(F.xxhash64("from"), F.col("ways")))
         lists = way.groupBy("block", "way").agg(F.collect_list(F.struct("from", "t")).alias("asked"))
-        nexts = written(_on(packed.join(lists, "block").select("block", "x", "asked"), _answers, "from long, to long", sums), "nexts")
+        nexts = written(_on(packed.join(lists.hint("merge"), "block").select("block", "x", "asked"), _answers, "from long, to long", sums), "nexts")
         entry = nexts.select(F.col("to").alias("entry")).union(nexts.sparkSession.range(1).select("id")).distinct()
         by = entry.groupBy(F.floor(F.col("entry") / F.lit(size)).cast("long").alias("block")).agg(F.collect_list("entry").alias("entries"))
-        leaves = _on(packed.join(by, "block").select("block", "x", "entries"), _leaves, "entry long, last long", sums)
+        leaves = _on(packed.join(by.hint("merge"), "block").select("block", "x", "entries"), _leaves, "entry long, last long", sums)
         hops = written(leaves.join(nexts.withColumnRenamed("from", "last"), "last").select("entry", "to"), "hops")
         reached = nexts.sparkSession.range(1).select(F.col("id").alias("entry"))
         for _ in range((count - 1).bit_length()):
@@ -165,4 +167,4 @@ def greedy_batches(sized: DataFrame, limits: dict[str, int], order: list[str]) -
         before[r.block] = r.n
     before = np.cumsum(before) - before
     numbers = _on(packed, _numbers, "_rank long, batch long", sums, entries, before)
-    return ranked.join(numbers, "_rank").select(*sized.columns, "batch")
+    return ranked.join(numbers.hint("merge"), "_rank").select(*sized.columns, "batch")
