@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from weft.graph import PropertyGraph
+from weft.plans import asof
 from weft.plans.asof import last_before, live_edges
 from weft.plans.positions import draw, position_index
 from weft.plans.sample import sample_edges
@@ -72,3 +73,38 @@ def test_live_edges_leave_out_what_is_over(spark):
     pairs = spark.createDataFrame([(1, 9), (1, 12), (1, 19), (1, 25), (2, 12), (3, 12), (1, 12)], "source_id long, as_of long")
     got = sorted((r.source_id, r.as_of, r.edge_id, r.no) for r in live_edges(e, pairs, tie="no", expires="until", removed="gone").collect())
     assert got == [(1, 12, 7, 1), (1, 12, 8, 1), (1, 12, 9, 1), (1, 19, 7, 2), (1, 19, 8, 1), (1, 25, 7, 2)]
+
+
+def _plain_live(versions, questions):
+    """Every question with the versions in force by a scan: the last of each key, not over and not a removal."""
+    out = []
+    for i, s, t in questions:
+        last = {}
+        for v in sorted((v for v in versions if v[0] == s and v[1] is not None and v[2] is not None and t is not None and v[2] <= t), key=lambda v: (v[2], v[3])):
+            last[v[1]] = v
+        out += [(i, v[3]) for v in last.values() if not v[5] and (v[4] is None or v[4] > t)]
+    return sorted(out)
+
+
+def test_live_edges_of_hubs(spark, monkeypatch):
+    """Hubs dealt over buckets give what one pass gives: ties, removals, expiry at once and never, nulls."""
+    rng = random.Random(4)
+    versions = [(rng.choice([1, 1, 1, 2, 3]), rng.choice([7, 8, 9, None]), rng.choice([None, *range(60)]), i, rng.choice([None, rng.randint(0, 70)]), rng.choice([None, False, False, True])) for i in range(260)]
+    questions = [(i, rng.choice([1, 1, 2, 4, None]), rng.choice([None, *range(-3, 66)])) for i in range(120)]
+    e = spark.createDataFrame(versions, "source_id long, edge_id long, ts long, no long, until long, gone boolean").repartition(3)
+    q = spark.createDataFrame(questions, "id long, source_id long, as_of long")
+    want = _plain_live(versions, questions)
+    for rows, buckets in ((1_000_000, 64), (20, 8), (0, 64), (0, 1)):
+        monkeypatch.setattr(asof, "HUB_ROWS", rows)
+        got = asof.edges_in_force(e, q, tie="no", expires="until", removed="gone", buckets=buckets)
+        assert sorted((r.id, r.no) for r in got.collect()) == want
+
+
+def test_live_edges_leave_the_join_only(spark):
+    """Questions aren't multiplied by the keys of their source before an exchange: what is shuffled are versions and questions."""
+    e = spark.range(4000).select(F.lit(1).cast("long").alias("source_id"), F.col("id").alias("edge_id"), F.col("id").alias("ts"), (F.col("id") + 1).alias("until"))
+    q = spark.range(400).select(F.lit(1).cast("long").alias("source_id"), (F.col("id") * 10).alias("as_of"))
+    df = asof.edges_in_force(e, q, expires="until")
+    assert df.count() == 400
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2

@@ -1,8 +1,9 @@
 """The state of edges as of a time.
 
 An edge may have several rows, versions of it with a time from which they hold. As of a time the last version at
-or before it is in force, unless it has expired by then or marks a removal. Versions and questions are merged in
-one stream by key and time: times are cut into at most BUCKETS buckets of about equal numbers of versions, the
+or before it is in force, unless it has expired by then or marks a removal. ``edges_in_force`` finds them all, as
+intervals joined by source. ``last_before`` finds one version a question: versions and questions are merged in one
+stream by key and time: times are cut into at most BUCKETS buckets of about equal numbers of versions, the
 last version before each question is found by a window over its key and bucket, and where its bucket has none it
 is carried over from the last bucket before that has one. So a key of many versions is dealt over as many tasks
 as buckets, and what is carried over is one version a bucket.
@@ -14,20 +15,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.operators.structure import written
 
 BUCKETS = 64
+#: A source of more versions or questions than this is a hub: dealt over time buckets.
+HUB_ROWS = 4096
 
 
-def _bucket(versions: DataFrame, time: str, buckets: int) -> Column:
-    """Bucket numbers of the column ``_t``: the number of bounds at or below it."""
+def _bounds(versions: DataFrame, time: str, buckets: int) -> list[float]:
+    """Times, as numbers, that cut the versions into at most so many parts of about equal size."""
     shares = [i / buckets for i in range(1, buckets)]
-    bounds = versions.select(F.col(time).cast("timestamp").cast("double").alias("t") if dict(versions.dtypes)[time].startswith(("timestamp", "date")) else F.col(time).cast("double").alias("t")).approxQuantile("t", shares, 1 / (4 * buckets)) if shares else []
-    at = F.col("_t").cast("timestamp").cast("double") if dict(versions.dtypes)[time].startswith(("timestamp", "date")) else F.col("_t").cast("double")
+    return sorted(set(versions.select(_number(F.col(time), versions.schema[time].dataType).alias("t")).approxQuantile("t", shares, 1 / (4 * buckets)))) if shares else []
+
+
+def _number(t: Column, kind: T.DataType) -> Column:
+    return t.cast("timestamp").cast("double") if kind.simpleString().startswith(("timestamp", "date")) else t.cast("double")
+
+
+def _place(bounds: list[float], t: Column, kind: T.DataType) -> Column:
+    """Bucket numbers: the number of bounds at or below a time."""
     out = F.lit(0)
-    for b in sorted(set(bounds)):
-        out = out + (at >= b).cast("int")
+    for b in bounds:
+        out = out + (_number(t, kind) >= b).cast("int")
     return out
 
 
@@ -39,8 +50,8 @@ def last_before(queries: DataFrame, versions: DataFrame, by: Sequence[str], quer
     by = list(by)
     # made once: both are read several times
     v = written(versions.where(" and ".join(f"`{c}` is not null" for c in [*by, time])).select(*by, F.struct(*(c for c in versions.columns)).alias("_v"), F.col(time).alias("_t"), F.struct(F.col(tie).alias("x")).alias("_tie")), "versions")
-    bucket = _bucket(v.select(F.col("_t").alias(time)), time, buckets)
     kind = v.schema["_t"].dataType
+    bucket = _place(_bounds(v, "_t", buckets), F.col("_t"), kind)
     v = v.withColumn("_bucket", bucket)
     q = queries.select(*by, F.struct(*queries.columns).alias("_q"), F.col(query_time).cast(kind).alias("_t")).withColumn("_bucket", bucket)
     none = lambda name, of: F.lit(None).cast(of.schema[name].dataType).alias(name)
@@ -56,17 +67,58 @@ def last_before(queries: DataFrame, versions: DataFrame, by: Sequence[str], quer
     return carried.withColumn("_version", F.coalesce("_version", F.when(F.col("_t").isNotNull() & before.isNotNull(), found))).select("_q.*", "_version")
 
 
+def edges_in_force(edges: DataFrame, questions: DataFrame, key: str = "edge_id", time: str = "ts", tie: str | None = None, expires: str | None = None, removed: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """The questions' columns (source_id, as_of and others) with the edge columns of each edge of their source in force then.
+
+    A version holds from its time to that of its key's next version, or until it expires; so questions meet only the
+    versions of their source, and only what is in force then leaves the join. Sources of over HUB_ROWS versions or
+    questions are joined by source and time bucket, a version being in each bucket in which it holds.
+    """
+    spark, e = edges.sparkSession, edges.drop("component_id")
+    names = [c for c in e.columns if c != "source_id"]
+    # made once: both are read several times
+    e = written(e.where(f"source_id is not null and `{key}` is not null and `{time}` is not null"), "versions")
+    q = written(questions.where("source_id is not null and as_of is not null"), "questions")
+    kind = e.schema[time].dataType
+    v = e.select("source_id", F.struct(*names).alias("_v"))
+    many = e.select("source_id", F.lit(1).alias("_e"), F.lit(0).alias("_q")).unionAll(q.select("source_id", F.lit(0), F.lit(1))).groupBy("source_id").agg(F.sum("_e").alias("_e"), F.sum("_q").alias("_q"))
+    hubs = written(many.where((F.greatest("_e", "_q") > HUB_ROWS) & (F.least("_e", "_q") > 0)).select("source_id"), "hubs")
+    some = buckets > 1 and not hubs.isEmpty()
+    until = lambda following: F.least(following, *([F.col(f"_v.{expires}").cast(kind)] if expires else []))
+    at, order = F.col(f"_v.{time}"), [F.col(f"_v.{time}"), F.col(f"_v.{tie or key}")]
+    left = ["_v", "_end"]
+
+    def holding(held: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
+        t = F.col("as_of").cast(kind)
+        held = held.where(~F.coalesce(F.col(f"_v.{removed}"), F.lit(False))) if removed else held
+        found = asked.join(held.hint("merge"), by).where((t >= at) & (F.col("_end").isNull() | (t < F.col("_end"))))
+        return found.select(*questions.columns, *(F.col(f"_v.{c}").alias(c) for c in names if c not in questions.columns))
+
+    def timed(x: DataFrame) -> DataFrame:
+        return x.withColumn("_end", until(F.lead(at).over(Window.partitionBy("source_id", F.col(f"_v.{key}")).orderBy(*order)))).where(F.col("_end").isNull() | (F.col("_end") > at))
+
+    dealt = lambda x: x.repartition("source_id")  # noqa: E731 (the window and the join share this exchange)
+    if not some:
+        return holding(timed(dealt(v)), dealt(q), ["source_id"])
+    out = holding(timed(dealt(v.join(hubs, "source_id", "left_anti"))), dealt(q.join(hubs, "source_id", "left_anti")), ["source_id"])
+    # of hubs: the next version is in the bucket, or the first of the key's next bucket that has one
+    bounds = _bounds(e, time, buckets)
+    own = v.join(hubs, "source_id").withColumn("_key", F.col(f"_v.{key}")).withColumn("_bucket", _place(bounds, at, kind))
+    first = own.groupBy("source_id", "_key", "_bucket").agg(F.min(at).alias("_first"))
+    first = first.withColumn("_after", F.lead("_first").over(Window.partitionBy("source_id", "_key").orderBy("_bucket"))).drop("_first")
+    follows = own.withColumn("_next", F.lead(at).over(Window.partitionBy("source_id", "_key", "_bucket").orderBy(*order)))
+    ends = follows.join(first, ["source_id", "_key", "_bucket"]).withColumn("_end", until(F.coalesce("_next", "_after"))).where(F.col("_end").isNull() | (F.col("_end") > at))
+    last = F.when(F.col("_end").isNull(), len(bounds)).otherwise(_place(bounds, F.col("_end"), kind))
+    spread = ends.withColumn("_in", F.explode(F.sequence("_bucket", last))).select("source_id", F.col("_in").alias("_bucket"), *left)
+    asked = q.join(hubs, "source_id").withColumn("_bucket", _place(bounds, F.col("as_of").cast(kind), kind))
+    return out.unionByName(holding(spread, asked, ["source_id", "_bucket"]))
+
+
 def live_edges(edges: DataFrame, pairs: DataFrame, key: str = "edge_id", time: str = "ts", tie: str | None = None, expires: str | None = None, removed: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """(as_of, edge columns): the version in force of each edge of every distinct (source_id, as_of).
 
     ``key`` names an edge among its source's, ``tie`` orders versions of one time (the larger counts; by default the
     key). A version has expired from ``expires`` on; where ``removed`` holds it ends its edge.
     """
-    e = edges.drop("component_id")
-    keys = e.select("source_id", key).distinct()
-    asked = pairs.select("source_id", "as_of").distinct().join(keys, "source_id")
-    found = last_before(asked, e, ["source_id", key], "as_of", time, tie or key, buckets).where("_version is not null")
-    live = found.select("as_of", "_version.*")
-    if expires:
-        live = live.where(F.col(expires).isNull() | (F.col(expires) > F.col("as_of")))
-    return live.where(~F.coalesce(F.col(removed), F.lit(False))) if removed else live
+    found = edges_in_force(edges, pairs.select("source_id", "as_of").distinct(), key, time, tie, expires, removed, buckets)
+    return found.select("as_of", *edges.drop("component_id").columns)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from weft.graph import EdgeSet, PropertyGraph, default_value, position
 from weft.operators.structure import keyed_random
-from weft.plans.asof import live_edges
+from weft.plans.asof import edges_in_force
 from weft.plans.positions import PositionIndex, draw
 from weft.plans.spec import LATEST, TOP_K, UNIFORM, WEIGHTED, SamplingOp, SamplingSpec
 
@@ -44,7 +44,7 @@ def sample_hop(frontier: DataFrame, edges: DataFrame, op: SamplingOp, seed: int
 
     Where the frontier has ``as_of``, only edges no later than that count, whatever the strategy. Weighted draws
     leave out weights that aren't positive. ``index`` serves uniform draws without a time; ``state`` holds the
-    arguments of live_edges for frontiers with one.
+    arguments of edges_in_force for frontiers with one.
     """
     e, timed = edges.drop("component_id"), "as_of" in frontier.columns
     if op.strategy == UNIFORM and index and not timed:
@@ -55,7 +55,7 @@ def sample_hop(frontier: DataFrame, edges: DataFrame, op: SamplingOp, seed: int
         return frontier.withColumnRenamed("node_id", "source_id").join(e, "source_id").drop("_n")
     near = frontier.withColumnRenamed("node_id", "source_id")
     if timed and state is not None:
-        near = near.join(live_edges(e, near, time=time, **state), ["source_id", "as_of"])
+        near = edges_in_force(e, near, time=time, **state)
     else:
         near = near.join(e, "source_id")
     if op.strategy == WEIGHTED:
