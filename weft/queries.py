@@ -15,7 +15,7 @@ from weft import tpch
 from weft.graph import PropertyGraph
 from weft.operators import batching, layers, message, metrics, readout, structure
 from weft.plans import sample as sampling
-from weft.plans.asof import live_edges
+from weft.plans.asof import edges_in_force
 from weft.plans.positions import position_index
 from weft.plans.spec import LATEST, TOP_K, UNIFORM, SpecBuilder, spec_tree
 from weft.schema import CONTEXT, EDGES, NODES, SOURCE, TARGET
@@ -445,8 +445,8 @@ def edges_as_of(spark, sf_dir):
     e = tpch.read(spark, sf_dir, "events")
     did = e.select(F.col("user_id").alias("source_id"), F.col("event_type").alias("target_id"), F.col("event_id").alias("version"), "ts", F.col("value").alias("weight"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("until"), (F.col("event_type") == "error").alias("gone"))
     asked = e.select(F.col("event_id").alias("sample_id"), F.col("user_id").alias("source_id"), F.col("ts").alias("as_of"))
-    live = live_edges(did, asked, key="target_id", tie="version", expires="until", removed="gone")
-    return asked.join(live, ["source_id", "as_of"]).select("sample_id", "target_id", "version", "weight")
+    live = edges_in_force(did, asked, key="target_id", tie="version", expires="until", removed="gone")
+    return live.select("sample_id", "target_id", "version", "weight")
 
 
 @query("""WITH e AS (SELECT o_custkey AS k, l_partkey AS p, max(o_orderdate) AS ts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey, o_orderdate),
