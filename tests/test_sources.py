@@ -108,6 +108,24 @@ def test_encode_samples(spark):
     assert got["empty"]["nodes/v.#size"] == [0]
 
 
+def test_encode_samples_in_pieces(spark):
+    """No Example holds more than a piece of a set; lists end to end are those of the whole component."""
+    nodes = spark.range(57).select(F.when(F.col("id") < 50, "big").otherwise("s").alias("component_id"), F.col("id").alias("node_id"), (F.col("id") % 7).alias("x"))
+    ends = spark.range(83).select(F.lit("big").alias("component_id"), F.col("id").alias("edge_id"), (F.col("id") % 50).alias("source_id"), (F.col("id") * 3 % 50).alias("target_id"))
+    g = PropertyGraph.of({"v": nodes.repartition(3)}, {"e": (ends, "v", "v")}, spark.createDataFrame([("big", 7), ("s", 8), ("empty", 9)], "component_id string, y long"))
+    read = lambda df: [(r.component_id, tfrecord.decode_example(bytes(r.example))) for r in df.collect()]
+    whole, got = dict(read(tfrecord.encode_samples(g))), {}
+    pieces = read(tfrecord.encode_samples(g, 10))
+    assert sorted(k for k, _ in pieces) == ["big"] * 9 + ["empty", "s"]
+    for k, x in pieces:
+        assert all(len(v) <= 10 for v in x.values())
+        for name, v in x.items():
+            got.setdefault(k, {}).setdefault(name, []).extend(v)
+    assert {k: {n: sorted(v) for n, v in x.items() if v} for k, x in got.items()} == {k: {n: sorted(v) for n, v in x.items() if v} for k, x in whole.items()}
+    pairs = lambda x: sorted(zip(x["edges/e.#source"], x["edges/e.#target"]))
+    assert pairs(got["big"]) == pairs(whole["big"])
+
+
 def test_converters(spark):
     t = spark.createDataFrame([("x", "likes", "y", 0), ("y", "likes", "z", 1), ("x", "knows", "z", 2)], "s string, p string, o string, n long")
     g = tables.triples_to_graph(t, order=F.col("n"))

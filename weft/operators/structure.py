@@ -55,7 +55,7 @@ def dense_index(df: DataFrame, id_col: str, name: str = "index", few_components:
     table by range, whatever a component's size.
     """
     if few_components:
-        return within_components(ordered_rank(df.withColumn("_pos", position(df, id_col)), ["component_id", "_pos", id_col], name), name).drop("_pos")
+        return within_components(ordered_rank(df.withColumn("_pos", position(df, id_col)), ["component_id", "_pos", id_col], name), name, few=True).drop("_pos")
     w = Window.partitionBy("component_id").orderBy(position(df, id_col), id_col)
     return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
 
@@ -70,10 +70,10 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_row
     return near.where(F.col(size).isNotNull()).unionByName(rest)
 
 
-def within_components(df: DataFrame, rank: str) -> DataFrame:
-    """Ranks over the whole table, in order of components, as ranks in each component."""
+def within_components(df: DataFrame, rank: str, few: bool = False) -> DataFrame:
+    """Ranks over the whole table, in order of components, as ranks in each component; ``few`` components' first ranks are broadcast."""
     first = df.groupBy("component_id").agg(F.min(rank).alias("_first"))
-    return df.join(first, "component_id").withColumn(rank, F.col(rank) - F.col("_first")).drop("_first")
+    return df.join(F.broadcast(first) if few else first, "component_id").withColumn(rank, F.col(rank) - F.col("_first")).drop("_first")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -263,12 +263,16 @@ def latent_nodes(edges: list[tuple[DataFrame, str]], few_components: bool = Fals
     return first.select("component_id", "node_id", (F.row_number().over(w) - 1).cast("long").alias("pos"))
 
 
-def index_edges(graph: PropertyGraph, edge_set: str, strict: bool = True, few_components: bool = False) -> DataFrame:
-    """Edges with their ends' dense indices. An end that isn't a node raises (as the row is read), or is null if not strict."""
+def index_edges(graph: PropertyGraph, edge_set: str, strict: bool = True, few_components: bool = False, index: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Edges with their ends' dense indices. An end that isn't a node raises (as the row is read), or is null if not strict.
+
+    ``index`` has tables of nodes that are numbered already, in ``_i``, by node set.
+    """
     e = graph.edges[edge_set]
     out = e.table
     for tag in (SOURCE, TARGET):
-        ids = dense_index(graph.nodes[e.end(tag)], "node_id", f"{tag}_index", few_components).select("component_id", F.col("node_id").alias(end_column(tag)), f"{tag}_index")
+        numbered = index[e.end(tag)].withColumnRenamed("_i", f"{tag}_index") if index else dense_index(graph.nodes[e.end(tag)], "node_id", f"{tag}_index", few_components)
+        ids = numbered.select("component_id", F.col("node_id").alias(end_column(tag)), f"{tag}_index")
         out = out.join(ids, ["component_id", end_column(tag)], "left")
         if strict:
             c = F.col(f"{tag}_index")

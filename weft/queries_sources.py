@@ -149,12 +149,13 @@ def shuffled_rows(spark, sf_dir):
     n AS (SELECT k, count(*) AS orders, CAST(sum(i) AS BIGINT) AS sources, CAST(sum(j) AS BIGINT) AS targets FROM o GROUP BY k), m AS (SELECT k, count(*) AS customers FROM c GROUP BY k)
     SELECT k AS component_id, customers, orders, sources, targets FROM m JOIN n USING (k)""")
 def samples_as_examples(spark, sf_dir):
-    """Components encoded as one Example each, with dense indices of ends, and decoded again."""
-    encoded = tfrecord.encode_samples(tpch.sales(spark, sf_dir).remove_features(NODES, "orders", "totalprice").remove_features(EDGES, "placed", "weight"))
+    """Components encoded as Examples of bounded size, with dense indices of ends, and decoded again."""
+    encoded = tfrecord.encode_samples(tpch.sales(spark, sf_dir).remove_features(NODES, "orders", "totalprice").remove_features(EDGES, "placed", "weight"), tfrecord.PIECE)
     longs = T.ArrayType(T.LongType())
     got = tfrecord.decode_samples(encoded, {"nodes/customer.#size": longs, "nodes/orders.#size": longs, "edges/placed.#source": longs, "edges/placed.#target": longs})
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
-    return got.select("component_id", F.col("nodes_customer_size")[0].alias("customers"), F.col("nodes_orders_size")[0].alias("orders"), total("edges_placed_source").alias("sources"), total("edges_placed_target").alias("targets"))
+    names = {"nodes_customer_size": "customers", "nodes_orders_size": "orders", "edges_placed_source": "sources", "edges_placed_target": "targets"}
+    return got.groupBy("component_id").agg(*(F.sum(total(c)).alias(n) for c, n in names.items()))
 
 
 @query("""SELECT o_orderkey AS edge_id, CAST(0 AS BIGINT) AS tag FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0""")
