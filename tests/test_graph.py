@@ -332,3 +332,18 @@ def test_corrupt_edges_and_context(spark):
         assert pairs(got, f) == pairs(was, f) and sum(a != b for a, b in zip(pairs(got, key, f), pairs(was, key, f), strict=True)) > 10
     still = metrics.corrupt(g, metrics.Corruption({("edges", "e"): 0.0, ("context", ""): 0.0}, 1.0), 3)
     assert pairs(still.edges["e"].table, "edge_id", "w") == pairs(e, "edge_id", "w") and pairs(still.context(), "component_id", "label") == pairs(context, "component_id", "label")
+
+
+def test_exact_quantiles_over_partitions(spark):
+    """Against numpy: keys of one and of many values, repeats, nulls; no task gathers a key's values."""
+    rng = np.random.default_rng(3)
+    rows = [("many", float(x)) for x in rng.normal(size=2001)] + [("few", float(x)) for x in rng.integers(0, 4, 900)] + [("one", 5.0), ("one", None), ("none", None)]
+    df = spark.createDataFrame(rows, "key string, value double").repartition(5)
+    at = [0.0, 0.13, 0.5, 0.77, 1.0]
+    out = metrics.exact_quantiles(df, at)
+    got = {r.key: r.quantiles for r in out.collect()}
+    assert got.pop("none") is None and sorted(got) == ["few", "many", "one"]
+    for k, q in got.items():
+        assert np.allclose(q, np.quantile([v for key, v in rows if key == k and v is not None], at), rtol=1e-12, atol=1e-12)
+    g = PropertyGraph.of({"v": spark.range(9).select(F.col("id").alias("node_id"), F.col("id").alias("x"))}, {})
+    assert "percentile" not in metrics.quantile_stats(g, 3, exact=True)._jdf.queryExecution().executedPlan().toString()

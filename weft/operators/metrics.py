@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.graph import PropertyGraph
+from weft.operators.structure import written
 from weft.schema import CONTEXT
 
 
@@ -58,13 +59,37 @@ def graph_values(graph: PropertyGraph) -> DataFrame:
     return out
 
 
+def exact_quantiles(values: DataFrame, at: Sequence[float]) -> DataFrame:
+    """(key, quantiles) of (key, value), interpolated; null values don't count, and a key without others has null.
+
+    Distinct values with their counts are sorted by range partitions; sums of the partitions before tell which hold
+    the wanted places, and only in those are counts added up. So no task holds a key's values.
+    """
+    counts = values.groupBy("key", "value").agg(F.count("value").alias("_n"))
+    placed = written(counts.repartitionByRange("key", "value").sortWithinPartitions("key", "value").withColumn("_part", F.spark_partition_id()), "values")
+    ahead = Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("key", "_part").agg(F.sum("_n").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(ahead), F.lit(0)))
+    parts = written(sums, "parts")
+    wanted = parts.groupBy("key").agg(F.sum("_s").alias("_all")).select("key", "_all", F.posexplode(F.array(*map(F.lit, at))).alias("_i", "_q")).where("_all > 0")
+    wanted = wanted.select("key", "_i", ((F.col("_all") - 1) * F.col("_q")).alias("_p")).withColumn("_at", F.explode(F.array_distinct(F.array(F.floor("_p"), F.ceil("_p")))))
+    there = parts.join(F.broadcast(wanted), "key").where("_at >= _before and _at < _before + _s")
+    own = placed.where("_n > 0").join(F.broadcast(there.select("key", "_part", "_before").distinct()), ["key", "_part"])
+    upto = Window.partitionBy("key", "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = own.withColumn("_to", F.col("_before") + F.sum("_n").over(upto))
+    found = own.join(F.broadcast(wanted), "key").where("_at < _to and _at >= _to - _n").groupBy("key", "_i").agg(F.max("_p").alias("_p"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    between = (F.ceil("_p") - F.col("_p")) * F.col("_lo") + (F.col("_p") - F.floor("_p")) * F.col("_hi")
+    got = found.select("key", F.struct("_i", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between).alias("v")).alias("x"))
+    got = got.groupBy("key").agg(F.array_sort(F.collect_list("x"))["v"].alias("quantiles"))
+    return parts.select("key").distinct().join(got, "key", "left")
+
+
 def quantile_stats(graph: PropertyGraph, quantiles: int = 101, accuracy: int = 10_000, exact: bool = False) -> DataFrame:
     """(key, min, median, max, quantiles) of all features; an odd number of quantiles."""
     if quantiles % 2 == 0:
         raise ValueError("the number of quantiles must be odd")
     at = [i / (quantiles - 1) for i in range(quantiles)]
-    q = F.percentile("value", F.array(*map(F.lit, at))) if exact else F.percentile_approx("value", at, accuracy)
-    out = graph_values(graph).groupBy("key").agg(q.alias("quantiles"))
+    values = graph_values(graph)
+    out = exact_quantiles(values, at) if exact else values.groupBy("key").agg(F.percentile_approx("value", at, accuracy).alias("quantiles"))
     return out.select("key", F.col("quantiles")[0].alias("min"), F.col("quantiles")[quantiles // 2].alias("median"), F.col("quantiles")[quantiles - 1].alias("max"), "quantiles")
 
 
