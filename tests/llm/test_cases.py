@@ -60,6 +60,15 @@ def test_guesses_against_counters():
             assert own == state(counts[k] - collections.Counter([t]), t)
 
 
+def test_every_token_has_a_context():
+    """No share of contexts is drawn: each token is asked, and its context is the two tokens before it in its text."""
+    h = np.random.default_rng(5).integers(1, 2**63, 900).astype(np.uint64)
+    h[300:303] = h[700:703]
+    tag, key = lm_score.contexts(h, np.array([1, 299, 600]))
+    assert len(tag) == len(key) == len(h) and key[0] == key[1] == key[300] and key[302] == key[702]
+    assert len(np.unique(key)) == len(h) - 3 and (key & np.uint64(0xFFFF) == 0).all() and (tag < 1 << 24).all()
+
+
 def test_lm_scores_depend_on_the_order_of_words(spark):
     rng = random.Random(2)
     phrases = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 400)) for _ in range(9)) for _ in range(30)]
