@@ -66,7 +66,7 @@ def test_every_token_has_a_context():
     h[300:303] = h[700:703]
     tag, key = lm_score.contexts(h, np.array([1, 299, 600]))
     assert len(tag) == len(key) == len(h) and key[0] == key[1] == key[300] and key[302] == key[702]
-    assert len(np.unique(key)) == len(h) - 3 and (key & np.uint64(0xFFFF) == 0).all() and (tag < 1 << 24).all()
+    assert len(np.unique(key)) == len(h) - 4 and (key & np.uint64(0xFFFF) == 0).all() and (tag < 1 << 24).all()
 
 
 def test_lm_scores_depend_on_the_order_of_words(spark):
