@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weft.graph import PropertyGraph, end_column
 from weft.operators.message import pool, receivers
+from weft.operators.structure import spread
 from weft.schema import CONTEXT, EDGES, NODES, SOURCE, TARGET, reverse_tag
 
 Matrix = Sequence[Sequence[float]]
@@ -94,8 +95,8 @@ def messages(graph: PropertyGraph, edge_set: str, receiver: str, node: str | Non
     if receiver_feature:
         if receiver == CONTEXT:
             out = out.join(graph.context().select("component_id", F.col(receiver_feature).alias("receiver")), "component_id")
-        else:
-            out = out.join(graph.nodes[e.end(receiver)].select("component_id", "node_id", F.col(receiver_feature).alias("receiver")), KEY)
+        else:  # what follows is by receiver too, so this deals out all of its rows
+            out = spread(out, e.table.count(), *KEY).join(graph.nodes[e.end(receiver)].select("component_id", "node_id", F.col(receiver_feature).alias("receiver")), KEY)
     return out.drop("_s")
 
 

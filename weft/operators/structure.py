@@ -60,6 +60,22 @@ def dense_index(df: DataFrame, id_col: str, name: str = "index", few_components:
     return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
 
 
+#: Rows that a task of a large shuffle is dealt.
+TASK_ROWS = 400_000
+
+
+def spread(df: DataFrame, n_rows: int, *keys: str) -> DataFrame:
+    """Deal the rows of a large table over tasks of some TASK_ROWS rows each by keys. Spark merges partitions up to a size in
+    bytes as they are on disk, where repeated values take next to nothing, so a task's rows in memory have no bound by it.
+
+    A component_id that can't be null is the constant of a graph of one component: Spark drops it from the keys of joins."""
+    if n_rows <= 4 * TASK_ROWS:
+        return df
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = [k for k in keys if k != "component_id" or df.schema[k].nullable] or keys
+    return df.repartition(max(least, -(-n_rows // TASK_ROWS)), *own)
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
     """Join rows with one row for each of their groups. Groups of over n_rows / 1000 rows are fewer than 1000, whatever the
     data, and are broadcast; the others are joined by shuffle, where no key has more rows than that (10,000 at least)."""
