@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.graph import PropertyGraph
-from weft.operators import layers, structure
+from weft.operators import hyper, layers, structure
+from weft.tools import HyperAdjacency
 
 N = 400
 
@@ -41,3 +42,13 @@ def test_messages_are_dealt_by_rows(spark, monkeypatch, components):
     assert rows(new_states()) == before
     assert most_in_a_task(layers.messages(g, "e", "target", receiver_feature="state")) <= 120
     assert most_in_a_task(new_states()) <= 60
+
+
+def test_groups_are_attached_by_rows(spark, monkeypatch):
+    table = spark.range(2 * N).selectExpr("0L AS component_id", "id AS edge_id", f"id % {N} AS node_0", "cast(id % 5 AS double) AS v")
+    h = HyperAdjacency(table, {0: "n"})
+    rows = lambda df: sorted((r.edge_id, round(r.softmax, 12)) for r in df.collect())
+    before = rows(hyper.softmax(h, 0, feature="v"))
+    monkeypatch.setattr(structure, "TASK_ROWS", 40, raising=False)
+    assert rows(hyper.softmax(h, 0, feature="v")) == before
+    assert most_in_a_task(hyper.softmax(h, 0, feature="v")) <= 120

@@ -82,7 +82,7 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_row
     limit = max(10_000, n_rows // 1000)
     values = [c for c in groups.columns if c != key]
     near = rows.join(F.broadcast(groups.where(F.col(size) > limit)), key, "left")
-    rest = near.where(F.col(size).isNull()).drop(*values).join(groups.where(F.col(size) <= limit), key)
+    rest = spread(near.where(F.col(size).isNull()).drop(*values), n_rows, key).join(spread(groups.where(F.col(size) <= limit), n_rows, key), key)
     return near.where(F.col(size).isNotNull()).unionByName(rest)
 
 
