@@ -14,7 +14,8 @@ order of all shingles, linked sets share at least min(L) of each other's first 2
    least two, and linked ones form a group. What a round misses costs time later, never a link.
 4. Each group stores the union of its members' shingles, as a bitmap of their hashes, and the matrix holds
    the union of their first L shingles. Linked sets share one of those at least, so a set's overlap with a group is below the
-   threshold unless it meets the group there, in a place and with sizes that can still reach it. For
+   threshold unless it meets the group there, in a place and with sizes that can still reach it. A group with one
+   member that has the shingle is met once: where both have an earlier shingle in common they have met there. For
    groups that it meets, the set's shingles in the union are counted, which bounds the overlap with any
    member; only groups whose bound reaches the threshold are opened: a few members first, the others only
    if those don't join set and group.
@@ -52,6 +53,8 @@ ROUNDS = 3
 UNION_BITS = 8
 #: Members of a group that are compared before the others.
 HEADS = 8
+#: Leading shingles before one that are looked through for an earlier meeting.
+LOOK_BACK = 16
 _NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -336,6 +339,22 @@ def components(links: DataFrame, name: str = "stars") -> DataFrame:
         now, was = new, is_
 
 
+def meetings(leading: DataFrame, num: int, den: int) -> DataFrame:
+    """Sets (a, n, own: its group) and other groups (grp) that share a leading shingle, in a place and with sizes that can reach the threshold. Few repeat."""
+    # a shingle met before bounds the overlap of the same two sets less, so that it too is in a place that can reach it
+    both = leading.groupBy("cid", "n", "grp").agg(F.array_sort(F.collect_list(F.struct("place", "tok"))).alias("all"))
+    both = both.select("cid", "n", "grp", F.posexplode("all").alias("i", "x"), F.col("all.tok").alias("toks"))
+    start = F.greatest(F.lit(1), F.col("i") + 1 - LOOK_BACK)
+    left = both.select("cid", "n", "grp", F.col("x.tok").alias("tok"), F.col("x.place").alias("place"), F.slice("toks", start, F.least(F.col("i"), F.lit(LOOK_BACK))).alias("before"))
+    one = F.when(F.count("*") == 1, F.first("before")).otherwise(F.array().cast("array<long>"))
+    right = left.groupBy("tok", F.col("grp").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("place")).alias("rest"), one.alias("met"))
+    # the overlap from this shingle on, with a member of at least ``lo`` shingles, must reach the threshold
+    fits = (F.col("grp") > F.col("other")) & (F.col("hi") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("lo") * num)
+    reach = F.least(F.col("n") - F.col("place"), F.col("rest")) * (num + den) >= (F.col("n") + F.greatest(F.col("lo"), F.ceil(F.col("n") * num / den))) * num
+    new = ~F.arrays_overlap("before", "met")
+    return left.join(right, (left.tok == right.tok) & fits & reach & new).select(F.col("cid").alias("a"), F.col("n"), F.col("grp").alias("own"), F.col("other").alias("grp"))
+
+
 def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: doc_id, n_shingles, component_id, sig (a hash of id and text), and row, first_row: its own number and that of the component's first row."""
     spark = docs.sparkSession
@@ -380,12 +399,7 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, id_
         leading = cut(leading.join(common, "tok", "left_semi"), "matrix")
     with_group = cut(sets.join(grouped, sets.cid == grouped.node, "left").select("cid", "n", F.coalesce("root", "cid").alias("grp"), "toks"), "grouped")
 
-    matrix = leading.groupBy("tok", F.col("grp").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("place")).alias("rest"))
-    left, right = leading, matrix
-    # the overlap from this shingle on, with a member of at least ``lo`` shingles, must reach the threshold
-    fits = (F.col("grp") > F.col("other")) & (F.col("hi") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("lo") * num)
-    reach = F.least(F.col("n") - F.col("place"), F.col("rest")) * (num + den) >= (F.col("n") + F.greatest(F.col("lo"), F.ceil(F.col("n") * num / den))) * num
-    met = left.join(right, (left.tok == right.tok) & fits & reach).select(F.col("cid").alias("a"), F.col("n"), F.col("grp").alias("own"), F.col("other").alias("grp")).distinct()
+    met = meetings(leading, num, den).distinct()
     most = with_group.groupBy("grp").agg(F.max("n").alias("hi"), F.min("n").alias("lo"))
     kind = "grp long, bits binary"
     unions = with_group.join(most, "grp").select("grp", "hi", "toks").mapInArrow(_unions, kind).repartition("grp").sortWithinPartitions("grp").mapInArrow(_join_unions, kind)
