@@ -1,8 +1,10 @@
 """What operators write, join and hold at a time."""
 
 import numpy as np
+import pyarrow as pa
 
-from weft.llm import jaccard
+from weft.llm import jaccard, packing
+from weft.llm.common import small_batches
 
 
 def test_sets_meet_once(spark):
@@ -26,3 +28,25 @@ def test_sets_meet_once(spark):
     assert set(got) == meet
     one = [x for x in got if x[1] < 30]
     assert len(one) == len(set(one)) and len(got) < times
+
+
+def test_tasks_hold_little_text(spark, monkeypatch, tmp_path):
+    """Ids are made of a megabyte of text at a time, and within it Spark hands over few rows."""
+    seen = []
+
+    class Words:
+        def encode(self, texts, end):
+            seen.append(sum(len(x) for x in texts.to_pylist()))
+            return np.full(len(texts), end, np.uint32), np.arange(len(texts) + 1)
+
+    monkeypatch.setattr(packing, "loaded", lambda path: Words())
+    monkeypatch.setattr(packing.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": ["x" * 100_000] * 40})
+    assert sum(b.num_rows for b in packing._ids(iter([batch]), str(tmp_path), "", 1, 2)) == 40
+    assert sum(seen) == 4_000_000 and max(seen) <= 1 << 20
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    with small_batches(spark, 500):
+        sizes = spark.range(0, 3000, 1, 1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()
+        assert max(r.n for r in sizes) <= 500
+    assert spark.conf.get(name) == was
