@@ -1,10 +1,28 @@
 """What operators write, join and hold at a time."""
 
+import os
+import random
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
+
+from weft.llm import jaccard, lm_score, packing
+from weft.llm.common import shared_dir, small_batches
+
 
-from weft.llm import jaccard, packing
-from weft.llm.common import small_batches
+def test_pairs_of_contexts_are_in_no_table(spark):
+    """The dictionaries that are written hold tokens alone, and states are written once for each token."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randint(0, 300)}" for _ in range(200))) for i in range(200)]
+    folder = f"{shared_dir(spark).removeprefix('file:')}/weft"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    got = lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert got.agg(F.sum("n_tokens")).first()[0] == 200 * 201
+    size = lambda name: sum(os.path.getsize(f"{folder}/{d}/{f}") for d in set(os.listdir(folder)) - before if d.startswith(name) for f in os.listdir(f"{folder}/{d}"))
+    assert size("dictionaries-") < 3 * 200 * 201
+    units = [d for d in set(os.listdir(folder)) - before if d.startswith("units-")]
+    assert spark.read.parquet(f"{folder}/{units[0]}").agg(F.sum(F.length("states"))).first()[0] == 200 * 201
 
 
 def test_sets_meet_once(spark):
