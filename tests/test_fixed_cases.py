@@ -233,3 +233,16 @@ def hyper_edge_columns(spark, sf_dir):
 def test_case(spark, name):
     fn, sql = CASES[name]
     oracle.check(spark, duckdb.connect(), fn, sql)
+
+
+def test_top_k_skips_the_rest_of_a_partition():
+    from pyspark.sql.udtf import SkipRestOfInputTableException
+
+    from weft.sql import TopK
+
+    seen, one = [], TopK.func()
+    with pytest.raises(SkipRestOfInputTableException):
+        for x in range(5):
+            for row in one.eval((x,), 2):
+                seen.append(row)
+    assert seen == [(0,), (1,)]

@@ -91,6 +91,8 @@ def watched_values(spark, sf_dir):
 def sql_two_hops(spark, sf_dir):
     """sample_two_hops, written in SQL over the graph's views."""
     g, _ = _two_hops(spark, sf_dir)
+    # whole cents, which order rows alike: decimals are slow to hand to table functions
+    g = replace(g, edges={n: replace(e, table=e.table.withColumn("weight", (F.col("weight") * 100).cast("long"))) if "weight" in e.table.columns else e for n, e in g.edges.items()})
     sql.register(spark)
     g.register_views("two_hops_")
     first = "SELECT c.node_id AS sample_id, e.source_id, e.target_id, e.edge_id, e.weight FROM two_hops_nodes_customer c JOIN two_hops_edges_placed e ON e.source_id = c.node_id"

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
-from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, SkipRestOfInputTableException
 
 
 def _names(text: str) -> list[str]:
@@ -44,6 +44,8 @@ class TopK:
         self.n += 1
         if self.n <= k:
             yield tuple(row)
+        if self.n >= k:
+            raise SkipRestOfInputTableException("the partition's first rows are out")
 
 
 @udtf
