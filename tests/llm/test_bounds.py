@@ -2,12 +2,13 @@
 
 import os
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from weft.llm import jaccard, lm_score, packing
+from weft.llm import bpe, jaccard, lm_score, packing
 from weft.llm.common import shared_dir, small_batches
 
 
@@ -68,3 +69,19 @@ def test_tasks_hold_little_text(spark, monkeypatch, tmp_path):
         sizes = spark.range(0, 3000, 1, 1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()
         assert max(r.n for r in sizes) <= 500
     assert spark.conf.get(name) == was
+
+
+def test_runs_of_letters_and_signs_skip_the_whole_encoder():
+    w = bpe.Words(bpe.default_path())
+    texts = ["word!!! it's WE'LL naïve$$$ x99 (été) a'sb ªº1 İx, 日本! Å. é! can't<|endoftext|>'S", "'re99'VE--Ünï, <|x ß!ǅ"]
+    runs = " ".join(texts).split()
+    whole, w.whole = w.whole, SimpleNamespace(encode=None)
+    for run in runs:
+        want = whole.encode(run, add_special_tokens=False).ids
+        if "<|" in run or any(ord(c) > 0x24F or c == "İ" for c in run):
+            w.whole = whole
+        assert list(w._encode(run)) == want, run
+        w.whole = SimpleNamespace(encode=None)
+    w.whole = whole
+    ids, at = w.encode(pa.array(texts), 2)
+    assert ids.tolist() == [x for t in texts for x in [*whole.encode(t, add_special_tokens=False).ids, 2]] and at.tolist()[-1] == len(ids)

@@ -86,11 +86,11 @@ class Model:
     def predict(self, n: int) -> None:
         """Set the mixture of the first n lanes' next ids: both guesses with their masses, and order 0's mass."""
         self.at = (self.keys[:, :n] >> 5 & _SLOTS - 1) + self.slot_of[:, :n]
-        self.held = self.slots[self.at]
+        self.held = self.slots.take(self.at, mode="clip")
         self.g = self.held >> 3
         self.sure = self.held & 7
         self.p_at = self.sure_of[:, :n] + self.sure
-        self.w = self.p[self.p_at]
+        self.w = self.p.take(self.p_at, mode="clip")
         self.m = np.empty((2, n), np.int64)
         np.left_shift(self.w[1], _TOTAL_BITS - _P_BITS, out=self.m[1])
         np.right_shift(((1 << _P_BITS) - self.w[1]) * self.w[0], 2 * _P_BITS - _TOTAL_BITS, out=self.m[0])
@@ -99,8 +99,8 @@ class Model:
     def span(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of symbols in the mixture's cumulative distribution."""
         f = np.uint64(_FREQ_BITS)
-        lo = self.cum[s] * self.m0 >> f
-        width = (self.cum[s + 1] * self.m0 >> f) - lo
+        lo = self.cum.take(s, mode="clip") * self.m0 >> f
+        width = (self.cum.take(s + 1, mode="clip") * self.m0 >> f) - lo
         self.hit = self.g == s
         lo += ((self.g < s) * self.m).sum(0).view(np.uint64)
         width += (self.hit * self.m).sum(0).view(np.uint64)
@@ -110,16 +110,16 @@ class Model:
         """The symbols whose spans hold v."""
         f, one = np.uint64(_FREQ_BITS), np.uint64(1)
         swap = self.g[0] > self.g[1]
-        a, b = np.where(swap, self.g[::-1], self.g)
+        a, b = self.g.min(0), self.g.max(0)
         ma, mb = np.where(swap, self.m[::-1], self.m).view(np.uint64)
-        low_a = self.cum[a] * self.m0 >> f
-        end_a = (self.cum[a + 1] * self.m0 >> f) + ma
-        low_b = (self.cum[b] * self.m0 >> f) + ma
-        end_b = (self.cum[b + 1] * self.m0 >> f) + ma + mb
+        low_a = self.cum.take(a, mode="clip") * self.m0 >> f
+        end_a = (self.cum.take(a + 1, mode="clip") * self.m0 >> f) + ma
+        low_b = (self.cum.take(b, mode="clip") * self.m0 >> f) + ma
+        end_b = (self.cum.take(b + 1, mode="clip") * self.m0 >> f) + ma + mb
         past_a, past_b = v >= end_a, v >= end_b
         u = v - past_a * ma - past_b * mb
         c = (((u + one) << f) - one) // self.m0
-        s = inverse[np.minimum(c, np.uint64(len(inverse) - 1)).view(np.int64)]
+        s = inverse.take(c.view(np.int64), mode="clip")
         s = np.where((v >= low_b) & ~past_b, b, s)
         return np.where((v >= low_a) & ~past_a, a, s).astype(np.int64)
 
@@ -127,7 +127,7 @@ class Model:
         """After span() of the same symbols."""
         self.p[self.p_at] = self.w + ((self.hit * _P_MOST - self.w) >> 5)
         kept = self.hit | (self.sure > 2)
-        self.slots[self.at] = np.where(kept, self.held & -8, (s << 3).astype(np.int32)) | _NEXT[self.sure + (self.hit << 3)]
+        self.slots[self.at] = np.where(kept, self.held & -8, (s << 3).astype(np.int32)) | _NEXT.take(self.sure + (self.hit << 3), mode="clip")
         self.keys[1, :n] = self.keys[0, :n] * 0x5851 + s * 0x9E35
         self.keys[0, :n] = s * 0x9E35
 
