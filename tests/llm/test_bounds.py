@@ -71,6 +71,30 @@ def test_tasks_hold_little_text(spark, monkeypatch, tmp_path):
     assert spark.conf.get(name) == was
 
 
+def test_component_steps_have_small_plans(spark, monkeypatch):
+    """The driver holds each plan and its updates: the steps' were over 100 lines before."""
+    rng = random.Random(3)
+    chain = [(i, i + 1) for i in range(40)]
+    links = chain + [(x, y) for x, y in ((rng.randint(100, 160), rng.randint(100, 160)) for _ in range(50))] + [(200, 201), (200, 202)]
+    root = {x: x for link in links for x in link}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    lines, real = [], jaccard.cut
+
+    def noted(df, *how):
+        lines.append(len(df._jdf.queryExecution().executedPlan().toString().splitlines()))
+        return real(df, *how)
+
+    monkeypatch.setattr(jaccard, "cut", noted)
+    got = jaccard.components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted((x, r) for x, r in root.items() if x != r)
+    assert max(lines) <= 60
+    lines.clear()
+    assert jaccard.components(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")).count() == 2
+    assert len(lines) == 2
+
+
 def test_runs_of_letters_and_signs_skip_the_whole_encoder():
     w = bpe.Words(bpe.default_path())
     texts = ["word!!! it's WE'LL naïve$$$ x99 (été) a'sb ªº1 İx, 日本! Å. é! can't<|endoftext|>'S", "'re99'VE--Ünï, <|x ß!ǅ"]

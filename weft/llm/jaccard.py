@@ -319,24 +319,22 @@ def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def components(links: DataFrame, name: str = "stars") -> DataFrame:
-    """(node, root) of every node of the links: root is the smallest node of its component.
+    """(node, root) of the nodes of the links that aren't roots themselves: root is the smallest node of its component.
 
-    Alternates the large-star and small-star steps; each step's links go to the shared folder.
+    Alternates the large-star and small-star steps until all that is left are stars; what each step makes goes to the
+    shared folder, so that plans stay small whatever the number of steps.
     """
-    now = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    was = None
+    now = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        new = cut(small, name)
-        # the links' number and a hash of them all: unchanged when both steps change nothing
-        is_ = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % (1 << 31))).first()
-        if is_ == was or is_[0] == 0:
-            return new.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        now, was = new, is_
+        now = cut(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        # stars: no node has two links upwards, or is at both ends; the steps would change nothing more
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def meetings(leading: DataFrame, num: int, den: int) -> DataFrame:
@@ -377,7 +375,8 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, id_
     levels = frequency_levels(sets)
     leading = cut(sets.mapInArrow(partial(_leading, levels=levels, num=num, den=den), "tok long, cid long, n long, place long"), "leading")
     leading = leading.withColumn("grp", F.col("cid"))
-    stars = grouped = None
+    grouped = None
+    as_links = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     for i in range(ROUNDS):
         drawn = F.struct(F.xxhash64(F.lit(i), "grp"), "grp", F.xxhash64(F.lit(i), "cid"), "cid", "n")
         heads = leading.groupBy("tok").agg(F.min(drawn).alias("x"), F.max(drawn).alias("y"), F.count("*").alias("c")).where("x.grp <> y.grp")
@@ -390,9 +389,7 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, id_
         if i and not found.limit(1).count():
             break
         # groups so far are links to their roots
-        stars = found if stars is None else stars.unionByName(found)
-        known = found if grouped is None else found.unionByName(grouped.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        grouped = components(known, "groups")
+        grouped = components(found if grouped is None else found.unionByName(as_links(grouped)), "groups")
         leading = leading.drop("grp").join(grouped, leading.cid == grouped.node, "left").select("tok", "cid", "n", "place", F.coalesce("root", "cid").alias("grp"))
         # shingles that one group alone has meet nothing
         common = leading.groupBy("tok").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("tok")
@@ -411,15 +408,13 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, id_
     few = members.groupBy("grp", F.pmod(F.xxhash64("b"), F.lit(HEADS)).alias("h")).agg(F.min(F.struct("b", "m")).alias("x")).select("grp", "x.b", "x.m")
     size = (F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)
     first = open_.join(few, "grp").where(size).select("a", "b").distinct()
-    links = cut(stars.unionByName(linked(first, sets, num, den)), "links")
-    now = cut(components(links, "some"), "some")
+    now = components(cut(linked(first, sets, num, den), "links").unionByName(as_links(grouped)), "some")
     root_of = lambda c, name: now.select(F.col("node").alias(c), F.col("root").alias(name))
     still = open_.join(root_of("own", "ra"), "own", "left").join(root_of("grp", "rb"), "grp", "left")
     still = still.where(F.coalesce("ra", "own") != F.coalesce("rb", "grp")).select("a", "n", "grp")
     pairs = still.join(members, "grp").where(size).select("a", "b").join(first.withColumn("_done", F.lit(True)), ["a", "b"], "left").where("_done is null").select("a", "b").distinct()
     # verified once: the component steps read their links several times
-    links = links.unionByName(cut(linked(pairs, sets, num, den), "more"))
-    roots = cut(components(links, "all"), "roots")
+    roots = components(cut(linked(pairs, sets, num, den), "more").unionByName(as_links(now)), "all")
 
     placed = classes.join(roots, classes.cid == roots.node, "left").withColumn("root", F.coalesce("root", "cid"))
     names = placed.groupBy("root").agg(F.min(F.struct(F.col("c_doc").isNull().alias("last"), F.col("c_doc"), F.col("cid"))).alias("first"), F.sum("copies").alias("size")).where("size > 1")
