@@ -2,13 +2,14 @@
 
 import os
 import random
+import time
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, jaccard, lm_score, packing
+from weft.llm import bpe, common, jaccard, lm_score, packing
 from weft.llm.common import shared_dir, small_batches
 
 
@@ -95,6 +96,21 @@ def test_component_steps_have_small_plans(spark, monkeypatch):
     assert len(lines) == 2
 
 
+def test_cut_frees_what_was_shuffled(spark):
+    """Shuffle files stayed on disk until the driver happened to collect its garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before = files()
+    assert common.cut(spark.range(1000).repartition(7, "id")).count() == 1000
+    for _ in range(100):
+        # those of count() hold a few bytes
+        if not (left := {x for x in files() - before if os.path.exists(x) and os.path.getsize(x) > 1000}):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(common.FREE_SHUFFLES) == "false"
+
+
 def test_runs_of_letters_and_signs_skip_the_whole_encoder():
     w = bpe.Words(bpe.default_path())
     texts = ["word!!! it's WE'LL naïve$$$ x99 (été) a'sb ªº1 İx, 日本! Å. é! can't<|endoftext|>'S", "'re99'VE--Ünï, <|x ß!ǅ"]
